@@ -132,13 +132,17 @@ def w8_global_index(fx):
     return ordered_index(fx.fx_requests, "t_us", "id").select("id", "idx")
 
 
-@query("w9_breaker_intervals", """
-with c as (select t_us, id as seq, outcome = 'error' as fail from fx_model_calls where outcome in ('ok', 'error')),
+BREAKER_SQL = """
+c as (select t_us, id as seq, outcome = 'error' as fail from fx_model_calls where outcome in ('ok', 'error')),
 n as (select *, lead(t_us) over (order by t_us, seq) as next_t, lag(t_us) over (order by t_us, seq) as prev_t,
              lag(fail) over (order by t_us, seq) as prev_fail from c),
 f as (select t_us, seq, least(coalesce(next_t, t_us + 30000000), t_us + 30000000) as open_end,
              not (coalesce(prev_fail, false) and coalesce(t_us - prev_t <= 30000000, false)) as st from n where fail),
-i as (select *, sum(case when st then 1 else 0 end) over (order by t_us, seq rows between unbounded preceding and current row) as island from f)
+i as (select *, sum(case when st then 1 else 0 end) over (order by t_us, seq rows between unbounded preceding and current row) as island from f)"""
+
+
+@query("w9_breaker_intervals", f"""
+with {BREAKER_SQL.strip()}
 select make_timestamp(min(t_us)) as opened_at, make_timestamp(max(open_end)) as closed_at,
        min(t_us) as open_us, max(open_end) as close_us, count(*) as failures
 from i group by island""")
