@@ -65,4 +65,4 @@ def oracle_sqls() -> dict[str, str]:
 
 
 # Importing the query modules fills CATALOG.
-from reqlens.plans import queries_core, queries_series, queries_routing  # noqa: E402,F401
+from reqlens.plans import queries_core, queries_series, queries_routing, queries_model  # noqa: E402,F401

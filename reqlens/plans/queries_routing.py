@@ -17,7 +17,8 @@ def _requests(fx):
 
 POOL_SQL = """
 pool as (select id as server_id, cast(row_number() over (order by name, id) - 1 as integer) as pos,
-                cast(case when coalesce(weight, 1) <= 0 then 1 else coalesce(weight, 1) end as integer) as weight
+                cast(case when coalesce(weight, 1) <= 0 then 1 else coalesce(weight, 1) end as integer) as weight,
+                cast(coalesce(capacity, 10) as integer) as capacity
          from fx_servers where is_active),
 rq as (select id, server_id, start_us as arrival_us, end_us,
               row_number() over (order by start_us, id) - 1 as i from fx_intervals)"""
