@@ -31,6 +31,7 @@ _DUCK_MACROS = {
 }
 _TS_RE = re.compile(r"@TS\[([^\]]+)\]")
 _STR_RE = re.compile(r"@STR\[([^\]]+)\]")
+_FMT_RE = re.compile(r"@FMT\[(@TS\[[^\]]+\])\]")
 
 BASE_US = 1704067200000000  # 2024-01-01 00:00:00 UTC
 
@@ -143,6 +144,20 @@ select event_id as id, cast(user_id % 5 + 1 as int) as server_id,
             else concat('{"cpu_usage":', @STR[cast(floor(value) as bigint) - 5], '.', @STR[k % 10],
                         ',"memory_usage":', @STR[k + 2 - (event_id % 5)], '}') end as body,
        @TS[t_us] as ts, t_us
+from {ev}""",
+    # Proxied request outcomes: upstream status, or a transport failure.
+    "fx_proxy_outcomes": """
+select event_id as id,
+       case when event_type = 'error' and k % 2 = 1 then cast(null as int)
+            when event_type = 'error' then 503 when k < 10 then 404 else 200 end as upstream_status,
+       event_type = 'error' and k % 2 = 1 as transport_error
+from {ev} where event_id % 2 = 1""",
+    # Log timestamps as shipped: RFC3339 with nanos (UTC or an offset), or Unix ms.
+    "fx_ts_strings": """
+select event_id as id,
+       case when k % 3 = 0 then @STR[t_us @DIV 1000]
+            when k % 3 = 1 then concat(@FMT[@TS[t_us]], '.', lpad(@STR[t_us % 1000000], 6, '0'), '789Z')
+            else concat(@FMT[@TS[t_us + 7200000000]], '+02:00') end as ts_text
 from {ev}""",
     # Container discovery targets (log-shipper relabel input).
     "fx_targets": """
@@ -160,9 +175,11 @@ def _render(sql: str, engine: str) -> str:
     for k, v in macros.items():
         sql = sql.replace(k, v)
     if engine == "spark":
+        sql = _FMT_RE.sub(lambda m: f"date_format({m.group(1)}, \"yyyy-MM-dd'T'HH:mm:ss\")", sql)
         sql = _TS_RE.sub(r"cast(timestamp_micros(\1) as timestamp_ntz)", sql)
         sql = _STR_RE.sub(r"cast(\1 as string)", sql)
     else:
+        sql = _FMT_RE.sub(r"strftime(\1, '%Y-%m-%dT%H:%M:%S')", sql)
         sql = _TS_RE.sub(r"make_timestamp(\1)", sql)
         sql = _STR_RE.sub(r"cast(\1 as varchar)", sql)
         sql = sql.replace("as string)", "as varchar)")
