@@ -24,7 +24,7 @@ def tick_grid(keys: DataFrame, start_us: int, end_us: int, step_s: int = 15) ->
     """Ticks ``k * step`` in ``[start, end)`` for every key row."""
     step = int(step_s) * 1_000_000
     first, last = -(-start_us // step), (end_us - 1) // step
-    g = keys.select("*", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("_k"))
+    g = keys.select("*", F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(last).cast("bigint"))).alias("_k"))
     return g.withColumn("tick_us", F.col("_k") * F.lit(step)).drop("_k")
 
 
