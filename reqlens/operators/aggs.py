@@ -72,14 +72,23 @@ def rollup_1m(metrics: DataFrame, width: str = "1 minute", ts: str = "created_at
 
 # --- A4 / A5 ------------------------------------------------------------------
 
-def server_features(joined: DataFrame, bucket: str | None = None) -> DataFrame:
+def target_expr(w_latency: float = 0.70, w_cpu: float = 0.20, w_error: float = 0.10) -> Column:
+    """A5 per-row score ``w_latency*rt + w_cpu*cpu + w_error*error``."""
+    return (F.col("response_time_ms") * w_latency + F.col("cpu_usage") * w_cpu
+            + F.when(F.col("status"), 0.0).otherwise(1.0) * w_error)
+
+
+def server_features(joined: DataFrame, bucket: str | None = None, with_target: bool = False) -> DataFrame:
     """A4: the six model features per server (optionally per time bucket).
 
     error_rate = errors / active_conns (0 -> 1) keeps the training job's
     formula; error_rate_true = errors / rows is the real rate.  Nulls become 0
-    and negatives are clipped (P16)."""
+    and negatives are clipped (P16).  ``with_target`` adds the A5 target in
+    the same aggregation (one pass over the joined rows)."""
     keys = ["server_id"] + ([bucket] if bucket else [])
+    extra = [F.avg(target_expr()).alias("target")] if with_target else []
     g = joined.groupBy(*keys).agg(
+        *extra,
         F.avg("cpu_usage").alias("cpu_usage"),
         F.avg("memory_usage").alias("memory_usage"),
         F.coalesce(F.sum("request_count"), F.lit(0)).cast("bigint").alias("active_conns"),
@@ -91,7 +100,7 @@ def server_features(joined: DataFrame, bucket: str | None = None) -> DataFrame:
                      .otherwise(F.col("active_conns")))
     g = g.withColumn("error_rate_true", F.col("_errors") / F.col("_rows"))
     g = fill_and_clip(g, FEATURES)
-    return g.select(*keys, *FEATURES, "error_rate_true")
+    return g.select(*keys, *FEATURES, "error_rate_true", *(["target"] if with_target else []))
 
 
 def composite_target(joined: DataFrame, w_latency: float = 0.70, w_cpu: float = 0.20,
@@ -99,9 +108,7 @@ def composite_target(joined: DataFrame, w_latency: float = 0.70, w_cpu: float =
     """A5: mean of ``w_latency*rt + w_cpu*cpu + w_error*error`` per server;
     rows without a cpu sample do not contribute."""
     keys = ["server_id"] + ([bucket] if bucket else [])
-    score = (F.col("response_time_ms") * w_latency + F.col("cpu_usage") * w_cpu
-             + F.when(F.col("status"), 0.0).otherwise(1.0) * w_error)
-    return joined.groupBy(*keys).agg(F.avg(score).alias("target"))
+    return joined.groupBy(*keys).agg(F.avg(target_expr(w_latency, w_cpu, w_error)).alias("target"))
 
 
 # --- A6 / A7 / A15 / A19 ------------------------------------------------------

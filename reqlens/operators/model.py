@@ -80,7 +80,8 @@ def mae(df: DataFrame, y: str, pred: str = "prediction") -> DataFrame:
 def fit_score_model(train: DataFrame, features: Sequence[str] = FEATURES, target: str = "target",
                     kind: str = "gbt", validation_col: str | None = None, seed: int = 42) -> PipelineModel:
     """M6: regression of the composite target on the features.  ``gbt``
-    stops early on the validation rows when ``validation_col`` is given."""
+    stops early on the validation rows when ``validation_col`` is given.
+    Rows with a null target are left out of the fit."""
     check_manifest(features)
     va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     if kind == "gbt":
@@ -92,7 +93,8 @@ def fit_score_model(train: DataFrame, features: Sequence[str] = FEATURES, target
         est = LinearRegression(featuresCol="features", labelCol=target, regParam=0.01)
     else:
         raise ValueError(f"unknown model kind: {kind}")
-    return Pipeline(stages=[va, est]).fit(train)
+    # Rows without a label (no metric sample in any of their requests) cannot train.
+    return Pipeline(stages=[va, est]).fit(train.filter(F.col(target).isNotNull() & ~F.isnan(target)))
 
 
 def score(df: DataFrame, model: PipelineModel, features: Sequence[str] = FEATURES) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reqlens.functions.scalars import lookback
-from reqlens.operators.aggs import composite_target, server_features
+from reqlens.operators.aggs import server_features
 from reqlens.operators.joins import join_servers
 from reqlens.operators.timebucket import asof_left, ts_micros
 
@@ -33,9 +33,5 @@ def training_set(requests: DataFrame, servers: DataFrame, metrics: DataFrame, as
     j = requests_with_metrics(requests, servers, metrics, as_of, days)
     if bucket:
         j = j.withColumn(bucket, F.date_trunc(bucket, "created_at").cast("timestamp_ntz"))
-        key = ["server_id", bucket]
-    else:
-        key = ["server_id"]
-    feats = server_features(j, bucket=bucket if bucket else None)
-    target = composite_target(j, bucket=bucket if bucket else None)
-    return feats.join(target, key, "inner")
+    # Features and target in one aggregation: one pass over the joined rows.
+    return server_features(j, bucket=bucket or None, with_target=True)
