@@ -24,23 +24,28 @@ from reqlens.sources.logs import filter_logs, parse_logs
 from reqlens.sources.registry import upsert_servers
 
 
+def _event_time(df: DataFrame, ts: str, watermark: str) -> DataFrame:
+    """Watermarks need TIMESTAMP; the tables carry TIMESTAMP_NTZ in UTC."""
+    return df.withColumn("_et", F.col(ts).cast("timestamp")).withWatermark("_et", watermark)
+
+
 def stream_rollup_1m(metrics: DataFrame, watermark: str = "2 minutes", ts: str = "created_at") -> DataFrame:
     """1-minute roll-up (A3) maintained incrementally; a window is
     emitted once the watermark passes its end (append mode)."""
-    g = metrics.withWatermark(ts, watermark).groupBy("server_id", F.window(ts, "1 minute").alias("w")).agg(
+    g = _event_time(metrics, ts, watermark).groupBy("server_id", F.window("_et", "1 minute").alias("w")).agg(
         F.avg("cpu_usage").alias("avg_cpu"), F.avg("memory_usage").alias("avg_memory"),
         F.sum("request_count").cast("bigint").alias("total_requests"),
         F.avg("success_rate").alias("avg_success_rate"))
-    return g.select("server_id", F.col("w.start").alias("bucket"), "avg_cpu", "avg_memory",
+    return g.select("server_id", F.col("w.start").cast("timestamp_ntz").alias("bucket"), "avg_cpu", "avg_memory",
                     "total_requests", "avg_success_rate")
 
 
 def stream_success_rate(requests: DataFrame, width: str = "5 minutes", slide: str = "10 seconds",
                         watermark: str = "2 minutes", ts: str = "created_at") -> DataFrame:
     """Per-server success rate over sliding windows."""
-    g = requests.withWatermark(ts, watermark).groupBy("server_id", F.window(ts, width, slide).alias("w")).agg(
+    g = _event_time(requests, ts, watermark).groupBy("server_id", F.window("_et", width, slide).alias("w")).agg(
         F.count(F.lit(1)).alias("requests"), F.count_if("status").alias("successes"))
-    return g.select("server_id", F.col("w.start").alias("window_start"), "requests", "successes",
+    return g.select("server_id", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "requests", "successes",
                     (F.col("successes") / F.col("requests")).alias("success_rate"))
 
 
@@ -71,7 +76,7 @@ def stream_health_transitions(outcomes: DataFrame) -> DataFrame:
 def stream_dedup(requests: DataFrame, key: str = "id", watermark: str = "2 minutes",
                  ts: str = "created_at") -> DataFrame:
     """T4: drop re-inserted request rows (same id within the watermark)."""
-    return requests.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+    return _event_time(requests, ts, watermark).dropDuplicatesWithinWatermark([key]).drop("_et")
 
 
 def stream_logs(lines: DataFrame, line: str = "value", **filters) -> DataFrame:
