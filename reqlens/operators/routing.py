@@ -136,8 +136,20 @@ def _lc_sweep(pool_ids: np.ndarray, pool_pos: np.ndarray, query_chunk: int = 409
     return fn
 
 
+def sweep_bucket_width(requests: DataFrame, start_us: str = "arrival_us", max_events: int = 2_000_000,
+                       ceiling_us: int = MINUTE_US, floor_us: int = 10_000) -> int:
+    """Bucket width for the LC sweep so that the busiest bucket holds at
+    most about ``max_events`` events (3 per request), from the peak
+    per-minute arrival count (one small aggregate)."""
+    peak = requests.groupBy(floor_div(F.col(start_us), MINUTE_US).alias("_m")).count() \
+                   .agg(F.max("count").alias("p")).first()["p"] or 0
+    if peak * 3 <= max_events:
+        return ceiling_us
+    return max(floor_us, int(ceiling_us * max_events // (peak * 3)))
+
+
 def least_connections(requests: DataFrame, pool: DataFrame, start_us: str = "arrival_us",
-                      end_us: str = "end_us", bucket_us: int = MINUTE_US) -> DataFrame:
+                      end_us: str = "end_us", bucket_us: int | None = None) -> DataFrame:
     """For each arrival, the pool server with the fewest requests in
     flight at that instant (the arriving one excluded), first in pool order
     on ties -- an audit of the observed load, not a closed-loop simulation.
@@ -147,13 +159,15 @@ def least_connections(requests: DataFrame, pool: DataFrame, start_us: str = "arr
     open at the bucket start (the carry).  Each bucket then holds its start
     / end events, its arrivals and the carry rows, and one grouped-map task
     per bucket sweeps them with sorted searches (memory per task bounded by
-    the bucket's traffic, processed in chunks of arrivals)."""
+    the bucket's traffic, processed in chunks of arrivals).  Without an
+    explicit ``bucket_us`` the width is chosen from the peak arrival rate
+    so that no bucket holds more than about two million events."""
     pool_pd = pool.select("server_id", "pos").toPandas()  # pool: one row per server
     if len(pool_pd) == 0:
         return _null_assign(requests, "least_connections")
     pool_ids = pool_pd["server_id"].to_numpy().astype("int64")
     pool_pos = pool_pd["pos"].to_numpy().astype("int64")
-    w = int(bucket_us)
+    w = int(bucket_us or sweep_bucket_width(requests, start_us))
     iv = requests.filter(F.col(end_us) > F.col(start_us))
     b0 = floor_div(F.col(start_us), w)
     b1 = floor_div(F.col(end_us) - 1, w)

@@ -346,3 +346,11 @@ def test_scaler_manifest_model_roundtrip(spark, fx, scratch):
     assert a == pytest.approx(b)
     with pytest.raises(ValueError):
         M.score(tr.limit(0), model)
+
+
+def test_least_connections_bucket_invariance(spark, fx):
+    req = fx.fx_intervals.select("id", "server_id", F.col("start_us").alias("arrival_us"), "end_us")
+    pool = R.make_pool(fx.fx_servers)
+    a = {r["id"]: r["assigned"] for r in R.least_connections(req, pool, bucket_us=5 * SEC).collect()}
+    b = {r["id"]: r["assigned"] for r in R.least_connections(req, pool, bucket_us=600 * SEC).collect()}
+    assert a == b and len(a) == req.count()
