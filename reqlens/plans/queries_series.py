@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reqlens.operators import series as S
 from reqlens.operators.timebucket import inflight, micros_ts, ordered_index
-from reqlens.plans.catalog import AS_OF_US, query
+from reqlens.plans.catalog import AS_OF_US, MID_US, query
 from reqlens.sources.fixtures import BASE_US
 
 
@@ -159,3 +159,100 @@ from w group by ws""")
 def w10_rate_grid(fx):
     """Requests per second over 1-minute windows every 15 s."""
     return S.rate_grid(fx.fx_request_log)
+
+
+# ---------------------------------------------------------------------------
+# Queries built on the health runs: J5 pool at request time, A12 inventory,
+# A11 readiness.
+# ---------------------------------------------------------------------------
+
+HEALTH_END_US = AS_OF_US + 86_400_000_000
+
+
+def _health_runs(fx, pool_ids):
+    """State runs per server; every server is alive from t = 0 until its
+    first down transition (servers start alive)."""
+    o = S.probe_outcomes(fx.fx_probes)
+    tr = S.health_transitions(o)
+    start = pool_ids.select("server_id", F.lit(0).cast("bigint").alias("t_us"))
+    return S.state_intervals(tr.join(pool_ids, "server_id", "left_semi"), start, HEALTH_END_US)
+
+
+POOL_IDS_SQL = "pool_ids as (select id as server_id from fx_servers where is_active)"
+ALIVE_AT_SQL = """
+alive_at as (
+  select q.qid, p.server_id,
+         coalesce(arg_max(tr.alive, (tr.t_us, tr.seq)) filter (where tr.t_us is not null), true) as alive
+  from {points} q cross join pool_ids p
+  left join tr on tr.server_id = p.server_id and tr.t_us <= q.t_us
+  group by q.qid, p.server_id)"""
+
+
+@query("j5_pool_at_request", f"""
+with {TRANSITIONS_SQL.strip()}, {POOL_IDS_SQL},
+pts as (select id as qid, t_us from fx_requests),
+{ALIVE_AT_SQL.format(points="pts").strip()}
+select qid as id, cast(count(*) filter (where alive) as bigint) as alive_servers,
+       coalesce(string_agg(cast(server_id as varchar), ',' order by server_id) filter (where alive), '') as pool
+from alive_at group by qid""")
+def j5_pool_at_request(fx):
+    """J5 + W7: the healthy pool (alive pool servers) at each request's
+    time, via the bucketed interval join."""
+    from reqlens.operators.joins import pool_at
+    pool_ids = fx.fx_servers.filter("is_active").select(F.col("id").alias("server_id"))
+    runs = _health_runs(fx, pool_ids).filter("alive")
+    req = fx.fx_requests.select("id", "t_us")
+    j = pool_at(req, runs, ts_us="t_us")
+    g = j.groupBy("id").agg(F.count(F.lit(1)).alias("alive_servers"),
+                            F.array_join(F.array_sort(F.collect_list(F.col("pool_server_id").cast("string"))), ",")
+                            .alias("pool"))
+    # requests at a time when no pool server is alive keep an empty pool
+    out = req.select("id").join(g, "id", "left")
+    return out.select("id", F.coalesce("alive_servers", F.lit(0)).cast("bigint").alias("alive_servers"),
+                      F.coalesce("pool", F.lit("")).alias("pool"))
+
+
+INVENTORY_SQL = f"""
+{TRANSITIONS_SQL.strip()}, {POOL_IDS_SQL},
+pts as (select 0 as qid, {MID_US} as t_us),
+{ALIVE_AT_SQL.format(points="pts").strip()},
+conns as (select server_id, count(*) as c from fx_intervals where start_us <= {MID_US} and end_us > {MID_US}
+          group by server_id),
+inv as (select s.id as server_id, s.name as url, a.alive, s.weight, s.capacity,
+               cast(coalesce(c.c, 0) as bigint) as active_connections
+        from fx_servers s join alive_at a on a.server_id = s.id left join conns c on c.server_id = s.id
+        where s.is_active)"""
+
+
+def _inventory(fx):
+    from reqlens.operators import aggs as A
+    from reqlens.operators import routing as R
+    pool = R.make_pool(fx.fx_servers)
+    o = S.probe_outcomes(fx.fx_probes)
+    health = S.health_transitions(o).select("server_id", "seq", "t_us", "alive")
+    return A.inventory(pool, health, fx.fx_intervals, MID_US)
+
+
+@query("a12_inventory", f"with {INVENTORY_SQL.strip()} select * from inv")
+def a12_inventory(fx):
+    """Server inventory at a point in time: url, alive (latest health
+    state, servers start alive), weight, capacity, active connections."""
+    return _inventory(fx)
+
+
+@query("a11_readiness", f"""
+with {INVENTORY_SQL.strip()}
+select cast(count(*) as bigint) as total, cast(count(*) filter (where alive) as bigint) as healthy,
+       case when count(*) filter (where alive) > 0 then 'ready' else 'not ready' end as status from inv""")
+def a11_readiness(fx):
+    """Readiness summary over the inventory."""
+    from reqlens.operators import aggs as A
+    return A.readiness(_inventory(fx))
+
+
+@query("a8_quantile_summary", None)
+def a8_quantile_summary(fx):
+    """Approximate duration quantiles (0.5/0.9/0.95/0.99) per server
+    over 5-minute windows sliding by 1 minute."""
+    from reqlens.operators import aggs as A
+    return A.quantile_summary(fx.fx_request_log, "duration_s", ["server_id"], "ts")

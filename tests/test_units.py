@@ -354,3 +354,17 @@ def test_least_connections_bucket_invariance(spark, fx):
     a = {r["id"]: r["assigned"] for r in R.least_connections(req, pool, bucket_us=5 * SEC).collect()}
     b = {r["id"]: r["assigned"] for r in R.least_connections(req, pool, bucket_us=600 * SEC).collect()}
     assert a == b and len(a) == req.count()
+
+
+def test_quantile_summary_rank_error(spark, fx):
+    """Each approximate quantile's rank is within its objective's error."""
+    log = fx.fx_request_log.withColumn("ts", F.lit("2024-01-01 00:02:30").cast("timestamp_ntz"))
+    out = A.quantile_summary(log, "duration_s", ["server_id"], "ts", width="5 minutes", slide="5 minutes").collect()
+    vals = {}
+    for r in fx.fx_request_log.select("server_id", "duration_s").collect():
+        vals.setdefault(r["server_id"], []).append(r["duration_s"])
+    for r in out:
+        xs = sorted(vals[r["server_id"]])
+        n = len(xs)
+        rank = sum(1 for x in xs if x <= r["value"]) / n
+        assert abs(rank - r["quantile"]) <= A.SUMMARY_OBJECTIVES[r["quantile"]] + 1.0 / n
