@@ -137,15 +137,18 @@ def _lc_sweep(pool_ids: np.ndarray, pool_pos: np.ndarray, query_chunk: int = 409
 
 
 def sweep_bucket_width(requests: DataFrame, start_us: str = "arrival_us", max_events: int = 2_000_000,
-                       ceiling_us: int = MINUTE_US, floor_us: int = 10_000) -> int:
-    """Bucket width for the LC sweep so that the busiest bucket holds at
-    most about ``max_events`` events (3 per request), from the peak
-    per-minute arrival count (one small aggregate)."""
+                       ceiling_us: int = 3600 * 1_000_000, floor_us: int = 10_000) -> int:
+    """Bucket width for the LC sweep: as wide as possible up to
+    ``ceiling_us`` (fewer, larger pandas groups) while the busiest bucket
+    holds at most about ``max_events`` events (3 per request).  Computed
+    from the peak per-minute arrival count (one small aggregate) scaled to
+    the candidate width, which over-estimates and so stays on the safe side."""
     peak = requests.groupBy(floor_div(F.col(start_us), MINUTE_US).alias("_m")).count() \
                    .agg(F.max("count").alias("p")).first()["p"] or 0
-    if peak * 3 <= max_events:
+    per_us = 3.0 * peak / MINUTE_US  # events per microsecond at the peak minute
+    if per_us * ceiling_us <= max_events:
         return ceiling_us
-    return max(floor_us, int(ceiling_us * max_events // (peak * 3)))
+    return max(floor_us, int(max_events / per_us))
 
 
 def least_connections(requests: DataFrame, pool: DataFrame, start_us: str = "arrival_us",
