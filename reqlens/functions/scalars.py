@@ -111,9 +111,10 @@ def parse_log_ts(ts) -> Column:
     """RFC3339 (nanos truncate to micros), else Unix milliseconds; as
     TIMESTAMP_NTZ in UTC."""
     t = _c(ts)
+    is_ms = t.rlike("^-?[0-9]{1,18}$")
     rfc = F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX"))
-    ms = F.timestamp_millis(F.when(t.rlike("^-?[0-9]{1,18}$"), t.cast("bigint")))
-    return F.coalesce(rfc, ms).cast("timestamp_ntz")
+    # Digits-only text is never RFC3339: test it first and skip the parser.
+    return F.when(is_ms, F.timestamp_millis(t.cast("bigint"))).otherwise(rfc).cast("timestamp_ntz")
 
 
 def extract_trace_id(line) -> Column:

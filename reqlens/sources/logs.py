@@ -39,14 +39,18 @@ def parse_logs(lines: DataFrame, line: str = "line") -> DataFrame:
     """JSON log line -> typed fields.  ``ts`` is parsed as RFC3339 with
     a Unix-millisecond fallback (P11); ``trace_id`` comes from the raw line
     (P13); ``corrupt`` is true for lines that are not JSON objects."""
-    p = F.from_json(F.col(line), LOG_SCHEMA, _JSON_OPTS)
-    out = lines.select("*", p.alias("_j"))
     keep = [c for c in lines.columns if c != line]
-    fields = [F.col("_j." + f.name).alias(f.name) for f in LOG_SCHEMA.fields if f.name not in ("ts", "_corrupt")]
+    # The parse result is produced by a one-row generator: filters that
+    # Catalyst infers later (e.g. join keys not null) cannot be pushed below
+    # a generator, so they do not re-run the JSON parse per predicate.
+    packed = F.struct(F.from_json(F.col(line), LOG_SCHEMA, _JSON_OPTS).alias("j"),
+                      extract_trace_id(F.col(line)).alias("trace_id"))
+    out = lines.select(*keep, F.explode(F.array(packed)).alias("_p"))
+    fields = [F.col("_p.j." + f.name).alias(f.name) for f in LOG_SCHEMA.fields if f.name not in ("ts", "_corrupt")]
     out = out.select(*keep, *fields,
-                     parse_log_ts(F.col("_j.ts")).alias("ts"),
-                     extract_trace_id(F.col(line)).alias("trace_id"),
-                     (F.col("_j").isNull() | F.col("_j._corrupt").isNotNull()).alias("corrupt"))
+                     parse_log_ts(F.col("_p.j.ts")).alias("ts"),
+                     F.col("_p.trace_id").alias("trace_id"),
+                     (F.col("_p.j").isNull() | F.col("_p.j._corrupt").isNotNull()).alias("corrupt"))
     return out.withColumn("ts_us", ts_micros("ts"))
 
 
