@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reqlens.operators.aggs import FEATURES
-from reqlens.operators.sizing import broadcast_if_small
+from reqlens.operators.sizing import broadcast_if_small, materialize
 from reqlens.operators.timebucket import floor_div, inflight, micros_ts, running_sum
 
 
@@ -150,7 +150,8 @@ def decision_snapshots(metrics: DataFrame, intervals: DataFrame, requests: DataF
     pool_small = broadcast_if_small(pool.select("server_id", "pos", "weight", "capacity"))
     snap = snap.join(pool_small, "server_id", "inner")
     # active connections at the tick
-    snap = inflight(intervals, ["server_id"], "start_us", "end_us", points=snap, point_us="tick_us", name="conns")
+    snap = materialize(inflight(intervals, ["server_id"], "start_us", "end_us", points=snap, point_us="tick_us",
+                                name="conns"))  # read twice below (points of the error-rate running sum)
     # failures so far -> blended error rate
     fails = requests.filter(~F.col("status")).select("server_id", F.col("t_us").alias("_t"), F.lit(1).alias("_v"),
                                                      F.lit(0).alias("_side"), F.lit(None).cast("bigint").alias("tick_us"))

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reqlens.operators.sizing import broadcast_if_small
-from reqlens.operators.timebucket import MINUTE_US, floor_div, ordered_index
+from reqlens.operators.sizing import broadcast_if_small, materialize
+from reqlens.operators.timebucket import MINUTE_US, floor_div, forward_fill, ordered_index
 
 
 def make_pool(servers: DataFrame, active_only: bool = True) -> DataFrame:
@@ -275,3 +275,77 @@ def compare_policies(requests: DataFrame, pool: DataFrame, latency: DataFrame,
         (F.col("requests") / F.col("_n")).alias("share"),
         (F.sum("_agree").over(per_policy) / F.col("_n")).alias("agreement"),
         (F.sum("_lat").over(per_policy) / F.col("_n")).alias("mean_chosen_latency_ms"))
+
+
+# ---------------------------------------------------------------------------
+# Policies over the live (healthy) pool: pool versions and WRR epochs
+# ---------------------------------------------------------------------------
+
+def pool_versions(pool: DataFrame, runs: DataFrame, end_us: int, bucket_us: int = 3_600_000_000) -> DataFrame:
+    """Piecewise-constant healthy pool: one row per version ``[start_us,
+    end_us)`` with ``members`` = alive pool servers in pool order
+    (array<struct<pos, server_id, weight>>).  ``runs`` are the W7 state
+    runs (server_id, alive, start_us, end_us).  Versions change only at run
+    boundaries, so the table grows with health transitions, not requests."""
+    from reqlens.operators.series import neighbor
+
+    p = broadcast_if_small(pool.select("server_id", "pos", "weight"))
+    r = runs.join(p, "server_id", "inner")
+    bounds = r.select(F.col("start_us").alias("t_us")).distinct()
+    # state of every pool server at each boundary: interval join per hour bucket
+    b = bounds.withColumn("_b", floor_div(F.col("t_us"), bucket_us))
+    iv = r.select("server_id", "pos", "weight", "alive", "start_us", F.col("end_us").alias("_end"),
+                  F.explode(F.sequence(floor_div(F.col("start_us"), bucket_us),
+                                       floor_div(F.col("end_us") - 1, bucket_us))).alias("_b"))
+    j = b.join(iv, (b["_b"] == iv["_b"]) & (iv["start_us"] <= b["t_us"]) & (b["t_us"] < iv["_end"]), "inner")
+    members = j.groupBy("t_us").agg(F.array_sort(F.collect_list(
+        F.when(F.col("alive"), F.struct("pos", "server_id", "weight")))).alias("members"))
+    nxt = neighbor(materialize(members.withColumn("_seq", F.lit(0))), [], "t_us", "_seq", ["t_us"], "next")
+    return materialize(nxt.select(F.col("t_us").alias("start_us"),
+                      F.coalesce(F.col("next.t_us"), F.lit(int(end_us))).alias("end_us"), "members"))
+
+
+def attach_pool(requests: DataFrame, versions: DataFrame, arrival_us: str = "arrival_us",
+                bucket_us: int = 3_600_000_000) -> DataFrame:
+    """Each request with the pool version live at its arrival (bucketed
+    interval join; one match per request)."""
+    v = versions.select("start_us", "end_us", "members", F.explode(F.sequence(
+        floor_div(F.col("start_us"), bucket_us), floor_div(F.col("end_us") - 1, bucket_us))).alias("_b"))
+    r = requests.withColumn("_b", floor_div(F.col(arrival_us), bucket_us))
+    j = r.join(v, (r["_b"] == v["_b"]) & (v["start_us"] <= r[arrival_us]) & (r[arrival_us] < v["end_us"]), "left")
+    return j.select(*[r[c] for c in requests.columns], v["members"])
+
+
+def round_robin_live(requests: DataFrame, versions: DataFrame, order_us: str = "arrival_us",
+                     tie: str = "id") -> DataFrame:
+    """R1 over the healthy pool at each arrival: the i-th request (global
+    counter, never reset) goes to members[i mod n]; no member -> null."""
+    r = ordered_index(attach_pool(requests, versions, order_us), order_us, tie, name="_i")
+    n = F.size("members")
+    pick = F.when(n > 0, F.element_at("members", (F.pmod("_i", n) + 1).cast("int"))["server_id"])
+    return r.withColumn("assigned", pick).withColumn("policy", F.lit("round_robin")).drop("_i", "members")
+
+
+def weighted_round_robin_live(requests: DataFrame, versions: DataFrame, order_us: str = "arrival_us",
+                              tie: str = "id", legacy: bool = False) -> DataFrame:
+    """R2 over the healthy pool: slots = members repeated by weight; the
+    slot index restarts whenever the pool seen by consecutive requests
+    changes (membership; ``legacy=True``: only its length, as the original
+    balancer did).  The epoch start index is a bucketed forward fill of the
+    index at each change row, so there is no join on an epoch key (which
+    would put a long epoch into one task)."""
+    from reqlens.operators.series import neighbor
+
+    r = materialize(ordered_index(attach_pool(requests, versions, order_us), order_us, tie, name="_i"))
+    ids = F.transform("members", lambda m: m["server_id"])
+    key = F.size("members").cast("string") if legacy else F.array_join(ids, ",")
+    r = r.withColumn("_key", F.coalesce(key, F.lit("")))
+    r = materialize(neighbor(r, [], order_us, tie, ["_key"], "prev"))
+    r = r.withColumn("_chg", F.col("prev._key").isNull() | (F.col("prev._key") != F.col("_key"))).drop("prev")
+    # index of the epoch's first request: forward fill of the change rows' index
+    r = forward_fill(r, F.when(F.col("_chg"), F.col("_i")), [], order_us, tie, name="_i0")
+    slots = F.flatten(F.transform("members", lambda m: F.array_repeat(m["server_id"], m["weight"])))
+    n = F.size(slots)
+    pick = F.when(n > 0, F.element_at(slots, (F.pmod(F.col("_i") - F.col("_i0"), n) + 1).cast("int")))
+    out = r.withColumn("assigned", pick).withColumn("policy", F.lit("weighted_round_robin"))
+    return out.drop("_i", "_i0", "_key", "_chg", "members")

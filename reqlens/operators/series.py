@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reqlens.functions.scalars import clamp, round1
+from reqlens.operators.sizing import materialize
 from reqlens.operators.timebucket import (HOUR_US, MINUTE_US, floor_div, micros_ts, ordered_index,
                                           running_count, running_sum, trailing_at)
 
@@ -72,7 +73,7 @@ def smooth(df: DataFrame, value: str, by: Sequence[str], order_us: str, tie: str
     the next one as history, so every window is per (key, chunk)."""
     by = list(by)
     h = int(horizon)
-    d = ordered_index(df, order_us, tie, by=by, name="_i")
+    d = materialize(ordered_index(df, order_us, tie, by=by, name="_i"))  # read twice below
     d = d.withColumn("_c", floor_div(F.col("_i"), chunk))
     own = d.withColumn("_hist", F.lit(False))
     hist = d.filter(F.pmod(F.col("_i"), F.lit(chunk)) >= chunk - (h - 1)) \
@@ -185,7 +186,8 @@ def health_transitions(outcomes: DataFrame, request_failures: DataFrame | None =
     if request_failures is not None:
         o = o.unionByName(request_failures.select("server_id", "seq", "t_us", F.lit(False).alias("alive")))
     d = neighbor(o, ["server_id"], "t_us", "seq", ["alive"], "prev", bucket_us)
-    return d.filter(F.col("alive") != F.coalesce(F.col("prev.alive"), F.lit(True))).drop("prev")
+    out = d.filter(F.col("alive") != F.coalesce(F.col("prev.alive"), F.lit(True))).drop("prev")
+    return materialize(out)  # small (changes only) and read by further carry operators
 
 
 def state_intervals(transitions: DataFrame, first_seen: DataFrame, end_us: int,
@@ -199,7 +201,7 @@ def state_intervals(transitions: DataFrame, first_seen: DataFrame, end_us: int,
     d = neighbor(init.unionByName(t), ["server_id"], "t_us", "seq", ["t_us"], "next", bucket_us)
     d = d.select("server_id", "alive", F.col("t_us").alias("start_us"),
                  F.coalesce(F.col("next.t_us"), F.lit(int(end_us))).alias("end_us"))
-    return d.filter(F.col("end_us") > F.col("start_us"))
+    return materialize(d.filter(F.col("end_us") > F.col("start_us")))
 
 
 def uptime(intervals: DataFrame, start_us: int, end_us: int) -> DataFrame:
@@ -223,13 +225,13 @@ def breaker_intervals(calls: DataFrame, reset_s: int = 30, ts_us: str = "t_us",
     R = int(reset_s) * 1_000_000
     c = calls.filter(F.col(outcome).isin("ok", "error")).select(
         F.col(ts_us).cast("bigint").alias("t_us"), F.col(tie).alias("seq"), (F.col(outcome) == "error").alias("fail"))
-    c = neighbor(c, [], "t_us", "seq", ["t_us"], "next", bucket_us)
+    c = materialize(neighbor(c, [], "t_us", "seq", ["t_us"], "next", bucket_us))
     c = neighbor(c, [], "t_us", "seq", ["t_us", "fail"], "prev", bucket_us)
     f = c.filter("fail").select(
         "t_us", "seq",
         F.least(F.coalesce(F.col("next.t_us"), F.col("t_us") + R), F.col("t_us") + R).alias("open_end"),
         (~(F.coalesce(F.col("prev.fail"), F.lit(False)) & (F.col("t_us") - F.col("prev.t_us") <= R))).alias("_start"))
-    f = running_count(f, F.col("_start"), [], "t_us", "seq", bucket_us, name="_island")
+    f = running_count(materialize(f), F.col("_start"), [], "t_us", "seq", bucket_us, name="_island")
     g = f.groupBy("_island").agg(F.min("t_us").alias("open_us"), F.max("open_end").alias("close_us"),
                                  F.count(F.lit(1)).alias("failures"))
     return g.select(micros_ts("open_us").alias("opened_at"), micros_ts("close_us").alias("closed_at"),

@@ -208,3 +208,27 @@ def trailing_at(points: DataFrame, events: DataFrame, by: Sequence[str], point_u
     u = u.select("_p", *[F.sum("_v_" + k).over(win).alias(k) for k in aggs])
     u = u.filter(F.col("_p").isNotNull())
     return u.select(*[F.col("_p." + c).alias(c) for c in points.columns], *list(aggs))
+
+
+# ---------------------------------------------------------------------------
+# Forward fill (last non-null value so far)
+# ---------------------------------------------------------------------------
+
+def forward_fill(df: DataFrame, value, by: Sequence[str], order_us, tie,
+                 bucket_us: int = HOUR_US, name: str = "filled") -> DataFrame:
+    """Last non-null ``value`` at or before each row per ``by`` in
+    (``order_us``, ``tie``) order.  Inside a bucket a running
+    ``last(ignorenulls)``; the carry is the last non-null value of earlier
+    buckets, from the one-row-per-bucket table."""
+    by = list(by)
+    d = df.withColumn("_b", floor_div(_col(order_us).cast("bigint"), bucket_us)).withColumn("_v", _col(value))
+    key = F.when(F.col("_v").isNotNull(), F.struct(_col(order_us), _col(tie)))
+    edge = d.groupBy(*by, "_b").agg(F.max_by("_v", key).alias("_e"))
+    bw = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_b") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    carry = edge.select(*by, "_b", F.last("_e", ignorenulls=True).over(bw).alias("_carry"))
+    j = d.join(carry, by + ["_b"], "inner")
+    within = Window.partitionBy(*by, "_b").orderBy(_col(order_us), _col(tie)) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = j.withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(within), F.col("_carry")))
+    return j.drop("_b", "_v", "_carry")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reqlens.operators import routing as R
 from reqlens.operators import series as S
 from reqlens.plans.catalog import query
-from reqlens.plans.queries_series import BREAKER_SQL
+from reqlens.plans.queries_series import BREAKER_SQL, TRANSITIONS_SQL
 
 
 def _requests(fx):
@@ -90,3 +90,71 @@ def r7_compare_policies(fx):
     latency per policy (RR, WRR, LC, random)."""
     lat = fx.fx_requests.groupBy("server_id").agg(F.avg("response_time_ms").alias("mean_ms"))
     return R.compare_policies(_requests(fx), R.make_pool(fx.fx_servers), lat)
+
+
+# ---------------------------------------------------------------------------
+# R1 / R2 over the healthy pool at each arrival (pool versions from W7)
+# ---------------------------------------------------------------------------
+
+LIVE_SQL = f"""
+{POOL_SQL.strip()},
+{TRANSITIONS_SQL.strip()},
+alive_at as (
+  select rq.id, rq.i, p.server_id, p.pos, p.weight,
+         coalesce(arg_max(tr.alive, (tr.t_us, tr.seq)) filter (where tr.t_us is not null), true) as alive
+  from rq cross join pool p
+  left join tr on tr.server_id = p.server_id and tr.t_us <= rq.arrival_us
+  group by rq.id, rq.i, p.server_id, p.pos, p.weight),
+lp as (select id, i,
+              coalesce(list(server_id order by pos) filter (where alive), []) as mem,
+              coalesce(list(weight order by pos) filter (where alive), []) as wts
+       from alive_at group by id, i)"""
+
+
+def _versions(fx):
+    from reqlens.plans.queries_series import HEALTH_END_US
+    pool = R.make_pool(fx.fx_servers)
+    o = S.probe_outcomes(fx.fx_probes)
+    tr = S.health_transitions(o).join(pool.select("server_id"), "server_id", "left_semi")
+    start = pool.select("server_id", F.lit(0).cast("bigint").alias("t_us"))
+    runs = S.state_intervals(tr, start, HEALTH_END_US)
+    return R.pool_versions(pool, runs, HEALTH_END_US)
+
+
+@query("r1_round_robin_live_pool", f"""
+with {LIVE_SQL.strip()}
+select rq.id, rq.server_id, case when len(lp.mem) > 0 then lp.mem[(lp.i % len(lp.mem)) + 1] end as assigned
+from rq join lp using (id)""")
+def r1_round_robin_live_pool(fx):
+    """R1 + J5 + W7: round robin over the servers healthy at each arrival
+    (the counter never resets)."""
+    return R.round_robin_live(_requests(fx), _versions(fx)).select("id", "server_id", "assigned")
+
+
+WRR_LIVE_SQL = """
+ep as (select *, case when lag({key}) over (order by i) is distinct from {key} then i end as st from lp),
+ep2 as (select *, max(st) over (order by i rows between unbounded preceding and current row) as i0 from ep),
+sl as (select id, i, i0,
+              flatten(list_transform(range(1, len(mem) + 1), lambda k: list_resize([mem[k]], wts[k], mem[k]))) as slots
+       from ep2)
+select sl.id, rq.server_id,
+       case when len(slots) > 0 then slots[((sl.i - sl.i0) % len(slots)) + 1] end as assigned
+from sl join rq using (id)"""
+
+
+@query("r2_wrr_live_pool_epochs", f"""
+with {LIVE_SQL.strip()},
+{WRR_LIVE_SQL.format(key="array_to_string(mem, ',')").strip()}""")
+def r2_wrr_live_pool_epochs(fx):
+    """R2 + J5 + W7: weighted round robin over the healthy pool; the slot
+    index restarts when the pool membership changes."""
+    return R.weighted_round_robin_live(_requests(fx), _versions(fx)).select("id", "server_id", "assigned")
+
+
+@query("r2_wrr_live_pool_legacy", f"""
+with {LIVE_SQL.strip()},
+{WRR_LIVE_SQL.format(key="len(mem)").strip()}""")
+def r2_wrr_live_pool_legacy(fx):
+    """R2 legacy mode: slots rebuilt only when the pool length changes, as
+    the original balancer did."""
+    return R.weighted_round_robin_live(_requests(fx), _versions(fx), legacy=True).select("id", "server_id", "assigned")
