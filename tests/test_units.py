@@ -368,3 +368,24 @@ def test_quantile_summary_rank_error(spark, fx):
         n = len(xs)
         rank = sum(1 for x in xs if x <= r["value"]) / n
         assert abs(rank - r["quantile"]) <= A.SUMMARY_OBJECTIVES[r["quantile"]] + 1.0 / n
+
+
+def test_wrr_epochs_membership_vs_legacy(spark):
+    members = "array<struct<pos:int,server_id:int,weight:int>>"
+    versions = spark.createDataFrame([
+        (0, 100 * SEC, [(0, 1, 1), (1, 2, 1)]),
+        (100 * SEC, 200 * SEC, [(0, 1, 1), (2, 3, 1)])], f"start_us long, end_us long, members {members}")
+    req = spark.createDataFrame([(i, 1, t * SEC, t * SEC + 1) for i, t in enumerate([10, 20, 30, 110, 120, 130])],
+                                "id long, server_id int, arrival_us long, end_us long")
+    get = lambda df: [r["assigned"] for r in df.orderBy("arrival_us").collect()]
+    assert get(R.weighted_round_robin_live(req, versions)) == [1, 2, 1, 1, 3, 1]
+    assert get(R.weighted_round_robin_live(req, versions, legacy=True)) == [1, 2, 1, 3, 1, 3]
+    assert get(R.round_robin_live(req, versions)) == [1, 2, 1, 3, 1, 3]
+
+
+def test_forward_fill_across_buckets(spark):
+    from reqlens.operators.timebucket import forward_fill
+    d = spark.createDataFrame([(i, i * 10 * SEC, (i if i in (0, 4) else None)) for i in range(12)],
+                              "id long, t long, v long")
+    out = {r["id"]: r["f"] for r in forward_fill(d, "v", [], "t", "id", bucket_us=15 * SEC, name="f").collect()}
+    assert out == {i: (0 if i < 4 else 4) for i in range(12)}
