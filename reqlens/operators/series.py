@@ -144,21 +144,26 @@ def counter_rate(samples: DataFrame, by: Sequence[str], ts_us: str, value: str,
 # ---------------------------------------------------------------------------
 
 def gauge_at_ticks(samples: DataFrame, by: Sequence[str], ts_us: str, value: str, tie: str,
-                   step_s: int = 15, lookback_s: int = 300) -> DataFrame:
+                   step_s: int = 15, lookback_s: int = 300, bucket_us: int = HOUR_US) -> DataFrame:
     """Value of the latest sample at or before each tick (multiples of
-    ``step_s``) within ``lookback_s``.  A sample serves the ticks in
-    ``[t, t + lookback]``: each is emitted per sample (lookback / step + 1
-    rows at most) and the latest sample per (key, tick) wins, with partial
-    aggregation before the shuffle."""
+    ``step_s``) within ``lookback_s``.
+
+    Each sample owns the ticks from its own time up to (not including) the
+    next sample of the same key, and at most ``lookback_s`` after itself;
+    the next sample comes from the bucketed :func:`neighbor`.  Every tick is
+    emitted exactly once, so no aggregation is needed and the work is
+    proportional to the output."""
     by = list(by)
     step = int(step_s) * 1_000_000
     lb = int(lookback_s) * 1_000_000
-    t = F.col(ts_us).cast("bigint")
+    d = samples.select(*by, F.col(ts_us).cast("bigint").alias("_t"), F.col(tie).alias("_tie"), F.col(value).alias("_v"))
+    d = neighbor(d, by, "_t", "_tie", ["_t"], "next", bucket_us)
+    t = F.col("_t")
+    own_end = F.least(F.coalesce(F.col("next._t"), t + (lb + 1)), t + (lb + 1))  # exclusive
     first = floor_div(t + (step - 1), step)
-    last = floor_div(t + lb, step)
-    d = samples.select(*by, F.explode(F.sequence(first, last)).alias("_k"),
-                       F.struct(t.alias("t"), F.col(tie).alias("tie")).alias("_o"), F.col(value).alias("_v"))
-    g = d.groupBy(*by, "_k").agg(F.max_by("_v", "_o").alias(value), F.max("_o.t").alias("sample_us"))
+    last = floor_div(own_end - 1, step)
+    ticks = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    g = d.select(*by, F.explode(ticks).alias("_k"), F.col("_v").alias(value), t.alias("sample_us"))
     return g.select(*by, micros_ts(F.col("_k") * step).alias("tick"), value, "sample_us")
 
 
