@@ -126,6 +126,21 @@ def memo_hits(keys: DataFrame, decision: str = "tick") -> DataFrame:
     return j.select(decision, "memo_key", (F.col(decision) > F.col("_first")).alias("hit"))
 
 
+def score_memoised(snapshots: DataFrame, model: PipelineModel, decision: str = "tick_us",
+                   features=FEATURES) -> DataFrame:
+    """M8: score each distinct memo key once, with the features of the
+    decision that first produced it, and give every decision with that key
+    the cached scores (per pool position).  Rows: (decision, server_id,
+    pos, score, memo_hit)."""
+    keys = memo_key(snapshots, decision)
+    hits = memo_hits(keys, decision)
+    first = hits.filter(~F.col("hit")).select(decision, "memo_key")
+    scored = score(snapshots.join(first, decision, "inner"), model, features) \
+        .select("memo_key", "pos", "server_id", "score")
+    out = hits.join(scored, "memo_key", "inner")
+    return out.select(decision, "server_id", "pos", "score", F.col("hit").alias("memo_hit"))
+
+
 # --- M10 ----------------------------------------------------------------------
 
 def decision_snapshots(metrics: DataFrame, intervals: DataFrame, requests: DataFrame,

@@ -245,8 +245,21 @@ POLICIES = {
 }
 
 
+def ml_pick(requests: DataFrame, pool: DataFrame, snapshots: DataFrame, step_s: int = 15) -> DataFrame:
+    """R5 as a policy: ``snapshots`` are per (server, tick) rows with a
+    ``score`` column (from a fitted model, M7/M8); each request takes the
+    choice of its tick, else weighted round robin."""
+    from reqlens.operators.model import pick_per_tick, route_by_model
+    fb = weighted_round_robin(requests, pool)
+    out = route_by_model(requests, pick_per_tick(snapshots), fb, step_s)
+    return out.withColumn("policy", F.lit("ml"))
+
+
 def assign(requests: DataFrame, pool: DataFrame, policy: str, **opts) -> DataFrame:
-    """Dispatch by policy name; unknown names are an error."""
+    """Dispatch by policy name (round_robin, weighted_round_robin,
+    least_connections, random, ml); unknown names are an error."""
+    if policy == "ml":
+        return ml_pick(requests, pool, **opts)
     if policy not in POLICIES:
         raise ValueError(f"unknown strategy: {policy}")
     return POLICIES[policy](requests, pool, **opts)

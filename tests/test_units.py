@@ -389,3 +389,24 @@ def test_forward_fill_across_buckets(spark):
                               "id long, t long, v long")
     out = {r["id"]: r["f"] for r in forward_fill(d, "v", [], "t", "id", bucket_us=15 * SEC, name="f").collect()}
     assert out == {i: (0 if i < 4 else 4) for i in range(12)}
+
+
+def test_score_memoised_and_ml_policy(spark, fx):
+    from reqlens.plans.catalog import AS_OF
+    from reqlens.plans.queries_model import snapshots
+    from reqlens.plans.training import training_set
+    tr = training_set(fx.fx_requests, fx.fx_servers, fx.fx_metrics, AS_OF, bucket="hour")
+    model = M.fit_score_model(tr, kind="linear")
+    snap = snapshots(fx)
+    sm = M.score_memoised(snap, model)
+    n_pairs = snap.count()
+    assert sm.count() == n_pairs
+    # a memo hit carries exactly the scores of the decision that first produced its key
+    keys = M.memo_key(snap, "tick_us")
+    j = sm.join(keys, "tick_us")
+    per_key = j.groupBy("memo_key", "pos").agg(F.countDistinct("score").alias("n"))
+    assert per_key.filter("n > 1").count() == 0
+    scored = snap.join(sm.select("tick_us", "server_id", "score"), ["tick_us", "server_id"])
+    req = fx.fx_intervals.select("id", "server_id", F.col("start_us").alias("arrival_us"), "end_us")
+    out = R.assign(req, R.make_pool(fx.fx_servers), "ml", snapshots=scored)
+    assert out.count() == req.count() and out.filter("assigned is null").count() == 0
