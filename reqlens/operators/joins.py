@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reqlens.functions.scalars import url_host, url_port, url_port_text
 from reqlens.operators.sizing import broadcast_if_small
-from reqlens.operators.timebucket import HOUR_US, floor_div, ts_micros
 
 
 def join_servers(requests: DataFrame, servers: DataFrame,
@@ -70,18 +69,16 @@ def with_weight_capacity(pool: DataFrame, servers: DataFrame, overrides: DataFra
     return j.drop(*[c for c in ("_w", "_c", "_hp", "_ow") if c in j.columns])
 
 
-def pool_at(requests: DataFrame, alive_intervals: DataFrame, ts_us: str = "t_us",
-            bucket_us: int = HOUR_US) -> DataFrame:
-    """For each request, the servers alive at its time (point in
-    ``[start_us, end_us)``).  Intervals are cut into hour buckets and joined
-    on (bucket) + range predicate, so no theta join over all pairs."""
-    iv = alive_intervals.select(
-        F.col("server_id").alias("pool_server_id"), "start_us", "end_us",
-        F.explode(F.sequence(floor_div(F.col("start_us"), bucket_us),
-                             floor_div(F.col("end_us") - 1, bucket_us))).alias("_b"))
-    r = requests.withColumn("_b", floor_div(F.col(ts_us), bucket_us))
-    j = r.join(iv, (r["_b"] == iv["_b"]) & (iv["start_us"] <= r[ts_us]) & (r[ts_us] < iv["end_us"]), "inner")
-    return j.select(*[r[c] for c in requests.columns], iv["pool_server_id"])
+def pool_at(requests: DataFrame, runs: DataFrame, pool: DataFrame, end_us: int, ts_us: str = "t_us") -> DataFrame:
+    """The healthy pool at each request's time, as ``members``
+    (array<struct<pos, server_id, weight>> in pool order).
+
+    ``runs`` are the W7 state runs of the pool servers.  The alive sets are
+    piecewise constant, so they are first reduced to pool versions (one row
+    per change) and each request looks up its version: one output row per
+    request, no request x server pairs."""
+    from reqlens.operators.routing import attach_pool, pool_versions
+    return attach_pool(requests, pool_versions(pool, runs, end_us), arrival_us=ts_us)
 
 
 def correlate_logs_spans(logs: DataFrame, spans: DataFrame, log_ts_us: str = "ts_us",

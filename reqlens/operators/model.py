@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from reqlens.operators.aggs import FEATURES
 from reqlens.operators.sizing import broadcast_if_small, materialize
-from reqlens.operators.timebucket import floor_div, inflight, micros_ts, running_sum
+from reqlens.operators.timebucket import floor_div, inflight, interval_lookup, micros_ts, running_sum
 
 
 # --- M1 -----------------------------------------------------------------------
@@ -184,17 +184,11 @@ def decision_snapshots(metrics: DataFrame, intervals: DataFrame, requests: DataF
     snap = snap.withColumn("_end", floor_div(F.col("tick_us"), S) * S)
     snap = snap.join(pw, ["server_id", "_end"], "left").drop("_end") \
                .withColumn("response_p95", F.coalesce("response_p95", F.lit(0.0)))
-    # alive flag: not inside a down interval of the health runs (W7; servers
-    # start alive).  Intervals are cut into hour buckets for the range join.
-    hb = 3_600_000_000
-    iv = health_runs.filter(~F.col("alive")).select(
-        F.col("server_id").alias("_s"), "start_us", "end_us",
-        F.explode(F.sequence(floor_div(F.col("start_us"), hb), floor_div(F.col("end_us") - 1, hb))).alias("_hb"))
-    snap = snap.withColumn("_hb", floor_div(F.col("tick_us"), hb))
-    cond = ((snap["server_id"] == iv["_s"]) & (snap["_hb"] == iv["_hb"])
-            & (iv["start_us"] <= snap["tick_us"]) & (snap["tick_us"] < iv["end_us"]))
-    snap = snap.join(iv, cond, "left").withColumn("alive", F.col("_s").isNull()) \
-               .drop("_s", "start_us", "end_us", "_hb")
+    # alive flag: not inside a down run of the W7 health runs (servers start
+    # alive); runs of one server never overlap, so a point lookup suffices.
+    down = health_runs.filter(~F.col("alive")).select("server_id", "start_us", "end_us")
+    snap = interval_lookup(snap, down, ["server_id"], "tick_us", name="_down")
+    snap = snap.withColumn("alive", F.col("_down").isNull()).drop("_down")
     return snap.select("server_id", "tick", "tick_us", "pos", "cpu_usage", "memory_usage",
                        F.col("conns").cast("bigint").alias("active_conns"), "error_rate", "response_p95",
                        "weight", "capacity", "alive")

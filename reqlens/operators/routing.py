@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reqlens.operators.sizing import broadcast_if_small, materialize
-from reqlens.operators.timebucket import MINUTE_US, floor_div, forward_fill, ordered_index
+from reqlens.operators.timebucket import MINUTE_US, floor_div, forward_fill, interval_lookup, ordered_index
 
 
 def make_pool(servers: DataFrame, active_only: bool = True) -> DataFrame:
@@ -220,17 +220,16 @@ def decision_source(calls: DataFrame, breaker: DataFrame, ts_us: str = "t_us",
                     bucket_us: int = 3_600_000_000) -> DataFrame:
     """Where each model-routed decision came from: breaker open ->
     'fallback_breaker'; memo hit -> 'memo'; successful call -> 'model';
-    failed call -> 'fallback_error'.  The breaker intervals are cut into
-    hour buckets and range-joined per bucket."""
-    iv = breaker.select("open_us", "close_us", F.explode(F.sequence(
-        floor_div(F.col("open_us"), bucket_us), floor_div(F.col("close_us") - 1, bucket_us))).alias("_b"))
-    c = calls.withColumn("_b", floor_div(F.col(ts_us), bucket_us))
-    j = c.join(iv, (c["_b"] == iv["_b"]) & (iv["open_us"] <= c[ts_us]) & (c[ts_us] < iv["close_us"]), "left")
-    src = (F.when(F.col("open_us").isNotNull(), "fallback_breaker")
+    failed call -> 'fallback_error'.  The open breaker interval of each
+    call is found with a point-in-interval lookup (intervals are merged, so
+    they never overlap)."""
+    iv = breaker.select(F.col("open_us").alias("start_us"), F.col("close_us").alias("end_us"))
+    j = interval_lookup(calls, iv, [], ts_us, bucket_us=bucket_us, name="_open")
+    src = (F.when(F.col("_open").isNotNull(), "fallback_breaker")
            .when(F.col("outcome") == "hit", "memo")
            .when(F.col("outcome") == "ok", "model")
            .otherwise("fallback_error"))
-    return j.select(*[c[x] for x in calls.columns], src.alias("source"))
+    return j.select(*calls.columns, src.alias("source"))
 
 
 # ---------------------------------------------------------------------------
@@ -302,17 +301,19 @@ def pool_versions(pool: DataFrame, runs: DataFrame, end_us: int, bucket_us: int
     boundaries, so the table grows with health transitions, not requests."""
     from reqlens.operators.series import neighbor
 
-    p = broadcast_if_small(pool.select("server_id", "pos", "weight"))
-    r = runs.join(p, "server_id", "inner")
+    p = pool.select("server_id", "pos", "weight")
+    r = runs.join(broadcast_if_small(p), "server_id", "inner")
     bounds = r.select(F.col("start_us").alias("t_us")).distinct()
-    # state of every pool server at each boundary: interval join per hour bucket
-    b = bounds.withColumn("_b", floor_div(F.col("t_us"), bucket_us))
-    iv = r.select("server_id", "pos", "weight", "alive", "start_us", F.col("end_us").alias("_end"),
-                  F.explode(F.sequence(floor_div(F.col("start_us"), bucket_us),
-                                       floor_div(F.col("end_us") - 1, bucket_us))).alias("_b"))
-    j = b.join(iv, (b["_b"] == iv["_b"]) & (iv["start_us"] <= b["t_us"]) & (b["t_us"] < iv["_end"]), "inner")
-    members = j.groupBy("t_us").agg(F.array_sort(F.collect_list(
-        F.when(F.col("alive"), F.struct("pos", "server_id", "weight")))).alias("members"))
+    # every pool server's state at every boundary: one lookup per (boundary,
+    # server) -- the size of the member lists themselves, nothing quadratic
+    rows = p.collect()  # the pool: one row per server
+    pts = bounds.select("t_us", F.explode(F.array(*[
+        F.struct(F.lit(int(x["server_id"])).alias("server_id"), F.lit(int(x["pos"])).alias("pos"),
+                 F.lit(int(x["weight"])).alias("weight")) for x in rows])).alias("_s"))
+    pts = pts.select("t_us", "_s.*")
+    st = interval_lookup(pts, r, ["server_id"], "t_us", cols=["alive"], bucket_us=bucket_us, name="_run")
+    members = st.groupBy("t_us").agg(F.array_sort(F.collect_list(
+        F.when(F.col("_run.alive"), F.struct("pos", "server_id", "weight")))).alias("members"))
     nxt = neighbor(materialize(members.withColumn("_seq", F.lit(0))), [], "t_us", "_seq", ["t_us"], "next")
     return materialize(nxt.select(F.col("t_us").alias("start_us"),
                       F.coalesce(F.col("next.t_us"), F.lit(int(end_us))).alias("end_us"), "members"))
@@ -320,13 +321,10 @@ def pool_versions(pool: DataFrame, runs: DataFrame, end_us: int, bucket_us: int
 
 def attach_pool(requests: DataFrame, versions: DataFrame, arrival_us: str = "arrival_us",
                 bucket_us: int = 3_600_000_000) -> DataFrame:
-    """Each request with the pool version live at its arrival (bucketed
-    interval join; one match per request)."""
-    v = versions.select("start_us", "end_us", "members", F.explode(F.sequence(
-        floor_div(F.col("start_us"), bucket_us), floor_div(F.col("end_us") - 1, bucket_us))).alias("_b"))
-    r = requests.withColumn("_b", floor_div(F.col(arrival_us), bucket_us))
-    j = r.join(v, (r["_b"] == v["_b"]) & (v["start_us"] <= r[arrival_us]) & (r[arrival_us] < v["end_us"]), "left")
-    return j.select(*[r[c] for c in requests.columns], v["members"])
+    """Each request with the pool version live at its arrival (point in
+    non-overlapping interval lookup: linear, one match per request)."""
+    j = interval_lookup(requests, versions, [], arrival_us, cols=["members"], bucket_us=bucket_us, name="_v")
+    return j.select(*requests.columns, F.col("_v.members").alias("members"))
 
 
 def round_robin_live(requests: DataFrame, versions: DataFrame, order_us: str = "arrival_us",

@@ -232,3 +232,34 @@ def forward_fill(df: DataFrame, value, by: Sequence[str], order_us, tie,
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     j = j.withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(within), F.col("_carry")))
     return j.drop("_b", "_v", "_carry")
+
+
+# ---------------------------------------------------------------------------
+# Point-in-interval lookup for non-overlapping intervals
+# ---------------------------------------------------------------------------
+
+def interval_lookup(points: DataFrame, intervals: DataFrame, by: Sequence[str], point_us: str,
+                    start_us: str = "start_us", end_us: str = "end_us", cols: Sequence[str] = (),
+                    bucket_us: int = HOUR_US, name: str = "interval") -> DataFrame:
+    """For each point, the interval ``[start, end)`` of the same key that
+    contains it (struct ``name`` with start_us, end_us and ``cols``; null
+    when none).  Intervals of one key must not overlap (state runs, pool
+    versions, merged breaker intervals).
+
+    Interval starts and points are unioned and the latest start at or
+    before each point is forward-filled over time (bucketed carry, starts
+    before points at equal times); the point matches when it lies before
+    that interval's end.  Work is linear in points + intervals: no
+    candidate pairs, however many intervals fall in one bucket."""
+    by = list(by)
+    iv = F.struct(F.col(start_us).cast("bigint").alias("start_us"), F.col(end_us).cast("bigint").alias("end_us"),
+                  *[F.col(c) for c in cols])
+    pstruct = F.struct(*[F.col(c) for c in points.columns])
+    I = intervals.select(*by, F.col(start_us).cast("bigint").alias("_t"), F.lit(0).alias("_side"), iv.alias("_iv"))
+    P = points.select(*by, F.col(point_us).cast("bigint").alias("_t"), F.lit(1).alias("_side"), pstruct.alias("_p"))
+    I = I.withColumn("_p", F.lit(None).cast(P.schema["_p"].dataType))
+    P = P.withColumn("_iv", F.lit(None).cast(I.schema["_iv"].dataType))
+    u = forward_fill(I.unionByName(P), "_iv", by, "_t", "_side", bucket_us, name="_hit")
+    u = u.filter(F.col("_side") == 1)
+    hit = F.when(F.col("_hit.end_us") > F.col("_t"), F.col("_hit"))
+    return u.select(*[F.col("_p." + c).alias(c) for c in points.columns], hit.alias(name))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reqlens.functions.scalars import breaker_label, select_servers
 from reqlens.operators import aggs as A
 from reqlens.operators import series as S
-from reqlens.operators.timebucket import floor_div, inflight, micros_ts
+from reqlens.operators.timebucket import inflight, interval_lookup, micros_ts
 
 
 def _in_range(df: DataFrame, us: str, start_us: int, end_us: int) -> DataFrame:
@@ -76,21 +76,16 @@ def panel_model_predictions_per_s(calls: DataFrame, start_us: int, end_us: int)
     return S.rate_grid(ok, "ts")
 
 
-def panel_breaker_state(breaker: DataFrame, start_us: int, end_us: int, step_s: int = 15,
-                        bucket_us: int = 3_600_000_000) -> DataFrame:
+def panel_breaker_state(breaker: DataFrame, start_us: int, end_us: int, step_s: int = 15) -> DataFrame:
     """Q8: breaker state per tick: 1 / OPEN inside an open interval (W9),
-    else 0 / CLOSED (P14).  Intervals are cut into hour buckets and joined
-    to the ticks of the same bucket."""
+    else 0 / CLOSED (P14); ticks are looked up in the merged intervals."""
     spark = breaker.sparkSession
     step = int(step_s) * 1_000_000
     first, last = -(-start_us // step), (end_us - 1) // step
     ticks = spark.range(first, last + 1).select((F.col("id") * step).alias("tick_us"))
-    ticks = ticks.withColumn("_b", floor_div(F.col("tick_us"), bucket_us))
-    iv = breaker.select("open_us", "close_us", F.explode(F.sequence(
-        floor_div(F.col("open_us"), bucket_us), floor_div(F.col("close_us") - 1, bucket_us))).alias("_b"))
-    j = ticks.join(iv, (ticks["_b"] == iv["_b"]) & (iv["open_us"] <= ticks["tick_us"])
-                   & (ticks["tick_us"] < iv["close_us"]), "left")
-    state = F.when(F.col("open_us").isNotNull(), 1).otherwise(0)
+    iv = breaker.select(F.col("open_us").alias("start_us"), F.col("close_us").alias("end_us"))
+    j = interval_lookup(ticks, iv, [], "tick_us", name="_open")
+    state = F.when(F.col("_open").isNotNull(), 1).otherwise(0)
     return j.select(micros_ts("tick_us").alias("tick"), state.alias("state"), breaker_label(state).alias("label"))
 
 

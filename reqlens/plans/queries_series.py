@@ -197,19 +197,16 @@ select qid as id, cast(count(*) filter (where alive) as bigint) as alive_servers
 from alive_at group by qid""")
 def j5_pool_at_request(fx):
     """J5 + W7: the healthy pool (alive pool servers) at each request's
-    time, via the bucketed interval join."""
+    time, from pool versions derived from the health runs."""
+    from reqlens.operators import routing as R
     from reqlens.operators.joins import pool_at
-    pool_ids = fx.fx_servers.filter("is_active").select(F.col("id").alias("server_id"))
-    runs = _health_runs(fx, pool_ids).filter("alive")
+    pool = R.make_pool(fx.fx_servers)
+    runs = _health_runs(fx, pool.select("server_id"))
     req = fx.fx_requests.select("id", "t_us")
-    j = pool_at(req, runs, ts_us="t_us")
-    g = j.groupBy("id").agg(F.count(F.lit(1)).alias("alive_servers"),
-                            F.array_join(F.array_sort(F.collect_list(F.col("pool_server_id").cast("string"))), ",")
-                            .alias("pool"))
-    # requests at a time when no pool server is alive keep an empty pool
-    out = req.select("id").join(g, "id", "left")
-    return out.select("id", F.coalesce("alive_servers", F.lit(0)).cast("bigint").alias("alive_servers"),
-                      F.coalesce("pool", F.lit("")).alias("pool"))
+    out = pool_at(req, runs, pool, HEALTH_END_US, ts_us="t_us")
+    ids = F.transform("members", lambda m: m["server_id"].cast("string"))
+    return out.select("id", F.coalesce(F.size("members"), F.lit(0)).cast("bigint").alias("alive_servers"),
+                      F.coalesce(F.array_join(F.array_sort(ids), ","), F.lit("")).alias("pool"))
 
 
 INVENTORY_SQL = f"""
