@@ -164,10 +164,21 @@ def p10_relabel(fx):
     return L.relabel(fx.fx_targets)
 
 
-@query("p2_active_servers", "select id, name from fx_servers where is_active")
+@query("p2_active_servers", f"""
+with {URL_PARSE_SQL.strip()},
+cur as (select * from fx_servers),
+nw as (select i.* from inc2 i anti join cur c on c.ip_address = i.ip_address and c.port = i.port),
+reg as (select c.id, c.name, case when i.url is not null then true else c.is_active end as is_active
+        from cur c left join inc2 i on i.ip_address = c.ip_address and i.port = c.port
+        union all
+        select cast((select max(id) from cur) + row_number() over (order by pos, ip_address, port) as integer) as id,
+               url as name, true as is_active from nw)
+select id, name from reg where is_active""")
 def p2_active_servers(fx):
-    """Active registry entries ordered by name."""
-    return P.active_servers(fx.fx_servers).select("id", "name")
+    """Active entries, ordered by name, of the registry after the S9
+    upsert of every configured URL."""
+    reg = REG.upsert_servers(fx.fx_servers, fx.fx_config_urls, AS_OF)
+    return P.active_servers(reg).select("id", "name")
 
 
 @query("p4_duration_ms", "select id, (end_us - start_us) // 1000 as duration_ms from fx_intervals")
