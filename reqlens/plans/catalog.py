@@ -66,4 +66,4 @@ def oracle_sqls() -> dict[str, str]:
 
 # Importing the query modules fills CATALOG.
 from reqlens.plans import (queries_core, queries_series, queries_routing, queries_model, queries_io,  # noqa: E402,F401
-                           queries_panels)
+                           queries_panels, queries_streaming)
