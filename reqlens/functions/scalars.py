@@ -40,6 +40,15 @@ def url_is_valid(url) -> Column:
     return url_host(url).isNotNull() & url_port(url).isNotNull()
 
 
+def with_host_port(df: DataFrame, url: str = "url", default: int = 80) -> DataFrame:
+    """Adds ``host`` and ``port`` parsed from ``url`` (P1).  The pair is
+    produced by a one-row generator so that later filters on it (valid
+    URLs only) are not pushed below the parse and re-run the regexes."""
+    pair = F.struct(url_host(url).alias("host"), url_port(url, default).alias("port"))
+    out = df.select("*", F.explode(F.array(pair)).alias("_hp"))
+    return out.select(*df.columns, F.col("_hp.host").alias("host"), F.col("_hp.port").alias("port"))
+
+
 # --- P2-P4 -------------------------------------------------------------------
 
 def active_servers(servers: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqlens.functions.scalars import url_host, url_port, url_port_text
+from reqlens.functions.scalars import with_host_port
 from reqlens.operators.sizing import broadcast_if_small
 
 
@@ -32,9 +32,8 @@ def resolve_server_ids(urls: DataFrame, servers: DataFrame, url: str = "url", po
     """Configured URL -> registry id by (host, port); unresolved URLs get
     ``-(pos + 1)``.  Adds ``host``, ``port`` (default 80), ``valid`` (URL and
     port parse) and ``server_id``."""
-    u = urls.select("*", url_host(url).alias("host"), url_port(url).alias("port"),
-                    url_port_text(url).alias("_pt"))
-    u = u.withColumn("valid", F.col("host").isNotNull() & F.col("port").isNotNull()).drop("_pt")
+    u = with_host_port(urls, url)
+    u = u.withColumn("valid", F.col("host").isNotNull() & F.col("port").isNotNull())
     reg = servers.select(F.col("ip_address").alias("host"), F.col("port"), F.col("id").alias("_id"))
     j = u.join(broadcast_if_small(reg), ["host", "port"], "left")
     return j.withColumn("server_id", F.coalesce(F.col("_id"), -(F.col(pos) + 1)).cast("bigint")).drop("_id")

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reqlens.functions.scalars import url_host, url_port
+from reqlens.functions.scalars import with_host_port
+from reqlens.operators.sizing import materialize
 
 REGISTRY_COLUMNS = ["id", "name", "ip_address", "port", "status", "is_active", "weight", "capacity",
                     "created_at", "updated_at"]
@@ -37,10 +38,13 @@ def upsert_servers(current: DataFrame, incoming: DataFrame, now: str, url: str =
     invalid URLs are skipped.  Running it twice gives the same registry."""
     ts = F.lit(now).cast("timestamp_ntz")
     cur = _with_audit(current)
-    inc = incoming.select(F.col(url).alias("url"), F.col(pos).alias("pos"),
-                          url_host(url).alias("ip_address"), url_port(url).alias("port"))
+    inc = with_host_port(incoming.select(F.col(url).alias("url"), F.col(pos).alias("pos")), "url")
+    inc = inc.withColumnRenamed("host", "ip_address")
     inc = inc.filter(F.col("ip_address").isNotNull() & F.col("port").isNotNull())
-    inc = inc.groupBy("ip_address", "port").agg(F.min_by("url", "pos").alias("url"), F.min("pos").alias("pos"))
+    # one row per (host, port): small, and read by both the update and the
+    # insert branch, so it is materialised once
+    inc = materialize(inc.groupBy("ip_address", "port").agg(F.min_by("url", "pos").alias("url"),
+                                                              F.min("pos").alias("pos")))
     keys = ["ip_address", "port"]
     hit = cur.join(inc.select(*keys, F.lit(True).alias("_seen")), keys, "left")
     updated = hit.select(
