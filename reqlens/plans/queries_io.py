@@ -30,7 +30,7 @@ uu as (select pos, url, nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(
 inc as (select url, pos, host as ip_address,
                case when pt = '' then 80 when regexp_matches(pt, '^[0-9]{1,5}$') then cast(pt as integer) end as port
         from uu),
-inc2 as (select ip_address, port, arg_min(url, pos) as url, min(pos) as pos from inc
+inc2 as (select ip_address, port, arg_min(url, pos) as url, min(pos) as pos, count(*) as cnt from inc
          where ip_address is not null and port is not null group by ip_address, port)"""
 
 
@@ -48,7 +48,8 @@ select * from upd
 union all
 select cast((select max(id) from cur) + row_number() over (order by pos, ip_address, port) as integer) as id,
        url as name, ip_address, port, 'active' as status, true as is_active, 1 as weight, 10 as capacity,
-       timestamp '{AS_OF}' as created_at, cast(null as timestamp) as updated_at
+       timestamp '{AS_OF}' as created_at,
+       case when cnt > 1 then timestamp '{AS_OF}' end as updated_at
 from nw""")
 def s9_upsert_servers(fx):
     """S9 + P1: upsert of every configured URL into the registry keyed by

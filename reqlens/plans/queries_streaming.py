@@ -118,3 +118,101 @@ def t7_stream_join_servers(fx):
     _stage(r, f"{base}/in", "created_at")
     out = T.stream_join_servers(_stream(spark, f"{base}/in", r.schema), fx.fx_servers)
     return _drain(out.select("id", "server_id", "name", "weight", "capacity"), base)
+
+
+@query("t2_stream_success_rate", """
+with w as (select server_id, status, (t_us - t_us % 10000000) - k * 10000000 as ws
+           from fx_requests, range(30) r(k))
+select server_id, make_timestamp(ws) as window_start, count(*) as requests,
+       count(*) filter (where status) as successes,
+       round(count(*) filter (where status) / count(*), 6) as success_rate
+from w group by server_id, ws""")
+def t2_stream_success_rate(fx):
+    """Per-server success rate over 5-minute windows sliding by 10 s,
+    from a watermarked request stream (drained; a sentinel closes the last
+    windows)."""
+    spark = fx.spark
+    r = fx.fx_requests.select("id", "server_id", "status", "created_at")
+    base = _folder(spark)
+    _stage(r, f"{base}/in", "created_at")
+    spark.createDataFrame([(-1, -1, True, datetime.datetime(2100, 1, 1))], r.schema) \
+        .coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return _drain(T.stream_success_rate(_stream(spark, f"{base}/in", r.schema)), base)
+
+
+@query("t3_stream_health_transitions", """
+with o as (select server_id, probe_id as seq,
+                  coalesce(min(case when status_code = 200 then t_us end), max(t_us)) as t_us,
+                  bool_or(status_code = 200) as alive
+           from fx_probes group by server_id, probe_id),
+l as (select *, lag(alive) over (partition by server_id order by t_us, seq) as prev from o)
+select server_id, seq, t_us, alive from l where alive <> coalesce(prev, true)""")
+def t3_stream_health_transitions(fx):
+    """Health transitions from a stream of probe outcomes; the last
+    state per server is kept in the state store across micro-batches."""
+    from reqlens.operators.series import probe_outcomes
+    spark = fx.spark
+    o = probe_outcomes(fx.fx_probes).select(F.col("server_id").cast("int"), F.col("seq").cast("bigint"),
+                                            F.col("t_us").cast("bigint"), "alive")
+    base = _folder(spark)
+    _stage(o, f"{base}/in", "t_us")
+    return _drain(T.stream_health_transitions(_stream(spark, f"{base}/in", o.schema)), base)
+
+
+@query("t6_stream_upsert_servers", """
+with uu as (select pos, url, nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^:/?#]+)', 1), '') as host,
+                   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^:/?#]+:([^/?#]*)', 1) as pt
+            from fx_config_urls),
+inc as (select url, pos, host as ip_address,
+               case when pt = '' then 80 when regexp_matches(pt, '^[0-9]{1,5}$') then cast(pt as integer) end as port
+        from uu),
+inc2 as (select ip_address, port, arg_min(url, pos) as url, min(pos) as pos, count(*) as cnt from inc
+         where ip_address is not null and port is not null group by ip_address, port),
+cur as (select *, cast(null as timestamp) as created_at, cast(null as timestamp) as updated_at from fx_servers),
+upd as (select c.id, c.name, c.ip_address, c.port,
+               case when i.url is not null then 'active' else c.status end as status,
+               case when i.url is not null then true else c.is_active end as is_active,
+               c.weight, c.capacity, c.created_at,
+               case when i.url is not null then timestamp '2024-01-01 12:00:00' else c.updated_at end as updated_at
+        from cur c left join inc2 i on i.ip_address = c.ip_address and i.port = c.port),
+nw as (select i.* from inc2 i anti join cur c on c.ip_address = i.ip_address and c.port = i.port)
+select * from upd
+union all
+select cast((select max(id) from cur) + row_number() over (order by pos, ip_address, port) as integer) as id,
+       url as name, ip_address, port, 'active' as status, true as is_active, 1 as weight, 10 as capacity,
+       timestamp '2024-01-01 12:00:00' as created_at,
+       case when cnt > 1 then timestamp '2024-01-01 12:00:00' end as updated_at
+from nw""")
+def t6_stream_upsert_servers(fx):
+    """Configured URLs arriving as a stream, upserted batch by batch
+    (foreachBatch + S9) into the registry table; the final table is read
+    back."""
+    spark = fx.spark
+    base = _folder(spark)
+    reg = f"{base}/registry"
+    fx.fx_servers.withColumn("created_at", F.lit(None).cast("timestamp_ntz")) \
+        .withColumn("updated_at", F.lit(None).cast("timestamp_ntz")).coalesce(1).write.parquet(reg)
+    urls = fx.fx_config_urls.withColumn("now", F.lit("2024-01-01 12:00:00"))
+    _stage(urls, f"{base}/in", "pos")
+    q = T.stream_upsert_servers(_stream(spark, f"{base}/in", urls.schema), reg, f"{base}/ckpt")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(reg)
+
+
+@query("t8_stream_smooth", """
+select id, server_id, t_us,
+  round(least(greatest(list_reduce(list(cpu_usage) over w, lambda a, x: a * cast(0.7 as double) + x * cast(0.3 as double)), 0), 100), 1) as cpu,
+  round(least(greatest(list_reduce(list(memory_usage) over w, lambda a, x: a * cast(0.7 as double) + x * cast(0.3 as double)), 0), 100), 1) as memory
+from fx_metrics
+window w as (partition by server_id order by t_us, id rows between 127 preceding and current row)""")
+def t8_stream_smooth(fx):
+    """Smoothed cpu / memory per server from the metric stream, the
+    two smoothed values per server carried in the state store."""
+    spark = fx.spark
+    m = fx.fx_metrics.select("id", "server_id", "t_us", "cpu_usage", "memory_usage")
+    base = _folder(spark)
+    _stage(m, f"{base}/in", "t_us")
+    out = T.stream_smooth(_stream(spark, f"{base}/in", m.schema))
+    return _drain(out.select("id", "server_id", "t_us", "cpu", "memory"), base)

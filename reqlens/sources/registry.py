@@ -34,8 +34,9 @@ def upsert_servers(current: DataFrame, incoming: DataFrame, now: str, url: str =
                    pos: str = "pos") -> DataFrame:
     """Register URLs keyed by (host, port).  Known keys keep id, name,
     weight, capacity and created_at and become active (``updated_at`` =
-    now); unknown keys are inserted with the next ids in first-seen order;
-    invalid URLs are skipped.  Running it twice gives the same registry."""
+    now); unknown keys are inserted with the next ids in first-seen order
+    (and count as updated when listed more than once); invalid URLs are
+    skipped.  Running it twice gives the same registry."""
     ts = F.lit(now).cast("timestamp_ntz")
     cur = _with_audit(current)
     inc = with_host_port(incoming.select(F.col(url).alias("url"), F.col(pos).alias("pos")), "url")
@@ -44,7 +45,8 @@ def upsert_servers(current: DataFrame, incoming: DataFrame, now: str, url: str =
     # one row per (host, port): small, and read by both the update and the
     # insert branch, so it is materialised once
     inc = materialize(inc.groupBy("ip_address", "port").agg(F.min_by("url", "pos").alias("url"),
-                                                              F.min("pos").alias("pos")))
+                                                              F.min("pos").alias("pos"),
+                                                              F.count(F.lit(1)).alias("_n")))
     keys = ["ip_address", "port"]
     hit = cur.join(inc.select(*keys, F.lit(True).alias("_seen")), keys, "left")
     updated = hit.select(
@@ -61,7 +63,9 @@ def upsert_servers(current: DataFrame, incoming: DataFrame, now: str, url: str =
         F.col("url").alias("name"), *keys, F.lit("active").alias("status"), F.lit(True).alias("is_active"),
         F.lit(1).cast(cur.schema["weight"].dataType).alias("weight"),
         F.lit(10).cast(cur.schema["capacity"].dataType).alias("capacity"),
-        ts.alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+        ts.alias("created_at"),
+        # a URL listed again after its insert is an update of the new row
+        F.when(F.col("_n") > 1, ts).otherwise(F.lit(None).cast("timestamp_ntz")).alias("updated_at"))
     return updated.unionByName(inserted.select(*[F.col(c).cast(updated.schema[c].dataType) for c in updated.columns]))
 
 
