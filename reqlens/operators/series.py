@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from reqlens.functions.scalars import clamp, round1
 from reqlens.operators.sizing import materialize
-from reqlens.operators.timebucket import (HOUR_US, MINUTE_US, floor_div, micros_ts, ordered_index,
-                                          running_count, running_sum, trailing_at)
+from reqlens.operators.timebucket import (HOUR_US, MINUTE_US, auto_bucket_us, floor_div, micros_ts,
+                                          ordered_index, running_count, running_sum, trailing_at)
 
 
 def _col(x) -> Column:
@@ -93,10 +93,11 @@ def smooth(df: DataFrame, value: str, by: Sequence[str], order_us: str, tie: str
 
 def error_blend(requests: DataFrame, by: Sequence[str] = ("server_id",), order_us: str = "t_us",
                 tie: str = "id", ok: str = "status", alpha: float = 0.1,
-                bucket_us: int = HOUR_US, name: str = "error_rate") -> DataFrame:
+                bucket_us: int | None = None, name: str = "error_rate") -> DataFrame:
     """The blended error-rate gauge after each request.  Each failure
     sets ``e <- (1 - alpha) e + alpha``; successes leave it; e starts at 0.
     Closed form: ``1 - (1 - alpha)^k`` with k = failures so far."""
+    bucket_us = bucket_us or auto_bucket_us(requests, order_us, by)
     d = running_count(requests, ~F.col(ok), by, order_us, tie, bucket_us, name="_k")
     return d.withColumn(name, 1 - F.pow(F.lit(1.0 - alpha), F.col("_k"))).drop("_k")
 
@@ -223,13 +224,14 @@ def uptime(intervals: DataFrame, start_us: int, end_us: int) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def breaker_intervals(calls: DataFrame, reset_s: int = 30, ts_us: str = "t_us", tie: str = "id",
-                      outcome: str = "outcome", bucket_us: int = HOUR_US) -> DataFrame:
+                      outcome: str = "outcome", bucket_us: int | None = None) -> DataFrame:
     """Open intervals of the model-call breaker.  A failed call opens it
     until the next call outcome or ``reset_s`` after the failure, whichever
     comes first; touching intervals merge.  Memo hits are not calls."""
     R = int(reset_s) * 1_000_000
     c = calls.filter(F.col(outcome).isin("ok", "error")).select(
         F.col(ts_us).cast("bigint").alias("t_us"), F.col(tie).alias("seq"), (F.col(outcome) == "error").alias("fail"))
+    bucket_us = bucket_us or auto_bucket_us(c, "t_us")
     c = materialize(neighbor(c, [], "t_us", "seq", ["t_us"], "next", bucket_us))
     c = neighbor(c, [], "t_us", "seq", ["t_us", "fail"], "prev", bucket_us)
     f = c.filter("fail").select(

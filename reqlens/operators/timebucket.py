@@ -263,3 +263,21 @@ def interval_lookup(points: DataFrame, intervals: DataFrame, by: Sequence[str],
     u = u.filter(F.col("_side") == 1)
     hit = F.when(F.col("_hit.end_us") > F.col("_t"), F.col("_hit"))
     return u.select(*[F.col("_p." + c).alias(c) for c in points.columns], hit.alias(name))
+
+
+# ---------------------------------------------------------------------------
+# Bucket width from the data
+# ---------------------------------------------------------------------------
+
+def auto_bucket_us(df: DataFrame, order_us, by: Sequence[str] = (), target_rows: int = 4_000_000,
+                   max_us: int = HOUR_US, min_us: int = 1_000) -> int:
+    """Bucket width such that the densest (key, bucket) holds about
+    ``target_rows`` rows: one partial aggregate gives the peak row count per
+    (key, minute); the width scales a minute by target / peak, clamped to
+    [``min_us``, ``max_us``].  A hot key or a traffic burst therefore gets
+    narrow buckets (more, smaller window tasks) instead of one huge one."""
+    m = floor_div(_col(order_us).cast("bigint"), MINUTE_US)
+    peak = df.groupBy(*by, m.alias("_m")).count().agg(F.max("count").alias("p")).first()["p"] or 0
+    if peak == 0:
+        return max_us
+    return int(max(min_us, min(max_us, MINUTE_US * target_rows // peak)))

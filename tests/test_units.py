@@ -410,3 +410,14 @@ def test_score_memoised_and_ml_policy(spark, fx):
     req = fx.fx_intervals.select("id", "server_id", F.col("start_us").alias("arrival_us"), "end_us")
     out = R.assign(req, R.make_pool(fx.fx_servers), "ml", snapshots=scored)
     assert out.count() == req.count() and out.filter("assigned is null").count() == 0
+
+
+def test_auto_bucket_narrows_and_keeps_results(spark, fx):
+    from reqlens.operators.timebucket import HOUR_US, auto_bucket_us
+    req = fx.fx_requests
+    wide = auto_bucket_us(req, "t_us")
+    narrow = auto_bucket_us(req, "t_us", target_rows=3)
+    assert wide == HOUR_US and narrow < 60 * SEC
+    a = {r["id"]: r["idx"] for r in ordered_index(req, "t_us", "id", bucket_us=narrow).collect()}
+    b = {r["id"]: r["idx"] for r in ordered_index(req, "t_us", "id", bucket_us=wide).collect()}
+    assert a == b
