@@ -208,7 +208,9 @@ def route_by_model(requests: DataFrame, picks: DataFrame, fallback: DataFrame, s
     fallback assignment (weighted round robin) applies."""
     step = int(step_s) * 1_000_000
     r = requests.withColumn("tick_us", floor_div(F.col(arrival_us), step) * step)
-    r = r.join(picks, "tick_us", "left")
+    # one row per tick: broadcast when small, so a busy tick is not one task;
+    # beyond the bound a shuffle join (AQE splits skewed partitions)
+    r = r.join(broadcast_if_small(picks), "tick_us", "left")
     fb = fallback.select("id", F.col("assigned").alias("_fb"))
     r = r.join(fb, "id", "left")
     return r.select(*requests.columns, F.coalesce("model_choice", "_fb").alias("assigned"),
