@@ -5,16 +5,19 @@ by server alone gives one task per server however large the cluster.  Every
 ordered operator here partitions by ``by + [time bucket]`` instead and makes
 the bucket self-sufficient:
 
-* bounded look-back (as-of join, trailing windows): rows of the looked-up side
-  are replicated into every bucket whose rows may look back at them;
-* unbounded look-back (running counts, global row index): per-bucket totals
-  (one row per bucket) are prefix-summed and joined back as a carry;
+* bounded look-back (as-of join): rows of the looked-up side are replicated
+  into every bucket whose rows may look back at them;
+* unbounded look-back (running counts, global row index, trailing sums as
+  differences of running sums, forward fill, previous / next row): per-bucket
+  totals or edge rows (one row per bucket) are prefix-combined and joined
+  back as a carry;
 * interval sweeps (in-flight counts): each interval is cut at bucket edges and
   re-opened at the start of every bucket it spans.
 
 Within a bucket the work is a sort + a streaming window frame; the join back
 of the carry uses the same keys as the window, so the big side is shuffled
-once.
+once.  Bucket widths are sized from the data (:func:`auto_bucket_us`) so a
+hot key or a burst gets narrow buckets rather than one huge task.
 """
 
 from __future__ import annotations
@@ -100,26 +103,36 @@ def asof_left(left: DataFrame, right: DataFrame, by: Sequence[str], left_us, rig
 # Running sums / global ordered index
 # ---------------------------------------------------------------------------
 
-def running_sum(df: DataFrame, value, by: Sequence[str], order_us, tie=None,
-                bucket_us: int = HOUR_US, name: str = "running") -> DataFrame:
-    """Running sum of ``value`` per ``by`` ordered by (``order_us``, ``tie``),
-    inclusive of the current row, without a window over the whole key.
+def running_sums(df: DataFrame, values: dict, by: Sequence[str], order_us, tie=None,
+                 bucket_us: int = HOUR_US) -> DataFrame:
+    """Running sums (inclusive) of several BIGINT-castable columns per
+    ``by`` ordered by (``order_us``, ``tie``), without a window over the
+    whole key.  ``values`` maps output name -> Column.
 
     Per-(by, bucket) totals are prefix-summed on the small bucket table and
     joined back on (by, bucket); the join keys equal the window keys, so the
     big side is shuffled once."""
     by = list(by)
     order = [_col(order_us)] + ([_col(tie)] if tie is not None else [])
-    d = df.withColumn("_b", floor_div(_col(order_us).cast("bigint"), bucket_us)) \
-          .withColumn("_v", _col(value).cast("bigint"))
-    totals = d.groupBy(*by, "_b").agg(F.sum("_v").alias("_tot"))
+    d = df.withColumn("_b", floor_div(_col(order_us).cast("bigint"), bucket_us))
+    for k, v in values.items():
+        d = d.withColumn("_v_" + k, _col(v).cast("bigint"))
+    totals = d.groupBy(*by, "_b").agg(*[F.sum("_v_" + k).alias("_t_" + k) for k in values])
     pw = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_b") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_b", F.coalesce(F.sum("_tot").over(pw), F.lit(0)).cast("bigint").alias("_off"))
+    offsets = totals.select(*by, "_b", *[F.coalesce(F.sum("_t_" + k).over(pw), F.lit(0)).cast("bigint")
+                                         .alias("_o_" + k) for k in values])
     j = d.join(offsets, on=by + ["_b"], how="inner")
     within = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = j.withColumn(name, F.col("_off") + F.sum("_v").over(within))
-    return out.drop("_b", "_v", "_off")
+    for k in values:
+        j = j.withColumn(k, F.col("_o_" + k) + F.sum("_v_" + k).over(within))
+    return j.drop("_b", *[p + k for k in values for p in ("_v_", "_o_")])
+
+
+def running_sum(df: DataFrame, value, by: Sequence[str], order_us, tie=None,
+                bucket_us: int = HOUR_US, name: str = "running") -> DataFrame:
+    """Running sum of one column (see :func:`running_sums`)."""
+    return running_sums(df, {name: value}, by, order_us, tie, bucket_us)
 
 
 def ordered_index(df: DataFrame, order_us, tie=None, by: Sequence[str] = (),
@@ -142,7 +155,7 @@ def running_count(df: DataFrame, cond, by: Sequence[str], order_us, tie=None,
 # ---------------------------------------------------------------------------
 
 def inflight(intervals: DataFrame, by: Sequence[str], start_us: str, end_us: str,
-             bucket_us: int = MINUTE_US, points: DataFrame | None = None,
+             bucket_us: int | None = None, points: DataFrame | None = None,
              point_us: str | None = None, name: str = "inflight") -> DataFrame:
     """Number of intervals ``[start, end)`` open at a time point, per ``by``.
 
@@ -155,7 +168,9 @@ def inflight(intervals: DataFrame, by: Sequence[str], start_us: str, end_us: str
     over time makes every event at the same instant a peer, so intervals that
     end exactly at a point are not counted and those that start there are."""
     by = list(by)
-    w = int(bucket_us)
+    # one minute per key: even a key with a third of 100 TB over a month
+    # is ~1 GB per bucket; pass a narrower width for denser data
+    w = int(bucket_us or MINUTE_US)
     iv = intervals.filter(F.col(end_us) > F.col(start_us))
     b0 = floor_div(F.col(start_us), w)
     b1 = floor_div(F.col(end_us) - 1, w)
@@ -187,27 +202,43 @@ def inflight(intervals: DataFrame, by: Sequence[str], start_us: str, end_us: str
 # ---------------------------------------------------------------------------
 
 def trailing_at(points: DataFrame, events: DataFrame, by: Sequence[str], point_us: str, event_us: str,
-                window_us: int, aggs: dict[str, Column]) -> DataFrame:
+                window_us: int, aggs: dict[str, Column], bucket_us: int | None = None) -> DataFrame:
     """For each point row, sums over events with equal ``by`` and time in
-    ``(point - window, point]``.  ``aggs`` maps output name -> numeric Column
-    evaluated on event rows (summed).  Buckets are ``window_us`` wide; events
-    are replicated into their own and the next bucket."""
+    ``(point - window, point]``.  ``aggs`` maps output name -> numeric
+    Column evaluated on event rows.
+
+    A trailing sum is ``S(t) - S(t - window)`` of the per-key cumulative sum
+    S (events at a time count before points at that time).  Each point is
+    entered twice -- at t and at t - window -- into one bucketed running sum
+    over events and points, so there is no event replication and no window
+    as wide as the look-back; buckets are sized from the data."""
     by = list(by)
     W = int(window_us)
     pstruct = F.struct(*[F.col(c) for c in points.columns])
-    P = points.select(*by, F.col(point_us).cast("bigint").alias("_t"),
-                      floor_div(F.col(point_us).cast("bigint"), W).alias("_b"),
-                      pstruct.alias("_p"), *[F.lit(0).cast("bigint").alias("_v_" + k) for k in aggs])
-    eb = floor_div(F.col(event_us).cast("bigint"), W)
-    E = events.select(*by, F.col(event_us).cast("bigint").alias("_t"),
-                      F.explode(F.array(eb, eb + 1)).alias("_b"),
-                      F.lit(None).cast(P.schema["_p"].dataType).alias("_p"),
-                      *[v.cast("bigint").alias("_v_" + k) for k, v in aggs.items()])
-    u = P.unionByName(E)
-    win = Window.partitionBy(*by, "_b").orderBy("_t").rangeBetween(-(W - 1), Window.currentRow)
-    u = u.select("_p", *[F.sum("_v_" + k).over(win).alias(k) for k in aggs])
-    u = u.filter(F.col("_p").isNotNull())
-    return u.select(*[F.col("_p." + c).alias(c) for c in points.columns], *list(aggs))
+    ev = events.select(*by, F.col(event_us).cast("bigint").alias("_t"), F.lit(0).alias("_side"),
+                       F.lit(None).cast("bigint").alias("_pid"), F.lit(0).alias("_sign"),
+                       *[v.cast("bigint").alias(k) for k, v in aggs.items()])
+    p = points.select(*by, F.col(point_us).cast("bigint").alias("_pt"), pstruct.alias("_p")) \
+              .withColumn("_pid", F.monotonically_increasing_id())
+    p = materialize_points(p)
+    hi = p.select(*by, F.col("_pt").alias("_t"), F.lit(1).alias("_side"), "_pid", F.lit(1).alias("_sign"),
+                  *[F.lit(0).cast("bigint").alias(k) for k in aggs])
+    lo = p.select(*by, (F.col("_pt") - W).alias("_t"), F.lit(1).alias("_side"), "_pid", F.lit(-1).alias("_sign"),
+                  *[F.lit(0).cast("bigint").alias(k) for k in aggs])
+    u = ev.unionByName(hi).unionByName(lo)
+    w = bucket_us or auto_bucket_us(u, "_t", by)
+    s = running_sums(u, {"_s_" + k: F.col(k) for k in aggs}, by, "_t", "_side", w).filter(F.col("_sign") != 0)
+    g = s.groupBy("_pid").agg(*[F.sum(F.col("_s_" + k) * F.col("_sign")).alias(k) for k in aggs])
+    out = p.join(g, "_pid", "inner")
+    return out.select(*[F.col("_p." + c).alias(c) for c in points.columns], *list(aggs))
+
+
+def materialize_points(df: DataFrame) -> DataFrame:
+    """Point rows get an id from ``monotonically_increasing_id`` and are
+    read three times below; a reliable checkpoint pins the ids (and the
+    rows) so every read sees the same values."""
+    from reqlens.operators.sizing import materialize
+    return materialize(df)
 
 
 # ---------------------------------------------------------------------------

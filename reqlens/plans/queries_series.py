@@ -70,7 +70,7 @@ def w5_inflight_at_arrival(fx):
     """In-flight requests on the server when each request arrives
     (counting itself), by a bucketed +1/-1 sweep."""
     iv = fx.fx_intervals
-    out = inflight(iv, ["server_id"], "start_us", "end_us", bucket_us=60_000_000)
+    out = inflight(iv, ["server_id"], "start_us", "end_us")
     return out.select("id", "server_id", "start_us", "inflight")
 
 
