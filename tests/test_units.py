@@ -421,3 +421,12 @@ def test_auto_bucket_narrows_and_keeps_results(spark, fx):
     a = {r["id"]: r["idx"] for r in ordered_index(req, "t_us", "id", bucket_us=narrow).collect()}
     b = {r["id"]: r["idx"] for r in ordered_index(req, "t_us", "id", bucket_us=wide).collect()}
     assert a == b
+
+
+def test_request_failure_marks_down(spark):
+    probes = spark.createDataFrame([
+        (1, 0, 1, 200, 1 * SEC), (2, 0, 1, 200, 10 * SEC), (3, 0, 1, 200, 20 * SEC)],
+        "probe_id long, attempt int, server_id int, status_code int, t_us long")
+    failures = spark.createDataFrame([(1, 1000, 15 * SEC)], "server_id int, seq long, t_us long")
+    tr = S.health_transitions(S.probe_outcomes(probes), request_failures=failures).orderBy("t_us").collect()
+    assert [(r["t_us"], r["alive"]) for r in tr] == [(15 * SEC, False), (20 * SEC, True)]
