@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from reqlens.functions.scalars import lookback
 from reqlens.operators import aggs as A
 from reqlens.operators import joins as J
-from reqlens.operators.timebucket import asof_left, ts_micros
 from reqlens.plans.catalog import AS_OF, MID, query
 from reqlens.plans.training import requests_with_metrics, training_set
 from reqlens.sources.logs import parse_logs

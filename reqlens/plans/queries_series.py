@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reqlens.operators import series as S
-from reqlens.operators.timebucket import auto_bucket_us, inflight, micros_ts, ordered_index
+from reqlens.operators.timebucket import auto_bucket_us, inflight, ordered_index
 from reqlens.plans.catalog import AS_OF_US, MID_US, query
 from reqlens.sources.fixtures import BASE_US
 

@@ -5,7 +5,6 @@ later file, so the watermark closes every real window."""
 
 import datetime
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
