@@ -238,6 +238,12 @@ def decision_source(calls: DataFrame, breaker: DataFrame, ts_us: str = "t_us",
     return j.select(*calls.columns, src.alias("source"))
 
 
+def decision_source_counts(sources: DataFrame, width: str = "5 minutes", ts: str = "ts") -> DataFrame:
+    """R6 report: decisions per source per window."""
+    g = sources.groupBy(F.window(ts, width).alias("w"), "source").agg(F.count(F.lit(1)).alias("decisions"))
+    return g.select(F.col("w.start").alias("window_start"), "source", "decisions")
+
+
 # ---------------------------------------------------------------------------
 # Registry and comparison
 # ---------------------------------------------------------------------------

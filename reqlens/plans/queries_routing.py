@@ -158,3 +158,19 @@ def r2_wrr_live_pool_legacy(fx):
     """R2 legacy mode: slots rebuilt only when the pool length changes, as
     the original balancer did."""
     return R.weighted_round_robin_live(_requests(fx), _versions(fx), legacy=True).select("id", "server_id", "assigned")
+
+
+@query("r6_source_counts_5m", f"""
+with {BREAKER_SQL.strip()},
+iv as (select min(t_us) as open_us, max(open_end) as close_us from i group by island),
+src as (select m.t_us,
+               case when iv.open_us is not null then 'fallback_breaker' when m.outcome = 'hit' then 'memo'
+                    when m.outcome = 'ok' then 'model' else 'fallback_error' end as source
+        from fx_model_calls m left join iv on iv.open_us <= m.t_us and m.t_us < iv.close_us)
+select make_timestamp(t_us - t_us % 300000000) as window_start, source, count(*) as decisions
+from src group by t_us - t_us % 300000000, source""")
+def r6_source_counts_5m(fx):
+    """Decisions per source (breaker fallback, memo, model, error
+    fallback) per 5 minutes."""
+    calls = fx.fx_model_calls
+    return R.decision_source_counts(R.decision_source(calls, S.breaker_intervals(calls)))

@@ -62,7 +62,8 @@ def _transitions(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
     out = batch[alive != before]
     if len(alive):
         state.update((bool(alive[-1]),))
-    yield out[["server_id", "seq", "t_us", "alive"]]
+    if len(out):
+        yield out[["server_id", "seq", "t_us", "alive"]]
 
 
 def stream_health_transitions(outcomes: DataFrame) -> DataFrame:
