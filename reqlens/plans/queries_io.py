@@ -223,3 +223,39 @@ def s11_retain_traces(fx):
     """Trace retention (48 h) evaluated as of 2024-01-03 06:00."""
     s = fx.fx_spans.withColumn("_ts", F.timestamp_micros("start_us").cast("timestamp_ntz"))
     return IO.retain(s, "_ts", IO.RETENTION_S["traces"], "2024-01-03 06:00:00").select("trace_id", "span_id", "start_us")
+
+
+def _table_folder(spark) -> str:
+    import uuid
+    from reqlens.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+@query("s1_s7_requests_roundtrip", f"""
+select id, server_id, status, response_time_ms, created_at from fx_requests
+where created_at >= timestamp '{AS_OF}' - interval 6 hour and created_at <= timestamp '{AS_OF}'""")
+def s1_s7_requests_roundtrip(fx):
+    """S7 + S1: the request log appended to a day-partitioned table (two
+    appends), then read back for the 6 hours before as_of with the time
+    filter also applied to the day partitions."""
+    spark = fx.spark
+    path = _table_folder(spark)
+    req = fx.fx_requests.select("id", "server_id", "status", "response_time_ms", "created_at")
+    mid = "2024-01-01 06:00:00"
+    IO.append_requests(req.filter(F.col("created_at") < F.lit(mid).cast("timestamp_ntz")), path)
+    IO.append_requests(req.filter(F.col("created_at") >= F.lit(mid).cast("timestamp_ntz")), path)
+    return IO.read_requests(spark, path, as_of=AS_OF, lookback_s=6 * 3600).drop("dt")
+
+
+@query("s3_s8_metrics_roundtrip", f"""
+select id, server_id, cpu_usage, memory_usage, request_count, success_rate, created_at from fx_metrics
+where created_at >= timestamp '{AS_OF}' - interval 3 hour and created_at <= timestamp '{AS_OF}'""")
+def s3_s8_metrics_roundtrip(fx):
+    """S8 + S3: metric snapshots appended to a day-partitioned table and
+    read back for the 3 hours before as_of."""
+    spark = fx.spark
+    path = _table_folder(spark)
+    m = fx.fx_metrics.select("id", "server_id", "cpu_usage", "memory_usage", "request_count", "success_rate",
+                             "created_at")
+    IO.append_metrics(m, path)
+    return IO.read_metrics(spark, path, as_of=AS_OF, lookback_s=3 * 3600).drop("dt")
