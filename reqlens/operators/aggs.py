@@ -1,10 +1,11 @@
 """Aggregations A1-A19.
 
-All of them are single ``groupBy`` plans with partial (map-side)
-aggregation, so a hot server costs one partial aggregate per input
-partition, not one giant task.  Exact percentiles keep a value -> count map
-per group (bounded by the number of distinct latencies, which are integer
-milliseconds in the request log)."""
+The aggregations over request-sized data are single ``groupBy`` plans with
+partial (map-side) aggregation, so a hot server costs one partial aggregate
+per input partition, not one giant task; joins and windows here only touch
+the aggregated (per-server / per-bucket) rows.  Exact percentiles keep a
+value -> count map per group (bounded by the number of distinct latencies,
+which are integer milliseconds in the request log)."""
 
 from __future__ import annotations
 

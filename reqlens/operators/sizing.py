@@ -1,10 +1,10 @@
-"""Size-checked broadcast.
+"""Size-checked broadcast and lineage cuts.
 
 A side is broadcast only after counting it against a bound; beyond the bound
 the join is left to the planner (shuffle join, with AQE able to re-plan).
-The count is cheap for what we call it on: the server registry, pool tables
-and per-bucket carry tables, all of which have one row per server or per time
-bucket, never one per request."""
+The count is cheap for what we call it on: the server registry, pools, slot
+tables, weight overrides, per-server tables and per-tick model choices --
+one row per server or per tick, never one per request."""
 
 from __future__ import annotations
 
