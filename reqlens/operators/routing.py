@@ -120,6 +120,9 @@ def _lc_sweep(pool_ids: np.ndarray, pool_pos: np.ndarray, query_chunk: int = 409
         qs_all = q["server_id"].to_numpy()
         qself_all = q["n"].to_numpy()  # 1 when the request's own interval is counted
         qid_all = q["id"].to_numpy()
+        mem_all = q["mem"].to_numpy() if "mem" in q.columns else None
+        pos_of = {int(p): j for j, p in enumerate(pool_pos[order])}
+        big = np.iinfo(np.int64).max
         for lo in range(0, len(q), query_chunk):
             qt = qt_all[lo:lo + query_chunk]
             m = np.empty((len(qt), len(ids)), dtype=np.int64)
@@ -129,15 +132,32 @@ def _lc_sweep(pool_ids: np.ndarray, pool_pos: np.ndarray, query_chunk: int = 409
                 own = (qs_all[lo:lo + query_chunk] == s) & (qself_all[lo:lo + query_chunk] == 1)
                 m[own, j] -= 1
             np.maximum(m, 0, out=m)
+            ok = np.ones(m.shape, dtype=bool)
+            if mem_all is not None:
+                # candidates = the live pool of each arrival; arrivals share
+                # few distinct member sets, so build one mask row per set
+                keys = [tuple(x) if x is not None else () for x in mem_all[lo:lo + query_chunk]]
+                codes, uniq = pd.factorize(pd.Series(keys, dtype=object))
+                masks = np.zeros((len(uniq), len(ids)), dtype=bool)
+                for u, members in enumerate(uniq):
+                    for p in members:
+                        if int(p) in pos_of:
+                            masks[u, pos_of[int(p)]] = True
+                ok = masks[codes]
+                m = np.where(ok, m, big)
             best = np.argmin(m, axis=1)  # first minimum = lowest pool position
+            rows = np.arange(len(qt))
+            has = ok[rows, best]
             out_id.append(qid_all[lo:lo + query_chunk])
-            out_srv.append(ids[best])
-            out_c.append(m[np.arange(len(qt)), best])
+            out_srv.append(np.where(has, ids[best], -1))
+            out_c.append(np.where(has, m[rows, best], -1))
         if not out_id:
             return pd.DataFrame({"id": [], "assigned": [], "assigned_conns": []})
+        srv = np.concatenate(out_srv).astype("int64")
+        cnt = np.concatenate(out_c).astype("int64")
         return pd.DataFrame({"id": np.concatenate(out_id).astype("int64"),
-                             "assigned": np.concatenate(out_srv).astype("int32"),
-                             "assigned_conns": np.concatenate(out_c).astype("int64")})
+                             "assigned": pd.array(np.where(srv < 0, None, srv), dtype="Int32"),
+                             "assigned_conns": pd.array(np.where(srv < 0, None, cnt), dtype="Int64")})
     return fn
 
 
@@ -157,7 +177,8 @@ def sweep_bucket_width(requests: DataFrame, start_us: str = "arrival_us", max_ev
 
 
 def least_connections(requests: DataFrame, pool: DataFrame, start_us: str = "arrival_us",
-                      end_us: str = "end_us", bucket_us: int | None = None) -> DataFrame:
+                      end_us: str = "end_us", bucket_us: int | None = None,
+                      versions: DataFrame | None = None) -> DataFrame:
     """For each arrival, the pool server with the fewest requests in
     flight at that instant (the arriving one excluded), first in pool order
     on ties -- an audit of the observed load, not a closed-loop simulation.
@@ -169,7 +190,9 @@ def least_connections(requests: DataFrame, pool: DataFrame, start_us: str = "arr
     per bucket sweeps them with sorted searches (memory per task bounded by
     the bucket's traffic, processed in chunks of arrivals).  Without an
     explicit ``bucket_us`` the width is chosen from the peak arrival rate
-    so that no bucket holds more than about two million events."""
+    so that no bucket holds more than about two million events.  With
+    ``versions`` (pool versions from the health runs) the candidates of each
+    arrival are the servers alive at that instant; none alive -> null."""
     pool_pd = pool.select("server_id", "pos").toPandas()  # pool: one row per server
     if len(pool_pd) == 0:
         return _null_assign(requests, "least_connections")
@@ -191,11 +214,20 @@ def least_connections(requests: DataFrame, pool: DataFrame, start_us: str = "arr
     ends = iv.select(b1.alias("_b"), F.lit(2).alias("kind"), F.col("server_id").cast("int"),
                      F.col(end_us).cast("bigint").alias("t"), F.lit(None).cast("bigint").alias("id"),
                      F.lit(1).cast("bigint").alias("n"))
-    arrivals = requests.select(floor_div(F.col(start_us), w).alias("_b"), F.lit(3).alias("kind"),
-                               F.col("server_id").cast("int"), F.col(start_us).cast("bigint").alias("t"),
-                               F.col("id").cast("bigint").alias("id"),
-                               (F.col(end_us) > F.col(start_us)).cast("bigint").alias("n"))
-    ev = carry.unionByName(starts).unionByName(ends).unionByName(arrivals)
+    arr_src = requests
+    mem = F.lit(None).cast("array<int>")
+    if versions is not None:
+        arr_src = attach_pool(requests, versions, start_us)
+        mem = F.transform("members", lambda x: x["pos"].cast("int"))
+    arrivals = arr_src.select(floor_div(F.col(start_us), w).alias("_b"), F.lit(3).alias("kind"),
+                              F.col("server_id").cast("int"), F.col(start_us).cast("bigint").alias("t"),
+                              F.col("id").cast("bigint").alias("id"),
+                              (F.col(end_us) > F.col(start_us)).cast("bigint").alias("n"), mem.alias("mem"))
+    none = F.lit(None).cast("array<int>").alias("mem")
+    ev = carry.select("*", none).unionByName(starts.select("*", none)).unionByName(ends.select("*", none)) \
+              .unionByName(arrivals)
+    if versions is None:
+        ev = ev.drop("mem")
     picked = ev.groupBy("_b").applyInPandas(_lc_sweep(pool_ids, pool_pos), _LC_SCHEMA)
     return requests.join(picked, "id", "left").withColumn("policy", F.lit("least_connections"))
 

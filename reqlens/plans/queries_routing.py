@@ -174,3 +174,21 @@ def r6_source_counts_5m(fx):
     fallback) per 5 minutes."""
     calls = fx.fx_model_calls
     return R.decision_source_counts(R.decision_source(calls, S.breaker_intervals(calls)))
+
+
+@query("r3_least_connections_live_pool", f"""
+with {LIVE_SQL.strip()},
+iv as (select * from fx_intervals where end_us > start_us),
+c as (select a.id, a.server_id as cand, a.pos, count(b.id) as conns
+      from alive_at a join rq on rq.id = a.id
+      left join iv b on b.server_id = a.server_id and b.start_us <= rq.arrival_us and b.end_us > rq.arrival_us
+                    and b.id <> rq.id
+      where a.alive group by a.id, a.server_id, a.pos),
+k as (select *, row_number() over (partition by id order by conns, pos) as rn from c)
+select rq.id, rq.server_id, k.cand as assigned, k.conns as assigned_conns
+from rq left join k on k.id = rq.id and k.rn = 1""")
+def r3_least_connections_live_pool(fx):
+    """R3 + W7: least-connections audit among the servers healthy at each
+    arrival (self excluded, first in pool order on ties; none alive -> null)."""
+    out = R.least_connections(_requests(fx), R.make_pool(fx.fx_servers), versions=_versions(fx))
+    return out.select("id", "server_id", "assigned", "assigned_conns")

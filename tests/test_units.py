@@ -430,3 +430,21 @@ def test_request_failure_marks_down(spark):
     failures = spark.createDataFrame([(1, 1000, 15 * SEC)], "server_id int, seq long, t_us long")
     tr = S.health_transitions(S.probe_outcomes(probes), request_failures=failures).orderBy("t_us").collect()
     assert [(r["t_us"], r["alive"]) for r in tr] == [(15 * SEC, False), (20 * SEC, True)]
+
+
+def test_least_connections_live_pool(spark):
+    rows, i = [], 0
+    for sid, n in ((1, 10), (2, 2), (3, 7)):
+        for _ in range(n):
+            rows.append((i, sid, 0, 1000 * SEC))
+            i += 1
+    rows += [(998, 1, 500 * SEC, 600 * SEC), (999, 1, 700 * SEC, 800 * SEC)]
+    req = spark.createDataFrame(rows, "id long, server_id int, arrival_us long, end_us long")
+    members = "array<struct<pos:int,server_id:int,weight:int>>"
+    versions = spark.createDataFrame([
+        (0, 650 * SEC, [(0, 1, 1), (2, 3, 1)]),          # server 2 down: pick 3 (7 < 10)
+        (650 * SEC, 2000 * SEC, [])], f"start_us long, end_us long, members {members}")  # nobody alive
+    out = {r["id"]: (r["assigned"], r["assigned_conns"]) for r in
+           R.least_connections(req, pool_df(spark, 3), bucket_us=60 * SEC, versions=versions)
+           .filter("id >= 998").collect()}
+    assert out == {998: (3, 7), 999: (None, None)}
