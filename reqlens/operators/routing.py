@@ -309,14 +309,22 @@ def assign(requests: DataFrame, pool: DataFrame, policy: str, **opts) -> DataFra
 
 
 def compare_policies(requests: DataFrame, pool: DataFrame, latency: DataFrame,
-                     policies=("round_robin", "weighted_round_robin", "least_connections", "random")) -> DataFrame:
+                     policies=("round_robin", "weighted_round_robin", "least_connections", "random"),
+                     versions: DataFrame | None = None) -> DataFrame:
     """Per policy and pool server: requests assigned and share, agreement
     of the policy with the server actually used, and the mean of the chosen
-    servers' observed mean latency (``latency``: server_id, mean_ms)."""
+    servers' observed mean latency (``latency``: server_id, mean_ms).  With
+    ``versions`` the round-robin, weighted and least-connections policies
+    route over the healthy pool at each arrival."""
     cols = ["id", "server_id", "policy", "assigned"]
+    live = {
+        "round_robin": lambda: round_robin_live(requests, versions),
+        "weighted_round_robin": lambda: weighted_round_robin_live(requests, versions),
+        "least_connections": lambda: least_connections(requests, pool, versions=versions),
+    }
     u = None
     for p in policies:
-        a = assign(requests, pool, p).select(*cols)
+        a = (live[p]() if versions is not None and p in live else assign(requests, pool, p)).select(*cols)
         u = a if u is None else u.unionByName(a)
     lat = broadcast_if_small(latency.select(F.col("server_id").alias("assigned"), "mean_ms"))
     u = u.join(lat, "assigned", "left")

@@ -192,3 +192,12 @@ def r3_least_connections_live_pool(fx):
     arrival (self excluded, first in pool order on ties; none alive -> null)."""
     out = R.least_connections(_requests(fx), R.make_pool(fx.fx_servers), versions=_versions(fx))
     return out.select("id", "server_id", "assigned", "assigned_conns")
+
+
+@query("r7_compare_policies_live_pool", None)
+def r7_compare_policies_live_pool(fx):
+    """R7 over the healthy pool: share, agreement and mean chosen-server
+    latency per policy, with RR / WRR / LC routing among the servers alive
+    at each arrival."""
+    lat = fx.fx_requests.groupBy("server_id").agg(F.avg("response_time_ms").alias("mean_ms"))
+    return R.compare_policies(_requests(fx), R.make_pool(fx.fx_servers), lat, versions=_versions(fx))
