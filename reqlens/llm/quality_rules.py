@@ -88,7 +88,7 @@ def measurements(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
         "n_symbols": F.length("_text") - without("[#*$%&|<>]"),
         "n_lines": let(lines, F.size),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
-        "n_repeat_words": _repeat_words(F.col("_w")),
+        "n_repeat_words": let(F.col("_w"), lambda w: _repeat_words(w)),
         "n_upper": F.length("_text") - without("\\p{Lu}+"),
         "n_letters": F.length("_text") - without("\\p{L}+"),
     }
@@ -144,4 +144,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", version: int = CURRENT) -
     names = docs.columns
     boxed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.col(f"`{text_col}`").alias("_t"))
     led = ledger(boxed, "_t", keep=("_row",))
-    return led.filter(~rejected(F.col("failures"), POLICIES[version])).select("_row.*")
+    # a generator, because a filter would be pushed below the measurements and
+    # repeat them for each of their uses
+    good = ~rejected(F.col("failures"), POLICIES[version])
+    return led.select(F.explode(F.when(good, F.array("_row"))).alias("_row")).select("_row.*")

@@ -5,10 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm import minhash, quality_rules
+import corpus_pipeline
+from reqlens.llm import minhash, packing, quality_rules, secret_scan
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +95,28 @@ def op10_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
 
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-fit packing of all ``documents`` into 4096-token sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of ``documents`` with the forest's verdict; the strings
+    themselves stay out of the report."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), WORD_BPE, path_col="source")
+    return found.select("doc_id", "word_no", "part", F.length("token").cast("long").alias("length"),
+                        F.sha2("token", 256).alias("token_sha256"), F.round("probability", 6).alias("probability"),
+                        "is_secret")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``corpus_pipeline`` over ``documents``."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
