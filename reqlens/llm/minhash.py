@@ -6,12 +6,13 @@
    circularly by k for coordinate k.
 2. Documents with equal sets become one class, found by their digest.
 3. Classes that agree on a whole band share a bucket.  Every member is checked
-   against the bucket's first class only (a star, linear in the bucket), and the
+   against the bucket's hub only (a star, linear in the bucket), and the
    confirmed links are contracted to components.
-4. A bucket whose members still lie in several components is dealt in blocks of
-   bounded size; pairs of blocks compare signatures, and pairs of different
-   components that could reach the threshold are checked too.  So no link that
-   the bands found is lost, and no group is expanded to all its pairs.
+4. In buckets whose members still lie in several components, the pairs across
+   components are compared too: pair by pair in small buckets, and in large
+   ones between blocks of strays and of members, inside tasks of bounded size
+   that give back the confirmed links only.  So no link that the bands found is
+   lost, and no group is expanded to all its pairs.
 5. Links are confirmed on the full shingle sets.
 
 With 25 bands of 5 rows, a pair at a similarity of 0.85 shares no bucket with
@@ -32,7 +33,9 @@ from reqlens.llm.common import require, small_batches, stage
 from reqlens.llm.components import connected_components
 
 BANDS, ROWS = 25, 5
-BLOCK = 512
+#: Buckets up to SMALL compare their unconnected members pair by pair; larger
+#: ones are dealt in blocks of at most STRAYS by BLOCK members.
+SMALL, STRAYS, BLOCK = 64, 256, 512
 #: Words whose hash a worker keeps.
 WORD_MEMO = 400_000
 
@@ -150,36 +153,66 @@ def _checker(num: int, den: int):
             ok = []
             for x, y in zip(xs, ys):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                ok.append(den * min(len(x), len(y)) >= num * max(len(x), len(y)) and
-                          den * (both := np.intersect1d(x, y, assume_unique=True).size)
-                          >= num * (len(x) + len(y) - both))
+                ok.append(_similar(x, y, num, den))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
                 pa.array(ok, pa.bool_()))
     return run
 
 
-def _block_pairs(least: int):
-    """Pairs of different components inside blocks whose sketches agree on at
-    least ``least`` coordinates."""
+def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+        return False
+    both = np.intersect1d(x, y, assume_unique=True).size
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _small_pairs(least: int):
+    """Pairs of different components in buckets of at most SMALL members, whose
+    sketches agree on at least ``least`` coordinates."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found: set[tuple[bytes, bytes]] = set()
-        for (_, _, lo, hi), g in pdf.groupby(["band", "key", "lo", "hi"], sort=False):
+        for _, g in pdf.groupby(["band", "key"], sort=False):
             sk = np.stack([np.frombuffer(s, np.uint16) for s in g["sketch"]])
-            cls = g["cls"].to_numpy()
-            comp = pd.factorize(g["comp"])[0]
-            block = g["block"].to_numpy()
-            for i in range(len(g)):
-                other = comp != comp[i]
-                other &= (np.arange(len(g)) > i) if lo == hi else (block != block[i]) & (block[i] == lo)
-                js = np.flatnonzero(other)
+            cls, comp = g["cls"].to_numpy(), pd.factorize(g["comp"])[0]
+            for i in range(len(g) - 1):
+                js = i + 1 + np.flatnonzero(comp[i + 1:] != comp[i])
                 js = js[(sk[js] == sk[i]).sum(1) >= least]
                 found.update((min(cls[i], cls[j]), max(cls[i], cls[j])) for j in js)
         return pd.DataFrame(sorted(found), columns=["a", "b"])
     return run
 
 
+def _block_links(least: int, num: int, den: int):
+    """Confirmed links between the strays of a block and the members of another
+    block of the same bucket.  Each pair is looked at in the first band that it
+    shares only, and not once a link has joined its components."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[bytes, bytes]] = []
+        for (band, _, _, _), g in pdf.groupby(["band", "key", "sb", "mb"], sort=False):
+            stray = g["stray"].to_numpy()
+            mine, rest = np.flatnonzero(stray), np.flatnonzero(~stray)
+            if not len(mine) or not len(rest):
+                continue
+            sk = np.stack([np.frombuffer(s, np.uint16) for s in g["sketch"]])
+            keys = np.stack([np.asarray(k, np.int64) for k in g["bands"]])
+            sets = [np.frombuffer(s, np.uint64) for s in g["shingles"]]
+            cls, comp = g["cls"].to_numpy(), pd.factorize(g["comp"])[0]
+            for i in mine:
+                js = rest[comp[rest] != comp[i]]
+                js = js[(keys[js] == keys[i]).argmax(1) == band]
+                agree = (sk[js] == sk[i]).sum(1)
+                for j in js[np.argsort(-agree, kind="stable")][:int((agree >= least).sum())]:
+                    if comp[i] != comp[j] and _similar(sets[i], sets[j], num, den):
+                        found.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
+                        comp[comp == comp[j]] = comp[i]
+        return pd.DataFrame(found, columns=["a", "b"])
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                     num: int = 85, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: ``id_col``, ``n_shingles``, ``component_id``
@@ -204,22 +237,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")), "classes")
 
     keyed = reps.select("cls", F.posexplode("bands").alias("band", "key"))
-    crowded = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("first")).filter(
-        "size > 1")
+    crowded = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stage(keyed.join(crowded, ["band", "key"]), "members")
+    # a bucket's hub: the member that meets most others in all its buckets,
+    # such as the text that the others were copied from
+    met = members.groupBy("cls").agg(F.sum("size").alias("met"))
+    hubs = stage(members.join(met, "cls").groupBy("band", "key").agg(F.max(F.struct("met", "cls")).alias("h")).select(
+        "band", "key", F.col("h.cls").alias("hub")), "hubs")
+
+    def rep_sets(ends: DataFrame) -> DataFrame:
+        """``(cls, shingles)`` of the classes ``ends(cls)``, from the texts."""
+        ids = reps.join(ends, "cls", "left_semi").select(F.col("rep").alias("_rep")).distinct()
+        return slim.join(ids, slim["id"].eqNullSafe(ids["_rep"]), "left_semi").select("text").mapInArrow(
+            _setter(shingle), "cls binary, shingles binary").join(ends, "cls", "left_semi")
 
     def checked(pairs: DataFrame, label: str) -> DataFrame:
         ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        ids = reps.join(ends, "cls", "left_semi").select(F.col("rep").alias("_rep")).distinct()
-        sets = stage(slim.join(ids, slim["id"].eqNullSafe(ids["_rep"]), "left_semi").select("text").mapInArrow(
-            _setter(shingle), "cls binary, shingles binary").join(ends, "cls", "left_semi"), "sets")
+        sets = stage(rep_sets(ends), "sets")
         one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
         two = one.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
         return stage(two.select("a", "b", "sa", "sb").mapInArrow(_checker(num, den), "a binary, b binary").distinct(),
                      label)
 
-    stars = stage(members.filter("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct(),
-                  "stars")
+    stars = stage(members.join(hubs, ["band", "key"]).filter("cls <> hub").select(
+        F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct(), "stars")
     links = checked(stars, "links")
     comp = connected_components(links)
 
@@ -228,25 +269,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "band", "key", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
     split = placed.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
     left = stage(placed.join(split.select("band", "key"), ["band", "key"], "left_semi"), "left")
-    n_left = left.count()
-    if n_left:
-        sketches = signed.filter("cls is not null").select("cls", "sketch").join(
-            left.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.any_value("sketch").alias("sketch"))
-        blocks = left.join(sketches, "cls").withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn(
-            "block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
-        dealt = blocks.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-            "band", "key", "cls", "comp", "sketch", "block", F.least("block", "mate").alias("lo"),
-            F.greatest("block", "mate").alias("hi"))
-        # five standard deviations of the estimate below the threshold
-        p, k = num / den, bands * rows
-        least = int(k * (p - 5 * (p * (1 - p) / k) ** 0.5))
-        tasks = max(1, n_left // 4000)
-        near = dealt.withColumn("g", F.pmod(F.xxhash64("band", "key", "lo", "hi"), F.lit(tasks))).groupBy(
-            "g").applyInPandas(_block_pairs(least), "a binary, b binary").distinct()
-        more = checked(stage(near.join(stars, ["a", "b"], "left_anti"), "near"), "more")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comp = connected_components(links)
+    # five standard deviations of the estimate below the threshold
+    p, k = num / den, bands * rows
+    least = int(k * (p - 5 * (p * (1 - p) / k) ** 0.5))
+    small, large = left.filter(f"size <= {SMALL}"), left.filter(f"size > {SMALL}")
+    n_small, n_large = small.count(), large.count()
+    more = []
+    marks = signed.filter("cls is not null").select("cls", "sketch", "bands")
+    if n_small:
+        sketches = marks.join(small.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(
+            F.any_value("sketch").alias("sketch"))
+        near = small.join(sketches, "cls").withColumn(
+            "g", F.pmod(F.xxhash64("band", "key"), F.lit(max(1, n_small // 4000)))).groupBy("g").applyInPandas(
+            _small_pairs(least), "a binary, b binary").distinct()
+        more.append(checked(stage(near.join(stars, ["a", "b"], "left_anti"), "near"), "more"))
+    if n_large:
+        more.append(stage(_large_links(large, hubs, marks, rep_sets, least, num, den), "more"))
+    for found in more:
+        links = links.unionByName(found)
+    if more and not all(found.isEmpty() for found in more):
+        comp = connected_components(links)
 
     # least id of each class that has company
     shared = reps.join(comp.withColumnRenamed("node", "cls"), "cls", "left").filter(
@@ -262,6 +304,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _large_links(large: DataFrame, hubs: DataFrame, marks: DataFrame, rep_sets, least: int, num: int, den: int) -> DataFrame:
+    """Links inside large buckets between strays, which are not in the hub's
+    component, and all members.  Both are dealt in blocks, and a task gets one
+    block of each, so its size does not grow with the bucket."""
+    head = large.join(hubs, ["band", "key"]).filter("cls = hub").select("band", "key", F.col("comp").alias("main"))
+    told = large.join(head, ["band", "key"]).withColumn("stray", F.col("comp") != F.col("main"))
+    strays = told.filter("stray").groupBy("band", "key").agg(F.count(F.lit(1)).alias("strays"))
+    ends = large.select("cls").distinct()
+    full = stage(marks.join(ends, "cls", "left_semi").groupBy("cls").agg(
+        F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")).join(rep_sets(ends), "cls"), "full")
+    dealt = stage(told.join(strays, ["band", "key"]).select(
+        "band", "key", "cls", "comp", "stray", F.ceil(F.col("strays") / STRAYS).cast("int").alias("ns"),
+        F.ceil(F.col("size") / BLOCK).cast("int").alias("nm")), "dealt")
+    own = F.pmod(F.xxhash64("cls"), F.col("ns")).cast("int")
+    seat = F.pmod(F.xxhash64("cls"), F.col("nm")).cast("int")
+    left = dealt.filter("stray").select("band", "key", "cls", "comp", "stray", own.alias("sb"),
+                                        F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"))
+    right = dealt.select("band", "key", "cls", "comp", F.lit(False).alias("stray"),
+                         F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("sb"), seat.alias("mb"))
+    both = stage(left.unionByName(right), "blocks")
+    tasks = max(1, both.count() // 1500)
+    return both.join(full, "cls").withColumn(
+        "g", F.pmod(F.xxhash64("band", "key", "sb", "mb"), F.lit(tasks))).groupBy("g").applyInPandas(
+        _block_links(least, num, den), "a binary, b binary").distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` with one document of each near-duplicate group left,
     that of the least id; of rows with the same id one stays.  All columns are
