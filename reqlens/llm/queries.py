@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from reqlens.llm import minhash, packing, quality_rules, secret_scan
+from reqlens.llm import byte_bpe, chat_format, minhash, packing, quality_rules, secret_scan, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,6 +113,56 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "is_secret")
 
 
+@query("op5_warc", r"""
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as x from pages),
+d as (
+  select page_id, strlen(h)::bigint as payload_bytes, x, array_to_string(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(x, (1 + 5 * (i // 4))::int, 5))::bigint >> (5 * (3 - i % 4))::bigint) & 31)::int + 1, 1)), '')
+         as payload_digest, max(page_id) over (partition by x) as first from p)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id = first then null else first end as refers_to
+from d
+""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` written to WARC archives and read back by the salvage reader."""
+    back = warc.round_trip(table(spark, sf_dir, "pages")).filter("kind = 'record'")
+    return back.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query("op6_chat_format", r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length(text) + len(regexp_extract_all(text, '[<\[]\\*(?:/?s>|/?INST\]|<SYS>>|</SYS>>|ROLE=|/ROLE\])'))
+           + case role when 'user' then 13 when 'assistant' then 7 when 'system' then 15 else 14 + length(role) end
+          )::bigint as formatted_chars
+from t group by conv_id
+""")
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations`` and the conversation -7 formatted, encoded, masked
+    and read back."""
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_format.read_back(chat_format.format_conversations(turns, BYTE_BPE))
+
+
+@query("op9_byte_bpe")
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` encoded by segment trees and decoded again."""
+    enc = byte_bpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    return enc.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                      F.sha2(byte_bpe.decoded(F.col("ids"), BYTE_RANKS), 256).alias("decoded_sha256"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` over ``documents``."""
