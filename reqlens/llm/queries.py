@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from reqlens.llm import byte_bpe, chat_format, minhash, packing, quality_rules, secret_scan, warc
+from reqlens.llm import (byte_bpe, chat_format, html_extract, license_scan, license_templates, metric_search, minhash,
+                         packing, quality_rules, secret_scan, warc)
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -113,6 +114,22 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "is_secret")
 
 
+@query("op4_mtree_topk", """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+select query_id, (row_number() over w)::int as rank, vec_id, score from s
+window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= 5
+""")
+def op4_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products for every 50th of ``embeddings``, exact."""
+    return metric_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 @query("op5_warc", r"""
 with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as x from pages),
 d as (
@@ -154,6 +171,44 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns, BYTE_BPE))
 
 
+def _license_sql() -> str:
+    values = ", ".join(f"('{n}', '{t.replace(chr(39), chr(39) * 2)}')" for n, t in license_templates.TEMPLATES.items())
+    return rf"""
+with tpl(license_id, t) as (values {values}),
+lines as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l, text from documents),
+units as (
+  select doc_id, i as unit, l[i + 1] as t from (select doc_id, l, unnest(range(len(l))) as i from lines)
+  union all select doc_id, -1, text from lines where len(l) > 1),
+words as (
+  select 'u' as side, doc_id, unit, null as license_id, string_split(trim(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', ' ', 'g')),
+         ' ') as w from units
+  union all select 't', null, null, license_id, string_split(trim(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')
+  from tpl),
+g as (select side, doc_id, unit, license_id, len(w) - 1 as n, w[i] || ' ' || w[i + 1] as gram
+      from (select *, unnest(range(1, len(w))) as i from words)),
+c as (select side, doc_id, unit, license_id, n, gram, count(*) as c from g group by all),
+both_sides as (
+  select u.doc_id, u.unit, u.n, t.license_id, t.n as m, sum(least(u.c, t.c)) as k
+  from c u join c t on u.side = 'u' and t.side = 't' and u.gram = t.gram group by all),
+d as (select doc_id, unit, license_id, n, 2.0::double * k::double / (n + m) as dice from both_sides)
+select doc_id, unit::bigint as unit, license_id, n::bigint as n_bigrams, round(dice, 6) as dice from d where dice >= 0.8
+qualify row_number() over (partition by doc_id, unit order by dice desc, license_id) = 1
+"""
+
+
+@query("op7_license_scan", _license_sql())
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and whole texts of ``documents`` that are a licence or its notice."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("dice", F.round("dice", 6))
+
+
+@query("op8_html_extract")
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page of ``pages``."""
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` encoded by segment trees and decoded again."""
