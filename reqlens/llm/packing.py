@@ -8,6 +8,9 @@ within its length by an equi-join."""
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -22,59 +25,112 @@ from reqlens.llm.common import require, small_batches, stage
 
 CAPACITY = 4096
 #: Whitespace-separated chunks whose ids a worker keeps.
-CHUNK_MEMO = 300_000
+CHUNK_MEMO = 500_000
 #: Rows of one length that are ranked together, and ranks of one join key.
 RANK_ROWS = 100_000
 RANK_BLOCK = 4096
 
 
+#: A word of Latin letters that normalisation only lower-cases, and one stop.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+)([.,]?)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the
+    others for the characters from 256 on, in order; spaces stay."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(rest) if b != 32}
+
+
 class ChunkEncoder:
     """Ids of whole texts by ``tokenizers``, as little-endian 32-bit bytes.
 
     The vocabulary never joins characters across white space, so a text's ids
     are those of its chunks between ASCII white space, one after the other.
-    Chunks not met before are encoded together, with a mark between them that
-    only a NUL character makes."""
+    Chunks not met before are encoded together.  Plain words, the most of them,
+    go to the same BPE model past normalisation and splitting, which would only
+    lower-case them; the last token of a word shows by its end mark.  Others go
+    the whole way, with a mark between them that only a NUL character makes."""
 
     def __init__(self, path: str):
-        import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True
         mark = self._ids("\0")
         assert len(mark) == 1
         self._mark = mark[0]
+        spec = json.load(open(path, encoding="utf-8"))
+        spec |= {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
+        self._bare = Tokenizer.from_str(json.dumps(spec))
+        self._bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = spec["model"]["vocab"]
+        self._last = np.zeros(max(vocab.values()) + 1, bool)
+        self._last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._letters = _byte_letters()
         self._memo: dict[bytes, bytes] = {}
+        self._stops = {c: self._raw(self._ids(c)) for c in (".", ",")} | {"": b""}
 
     def _ids(self, text: str) -> list[int]:
         return self._tok.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, new: list[bytes]) -> None:
-        plain = [c for c in new if b"\0" not in c]
+    @staticmethod
+    def _raw(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
+    def _cut(self, chunks: list[bytes], ids: np.ndarray, ends: np.ndarray, skip: int) -> None:
+        raw, start = ids.tobytes(), 0
+        for c, end in zip(chunks, (4 * ends).tolist()):
+            self._memo[c] = raw[start:end]
+            start = end + 4 * skip
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 512):
+            part = words[at:at + 512]
+            text = b" ".join(part).decode("latin-1").translate(self._letters)
+            ids = np.array(self._bare.encode(text, add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self._last[ids]) + 1
+            assert len(ends) == len(part)
+            self._cut(part, ids, ends, 0)
+
+    def _learn_others(self, chunks: list[bytes]) -> None:
+        plain = [c for c in chunks if b"\0" not in c]
         for at in range(0, len(plain), 256):
             part = plain[at:at + 256]
             ids = np.array(self._ids(" \0 ".join(c.decode() for c in part)), "<u4")
-            cuts = np.flatnonzero(ids == self._mark)
-            assert len(cuts) == len(part) - 1
-            raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
-            start = 0
-            for c, end in zip(part, ends):
-                self._memo[c] = raw[start:end]
-                start = end + 4
-        for c in new:
+            ends = np.append(np.flatnonzero(ids == self._mark), len(ids))
+            assert len(ends) == len(part)
+            self._cut(part, ids, ends, 1)
+        for c in chunks:
             if b"\0" in c:
-                self._memo[c] = np.array(self._ids(c.decode()), "<u4").tobytes()
+                self._memo[c] = self._raw(self._ids(c.decode()))
+
+    def _learn(self, new: list[bytes]) -> None:
+        memo, others, words, made = self._memo, [], set(), []
+        for c in new:
+            m = _PLAIN.fullmatch(c.decode())
+            if m is None:
+                others.append(c)
+            else:
+                word = m[1].lower().encode()
+                made.append((c, word, m[2]))
+                if word not in memo:
+                    words.add(word)
+        self._learn_others(others)
+        self._learn_words(list(words))
+        for c, word, stop in made:
+            memo[c] = memo[word] + self._stops[stop]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        if len(self._memo) > CHUNK_MEMO:
-            self._memo.clear()
-        split = [(t or b"").split() for t in texts]
         memo = self._memo
+        if len(memo) > CHUNK_MEMO:
+            memo.clear()
+        split = [(t or b"").split() for t in texts]
         new = set()
         for s in split:
             new.update(s)
-        self._learn(sorted(c for c in new if c not in memo))
+        self._learn([c for c in new if c not in memo])
         return [b"".join(map(memo.__getitem__, s)) for s in split]
 
 
