@@ -134,23 +134,23 @@ class ShardTree:
                 return True
             return len(best) == k and (most < best[0][0] or most == best[0][0] and least_id > -best[0][1])
 
-        heap: list[tuple[float, int, int, float]] = []
+        heap: list[tuple[float, bool, int, int, float]] = []      # bound, is page, least id, number, distance
         for n, (route, _) in enumerate(self.nodes):
             d = float(np.sqrt(((lifted - route) ** 2).sum()))
-            heapq.heappush(heap, (max(0.0, d - self.reach[n]), -1, n, d))
+            heapq.heappush(heap, (max(0.0, d - self.reach[n]), False, 0, n, d))
         while heap:
-            nearest, kind, n, d = heapq.heappop(heap)
-            if kind < 0:
+            nearest, is_page, _, n, d = heapq.heappop(heap)
+            if not is_page:
                 kids = self.nodes[n][1]
                 # stored parent distances first: pages that need no distance
                 bound = np.abs(d - self.parent[kids]) - self.radius[kids]
-                kids = kids[[not hopeless(b, -1 << 62) for b in bound]] if len(best) == k or floor > -np.inf else kids
+                kids = kids[[not hopeless(b, -1 << 63) for b in bound]] if len(best) == k or floor > -np.inf else kids
                 if len(kids):
                     dc = np.sqrt(((self.centres[kids] - lifted) ** 2).sum(1))
                     for p, x in zip(kids.tolist(), dc.tolist()):
                         low = max(0.0, x - self.radius[p])
                         if not hopeless(low, int(self.least[p])):
-                            heapq.heappush(heap, (low, int(self.least[p]), p, x))
+                            heapq.heappush(heap, (low, True, int(self.least[p]), p, x))
                 continue
             if hopeless(nearest, int(self.least[n])):
                 continue
