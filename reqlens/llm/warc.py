@@ -112,18 +112,22 @@ def _record_at(data: bytes, at: int) -> tuple[str, int, dict[str, str], bytes]:
     if not _VERSION_LINE.match(data, at):
         return "no version line", 0, {}, b""
     split = data.find(b"\r\n\r\n", at)
-    if split < 0:
+    if split < 0 or _VERSION_LINE.search(data, at + 1, split):
         return "headers cut off", 0, {}, b""
     head = _headers(data[at:split])
     if not head.get("content-length", "").isdigit():
         return "no length", 0, head, b""
     start = split + 4
     end = start + int(head["content-length"])
-    if data[end:end + 4] != b"\r\n\r\n" or end + 4 < len(data) and not _VERSION_LINE.match(data, end + 4):
+    if data[end:end + 4] != b"\r\n\r\n":
         return "length does not fit", 0, head, b""
     block = data[start:end]
     said = head.get("warc-block-digest", "")
-    if said.startswith("sha1:") and said[5:] != _digest(block):
+    if said.startswith("sha1:") and said[5:] == _digest(block):
+        return "", end + 4, head, block
+    if end + 4 < len(data) and not _VERSION_LINE.match(data, end + 4):
+        return "length does not fit", 0, head, b""
+    if said.startswith("sha1:"):
         return "digest differs", end + 4, head, b""
     return "", end + 4, head, block
 
