@@ -33,7 +33,7 @@ def url_port(url, default: int = 80) -> Column:
     """Port as INT; ``default`` when absent; null when not a number (reject)."""
     txt = url_port_text(url)
     return F.when(txt == "", F.lit(default)).otherwise(
-        F.when(txt.rlike(r"^[0-9]{1,5}$"), txt.cast("int")))
+        F.when(txt.rlike(r"^[0-9]+$"), txt.try_cast("int")))
 
 
 def url_is_valid(url) -> Column:
@@ -66,7 +66,7 @@ def lookback(df: DataFrame, ts: str, as_of: str, days: float = 7, seconds: int |
 
 def to_millis(micros) -> Column:
     """Duration in micros -> integer ms, truncating."""
-    return F.floor(_c(micros) / 1000).cast("bigint")
+    return F.call_function("div", _c(micros).cast("bigint"), F.lit(1000).cast("bigint"))
 
 
 # --- P5-P8 -------------------------------------------------------------------

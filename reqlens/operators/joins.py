@@ -45,8 +45,8 @@ def weight_overrides(config_kv: DataFrame, key: str = "key", value: str = "value
     keys the last one (highest ``pos``) wins."""
     prefix = "SERVER_WEIGHT_"
     kv = config_kv.filter(F.col(key).startswith(prefix))
-    hp = F.replace(F.substring(F.col(key), len(prefix) + 1, 1 << 20), F.lit("_"), F.lit(":"))
-    w = F.when(F.trim(F.col(value)).rlike(r"^[+-]?[0-9]{1,9}$"), F.trim(F.col(value)).cast("int"))
+    hp = F.replace(F.substr(F.col(key), F.lit(len(prefix) + 1)), F.lit("_"), F.lit(":"))
+    w = F.when(F.col(value).rlike(r"^[+-]?[0-9]+$"), F.col(value).try_cast("bigint"))
     kv = kv.select(hp.alias("host_port"), w.alias("weight"), F.col(pos)).filter(F.col("weight") > 0)
     return kv.groupBy("host_port").agg(F.max_by("weight", pos).alias("weight"))
 

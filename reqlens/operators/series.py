@@ -7,6 +7,8 @@ that no window is partitioned by a low-cardinality key alone.
 
 from __future__ import annotations
 
+import math
+
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,30 +63,51 @@ def neighbor(df: DataFrame, by: Sequence[str], order_us: str, tie: str, cols: Se
 # W1 exponential smoothing
 # ---------------------------------------------------------------------------
 
+def _chunk_rows(keep: float, most: int) -> int:
+    """Rows over which powers of ``keep`` stay far from underflow."""
+    return most if keep >= 1.0 else max(1, min(most, int(400 / -math.log(keep)))) if keep > 0.0 else 1
+
+
+def _folded(d: DataFrame, by: Sequence[str], keep: float, most: int) -> DataFrame:
+    """Adds ``_s`` with ``s_i = keep * s_(i-1) + _x_i`` along ``_i`` = 0, 1, ... of
+    each key, by affine carries: the recurrence inside a chunk is a running sum
+    of ``_x`` over powers of ``keep``; the chunks' last values obey the same
+    recurrence with ``keep ** chunk``, one row per chunk, and are folded the same
+    way until a key has one chunk."""
+    by = list(by)
+    n = _chunk_rows(keep, most)
+    if keep <= 0.0:
+        return d.withColumn("_s", F.col("_x"))
+    d = d.withColumn("_c", floor_div(F.col("_i"), n))
+    k = (F.col("_i") - F.col("_c") * n).cast("double")
+    w = Window.partitionBy(*by, "_c").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_k", k).withColumn("_own", F.sum(F.col("_x") * F.pow(F.lit(keep), -F.col("_k"))).over(w)
+                                         * F.pow(F.lit(keep), F.col("_k")))
+    if (d.agg(F.max("_c")).first()[0] or 0) == 0:
+        return d.withColumn("_s", F.col("_own")).drop("_c", "_k", "_own")
+    ends = d.groupBy(*by, "_c").agg(F.max_by("_own", "_i").alias("_x")).withColumnRenamed("_c", "_i")
+    carry = _folded(ends, by, keep ** n, most).select(
+        *[F.col(c).alias(f"_by{j}") for j, c in enumerate(by)], (F.col("_i") + 1).alias("_n"), F.col("_s").alias("_in"))
+    on = [d[c].eqNullSafe(carry[f"_by{j}"]) for j, c in enumerate(by)] + [d["_c"] == carry["_n"]]
+    s = F.col("_own") + F.coalesce(F.col("_in"), F.lit(0.0)) * F.pow(F.lit(keep), F.col("_k") + 1)
+    return d.join(carry, on, "left").withColumn("_s", s).drop(
+        "_c", "_k", "_own", "_in", "_n", *[f"_by{j}" for j in range(len(by))])
+
+
 def smooth(df: DataFrame, value: str, by: Sequence[str], order_us: str, tie: str,
-           alpha: float = 0.3, horizon: int = 128, chunk: int = 65536, name: str = "smoothed") -> DataFrame:
+           alpha: float = 0.3, chunk: int = 65536, name: str = "smoothed") -> DataFrame:
     """``s <- (1 - alpha) * s + alpha * x``, seeded by the first sample,
     then clamped to [0, 100] and rounded to one decimal (P8).
 
-    The recurrence is folded over the last ``horizon`` samples (the weight
-    of older samples, 0.7^128 ~ 1e-20, is below double precision).  Rows
-    are numbered per key (bucketed W8 index), cut into chunks of ``chunk``
-    rows, and the last ``horizon - 1`` rows of each chunk are copied into
-    the next one as history, so every window is per (key, chunk)."""
+    The whole history counts, whatever ``alpha``.  Rows are numbered per key
+    (bucketed W8 index) and cut into chunks of at most ``chunk`` rows, so every
+    window is per (key, chunk); see :func:`_folded` for the carry."""
     by = list(by)
-    h = int(horizon)
     d = materialize(ordered_index(df, order_us, tie, by=by, name="_i"))  # read twice below
-    d = d.withColumn("_c", floor_div(F.col("_i"), chunk))
-    own = d.withColumn("_hist", F.lit(False))
-    hist = d.filter(F.pmod(F.col("_i"), F.lit(chunk)) >= chunk - (h - 1)) \
-            .withColumn("_c", F.col("_c") + 1).withColumn("_hist", F.lit(True))
-    u = own.unionByName(hist)
-    w = Window.partitionBy(*by, "_c").orderBy("_i").rowsBetween(-(h - 1), Window.currentRow)
-    keep = 1.0 - alpha
-    fold = F.aggregate(F.collect_list(F.col(value).cast("double")).over(w), F.lit(None).cast("double"),
-                       lambda acc, x: F.when(acc.isNull(), x).otherwise(acc * keep + x * alpha))
-    u = u.withColumn("_s", fold).filter(~F.col("_hist"))
-    return u.withColumn(name, round1(clamp(F.col("_s")))).drop("_i", "_c", "_hist", "_s")
+    x = F.col(value).cast("double")
+    d = d.withColumn("_x", F.when(F.col("_i") == 0, x).otherwise(x * alpha))
+    out = _folded(d, by, 1.0 - alpha, int(chunk))
+    return out.withColumn(name, round1(clamp(F.col("_s")))).drop("_i", "_x", "_s")
 
 
 # ---------------------------------------------------------------------------
@@ -123,14 +146,16 @@ def success_rate_at(samples: DataFrame, requests: DataFrame, window_s: int = 300
 # W4 counter rate
 # ---------------------------------------------------------------------------
 
-def counter_rate(samples: DataFrame, by: Sequence[str], ts_us: str, value: str, window_s: int = 60) -> DataFrame:
+def counter_rate(samples: DataFrame, by: Sequence[str], ts_us: str, value: str, window_s: int = 60,
+                 tie: str | None = None) -> DataFrame:
     """Per key and window, the counter increase (reset-tolerant: a drop
     counts the new value as the increase) divided by the window length.
-    Only consecutive samples inside the same window contribute."""
+    Only consecutive samples inside the same window contribute.  Samples at
+    one instant go by ``tie``, then by value."""
     by = list(by)
     W = int(window_s) * 1_000_000
     d = samples.withColumn("_b", floor_div(F.col(ts_us).cast("bigint"), W))
-    w = Window.partitionBy(*by, "_b").orderBy(ts_us)
+    w = Window.partitionBy(*by, "_b").orderBy(ts_us, *([tie] if tie else []), value)
     prev = F.lag(value).over(w)
     d = d.withColumn("_d", F.when(prev.isNull(), F.lit(None))
                      .when(F.col(value) < prev, F.col(value)).otherwise(F.col(value) - prev))

@@ -160,7 +160,7 @@ def inflight(intervals: DataFrame, by: Sequence[str], start_us: str, end_us: str
     """Number of intervals ``[start, end)`` open at a time point, per ``by``.
 
     Without ``points`` the points are the interval starts themselves (the
-    count includes the arriving interval).  With ``points`` (columns ``by``
+    count includes the arriving interval, also one that ends as it starts).  With ``points`` (columns ``by``
     and ``point_us``), every point row gets the count at its time.
 
     Each interval is cut into buckets: +1 at ``max(start, bucket start)`` in
@@ -181,9 +181,9 @@ def inflight(intervals: DataFrame, by: Sequence[str], start_us: str, end_us: str
     ev = ev.select(*by, F.col("e.b").alias("_b"), F.col("e.t").alias("_t"), F.col("e.d").alias("_d"),
                    F.lit(None).cast("struct<x:int>").alias("_p"))
     if points is None:
-        pts = intervals.filter(F.col(end_us) > F.col(start_us))
-        pt_col = start_us
-        # the arriving interval's own +1 is already an event: points add 0
+        pts, pt_col = intervals, start_us
+        # the arriving interval's own +1 is already an event: points add 0;
+        # an empty interval has no event and counts itself below
     else:
         pts, pt_col = points, point_us
     pstruct = F.struct(*[F.col(c) for c in pts.columns])
@@ -194,6 +194,9 @@ def inflight(intervals: DataFrame, by: Sequence[str], start_us: str, end_us: str
     win = Window.partitionBy(*by, "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     u = u.withColumn(name, F.greatest(F.sum("_d").over(win), F.lit(0)).cast("bigint"))
     u = u.filter(F.col("_p").isNotNull())
+    if points is None:
+        empty = F.col("_p." + end_us) <= F.col("_p." + start_us)
+        u = u.withColumn(name, F.when(empty, F.col(name) + 1).otherwise(F.col(name)))
     return u.select(*[F.col("_p." + c).alias(c) for c in pts.columns], name)
 
 

@@ -6,7 +6,7 @@ from reqlens.operators import aggs as A
 from reqlens.operators import routing as R
 from reqlens.operators import series as S
 from reqlens.plans import panels as Q
-from reqlens.plans.catalog import AS_OF_US, query
+from reqlens.plans.catalog import AS_OF_US, MID_US, query
 from reqlens.plans.queries_core import edge_values
 from reqlens.plans.queries_series import BREAKER_SQL
 from reqlens.sources.fixtures import BASE_US
@@ -15,11 +15,11 @@ START, END = BASE_US, AS_OF_US  # the whole 12-hour range of the data
 
 
 def hist_quantile_sql(source: str, keys: list[str], value: str, edges, q: float, out: str = "quantile_value",
-                      scale: float = 1.0) -> str:
+                      scale: float = 1.0, where: str = "true") -> str:
     k = ", ".join(keys)
     return f"""
 h as (select {k}, e.le, e.edge, count(*) filter (where {value} <= e.edge) as cnt
-      from ({source}) src, {edge_values(edges)} e(le, edge) group by {k}, e.le, e.edge),
+      from ({source}) src, {edge_values(edges)} e(le, edge) where {where} group by {k}, e.le, e.edge),
 h2 as (select *, coalesce(lag(cnt) over (partition by {k} order by edge), 0) as prev_cnt,
               coalesce(lag(edge) over (partition by {k} order by edge), 0) as prev_le,
               max(cnt) over (partition by {k}) as total,
@@ -32,21 +32,40 @@ res as (select {k}, (case when total = 0 then null when le = '+Inf' then max_fin
         from pick where rn = 1)"""
 
 
-RANGE = f"t_us >= {START} and t_us < {END}"
+
+
+def rng(width_s: int, start: int = START) -> str:
+    """Rows a look-back can see."""
+    return f"t_us >= {start - width_s * 1000000} and t_us < {END}"
+
+
+def ends(width_s: int, start: int = START) -> str:
+    """Windows evaluated inside the range."""
+    return f"ws + {width_s * 1000000} >= {start} and ws + {width_s * 1000000} < {END}"
 
 
 @query("q1_requests_per_s_by_server", f"""
 with w as (select server_id, (t_us - t_us % 15000000) - k * 15000000 as ws
-           from fx_request_log, range(4) r(k) where {RANGE})
+           from fx_request_log, range(4) r(k) where {rng(60)})
 select server_id, make_timestamp(ws) as window_start, count(*) as requests, round(count(*) / 60.0, 6) as per_second
-from w group by server_id, ws""")
+from w where {ends(60)} group by server_id, ws""")
 def q1_requests_per_s_by_server(fx):
     """Q1: requests/s per server series (1-minute look-back every 15 s)."""
     return Q.panel_requests_per_s(fx.fx_request_log, START, END, by=["server_id"])
 
 
+@query("q1_requests_per_s_from_mid_day", f"""
+with w as (select (t_us - t_us % 15000000) - k * 15000000 as ws from fx_request_log, range(4) r(k) where {rng(60, MID_US)})
+select make_timestamp(ws) as window_start, count(*) as requests, round(count(*) / 60.0, 6) as per_second
+from w where {ends(60, MID_US)} group by ws""")
+def q1_requests_per_s_from_mid_day(fx):
+    """Q1 over a range that begins inside the data: the first points still see
+    their whole look-back."""
+    return Q.panel_requests_per_s(fx.fx_request_log, MID_US, END)
+
+
 @query("q2_duration_p95_by_server", f"""
-with {hist_quantile_sql(f"select server_id, duration_s, (t_us - t_us % 15000000) - k * 15000000 as ws from fx_request_log, range(4) r(k) where {RANGE}", ["server_id", "ws"], "duration_s", A.REQUEST_DURATION_EDGES, 0.95).strip()}
+with {hist_quantile_sql(f"select server_id, duration_s, (t_us - t_us % 15000000) - k * 15000000 as ws from fx_request_log, range(4) r(k) where {rng(60)}", ["server_id", "ws"], "duration_s", A.REQUEST_DURATION_EDGES, 0.95, where=ends(60)).strip()}
 select server_id, make_timestamp(ws) as window_start, round(quantile_value, 6) as quantile_value from res""")
 def q2_duration_p95_by_server(fx):
     """Q2: p95 duration by server from 1-minute histograms every 15 s."""
@@ -55,11 +74,11 @@ def q2_duration_p95_by_server(fx):
 
 @query("q3_error_rate_by_server", f"""
 with w as (select server_id, status_code, (t_us - t_us % 15000000) - k * 15000000 as ws
-           from fx_request_log, range(4) r(k) where {RANGE})
+           from fx_request_log, range(4) r(k) where {rng(60)})
 select server_id, make_timestamp(ws) as window_start, count(*) as requests,
        count(*) filter (where regexp_matches(cast(status_code as varchar), '^5..$')) as errors,
        round(100.0 * count(*) filter (where regexp_matches(cast(status_code as varchar), '^5..$')) / count(*), 6) as error_pct
-from w group by server_id, ws""")
+from w where {ends(60)} group by server_id, ws""")
 def q3_error_rate_by_server(fx):
     """Q3: 5xx percentage per server (1-minute windows every 15 s)."""
     return Q.panel_error_rate(fx.fx_request_log, START, END)
@@ -104,9 +123,9 @@ def q6_memory_all_servers(fx):
 
 @query("q7_model_predictions_per_s", f"""
 with w as (select (t_us - t_us % 15000000) - k * 15000000 as ws
-           from fx_model_calls, range(4) r(k) where outcome = 'ok' and {RANGE})
+           from fx_model_calls, range(4) r(k) where outcome = 'ok' and {rng(60)})
 select make_timestamp(ws) as window_start, count(*) as requests, round(count(*) / 60.0, 6) as per_second
-from w group by ws""")
+from w where {ends(60)} group by ws""")
 def q7_model_predictions_per_s(fx):
     """Q7: model predictions per second."""
     return Q.panel_model_predictions_per_s(fx.fx_model_calls, START, END)
@@ -126,20 +145,20 @@ def q8_breaker_state(fx):
 
 @query("q9_memo_hit_pct", f"""
 with w as (select outcome, (t_us - t_us % 15000000) - k * 15000000 as ws
-           from fx_model_calls, range(20) r(k) where {RANGE})
+           from fx_model_calls, range(20) r(k) where {rng(300)})
 select make_timestamp(ws) as window_start,
        round(case when count(*) filter (where outcome in ('hit', 'ok', 'error')) > 0 then
          100.0 * count(*) filter (where outcome = 'hit') / count(*) filter (where outcome in ('hit', 'ok', 'error')) end, 6)
          as hit_pct
-from w group by ws""")
+from w where {ends(300)} group by ws""")
 def q9_memo_hit_pct(fx):
     """Q9: memo hit % over 5-minute windows every 15 s."""
     return Q.panel_memo_hit_pct(fx.fx_model_calls, START, END)
 
 
 @query("q10_model_latency_p95_ms", f"""
-with {hist_quantile_sql(f"select latency_s, (t_us - t_us % 15000000) - k * 15000000 as ws from fx_model_calls, range(4) r(k) where outcome = 'ok' and {RANGE}", ["ws"], "latency_s", A.MODEL_LATENCY_EDGES, 0.95, "p95_ms", 1000.0).strip()}
+with {hist_quantile_sql(f"select latency_s, (t_us - t_us % 15000000) - k * 15000000 as ws from fx_model_calls, range(20) r(k) where outcome = 'ok' and {rng(300)}", ["ws"], "latency_s", A.MODEL_LATENCY_EDGES, 0.95, "p95_ms", 1000.0, ends(300)).strip()}
 select make_timestamp(ws) as window_start, round(p95_ms, 6) as p95_ms from res""")
 def q10_model_latency_p95_ms(fx):
-    """Q10: p95 model latency (ms) from 1-minute inference histograms."""
+    """Q10: p95 model latency (ms) from 5-minute inference histograms."""
     return Q.panel_model_latency_p95_ms(fx.fx_model_calls, START, END)

@@ -10,12 +10,16 @@ from reqlens.plans.catalog import AS_OF_US, MID_US, query
 from reqlens.sources.fixtures import BASE_US
 
 
-@query("w1_smooth_cpu", """
+def _smooth_sql(alpha: float) -> str:
+    return f"""
 select id, server_id, created_at,
   round(least(greatest(list_reduce(list(cpu_usage) over (partition by server_id order by t_us, id
-        rows between 127 preceding and current row),
-        lambda acc, x: acc * cast(0.7 as double) + x * cast(0.3 as double)), 0), 100), 1) as smoothed
-from fx_metrics""")
+        rows between unbounded preceding and current row),
+        lambda acc, x: acc * cast({1 - alpha} as double) + x * cast({alpha} as double)), 0), 100), 1) as smoothed
+from fx_metrics"""
+
+
+@query("w1_smooth_cpu", _smooth_sql(0.3))
 def w1_smooth_cpu(fx):
     """W1 + P8: exponentially smoothed cpu per server (seeded by the first
     sample), clamped to [0, 100] and rounded to one decimal."""
@@ -23,6 +27,13 @@ def w1_smooth_cpu(fx):
     return S.smooth(m, "cpu_usage", ["server_id"], "t_us", "id").select("id", "server_id", "created_at", "smoothed")
 
 
+@query("w1_smooth_cpu_slow", _smooth_sql(0.01))
+def w1_smooth_cpu_slow(fx):
+    """W1 with alpha 0.01, where thousands of samples back still count."""
+    m = fx.fx_metrics.select("id", "server_id", "created_at", "t_us", "cpu_usage")
+    return S.smooth(m, "cpu_usage", ["server_id"], "t_us", "id", alpha=0.01).select("id", "server_id", "created_at", "smoothed")
+
+
 @query("w2_error_blend", """
 select id, server_id, created_at,
   round(1 - pow(0.9, sum(case when not status then 1 else 0 end) over (partition by server_id order by t_us, id
@@ -48,7 +59,7 @@ def w3_success_rate_at_samples(fx):
 
 @query("w4_counter_rate_1m", """
 with d as (select server_id, t_us // 60000000 as b, value,
-                  lag(value) over (partition by server_id, t_us // 60000000 order by t_us) as prev
+                  lag(value) over (partition by server_id, t_us // 60000000 order by t_us, id) as prev
            from fx_counter_samples)
 select server_id, make_timestamp(b * 60000000) as window_start, count(*) as samples,
        round(coalesce(sum(case when prev is null then null when value < prev then value else value - prev end), 0), 6) as increase,
@@ -57,14 +68,13 @@ from d group by server_id, b""")
 def w4_counter_rate_1m(fx):
     """Reset-tolerant counter increase and per-second rate, 1-minute
     windows per server."""
-    return S.counter_rate(fx.fx_counter_samples, ["server_id"], "t_us", "value", 60)
+    return S.counter_rate(fx.fx_counter_samples, ["server_id"], "t_us", "value", 60, tie="id")
 
 
 @query("w5_inflight_at_arrival", """
 select a.id, a.server_id, a.start_us, count(*) as inflight
 from fx_intervals a join fx_intervals b
-  on a.server_id = b.server_id and b.start_us <= a.start_us and b.end_us > a.start_us
-where a.end_us > a.start_us and b.end_us > b.start_us
+  on a.server_id = b.server_id and b.start_us <= a.start_us and (b.end_us > a.start_us or b.id = a.id)
 group by a.id, a.server_id, a.start_us""")
 def w5_inflight_at_arrival(fx):
     """In-flight requests on the server when each request arrives

@@ -52,14 +52,14 @@ from {region}""",
     "fx_requests": """
 select event_id as id, cast(user_id % 5 + 1 as int) as server_id, event_type <> 'error' as status,
        cast(floor(value) as bigint) as response_time_ms, @TS[t_us] as created_at, t_us
-from {ev} where event_id % 2 = 1""",
+from {ev}""",
     "fx_metrics": """
 select event_id as id, cast(user_id % 5 + 1 as int) as server_id,
        least(value, cast(100 as double)) as cpu_usage, cast(k as double) as memory_usage,
        cast(event_id % 7 as int) as request_count,
        cast(case when event_type = 'error' then 0.5 else 1.0 end as double) as success_rate,
-       @TS[t_us] as created_at, t_us
-from {ev} where event_id % 2 = 0""",
+       @TS[t_us + 1700000] as created_at, t_us + 1700000 as t_us
+from {ev}""",
     "fx_request_log": """
 select event_id as id, concat('req-', @STR[event_id]) as request_id,
        case when event_id % 5 = 0 then 'GET' else 'POST' end as method,
@@ -68,7 +68,7 @@ select event_id as id, concat('req-', @STR[event_id]) as request_id,
             when k < 10 then 404 else 200 end as status_code,
        value / 1000 as duration_s, concat('10.0.0.', @STR[user_id % 256]) as remote_ip,
        cast(user_id % 5 + 1 as int) as server_id, @TS[t_us] as ts, t_us
-from {ev} where event_id % 2 = 1""",
+from {ev}""",
     "fx_probes": """
 select event_id @DIV 3 as probe_id, cast(event_id % 3 as int) as attempt,
        cast((event_id @DIV 3) % 5 + 1 as int) as server_id,
@@ -78,11 +78,11 @@ from {ev}""",
     "fx_intervals": """
 select event_id as id, cast(user_id % 5 + 1 as int) as server_id,
        t_us - cast(floor(value * 1000000) as bigint) as start_us, t_us as end_us
-from {ev} where event_id % 2 = 1""",
+from {ev}""",
     "fx_counter_samples": """
-select cast(user_id % 5 + 1 as int) as server_id, cast((event_id @DIV 2) % 50 as double) as value,
+select event_id as id, cast(user_id % 5 + 1 as int) as server_id, cast((event_id @DIV 2) % 50 as double) as value,
        @TS[t_us] as ts, t_us
-from {ev} where event_id % 2 = 0""",
+from {ev}""",
     "fx_model_calls": """
 select event_id as id,
        case event_type when 'view' then 'hit' when 'error' then 'error' else 'ok' end as outcome,
@@ -92,12 +92,12 @@ from {ev}""",
 select md5(@STR[event_id]) as trace_id, concat('a', @STR[event_id]) as span_id,
        cast(null as string) as parent_span_id, 'load-balancer' as service, 'ProxyRequest' as name,
        event_type = 'error' as failed, t_us as start_us, t_us + cast(floor(value * 1000) as bigint) as end_us
-from {ev} where event_id % 2 = 1
+from {ev}
 union all
 select md5(@STR[event_id]), concat('b', @STR[event_id]), concat('a', @STR[event_id]),
        concat('backend-', @STR[user_id % 5 + 1]), 'handle', event_type = 'error',
        t_us + 100, t_us + 100 + cast(floor(value * 900) as bigint)
-from {ev} where event_id % 2 = 1""",
+from {ev}""",
     "fx_log_lines": """
 select event_id as id, 'load-balancer' as service,
        concat('{"level":"', case when event_type = 'error' then 'error' when k < 10 then 'warn' else 'info' end,
@@ -107,7 +107,7 @@ select event_id as id, 'load-balancer' as service,
               ',"duration":', @STR[cast(floor(value) as bigint) @DIV 100], '.',
               @STR[cast(floor(value) as bigint) % 100 @DIV 10],
               ',"remote_ip":"10.0.0.', @STR[user_id % 256], '","traceID":"', md5(@STR[event_id]), '"}') as line
-from {ev} where event_id % 2 = 1""",
+from {ev}""",
     # One configured backend URL per event.  Hosts 6 and 7 are not in the
     # registry; some URLs lack a port (-> 80) and some have a bad port.
     "fx_config_urls": """
@@ -151,7 +151,7 @@ select event_id as id,
        case when event_type = 'error' and k % 2 = 1 then cast(null as int)
             when event_type = 'error' then 503 when k < 10 then 404 else 200 end as upstream_status,
        event_type = 'error' and k % 2 = 1 as transport_error
-from {ev} where event_id % 2 = 1""",
+from {ev}""",
     # Log timestamps as shipped: RFC3339 with nanos (UTC or an offset), or Unix ms.
     "fx_ts_strings": """
 select event_id as id,

@@ -33,7 +33,11 @@ METRICS_SCHEMA = T.StructType([
     T.StructField("created_at", T.TimestampNTZType())])
 
 # Older schema variant: column renames accepted at read time.
-LEGACY_RENAMES = {"response_time": "response_time_ms", "timestamp": "created_at", "load": "cpu_usage"}
+LEGACY_RENAMES = {"response_time": "response_time_ms", "timestamp": "created_at", "last_checked": "updated_at"}
+
+# Columns that a table may lack, with what they hold then; any other missing
+# column is an error.
+OPTIONAL = {"weight": 1, "capacity": 1, "updated_at": None, "request_count": None, "success_rate": None}
 
 
 def _time_window(df: DataFrame, ts: str, as_of: str | None, lookback_s: int | None) -> DataFrame:
@@ -53,8 +57,19 @@ def _adapt(df: DataFrame, schema: T.StructType) -> DataFrame:
     for old, new in LEGACY_RENAMES.items():
         if old in df.columns and new not in df.columns and new in schema.fieldNames():
             df = df.withColumnRenamed(old, new)
-    cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns
-            else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    missing = [f.name for f in schema.fields if f.name not in df.columns and f.name not in OPTIONAL]
+    if missing:
+        raise ValueError(f"table lacks columns {missing}; it has {df.columns}")
+
+    def column(f: T.StructField):
+        if f.name not in df.columns:
+            return F.lit(OPTIONAL[f.name]).cast(f.dataType)
+        c = F.col(f.name)
+        if isinstance(df.schema[f.name].dataType, (T.FloatType, T.DoubleType)) and isinstance(f.dataType, T.LongType):
+            c = F.round(c)          # the older schema has fractional milliseconds
+        return c.cast(f.dataType)
+
+    cols = [column(f).alias(f.name) for f in schema.fields]
     extra = [c for c in ("dt",) if c in df.columns]
     return df.select(*cols, *extra)
 
@@ -66,12 +81,18 @@ def read_requests(spark: SparkSession, path: str, as_of: str | None = None,
     return _time_window(df, "created_at", as_of, lookback_s)
 
 
-def read_requests_jdbc(spark: SparkSession, url: str, table: str = "requests", lower_id: int = 0,
-                       upper_id: int = 1 << 40, partitions: int = 64, properties: dict | None = None,
+def read_requests_jdbc(spark: SparkSession, url: str, table: str = "requests", lower_id: int | None = None,
+                       upper_id: int | None = None, partitions: int = 64, properties: dict | None = None,
                        as_of: str | None = None, lookback_s: int | None = None) -> DataFrame:
     """S1 from the relational store: parallel JDBC read split on the id
-    column (``partitions`` range queries); the time filter is pushed to the
-    database by Spark's JDBC source."""
+    column (``partitions`` range queries between the least and largest id, which
+    are read first unless given); the time filter is pushed to the database by
+    Spark's JDBC source."""
+    if lower_id is None or upper_id is None:
+        ids = spark.read.jdbc(url, f"(select min(id) as lo, max(id) as hi from {table}) as ids",
+                              properties=properties or {}).first()
+        lower_id = (ids["lo"] or 0) if lower_id is None else lower_id
+        upper_id = (ids["hi"] or 0) + 1 if upper_id is None else upper_id
     df = spark.read.jdbc(url, table, column="id", lowerBound=lower_id, upperBound=upper_id,
                          numPartitions=partitions, properties=properties or {})
     return _time_window(_adapt(df, REQUESTS_SCHEMA), "created_at", as_of, lookback_s)
@@ -89,12 +110,15 @@ def read_metrics(spark: SparkSession, path: str, as_of: str | None = None,
     return _time_window(df, "created_at", as_of, lookback_s)
 
 
-def append_partitioned(df: DataFrame, path: str, ts: str = "created_at") -> None:
+def append_partitioned(df: DataFrame, path: str, ts: str = "created_at", rows_per_file: int = 5_000_000) -> None:
     """Append rows to a day-partitioned Parquet table, sorted
-    within files by (server_id, ts) so row-group statistics prune on both."""
+    within files by (server_id, ts) so row-group statistics prune on both.
+    Tasks are ranges of (day, server, time) of about ``rows_per_file`` rows, so
+    a large day or server is written by many tasks."""
     out = df.withColumn("dt", F.to_date(F.col(ts)))
     sort_cols = [c for c in ("server_id", ts) if c in out.columns]
-    out.repartition("dt").sortWithinPartitions(*sort_cols) \
+    n = max(1, -(-out.count() // int(rows_per_file)))
+    out.repartitionByRange(n, "dt", *sort_cols).sortWithinPartitions("dt", *sort_cols) \
        .write.mode("append").partitionBy("dt").parquet(path)
 
 
