@@ -139,6 +139,11 @@ def labelled_findings(spark: SparkSession, rows: int = MAX_FINDINGS) -> DataFram
     digest_name = pick(2, "commit", "sha256", "checksum", "md5", "etag", "revision", "digest", "build")
     plain = pick(3, "the", "of", "see", "with", "from", "und", "que", "les")
     prose = F.concat(caps(4), caps(5), caps(6), F.pmod(F.col("id"), F.lit(9)).cast("string"))
+    def invented(k: int) -> Column:
+        return F.initcap(F.concat(*[pick(10 * k + j, "ka", "lo", "mi", "ter", "ven", "dra", "pol", "ing", "tion", "est", "ber")
+                                    for j in range(3)]))
+
+    camel = F.concat(pick(11, "get", "Very", "my", "The"), invented(2), caps(12), invented(3), F.pmod(F.col("id"), F.lit(7)).cast("string"))
     path = pick(7, "src/main.py", "app/config.yml", "deploy/env.sh", "notes.txt", "data.csv", "server.go")
     sample = pick(8, "tests/test_login.py", "docs/readme.md", "examples/demo.js", "package.lock")
     eq = F.lit("=")
@@ -160,6 +165,10 @@ def labelled_findings(spark: SparkSession, rows: int = MAX_FINDINGS) -> DataFram
         (0.0, F.concat(pick(9, "your_", "example_", "dummy_", "test_"), F.lower(caps(4)), F.lit("_key_1234567")), sample,
          name, eq, True),
         (0.0, F.regexp_replace(F.substring(h[3], 1, 20), "[a-f]", "7"), path, plain, plain, False),
+        (0.0, camel, path, plain, plain, False), (0.0, camel, path, plain, name, False),
+        (0.0, F.concat(F.lower(invented(4)), F.lit("_"), F.lower(invented(5)), F.lit("_"), F.lower(caps(13)), F.lit("_2")), path,
+         plain, plain, False),
+        (0.0, F.concat(F.lit("com/"), F.lower(invented(6)), F.lower(invented(7)), F.lit("/index9")), path, plain, plain, False),
     ]
     kind = F.pmod(F.col("id"), F.lit(len(kinds)))
 
