@@ -170,10 +170,48 @@ def quantile_summary(df: DataFrame, value: str, by: Sequence[str], ts: str,
 
 
 def latency_percentiles(df: DataFrame, value: str, by: Sequence[str],
-                        qs: Sequence[float] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Exact percentiles (linear interpolation) per group."""
-    g = df.groupBy(*by).agg(exact_percentile(value, list(qs)).alias("_p"))
-    return g.select(*by, *[F.col("_p")[i].alias(f"p{int(round(q * 100))}") for i, q in enumerate(qs)])
+                        qs: Sequence[float] = (0.5, 0.9, 0.95, 0.99), slices: int = 64) -> DataFrame:
+    """Exact percentiles (linear interpolation) per group; nulls do not
+    count, a group of nulls only has no row.
+
+    Rows are first counted per value (map-side combine).  A group's values are
+    then dealt in ``slices`` by approximate quantiles, and the slices' running
+    totals give every value its ranks, so no task holds a group."""
+    by = list(by)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    cuts = [k / slices for k in range(1, slices)]
+    edges = counts.groupBy(*by).agg(F.percentile_approx("_v", cuts, 1000).alias("_edges"), F.sum("_n").alias("_all"))
+    edges = edges.select(*[F.col(c).alias(f"_by{j}") for j, c in enumerate(by)], "_edges", "_all")
+
+    def on(left: DataFrame, right: DataFrame):
+        cond = F.lit(True)
+        for j, c in enumerate(by):
+            cond = cond & left[c].eqNullSafe(right[f"_by{j}"])
+        return cond
+
+    dealt = counts.join(edges, on(counts, edges)).drop(*[f"_by{j}" for j in range(len(by))]).withColumn(
+        "_s", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
+    before = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*by, "_s").agg(F.sum("_n").alias("_t")).select(
+        *[F.col(c).alias(f"_by{j}") for j, c in enumerate(by)], F.col("_s").alias("_s2"),
+        F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy(*by, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = dealt.withColumn("_to", F.sum("_n").over(inside))
+    ranked = ranked.join(totals, on(ranked, totals) & (ranked["_s"] == totals["_s2"])).withColumn(
+        "_to", F.col("_to") + F.col("_first")).withColumn("_from", F.col("_to") - F.col("_n"))
+
+    def at(rank):
+        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
+
+    picks = []
+    for k, q in enumerate(qs):
+        place = F.lit(float(q)) * (F.col("_all") - 1)
+        picks += [at(F.floor(place)).alias(f"_lo{k}"), at(F.ceil(place)).alias(f"_hi{k}"),
+                  F.max(place - F.floor(place)).alias(f"_w{k}")]
+    g = ranked.groupBy(*by).agg(*picks)
+    return g.select(*by, *[(F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * F.col(f"_w{k}")).alias(
+        f"p{int(round(q * 100))}") for k, q in enumerate(qs)])
 
 
 # --- A10 / A14 / A18 ----------------------------------------------------------

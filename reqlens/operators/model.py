@@ -110,9 +110,12 @@ def score(df: DataFrame, model: PipelineModel, features: Sequence[str] = FEATURE
 # --- M8 -----------------------------------------------------------------------
 
 def memo_key(snapshots: DataFrame, decision: str = "tick") -> DataFrame:
-    """M8: memo key per decision: ``id|cpu(2dp)|mem(2dp)|`` of every pool
-    server, concatenated in pool order.  A decision has one row per pool
-    server, so each group is bounded by the pool size."""
+    """M8: memo key per decision: ``id|cpu(2dp)|mem(2dp)|`` of every healthy
+    server of the pool, concatenated in pool order (all of them when the
+    snapshots have no ``alive`` flag).  A decision has one row per pool server,
+    so each group is bounded by the pool size."""
+    if "alive" in snapshots.columns:
+        snapshots = snapshots.filter("alive")
     piece = F.format_string("%d|%.2f|%.2f|", F.col("server_id"), F.col("cpu_usage"), F.col("memory_usage"))
     g = snapshots.groupBy(decision).agg(F.array_sort(F.collect_list(F.struct("pos", piece.alias("p")))).alias("_k"))
     return g.select(decision, F.array_join(F.transform("_k", lambda x: x["p"]), "").alias("memo_key"))
@@ -147,7 +150,7 @@ def decision_snapshots(metrics: DataFrame, intervals: DataFrame, requests: DataF
                        health_runs: DataFrame, pool: DataFrame, step_s: int = 15,
                        lookback_s: int = 300, p95_window_s: int = 300, slide_s: int = 60) -> DataFrame:
     """What the model strategy sees per pool server at each 15-s tick:
-    cpu / memory (latest sample within the look-back, W6), active
+    cpu / memory (latest sample within the look-back, W6, else 0), active
     connections (requests in flight at the tick, W5), blended error rate
     (failures so far, W2), p95 latency of the last complete 5-minute window
     (sliding by 1 minute), alive flag (outside the W7 down runs), weight and
@@ -160,10 +163,16 @@ def decision_snapshots(metrics: DataFrame, intervals: DataFrame, requests: DataF
     step = int(step_s) * 1_000_000
     m = metrics.withColumn("cm", F.struct("cpu_usage", "memory_usage"))
     g = gauge_at_ticks(m, ["server_id"], "t_us", "cm", "id", step_s, lookback_s)
-    snap = g.select("server_id", "tick", F.unix_micros(F.col("tick").cast("timestamp")).alias("tick_us"),
+    seen = g.select("server_id", F.unix_micros(F.col("tick").cast("timestamp")).alias("tick_us"),
                     F.col("cm.cpu_usage").alias("cpu_usage"), F.col("cm.memory_usage").alias("memory_usage"))
-    pool_small = broadcast_if_small(pool.select("server_id", "pos", "weight", "capacity"))
-    snap = snap.join(pool_small, "server_id", "inner")
+    # every pool server at every tick, sampled or not
+    lo, hi = metrics.agg(F.min("t_us"), F.max("t_us")).first()
+    ticks = F.sequence(F.lit(-(-lo // step)), F.lit((hi + lookback_s * 1_000_000) // step)) if lo is not None \
+        else F.array().cast("array<bigint>")
+    grid = pool.select("server_id", "pos", "weight", "capacity", F.explode(ticks).alias("_k")) \
+        .withColumn("tick_us", F.col("_k").cast("bigint") * F.lit(step)).drop("_k") \
+        .withColumn("tick", micros_ts("tick_us"))
+    snap = grid.join(seen, ["server_id", "tick_us"], "left").fillna(0.0, ["cpu_usage", "memory_usage"])
     # active connections at the tick
     snap = materialize(inflight(intervals, ["server_id"], "start_us", "end_us", points=snap, point_us="tick_us",
                                 name="conns"))  # read twice below (points of the error-rate running sum)

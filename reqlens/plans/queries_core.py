@@ -216,6 +216,14 @@ def a18_rate_breaches(fx):
     return A.rate_breaches(fx.fx_request_log)
 
 
+@query("a18_rate_breaches_per_minute", """
+select remote_ip, make_timestamp(t_us - t_us % 60000000) as window_start, count(*) as requests
+from fx_request_log group by remote_ip, t_us - t_us % 60000000 having count(*) > 1""")
+def a18_rate_breaches_per_minute(fx):
+    """A18 with a limit that the data breaks: above 1 request in a minute."""
+    return A.rate_breaches(fx.fx_request_log, limit=1, width="1 minute")
+
+
 @query("a13_traffic_share", """
 with n as (select server_id, count(*) as requests from fx_requests group by server_id),
 j as (select s.id as server_id, coalesce(n.requests, 0) as requests, s.weight from fx_servers s

@@ -37,8 +37,12 @@ g as (select t.server_id, t.k * 15000000 as tick_us, m.cpu_usage, m.memory_usage
              row_number() over (partition by t.server_id, t.k order by m.t_us desc, m.id desc) as rn
       from tk t join fx_metrics m
         on m.server_id = t.server_id and m.t_us <= t.k * 15000000 and m.t_us >= t.k * 15000000 - 300000000),
-s0 as (select g.server_id, g.tick_us, p.pos, g.cpu_usage, g.memory_usage, p.weight, p.capacity
-       from g join pool p on p.server_id = g.server_id where g.rn = 1),
+ticks as (select unnest(generate_series(lo, hi)) * 15000000 as tick_us
+          from (select (min(t_us) + 14999999) // 15000000 as lo, (max(t_us) + 300000000) // 15000000 as hi from fx_metrics)),
+s0 as (select p.server_id, ticks.tick_us, p.pos, coalesce(g.cpu_usage, 0) as cpu_usage,
+              coalesce(g.memory_usage, 0) as memory_usage, p.weight, p.capacity
+       from pool p cross join ticks
+       left join g on g.server_id = p.server_id and g.tick_us = ticks.tick_us and g.rn = 1),
 cn as (select s0.server_id, s0.tick_us, count(i.id) as conns from s0 left join fx_intervals i
          on i.server_id = s0.server_id and i.start_us <= s0.tick_us and i.end_us > s0.tick_us and i.end_us > i.start_us
        group by s0.server_id, s0.tick_us),
@@ -78,7 +82,7 @@ def m10_decision_snapshots(fx):
 @query("m8_memo_hits", f"""
 with {SNAP_SQL.strip()},
 keys as (select tick_us, string_agg(printf('%d|%.2f|%.2f|', server_id, cpu_usage, memory_usage), '' order by pos) as memo_key
-         from snap group by tick_us),
+         from snap where alive group by tick_us),
 fs as (select memo_key, min(tick_us) as first from keys group by memo_key)
 select keys.tick_us, keys.memo_key, keys.tick_us > fs.first as hit from keys join fs using (memo_key)""")
 def m8_memo_hits(fx):

@@ -1,7 +1,9 @@
-"""Dashboard panel queries Q1-Q10 (Q11, the log list, is p12_server_error_logs)."""
+"""Dashboard panel queries Q1-Q11."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from reqlens.operators import aggs as A
 from reqlens.operators import routing as R
 from reqlens.operators import series as S
@@ -9,6 +11,7 @@ from reqlens.plans import panels as Q
 from reqlens.plans.catalog import AS_OF_US, MID_US, query
 from reqlens.plans.queries_core import edge_values
 from reqlens.plans.queries_series import BREAKER_SQL
+from reqlens.sources import logs as L
 from reqlens.sources.fixtures import BASE_US
 
 START, END = BASE_US, AS_OF_US  # the whole 12-hour range of the data
@@ -162,3 +165,15 @@ select make_timestamp(ws) as window_start, round(p95_ms, 6) as p95_ms from res""
 def q10_model_latency_p95_ms(fx):
     """Q10: p95 model latency (ms) from 5-minute inference histograms."""
     return Q.panel_model_latency_p95_ms(fx.fx_model_calls, START, END)
+
+
+@query("q11_service_logs", f"""
+select id, json_extract_string(line, '$.level') as level, cast(json_extract(line, '$.status') as integer) as status
+from fx_log_lines where service = 'load-balancer'
+  and cast(json_extract_string(line, '$.ts') as bigint) * 1000 >= {MID_US}
+  and cast(json_extract_string(line, '$.ts') as bigint) * 1000 < {END}""")
+def q11_service_logs(fx):
+    """Q11: every log line of the service from mid-day on."""
+    logs = L.parse_logs(fx.fx_log_lines)
+    logs = logs.withColumn("t_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return Q.panel_logs(logs, MID_US, END).select("id", "level", "status")
