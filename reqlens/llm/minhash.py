@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reqlens.llm.common import require, small_batches, stage
+from reqlens.llm.common import discard, require, small_batches, stage
 from reqlens.llm.components import connected_components
 
 BANDS, ROWS = 25, 5
@@ -256,8 +256,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = stage(rep_sets(ends), "sets")
         one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
         two = one.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
-        return stage(two.select("a", "b", "sa", "sb").mapInArrow(_checker(num, den), "a binary, b binary").distinct(),
-                     label)
+        out = stage(two.select("a", "b", "sa", "sb").mapInArrow(_checker(num, den), "a binary, b binary").distinct(),
+                    label)
+        discard(sets)
+        return out
 
     stars = stage(members.join(hubs, ["band", "key"]).filter("cls <> hub").select(
         F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct(), "stars")
@@ -282,9 +284,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = small.join(sketches, "cls").withColumn(
             "g", F.pmod(F.xxhash64("band", "key"), F.lit(max(1, n_small // 4000)))).groupBy("g").applyInPandas(
             _small_pairs(least), "a binary, b binary").distinct()
-        more.append(checked(stage(near.join(stars, ["a", "b"], "left_anti"), "near"), "more"))
+        new = stage(near.join(stars, ["a", "b"], "left_anti"), "near")
+        more.append(checked(new, "more"))
+        discard(new)
     if n_large:
-        more.append(stage(_large_links(large, hubs, marks, rep_sets, least, num, den), "more"))
+        more.append(_large_links(large, hubs, marks, rep_sets, least, num, den))
     for found in more:
         links = links.unionByName(found)
     if more and not all(found.isEmpty() for found in more):
@@ -295,13 +299,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "copies > 1 or comp is not null").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     least_id = shared.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = stage(shared.join(least_id, "comp").select("cls", "component_id", F.lit(True).alias("found")), "named")
+    discard(reps, members, hubs, stars, left)
     rows_out = signed.select("id", "n", "cls")
     joined = rows_out.filter("cls is not null").join(named, "cls", "left").select(
         "id", "n", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     alone = rows_out.filter("cls is null").select("id", "n", F.col("id").alias("component_id"))
-    return joined.unionByName(alone).select(
+    out = joined.unionByName(alone).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out.reads = (signed, named)
+    return out
 
 
 def _large_links(large: DataFrame, hubs: DataFrame, marks: DataFrame, rep_sets, least: int, num: int, den: int) -> DataFrame:
@@ -325,9 +332,11 @@ def _large_links(large: DataFrame, hubs: DataFrame, marks: DataFrame, rep_sets,
                          F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("sb"), seat.alias("mb"))
     both = stage(left.unionByName(right), "blocks")
     tasks = max(1, both.count() // 1500)
-    return both.join(full, "cls").withColumn(
+    found = stage(both.join(full, "cls").withColumn(
         "g", F.pmod(F.xxhash64("band", "key", "sb", "mb"), F.lit(tasks))).groupBy("g").applyInPandas(
-        _block_links(least, num, den), "a binary, b binary").distinct()
+        _block_links(least, num, den), "a binary, b binary").distinct(), "more")
+    discard(full, dealt, both)
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -337,9 +346,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     verdict = near_duplicates(docs, id_col, text_col, **options)
     ids = stage(verdict.groupBy(F.col(id_col).alias("_id")).agg(
         F.max(F.col("kept").cast("int")).alias("_kept"), F.count(F.lit(1)).alias("_rows")), "verdict")
-    good = ids.filter("_kept = 1")
-    single = good.filter("_rows = 1").select("_id")
-    out = docs.join(single, docs[id_col].eqNullSafe(single["_id"]), "left_semi")
-    many = good.filter("_rows > 1").select("_id")
-    twins = docs.join(many, docs[id_col].eqNullSafe(many["_id"]), "left_semi")
-    return out.unionByName(twins.dropDuplicates([id_col]))
+    discard(*verdict.reads)
+    gone = ids.filter("_kept = 0").select("_id")
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    many = ids.filter("_kept = 1 and _rows > 1").select("_id")
+    if many.isEmpty():
+        return out
+    same = docs[id_col].eqNullSafe(many["_id"])
+    return out.join(many, same, "left_anti").unionByName(docs.join(many, same, "left_semi").dropDuplicates([id_col]))
