@@ -116,6 +116,19 @@ def w7_health_transitions(fx):
     return S.health_transitions(S.probe_outcomes(fx.fx_probes))
 
 
+@query("w7_transitions_with_request_failures", f"""
+with {TRANSITIONS_SQL.strip().replace("l as (", """f as (
+  select server_id, cast(id + 1000000000 as bigint) as seq, t_us, false as alive from fx_proxy_outcomes where transport_error),
+l0 as (select * from o union all select * from f),
+l as (""").replace("from o),", "from l0),")} select * from tr""")
+def w7_transitions_with_request_failures(fx):
+    """W7 where a proxied request that fails in transport takes its server down
+    too, until the next good probe."""
+    failed = fx.fx_proxy_outcomes.filter("transport_error").select(
+        "server_id", (F.col("id") + 1_000_000_000).cast("bigint").alias("seq"), "t_us")
+    return S.health_transitions(S.probe_outcomes(fx.fx_probes), failed)
+
+
 @query("w7_uptime", f"""
 with {TRANSITIONS_SQL.strip()},
 fs as (select server_id, min(t_us) as t_us from o group by server_id),

@@ -147,7 +147,7 @@ select event_id as id, cast(user_id % 5 + 1 as int) as server_id,
 from {ev}""",
     # Proxied request outcomes: upstream status, or a transport failure.
     "fx_proxy_outcomes": """
-select event_id as id,
+select event_id as id, cast(user_id % 5 + 1 as int) as server_id, t_us,
        case when event_type = 'error' and k % 2 = 1 then cast(null as int)
             when event_type = 'error' then 503 when k < 10 then 404 else 200 end as upstream_status,
        event_type = 'error' and k % 2 = 1 as transport_error

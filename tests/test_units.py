@@ -185,8 +185,8 @@ def test_inflight_matches_bruteforce_with_small_buckets(spark):
     iv = spark.createDataFrame([(i, 1 + i % 2, i * 7 * SEC, i * 7 * SEC + (i % 9) * 11 * SEC) for i in range(60)],
                                "id long, server_id int, start_us long, end_us long")
     rows = iv.collect()
-    brute = {r["id"]: sum(1 for o in rows if o["server_id"] == r["server_id"] and o["end_us"] > o["start_us"]
-                          and o["start_us"] <= r["start_us"] < o["end_us"]) for r in rows if r["end_us"] > r["start_us"]}
+    brute = {r["id"]: sum(1 for o in rows if o["server_id"] == r["server_id"] and (
+        o["start_us"] <= r["start_us"] < o["end_us"] or o["id"] == r["id"])) for r in rows}
     for b in (5 * SEC, 60 * SEC):
         got = {r["id"]: r["inflight"] for r in inflight(iv, ["server_id"], "start_us", "end_us", bucket_us=b).collect()}
         assert got == brute
@@ -448,3 +448,86 @@ def test_least_connections_live_pool(spark):
            R.least_connections(req, pool_df(spark, 3), bucket_us=60 * SEC, versions=versions)
            .filter("id >= 998").collect()}
     assert out == {998: (3, 7), 999: (None, None)}
+
+
+# -- no cut in the operators ------------------------------------------------
+
+@pytest.mark.parametrize("alpha,chunk", [(0.01, 7), (0.001, 65536), (0.5, 3), (1.0, 5)])
+def test_smoothing_keeps_the_whole_history(spark, alpha, chunk):
+    vals = [(i, i % 2, i, float((i * 37) % 100)) for i in range(600)]
+    d = spark.createDataFrame(vals, "id long, server_id int, t_us long, cpu double")
+    got = {r["id"]: r["smoothed"] for r in
+           S.smooth(d, "cpu", ["server_id"], "t_us", "id", alpha=alpha, chunk=chunk).collect()}
+    state = {}
+    for i, k, _, x in vals:
+        state[k] = x if k not in state else (1 - alpha) * state[k] + alpha * x
+        assert abs(got[i] - state[k]) <= 0.0501
+
+
+def test_inflight_counts_empty_arrivals(spark):
+    iv = spark.createDataFrame([(1, 1, 0, 10), (2, 1, 5, 5), (3, 1, 6, 9)], "id long, server_id int, s long, e long")
+    got = {r["id"]: r["inflight"] for r in inflight(iv, ["server_id"], "s", "e").collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
+
+
+def test_counter_rate_breaks_ties(spark):
+    rows = [(1, 1, 0, 5.0), (2, 1, 10, 7.0), (3, 1, 10, 6.0)]
+    schema = "id long, server_id int, t_us long, value double"
+    for order in (rows, rows[::-1]):
+        got = S.counter_rate(spark.createDataFrame(order, schema), ["server_id"], "t_us", "value", 60, tie="id").first()
+        assert got["increase"] == 2.0 + 6.0
+
+
+def test_exact_percentiles_in_slices(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    rows = [(k % 3, float(v)) for k, v in enumerate(rng.exponential(1.0, 4000).round(2))] + [(None, 1.0), (7, None), (8, 2.0)]
+    got = {r["k"]: tuple(r)[1:] for r in A.latency_percentiles(
+        spark.createDataFrame(rows, "k int, v double"), "v", ["k"]).collect()}
+    want = {}
+    for key in {k for k, _ in rows}:
+        vs = [v for k, v in rows if k == key and v is not None]
+        if vs:
+            want[key] = tuple(np.percentile(vs, [50, 90, 95, 99]))
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_long_numbers_and_blanks_in_configuration(spark):
+    kv = spark.createDataFrame([(1, "SERVER_WEIGHT_a_1", "12345678901"), (2, "SERVER_WEIGHT_b_1", " 5"),
+                                (3, "SERVER_WEIGHT_c_1", "99999999999999999999999")], "pos long, key string, value string")
+    assert {r["host_port"]: r["weight"] for r in J.weight_overrides(kv).collect()} == {"a:1": 12345678901}
+    u = spark.createDataFrame([("http://h:0000080/x",), ("http://h:99999999999",)], "url string")
+    assert [r["port"] for r in P.with_host_port(u).collect()] == [80, None]
+
+
+def test_durations_truncate(spark):
+    d = spark.createDataFrame([(-1500,), (1999,), ((1 << 60) + 999,)], "us long")
+    assert [r[0] for r in d.select(P.to_millis("us")).collect()] == [-1, 1, ((1 << 60) + 999) // 1000]
+
+
+def test_missing_columns_are_an_error(spark, scratch):
+    spark.createDataFrame([(1, 2)], "id long, wrong int").write.parquet(f"{scratch}/bad")
+    with pytest.raises(ValueError, match="server_id"):
+        IO.read_requests(spark, f"{scratch}/bad")
+
+
+def test_older_schema_reads(spark, scratch):
+    spark.sql("select 1L as id, 2 as server_id, true as status, cast(12.6 as float) as response_time, "
+              "timestamp_ntz'2024-01-01 00:00:00' as timestamp").write.parquet(f"{scratch}/old")
+    assert IO.read_requests(spark, f"{scratch}/old").first()["response_time_ms"] == 13
+
+
+def test_a_large_day_is_written_by_many_tasks(spark, scratch):
+    import glob
+    rows = spark.range(2000).selectExpr("id", "cast(id % 2 as int) as server_id", "true as status",
+                                        "id as response_time_ms", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as created_at")
+    IO.append_requests(rows, f"{scratch}/req", rows_per_file=500)
+    assert len(glob.glob(f"{scratch}/req/dt=2024-01-01/*.parquet")) > 1
+    assert IO.read_requests(spark, f"{scratch}/req").count() == 2000
+
+
+def test_memo_key_leaves_out_dead_servers(spark):
+    snap = spark.createDataFrame([(1, 1, 0, 1.0, 2.0, True), (1, 2, 1, 3.0, 4.0, False)],
+                                 "tick int, server_id int, pos int, cpu_usage double, memory_usage double, alive boolean")
+    assert M.memo_key(snap).first()["memo_key"] == "1|1.00|2.00|"
