@@ -23,7 +23,7 @@ from reqlens.llm.common import require, small_batches
 
 #: Texts' chunks whose ids a worker keeps, and the widest tree that is merged
 #: together with others.
-CHUNK_MEMO = 200_000
+CHUNK_MEMO = 500_000
 WIDE = 64
 #: Leaves of the trees that are merged together.
 LEAVES = 1 << 18
@@ -111,8 +111,9 @@ class SegmentTreeBpe:
                 rank = self._rank(ids[r, i], ids[r, j])
                 put(r, i, np.where(rank < _END, rank * width + i, _END))
             rows = rows[tree[rows, 1] < _END]
-        ids = ids[:, :width].astype("<u4")
-        return [ids[k, live[k]].tobytes() for k in range(n)]
+        raw_ids = ids[:, :width][live].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(live.sum(1))).tolist()
+        return [raw_ids[a:b] for a, b in zip([0, *ends], ends)]
 
     def _merge_one(self, piece: bytes) -> bytes:
         """The same for one long piece, with plain lists."""
