@@ -16,7 +16,7 @@
 5. Links are confirmed on the full shingle sets.
 
 With 25 bands of 5 rows, a pair at a similarity of 0.85 shares no bucket with
-probability 4e-7."""
+probability 4e-7; with 28 bands of 4 rows, so does a pair at 0.8."""
 
 from __future__ import annotations
 
@@ -33,6 +33,8 @@ from reqlens.llm.common import discard, require, small_batches, stage
 from reqlens.llm.components import connected_components
 
 BANDS, ROWS = 25, 5
+#: What :func:`drop_near_duplicates` takes: a similarity of 0.8, and bands for it.
+DROP = {"num": 80, "den": 100, "bands": 28, "rows": 4}
 #: Buckets up to SMALL compare their unconnected members pair by pair; larger
 #: ones are dealt in blocks of at most STRAYS by BLOCK members.
 SMALL, STRAYS, BLOCK = 64, 256, 512
@@ -342,8 +344,9 @@ def _large_links(large: DataFrame, hubs: DataFrame, marks: DataFrame, rep_sets,
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` with one document of each near-duplicate group left,
     that of the least id; of rows with the same id one stays.  All columns are
-    returned as they came."""
-    verdict = near_duplicates(docs, id_col, text_col, **options)
+    returned as they came.  ``options`` go to :func:`near_duplicates`; the
+    defaults are those of DROP."""
+    verdict = near_duplicates(docs, id_col, text_col, **(DROP | options))
     ids = stage(verdict.groupBy(F.col(id_col).alias("_id")).agg(
         F.max(F.col("kept").cast("int")).alias("_kept"), F.count(F.lit(1)).alias("_rows")), "verdict")
     discard(*verdict.reads)

@@ -55,7 +55,7 @@ from sets s join reach on reach.d = s.doc_id group by s.doc_id, s.s
 """)
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MinHash near-duplicate groups of ``documents``."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), num=85)
 
 
 @query("op10_quality_rules", r"""

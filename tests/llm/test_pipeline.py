@@ -65,3 +65,22 @@ def test_every_operator_is_registered():
     names = E.queries()
     assert "pipeline" in names
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_near_duplicate_stage_takes_80_percent(spark, scratch):
+    """Against brute force at 0.8, with pairs between 0.80 and 0.85 and below 0.8."""
+    r = random.Random(8)
+    rows, least = [], []
+    for k in range(60):
+        base = [f"w{r.randint(0, 10**9)}" for _ in range(270)]
+        copy = list(base)
+        for at in range(20, 20 + 30 * (5 if k % 3 else 8), 30):   # 5 or 8 words changed, 5 shingles each
+            copy[at] = f"x{r.randint(0, 10**9)}"
+        a, b = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (base, copy))
+        share = len(a & b) / len(a | b)
+        assert 0.80 <= share < 0.85 if k % 3 else share < 0.8
+        rows += [(2 * k, " ".join(base), "en", "s", 1), (2 * k + 1, " ".join(copy), "en", "s", 1)]
+        least += [2 * k] if k % 3 else [2 * k, 2 * k + 1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, scratch)
+    assert sorted(x.doc_id for x in got.collect()) == least
