@@ -41,6 +41,9 @@ SMALL, STRAYS, BLOCK = 64, 256, 512
 #: Words whose hash a worker keeps.
 WORD_MEMO = 400_000
 
+#: Any character that is part of a word.
+NOT_BLANK = "[^\\x20\\x09-\\x0d]"
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _POLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -225,6 +228,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     come out once each.  A null id counts as larger than any other; a
     component of null ids only has a null ``component_id`` and is kept.
     Other columns are ignored; an empty table gives no rows."""
+    judged, _ = _judged(docs, id_col, text_col, shingle, num, den, bands, rows)
+    return judged.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
+                         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int, bands: int,
+            rows: int) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """One row per input row: ``id, n, cls, component_id, first``, and the
+    staged tables that it reads.  ``first`` rows have the least (id, class) of
+    their component, nulls last."""
     require(docs, id_col, text_col)
     spark = docs.sparkSession
     small_batches(spark)
@@ -296,21 +309,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if more and not all(found.isEmpty() for found in more):
         comp = connected_components(links)
 
-    # least id of each class that has company
+    # least id of each class that has company, and the class that stands for all
     shared = reps.join(comp.withColumnRenamed("node", "cls"), "cls", "left").filter(
         "copies > 1 or comp is not null").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
-    least_id = shared.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = stage(shared.join(least_id, "comp").select("cls", "component_id", F.lit(True).alias("found")), "named")
+    least_id = shared.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull().alias("no"), "rep", "cls")).alias("l"))
+    named = stage(shared.join(least_id, "comp").select(
+        "cls", F.col("l.rep").alias("component_id"), (F.col("cls") == F.col("l.cls")).alias("head"),
+        F.lit(True).alias("found")), "named")
     discard(reps, members, hubs, stars, left)
     rows_out = signed.select("id", "n", "cls")
     joined = rows_out.filter("cls is not null").join(named, "cls", "left").select(
-        "id", "n", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    alone = rows_out.filter("cls is null").select("id", "n", F.col("id").alias("component_id"))
-    out = joined.unionByName(alone).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
-        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
-    out.reads = (signed, named)
-    return out
+        "id", "n", "cls", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        (F.col("found").isNull() | (F.col("head") & F.col("id").eqNullSafe(F.col("component_id")))).alias("first"))
+    alone = rows_out.filter("cls is null").select("id", "n", "cls", F.col("id").alias("component_id"),
+                                                  F.lit(True).alias("first"))
+    return joined.unionByName(alone), (signed, named)
 
 
 def _large_links(large: DataFrame, hubs: DataFrame, marks: DataFrame, rep_sets, least: int, num: int, den: int) -> DataFrame:
@@ -341,19 +354,56 @@ def _large_links(large: DataFrame, hubs: DataFrame, marks: DataFrame, rep_sets,
     return found
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def _class_of(shingle: int):
+    """A text's class, as of :func:`_signer`; the text has words."""
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([xxhash.xxh3_128_digest(shingle_set(t, shingle).tobytes())
+                         for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "binary")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
+                         **options) -> DataFrame:
     """Rows of ``docs`` with one document of each near-duplicate group left,
-    that of the least id; of rows with the same id one stays.  All columns are
-    returned as they came.  ``options`` go to :func:`near_duplicates`; the
-    defaults are those of DROP."""
-    verdict = near_duplicates(docs, id_col, text_col, **(DROP | options))
-    ids = stage(verdict.groupBy(F.col(id_col).alias("_id")).agg(
-        F.max(F.col("kept").cast("int")).alias("_kept"), F.count(F.lit(1)).alias("_rows")), "verdict")
-    discard(*verdict.reads)
-    gone = ids.filter("_kept = 0").select("_id")
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
-    many = ids.filter("_kept = 1 and _rows > 1").select("_id")
-    if many.isEmpty():
-        return out
-    same = docs[id_col].eqNullSafe(many["_id"])
-    return out.join(many, same, "left_anti").unionByName(docs.join(many, same, "left_semi").dropDuplicates([id_col]))
+    that of the least id.  All columns are returned as they came.  ``options``
+    go to :func:`near_duplicates`; the defaults are those of DROP.
+
+    Rows are judged by id and text: of rows with one id and equal shingle sets
+    one stays, different texts of one id or without an id stay or go by their
+    own group.  A null id counts as larger than any other.  Blank texts are in
+    no group: one stays for each id, and all of those without an id."""
+    judged, reads = _judged(docs, id_col, text_col, shingle, **(DROP | options))
+    # ids that lose rows, or may: most documents have an id of their own and stay
+    ids = stage(judged.groupBy(F.col("id").alias("_id")).agg(
+        F.max(F.col("first").cast("int")).alias("_kept"), F.count(F.lit(1)).alias("_rows")).filter(
+        "_kept = 0 or _rows > 1 or _id is null"), "verdict")
+    gone = ids.filter("_kept = 0 and _id is not null").select("_id")
+    many = ids.filter("_kept = 1 and _rows > 1 and _id is not null").select("_id")
+    some, nulls = not many.isEmpty(), not ids.filter("_id is null").isEmpty()
+    if not some and not nulls:
+        discard(*reads)
+        return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+
+    first = judged.filter("first and cls is not null").select("id", "cls")
+    mine = first.join(many, first["id"] == many["_id"], "left_semi")
+    keys = stage((mine.unionByName(first.filter("id is null")) if nulls else mine).distinct(), "firsts")
+    discard(*reads)
+    named = ids.filter("_id is not null").select("_id")
+    out = docs.join(named, docs[id_col] == named["_id"], "left_anti")
+    told = docs.join(many, docs[id_col] == many["_id"], "left_semi")
+    if nulls:
+        out = out.filter(docs[id_col].isNotNull())
+        told = told.unionByName(docs.filter(docs[id_col].isNull()))
+    rows = told.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                       F.struct("*").alias("row"))
+    said = F.col("text").rlike(NOT_BLANK)
+    texts = rows.filter(said).withColumn("cls", _class_of(shingle)("text")).alias("r").join(
+        keys.alias("k"), F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.cls") == F.col("k.cls")), "left_semi")
+    blank = rows.filter(~said)
+    kept = [texts.dropDuplicates(["id", "cls"]), blank.filter("id is not null").dropDuplicates(["id"])]
+    if nulls:
+        kept.append(blank.filter("id is null"))
+    for part in kept:
+        out = out.unionByName(part.select("row.*"))
+    return out

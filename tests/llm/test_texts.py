@@ -137,6 +137,23 @@ def test_drop_near_duplicates_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 2, 3, 4]
 
 
+def test_drop_near_duplicates_judges_rows_not_ids(spark):
+    def text(k, n=80):
+        return " ".join(f"t{k}x{j}" for j in range(n))
+    a, b, c, d, e, f = map(text, range(6))
+    rows = [(None, a), (None, b), (None, a), (None, None), (None, " "),           # without an id: a once, b, both blanks
+            (5, c), (5, d), (5, d), (5, ""), (5, None),                           # one id, two texts: each once, one blank
+            (2, e), (8, e + " more"), (8, f), (None, e + " more"),                # the copies of e go, f stays
+            (9, text(6)), (9, text(6) + " more"), (7, text(7)), (None, text(7))]  # a group inside one id; id before null
+    out = minhash.drop_near_duplicates(docs(spark, rows))
+    assert out.columns == SCHEMA.replace(",", "").split()[::2]
+    got = Counter((r.doc_id, None if not words(r.text) else r.text) for r in out.collect())
+    nine = [k for k in got if k[0] == 9]
+    assert len(nine) == 1 and got.pop(nine[0]) == 1
+    assert got == Counter([(None, a), (None, b), (None, None), (None, None), (5, c), (5, d), (5, None), (2, e), (8, f),
+                           (7, text(7))])
+
+
 def test_near_duplicates_empty_table(spark):
     assert minhash.near_duplicates(docs(spark, []).filter("1 = 0")).count() == 0
 
