@@ -35,6 +35,9 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 VOID = frozenset("area base col embed hr input link meta param source track".split())
 HIDDEN = frozenset("script style noscript template iframe svg math object title select textarea button canvas "
                    "video audio".split())
+#: Hidden elements that hold no elements: without an end tag they run to the
+#: end of the page.
+RAW = frozenset("script style iframe title textarea".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"),
           "body": ("head", "p")}
@@ -47,7 +50,8 @@ _ATTR = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>
 _WORD = re.compile(r"[a-z]{2,}")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _MARK = re.compile(r'data-content="([01])"')
-_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in HIDDEN}
+_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_NESTED = re.compile(rf"<(?:{'|'.join(sorted(HIDDEN - RAW))})\b", re.I)
 
 
 @dataclass
@@ -85,9 +89,54 @@ def _element_features(tag: str, attrs: str) -> tuple[str, ...]:
     return got
 
 
+def _raw_end(page: str, tag: str, pos: int) -> int:
+    end = _END[tag].search(page, pos)
+    return end.end() if end else len(page)
+
+
+def _hidden_ends(page: str) -> dict[int, int]:
+    """By the places behind their start tags, the ends of the hidden elements
+    that may hold elements.  One that its parent closes, or the next button a
+    button, lacks its end tag and is not in the table."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    many: Counter = Counter()                       # open elements by name
+
+    def pop(tag: str) -> int:
+        while True:
+            name, at = stack.pop()
+            many[name] -= 1
+            if name == tag:
+                return at
+
+    pos = 0
+    for m in _TAG.finditer(page):
+        if m.start() < pos or not m[2]:
+            continue
+        pos, tag = m.end(), m[2].lower()
+        if m[1]:
+            if many[tag]:
+                at = pop(tag)
+                if tag in HIDDEN:
+                    ends[at] = pos
+        elif tag in RAW:
+            if not m[3].endswith("/"):
+                pos = _raw_end(page, tag, pos)
+        elif tag not in INLINE and tag not in VOID and tag != "br" and not m[3].endswith("/"):
+            if tag == "button" and many[tag]:
+                pop(tag)
+            stack.append((tag, m.end()))
+            many[tag] += 1
+    return ends
+
+
 def dom(page: str) -> Tree:
     """The tree of a page.  Inline elements are part of the text around them,
-    a line break is a space, unclosed elements end where HTML ends them."""
+    a line break is a space, unclosed elements end where HTML ends them.  The
+    text of hidden elements is left out; one that lacks its end tag, though it
+    may hold elements, hides the text up to the next element only."""
+    hidden = _hidden_ends(page) if _NESTED.search(page) else {}
+    mute = False
     t = Tree([-1], [("element", "tag=#root")], [None], [0])
     stack: list[tuple[str, int]] = [("#root", 0)]
     buf: list[str] = []
@@ -127,7 +176,7 @@ def dom(page: str) -> Tree:
         start = m.start()
         if start < pos:
             continue
-        if start > pos:
+        if start > pos and not mute:
             say(page[pos:start])
         pos = m.end()
         tag = m[2]
@@ -142,11 +191,17 @@ def dom(page: str) -> Tree:
             buf.append(" ")
             continue
         if tag in HIDDEN:
+            mute = False
             if not m[1] and not m[3].endswith("/"):
-                end = _END[tag].search(page, pos)
-                pos = end.end() if end else len(page)
+                if tag in RAW:
+                    pos = _raw_end(page, tag, pos)
+                elif pos in hidden:
+                    pos = hidden[pos]
+                else:
+                    mute = True
             buf.append(" ")
             continue
+        mute = False
         flush()
         if tag in VOID:
             continue
@@ -168,7 +223,7 @@ def dom(page: str) -> Tree:
         t.label.append(int(mark[1]) if mark else t.label[up])
         if not m[3].endswith("/"):
             stack.append((tag, len(t.parent) - 1))
-    if pos < len(page):
+    if pos < len(page) and not mute:
         say(page[pos:])
     flush()
     return t

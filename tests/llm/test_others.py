@@ -206,6 +206,21 @@ def test_marginals_are_those_of_full_enumeration(model):
     assert np.allclose([x / total for x in one_of], html_extract.marginals(t, model))
 
 
+def test_html_hidden_elements_without_end_tag():
+    def said(page):
+        return [x for x in html_extract.dom(page).text if x]
+    article = "<article><p>First of all.</p><p>And then more.</p></article>"
+    both = ["First of all.", "And then more."]
+    for tag in ("button", "svg", "math", "video", "audio", "canvas", "select", "object", "noscript", "template"):
+        assert said(f"<body><div><{tag} class='x'>Menu</div>{article}</body>") == both
+        assert said(f"<body><{tag}>Menu{article}<{tag}>ok</{tag}></body>") == both
+        assert said(f"<article><p>First of all.</p><{tag}>Share<p>And then more.</p></article>") == both
+        assert said(f"<p>a <{tag}>x <p>y</p><div>z</div></{tag}> b</p>") == ["a b"]
+    assert said("<p>a<svg><svg>x</svg>y</svg>b</p>") == ["a b"]
+    for tag in ("script", "style", "title", "textarea", "iframe"):
+        assert said(f"<p>a</p><{tag}>Menu{article}") == ["a"]
+
+
 def test_html_odd_pages(spark, model):
     page = ("<html><head><title>no</title><style>p{}</style></head><body><nav><ul><li><a href=/a>Home</a></ul></nav>"
             "<article><h1>Title &amp; more</h1><p>First  para\n<b>bo</b>ld.<p>Second&nbsp;one &lt;x&gt;.<script>var a='</p>';</script>"
