@@ -203,6 +203,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("dice", F.round("dice", 6))
 
 
+@query("op7_license_passages")
+def op7_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences and notices anywhere in ``documents``, whatever their lines."""
+    return license_scan.passages(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
+
+
 @query("op8_html_extract")
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page of ``pages``."""

@@ -284,3 +284,54 @@ def test_license_scan_matches_brute_force(spark):
     got = license_scan.scan(docs(spark, rows)).collect()
     assert Counter((r.doc_id, r.unit, r.license_id, r.n_bigrams, round(r.dice, 9)) for r in got) == brute_licences(rows)
     assert license_scan.scan(docs(spark, []).filter("1 = 0")).count() == 0
+
+
+def brute_passages(t):
+    """All windows of all templates that reach 0.8, then the best apart."""
+    w = re.findall(r"[^\W_]+", (t or "").lower())
+    pairs, out = list(zip(w, w[1:])), []
+
+    def apart(found):
+        kept = []
+        for c in sorted(found):
+            if all(c[-2] > k[-1] or k[-2] > c[-1] for k in kept):
+                kept.append(c)
+        return kept
+    for name, text in license_scan.TEMPLATES.items():
+        tw = license_scan.template_words(text)
+        want, m, found = Counter(zip(tw, tw[1:])), len(tw) - 1, []
+        for s in range(len(pairs)):
+            seen, both = Counter(), 0
+            for e in range(s, min(len(pairs), s + 2 * m)):
+                seen[pairs[e]] += 1
+                both += seen[pairs[e]] <= want[pairs[e]]
+                if 2 * both / (e - s + 1 + m) >= 0.8:
+                    found.append((-2 * both / (e - s + 1 + m), -both, s, e))
+        out += [(b, d, name, s, e) for d, b, s, e in apart(found)]
+    return [(s, name, e - s + 1, round(-d, 9)) for _, d, name, s, e in apart(out)]
+
+
+def test_license_passages_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+
+    def prose(n):
+        return " ".join(rng.choice(["alpha", "of", "the", "beta", "software", "this", "in", "license", "under"], n))
+
+    def wrapped(name, changed=0):
+        w = license_scan.TEMPLATES[name].split()
+        for at in rng.choice(len(w), changed, replace=False):
+            w[at] = "other"
+        return "\n".join("# " + " ".join(w[k:k + 9]) for k in range(0, len(w), 9))
+    rows = [(1, "\n".join([prose(300), wrapped("bsd-2-clause", 8), prose(200)])), (2, wrapped("apache-2.0-header", 3) + "\n" + prose(400)),
+            (3, prose(40) + " Released under the MIT License. " + prose(40)), (4, None), (5, ""), (6, "word"), (None, prose(50)),
+            (7, "\n".join([wrapped("gpl-3.0-header"), wrapped("mit", 4), prose(90), wrapped("mit", 2)])),
+            (8, (license_scan.TEMPLATES["cc-by-4.0-notice"] + "\n") * 6), (9, prose(30) + "\n" + wrapped("mpl-2.0-notice", 1)),
+            (9, prose(30) + "\n" + wrapped("mpl-2.0-notice", 1)), (10, wrapped("gpl-2.0-notice") + " " + wrapped("mit", 60))]
+    got = license_scan.passages(docs(spark, rows)).collect()
+    want = Counter((i, *x) for i, t in rows for x in brute_passages(t))
+    assert Counter((r.doc_id, r.first_word, r.license_id, r.n_bigrams, round(r.dice, 9)) for r in got) == want
+    names = Counter((i, name) for i, _, name, *_ in want.elements())
+    assert names[1, "bsd-2-clause"] == 1 and names[2, "apache-2.0-header"] == 1 and names[3, "mit-notice"] == 1
+    assert names[7, "gpl-3.0-header"] == 1 and names[7, "mit"] == 2 and names[8, "cc-by-4.0-notice"] == 6
+    assert not {r.doc_id for r in license_scan.scan(docs(spark, rows)).collect()} & {1, 3, 7}
+    assert license_scan.passages(docs(spark, []).filter("1 = 0")).count() == 0
