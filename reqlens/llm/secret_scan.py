@@ -1,8 +1,9 @@
 """Secret scan: candidate strings, then a random forest that removes false
 positives.
 
-Candidates are runs of 16 or more characters of keys and digests.  The forest
-sees a candidate's length and character classes, how plausible its letter
+Candidates are runs of 16 or more characters of keys and digests, and values of
+four and more characters that are assigned to a name of secrets or stand for the
+password of a URL.  The forest sees a candidate's length and character classes, how plausible its letter
 transitions are, how much of it a dictionary covers, its path and its
 neighbouring words.  It is trained on labelled findings, a bounded table.  All
 work on documents is done by DataFrame functions and Spark's own forest."""
@@ -34,9 +35,17 @@ DIGEST_WORDS = "sha|md5|commit|checksum|digest|hash|uuid|guid|revision|etag|inte
 SAMPLE_PATHS = "test|example|sample|fixture|mock|docs?/|readme|\\.md|\\.lock|vendor"
 PLACEHOLDERS = "example|sample|dummy|changeme|placeholder|your|xxxx|0000000|1234567|test"
 
+# What a value is assigned to, at the end of the text before it; values inside
+# a word, and the password of a URL.
+ASSIGNED = "[A-Za-z0-9_.-]*[\"'`]?\\]?\\s*(?:=>|:?=|:)"
+NAMED = f"(?i)(?:{SECRET_WORDS}){ASSIGNED}"
+VALUE = "((?:(?!&\\w+=)[^\\s\"'`,;]){3,}(?!&\\w+=)[^\\s\"'`,;.)\\]}>])"
+INNER = f"{NAMED}[\"'`(]?{VALUE}"
+LOGIN = "://[^/\\s:@]*:([^\\s/]+)@"
+
 FEATURES = ["f_length", "f_runs", "f_digits", "f_upper", "f_symbols", "f_distinct", "f_hex", "f_transition",
             "f_dictionary", "f_secret_word", "f_digest_word", "f_assigned", "f_quoted", "f_sample_path",
-            "f_placeholder", "f_slashes"]
+            "f_placeholder", "f_slashes", "f_login"]
 
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
@@ -63,20 +72,36 @@ def transitions(dic: DataFrame) -> list[float]:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """One row per candidate: ``id, word_no, part, token, path, before2,
-    before, word, after``.  A candidate holds a digit or changes case inside."""
+    before, word, after, head, tail``; the last are the word's text before and
+    behind the candidate."""
     require(docs, id_col, text_col)
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    hit = docs.filter(F.col(text_col).rlike(RUN)).select(
+    hit = docs.filter(F.col(text_col).rlike(f"{RUN}|{LOGIN}|{NAMED}")).select(
         F.col(id_col).alias("id"), path.alias("path"), words(F.col(text_col)).alias("w"))
 
-    def near(w: Column) -> Column:
-        return F.filter(F.transform(w, lambda x, i: F.when(x.rlike(RUN), F.struct(
-            i.alias("word_no"), x.alias("word"), F.get(w, i - 2).alias("before2"), F.get(w, i - 1).alias("before"),
-            F.get(w, i + 1).alias("after")))), lambda x: x.isNotNull())
+    def behind_name(before2: Column, before: Column) -> Column:
+        return F.coalesce(before.rlike("[=:]>?$") & F.concat_ws(" ", before2, before).rlike(f"{NAMED}$"), F.lit(False))
 
-    rows = hit.select("id", "path", F.explode(let(F.col("w"), near)).alias("c")).select("id", "path", "c.*")
-    runs = rows.select("*", F.posexplode(F.expr(f"regexp_extract_all(word, '({RUN})', 1)")).alias("part", "token"))
-    return runs.filter(F.col("token").rlike("[0-9]") | F.col("token").rlike("[a-z][A-Z]"))
+    def near(w: Column) -> Column:
+        return F.filter(F.transform(w, lambda x, i: F.when(
+            x.rlike(f"{RUN}|{LOGIN}|{INNER}") | behind_name(F.get(w, i - 2), F.get(w, i - 1)), F.struct(
+                i.alias("word_no"), x.alias("word"), F.get(w, i - 2).alias("before2"), F.get(w, i - 1).alias("before"),
+                F.get(w, i + 1).alias("after")))), lambda x: x.isNotNull())
+
+    rows = hit.select("id", "path", F.explode(let(F.col("w"), near)).alias("c")).select("id", "path", "c.*").select(
+        "*", F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1)).alias("runs"), F.split("word", RUN, -1).alias("gaps"))
+    # the runs with the text before each, then the values that are no run
+    long = F.transform("runs", lambda r, k: F.struct(r.alias("token"), F.concat(F.array_join(F.transform(
+        F.slice("runs", 1, k), lambda x, j: F.concat(F.get("gaps", j), x)), ""), F.get("gaps", k)).alias("head")))
+    whole = F.when(behind_name(F.col("before2"), F.col("before")), F.regexp_extract_all(
+        "word", F.lit(f"^[\"'`(]*{VALUE}"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    values = F.array_distinct(F.concat(whole, F.regexp_extract_all("word", F.lit(INNER), F.lit(1)),
+                                       F.regexp_extract_all("word", F.lit(LOGIN), F.lit(1))))
+    short = F.transform(F.array_except(values, "runs"), lambda v: F.struct(
+        v.alias("token"), F.substring(F.col("word"), F.lit(1), F.call_function("locate", v, F.col("word")) - 1).alias("head")))
+    each = rows.select("*", F.posexplode(F.concat(long, short)).alias("part", "f")).drop("runs", "gaps").select(
+        "*", "f.token", "f.head").drop("f")
+    return each.withColumn("tail", F.expr("substring(word, length(head) + length(token) + 1)"))
 
 
 def features(found: DataFrame, dic: DataFrame, table: list[float]) -> DataFrame:
@@ -99,8 +124,8 @@ def features(found: DataFrame, dic: DataFrame, table: list[float]) -> DataFrame:
             (F.ascii(F.substring(s, i, F.lit(1))) - 97) * 26 + F.ascii(F.substring(s, i + 1, F.lit(1))) - 97).cast("int")))
         return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / (F.length(s) - 1)
 
-    around = F.lower(F.concat_ws(" ", "before2", "before", F.regexp_replace("word", RUN, " ")))
-    back = F.concat_ws(" ", "before", F.regexp_replace("word", RUN + ".*", ""))
+    around = F.lower(F.concat_ws(" ", "before2", "before", "head", "tail"))
+    back = F.concat_ws(" ", "before", "head")
     out = {
         "f_length": size.cast("double"),
         "f_runs": F.length(classes) / size,
@@ -116,6 +141,7 @@ def features(found: DataFrame, dic: DataFrame, table: list[float]) -> DataFrame:
         "f_sample_path": F.lower("path").rlike(SAMPLE_PATHS).cast("double"),
         "f_placeholder": low.rlike(PLACEHOLDERS).cast("double"),
         "f_slashes": F.col("word").rlike("://|/.*/").cast("double"),
+        "f_login": F.col("head").rlike("://[^/\\s:@]*:$").cast("double"),
     }
     joined = found.join(known, "rid", "left")
     return joined.select("*", *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in out.items()]).drop("covered")
@@ -147,7 +173,18 @@ def labelled_findings(spark: SparkSession, rows: int = MAX_FINDINGS) -> DataFram
     path = pick(7, "src/main.py", "app/config.yml", "deploy/env.sh", "notes.txt", "data.csv", "server.go")
     sample = pick(8, "tests/test_login.py", "docs/readme.md", "examples/demo.js", "package.lock")
     eq = F.lit("=")
-    # kind -> (label, token, path, before2, before, quoted)
+    # as names of the environment, and values that people choose
+    env = F.concat(pick(14, "GITHUB_ACCESS", "AWS_SECRET_ACCESS", "PRODUCTION_DATABASE", "DB", "STRIPE_PRIVATE", "my_service"),
+                   pick(15, "_TOKEN", "_KEY_SECRET", "_PASSWORD", "_API_KEY", "_SECRET"))
+    digest_env = F.concat(pick(16, "GIT", "RELEASE", "IMAGE", "my_build"), pick(17, "_COMMIT", "_SHA256", "_CHECKSUM", "_REVISION"))
+    mark = pick(18, "!", "#", "$", "@", "%", "*", "?", "^")
+    chosen = F.concat(invented(19), F.pmod(F.col("id"), F.lit(997)).cast("string"), mark)
+    mixed = F.concat(F.substring(b64, 3, 5), mark, F.substring(b64, 9, 4))
+    letters = F.translate(F.substring(h[1], 1, 16), "0123456789abcdef", "qwzxkvjypmbgtdnr")
+    said = pick(23, "required", "string", "true", "none", "null", "optional", "missing", "invalid", "please", "self.password",
+                "os.environ", "${DB_PASSWORD}", "<password>", "********", "get_password()", "changeme", "your-password")
+    login = F.concat(pick(24, "postgres", "mysql", "https", "amqp", "redis"), F.lit("://"), pick(25, "app", "root", "admin", ""), F.lit(":"))
+    # kind -> (label, token, path, before2, before, quoted, text before it in the word, and behind it)
     kinds = [
         (1.0, F.substring(h[0], 1, 40), path, name, eq, True), (1.0, F.substring(h[1], 1, 32), path, name, eq, True),
         (1.0, F.upper(F.substring(h[2], 1, 40)), path, name, eq, True),
@@ -169,22 +206,38 @@ def labelled_findings(spark: SparkSession, rows: int = MAX_FINDINGS) -> DataFram
         (0.0, F.concat(F.lower(invented(4)), F.lit("_"), F.lower(invented(5)), F.lit("_"), F.lower(caps(13)), F.lit("_2")), path,
          plain, plain, False),
         (0.0, F.concat(F.lit("com/"), F.lower(invented(6)), F.lower(invented(7)), F.lit("/index9")), path, plain, plain, False),
+        (1.0, F.substring(h[0], 1, 40), path, plain, plain, False, F.concat(env, eq)),
+        (1.0, F.substring(b64, 1, 40), path, plain, pick(26, "export", "-", "env"), False, F.concat(env, eq)),
+        (1.0, mixed, path, name, eq, True), (1.0, mixed, path, plain, plain, False, F.concat(name, eq)),
+        (1.0, chosen, path, name, F.lit(":"), False), (1.0, chosen, path, plain, plain, False, F.concat(env, eq)),
+        (1.0, F.when(F.col("id") % 3 == 0, chosen).otherwise(mixed), path, plain, plain, False, login, F.lit("@db.internal/app")),
+        (1.0, letters, path, name, eq, True), (1.0, letters, path, plain, plain, False, F.concat(name, eq)),
+        (0.0, F.concat(env, eq), path, plain, plain, False, F.lit(""), F.substring(h[0], 1, 40)),
+        (0.0, said, path, plain, F.concat(name, F.lit(":")), False), (0.0, said, path, name, eq, True),
+        (0.0, said, path, plain, plain, False, F.concat(name, eq)),
+        (0.0, pick(27, "password", "${DB_PASS}", "<password>", "********", "your-password"), path, plain, plain, False, login,
+         F.lit("@db.internal/app")),
+        (0.0, F.substring(h[1], 1, 40), path, plain, plain, False, F.concat(digest_env, eq)),
+        (0.0, h[2], path, plain, plain, False, F.lit("sha256:")),
+        (0.0, F.lower(F.concat(invented(28), invented(29), invented(30))), path, plain, plain, False),
+        (0.0, F.lower(F.concat(invented(31), caps(32), invented(33))), path, plain, name, False),
     ]
     kind = F.pmod(F.col("id"), F.lit(len(kinds)))
 
     def choose(at: int) -> Column:
         col = F.lit(None)
         for k, row in enumerate(kinds):
+            row = (*row, *[F.when(F.lit(row[5]), F.lit('"')).otherwise("")] * 2)[:8] if len(row) == 6 else (*row, "")
             v = row[at] if isinstance(row[at], Column) else F.lit(row[at])
             col = F.when(kind == k, v).otherwise(col)
         return col
 
     base = spark.range(0, rows, 1, 4).select(
         "id", choose(0).alias("label"), choose(1).alias("token"), choose(2).alias("path"), choose(3).alias("before2"),
-        choose(4).alias("before"), choose(5).alias("q"))
+        choose(4).alias("before"), choose(6).alias("head"), choose(7).alias("tail"))
     return base.select(
-        F.col("id").alias("rid"), "label", "token", "path", "before2", "before", plain_after().alias("after"),
-        F.when(F.col("q"), F.concat(F.lit('"'), "token", F.lit('"'))).otherwise(F.col("token")).alias("word"))
+        F.col("id").alias("rid"), "label", "token", "path", "before2", "before", plain_after().alias("after"), "head", "tail",
+        F.concat("head", "token", "tail").alias("word"))
 
 
 def plain_after() -> Column:
@@ -210,7 +263,8 @@ def scan(docs: DataFrame, dictionary_path: str, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     dic = dictionary(spark, dictionary_path)
     table = transitions(dic)
-    model = fit(labelled_findings(spark) if findings is None else findings, dic, table)
+    # staged, or the driver plans the long expressions of its rows again and again
+    model = fit(stage(labelled_findings(spark), "findings") if findings is None else findings, dic, table)
     found = stage(candidates(docs, id_col, text_col, path_col).withColumn("rid", F.monotonically_increasing_id()),
                   "candidates")
     vec = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(found, dic, table))
@@ -223,13 +277,21 @@ def scan(docs: DataFrame, dictionary_path: str, id_col: str = "doc_id", text_col
 def redact(docs: DataFrame, dictionary_path: str, id_col: str = "doc_id", text_col: str = "text",
            size_col: str | None = None, **options) -> DataFrame:
     """``docs`` with every found secret replaced by MASK, all columns kept.
+    Secrets that are no run of 16 characters are replaced where no letter or
+    digit stands beside them.
     ``size_col`` gets the new number of characters of changed texts."""
     found = scan(docs, dictionary_path, id_col, text_col, **options).filter("is_secret")
     tokens = stage(found.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("token").alias("t")).select(
         "_id", F.array_sort("t", lambda a, b: F.length(b) - F.length(a)).alias("_tokens")), "secrets")
     j = docs.join(tokens, docs[id_col].eqNullSafe(tokens["_id"]), "left")
-    clean = F.aggregate(tokens["_tokens"], docs[text_col].cast("string"),
-                        lambda a, t: F.replace(a, t, F.lit(MASK)))
+
+    def masked(text: Column, token: Column) -> Column:
+        exact = F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), F.replace(token, F.lit("\\E"), F.lit("\\E\\\\E\\Q")),
+                         F.lit("\\E(?![A-Za-z0-9])"))
+        return F.when(token.rlike(f"^{RUN}$"), F.replace(text, token, F.lit(MASK))).otherwise(
+            F.regexp_replace(text, exact, F.lit(MASK)))
+
+    clean = F.aggregate(tokens["_tokens"], docs[text_col].cast("string"), masked)
     text = F.when(tokens["_tokens"].isNull(), docs[text_col]).otherwise(clean)
     made = {text_col: text}
     if size_col and size_col in docs.columns:

@@ -254,6 +254,19 @@ def test_secret_forest_on_held_out_findings(spark):
     assert wrong <= 30
 
 
+def test_secrets_behind_long_names_and_short_secrets(spark):
+    b64 = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzK3q9LmT2v"
+    hidden = {1: (f"run GITHUB_ACCESS_TOKEN={KEY} now", KEY), 2: (f"export AWS_SECRET_ACCESS_KEY={b64} and go", b64),
+              3: ('set password = "hT7#kq2!" here', "hT7#kq2!"), 4: ("set passwd=Kolo482! here", "Kolo482!"),
+              5: ("use postgres://app:x9Q!vR2mz@db.internal/app here", "x9Q!vR2mz"), 6: ('token = "qzkvjxwpybgtdnrq"', "qzkvjxwpybgtdnrq")}
+    plain = {11: "password: required for all", 12: f"the IMAGE_SHA256={KEY}{KEY[:24]} is new", 13: f"set GIT_COMMIT={KEY} here",
+             14: "the token: string is optional", 15: "eine geschwindigkeitsbegrenzung of all", 16: "password = ${DB_PASSWORD} here",
+             17: "see https://example.com:8080/a@b here"}
+    rows = [(i, t) for i, (t, _) in hidden.items()] + list(plain.items())
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs(spark, rows), WORD_BPE).collect()}
+    assert clean == {i: t.replace(s, "[SECRET]") for i, (t, s) in hidden.items()} | plain
+
+
 def test_secret_scan_empty_table(spark):
     assert secret_scan.scan(docs(spark, []).filter("1 = 0"), WORD_BPE).count() == 0
 
