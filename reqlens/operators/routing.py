@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reqlens.operators.sizing import broadcast_if_small, materialize
-from reqlens.operators.timebucket import (MINUTE_US, auto_bucket_us, floor_div, forward_fill, interval_lookup,
-                                          ordered_index)
+from reqlens.operators.timebucket import (MINUTE_US, cut_in_order, floor_div, forward_fill, interval_lookup,
+                                          ordered_index, SLICE)
 
 
 def make_pool(servers: DataFrame, active_only: bool = True) -> DataFrame:
@@ -52,8 +52,7 @@ def round_robin(requests: DataFrame, pool: DataFrame, order_us: str = "arrival_u
     n = pool.count()
     if n == 0:
         return _null_assign(requests, "round_robin")
-    w = auto_bucket_us(requests, order_us)
-    r = ordered_index(requests, order_us, tie, bucket_us=w, name="_i") \
+    r = ordered_index(requests, order_us, tie, name="_i") \
         .withColumn("_slot", F.pmod("_i", F.lit(n)).cast("int"))
     return r.join(_by_pos(pool), "_slot", "left").drop("_slot", "_i").withColumn("policy", F.lit("round_robin"))
 
@@ -74,8 +73,7 @@ def weighted_round_robin(requests: DataFrame, pool: DataFrame, order_us: str = "
     total = slots.count()
     if total == 0:
         return _null_assign(requests, "weighted_round_robin")
-    w = auto_bucket_us(requests, order_us)
-    r = ordered_index(requests, order_us, tie, bucket_us=w, name="_i") \
+    r = ordered_index(requests, order_us, tie, name="_i") \
         .withColumn("_slot", F.pmod("_i", F.lit(total)).cast("int"))
     return r.join(_by_pos(slots, "slot"), "_slot", "left").drop("_slot", "_i") \
             .withColumn("policy", F.lit("weighted_round_robin"))
@@ -261,8 +259,7 @@ def decision_source(calls: DataFrame, breaker: DataFrame, ts_us: str = "t_us",
     call is found with a point-in-interval lookup (intervals are merged, so
     they never overlap)."""
     iv = breaker.select(F.col("open_us").alias("start_us"), F.col("close_us").alias("end_us"))
-    w = bucket_us or auto_bucket_us(calls, ts_us)
-    j = interval_lookup(calls, iv, [], ts_us, bucket_us=w, name="_open")
+    j = interval_lookup(calls, iv, [], ts_us, bucket_us=bucket_us, name="_open")
     src = (F.when(F.col("_open").isNotNull(), "fallback_breaker")
            .when(F.col("outcome") == "hit", "memo")
            .when(F.col("outcome") == "ok", "model")
@@ -345,7 +342,7 @@ def compare_policies(requests: DataFrame, pool: DataFrame, latency: DataFrame,
 # Policies over the live (healthy) pool: pool versions and WRR epochs
 # ---------------------------------------------------------------------------
 
-def pool_versions(pool: DataFrame, runs: DataFrame, end_us: int, bucket_us: int = 3_600_000_000) -> DataFrame:
+def pool_versions(pool: DataFrame, runs: DataFrame, end_us: int, bucket_us: int | None = None) -> DataFrame:
     """Piecewise-constant healthy pool: one row per version ``[start_us,
     end_us)`` with ``members`` = alive pool servers in pool order
     (array<struct<pos, server_id, weight>>).  ``runs`` are the W7 state
@@ -372,7 +369,7 @@ def pool_versions(pool: DataFrame, runs: DataFrame, end_us: int, bucket_us: int
 
 
 def attach_pool(requests: DataFrame, versions: DataFrame, arrival_us: str = "arrival_us",
-                bucket_us: int = 3_600_000_000) -> DataFrame:
+                bucket_us: int | None = None) -> DataFrame:
     """Each request with the pool version live at its arrival (point in
     non-overlapping interval lookup: linear, one match per request)."""
     j = interval_lookup(requests, versions, [], arrival_us, cols=["members"], bucket_us=bucket_us, name="_v")
@@ -383,8 +380,7 @@ def round_robin_live(requests: DataFrame, versions: DataFrame, order_us: str = "
                      tie: str = "id") -> DataFrame:
     """R1 over the healthy pool at each arrival: the i-th request (global
     counter, never reset) goes to members[i mod n]; no member -> null."""
-    w = auto_bucket_us(requests, order_us)
-    r = ordered_index(attach_pool(requests, versions, order_us, bucket_us=w), order_us, tie, bucket_us=w, name="_i")
+    r = ordered_index(attach_pool(requests, versions, order_us), order_us, tie, name="_i")
     n = F.size("members")
     pick = F.when(n > 0, F.element_at("members", (F.pmod("_i", n) + 1).cast("int"))["server_id"])
     return r.withColumn("assigned", pick).withColumn("policy", F.lit("round_robin")).drop("_i", "members")
@@ -395,23 +391,22 @@ def weighted_round_robin_live(requests: DataFrame, versions: DataFrame, order_us
     """R2 over the healthy pool: slots = members repeated by weight; the
     slot index restarts whenever the pool seen by consecutive requests
     changes (membership; ``legacy=True``: only its length, as the original
-    balancer did).  The epoch start index is a bucketed forward fill of the
+    balancer did).  The epoch start index is a forward fill of the
     index at each change row, so there is no join on an epoch key (which
     would put a long epoch into one task)."""
     from reqlens.operators.series import neighbor
 
-    w = auto_bucket_us(requests, order_us)
-    r = materialize(ordered_index(attach_pool(requests, versions, order_us, bucket_us=w), order_us, tie,
-                                  bucket_us=w, name="_i"))
+    r = cut_in_order(attach_pool(requests, versions, order_us), [], order_us, tie)  # one cut for the three steps
+    r = materialize(ordered_index(r, order_us, tie, name="_i"))
     ids = F.transform("members", lambda m: m["server_id"])
     key = F.size("members").cast("string") if legacy else F.array_join(ids, ",")
     r = r.withColumn("_key", F.coalesce(key, F.lit("")))
-    r = materialize(neighbor(r, [], order_us, tie, ["_key"], "prev", bucket_us=w))
+    r = materialize(neighbor(r, [], order_us, tie, ["_key"], "prev"))
     r = r.withColumn("_chg", F.col("prev._key").isNull() | (F.col("prev._key") != F.col("_key"))).drop("prev")
     # index of the epoch's first request: forward fill of the change rows' index
-    r = forward_fill(r, F.when(F.col("_chg"), F.col("_i")), [], order_us, tie, bucket_us=w, name="_i0")
+    r = forward_fill(r, F.when(F.col("_chg"), F.col("_i")), [], order_us, tie, name="_i0")
     slots = F.flatten(F.transform("members", lambda m: F.array_repeat(m["server_id"], m["weight"])))
     n = F.size(slots)
     pick = F.when(n > 0, F.element_at(slots, (F.pmod(F.col("_i") - F.col("_i0"), n) + 1).cast("int")))
     out = r.withColumn("assigned", pick).withColumn("policy", F.lit("weighted_round_robin"))
-    return out.drop("_i", "_i0", "_key", "_chg", "members")
+    return out.drop("_i", "_i0", "_key", "_chg", "members", SLICE)

@@ -1,7 +1,7 @@
 """Window and time-series operators W1-W10.
 
 Ordered state (previous / next row, running counts, recurrences) is
-computed per (key, time bucket) with a carry from neighbouring buckets, so
+computed per (key, slice of the order) with a carry from the slices before, so
 that no window is partitioned by a low-cardinality key alone.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from reqlens.functions.scalars import clamp, round1
 from reqlens.operators.sizing import materialize
-from reqlens.operators.timebucket import (HOUR_US, MINUTE_US, auto_bucket_us, floor_div, micros_ts,
+from reqlens.operators.timebucket import (MINUTE_US, SLICE, _bucketed, cut_in_order, floor_div, micros_ts,
                                           ordered_index, running_count, running_sum, trailing_at)
 
 
@@ -25,20 +25,20 @@ def _col(x) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# Previous / next row with a bucket carry
+# Previous / next row with a carry over slices
 # ---------------------------------------------------------------------------
 
 def neighbor(df: DataFrame, by: Sequence[str], order_us: str, tie: str, cols: Sequence[str],
-             direction: str = "prev", bucket_us: int = HOUR_US, name: str | None = None) -> DataFrame:
+             direction: str = "prev", bucket_us: int | None = None, name: str | None = None) -> DataFrame:
     """Adds ``name`` = struct of ``cols`` of the previous (``direction='prev'``)
     or next row per ``by`` in (``order_us``, ``tie``) order; null at the ends.
 
-    Inside a bucket this is ``lag`` / ``lead``; the first (last) row of a
-    bucket takes the last (first) row of the nearest non-empty earlier
-    (later) bucket, found on the one-row-per-bucket edge table."""
+    Inside a slice this is ``lag`` / ``lead``; the first (last) row of a
+    slice takes the last (first) row of the nearest earlier (later) slice of
+    the key, found on the table of one edge row per key and slice."""
     by = list(by)
     name = name or ("prev" if direction == "prev" else "next")
-    d = df.withColumn("_b", floor_div(F.col(order_us).cast("bigint"), bucket_us))
+    d = _bucketed(df, by, order_us, tie, bucket_us)
     s = F.struct(*[F.col(c) for c in cols])
     key = F.struct(F.col(order_us), F.col(tie))
     w = Window.partitionBy(*by, "_b").orderBy(order_us, tie)
@@ -53,7 +53,7 @@ def neighbor(df: DataFrame, by: Sequence[str], order_us: str, tie: str, cols: Se
         carry = edge.select(*by, "_b", F.lead("_edge").over(bw).alias("_carry"))
         within = F.lead(s).over(w)
     # The struct of a real row is never null, so a null lag / lead marks the
-    # bucket edge, where the carry applies.
+    # slice's edge, where the carry applies.
     j = d.join(carry, by + ["_b"], "inner")
     j = j.withColumn(name, F.coalesce(within, F.col("_carry")))
     return j.drop("_b", "_carry")
@@ -63,30 +63,39 @@ def neighbor(df: DataFrame, by: Sequence[str], order_us: str, tie: str, cols: Se
 # W1 exponential smoothing
 # ---------------------------------------------------------------------------
 
-def _chunk_rows(keep: float, most: int) -> int:
-    """Rows over which powers of ``keep`` stay far from underflow."""
-    return most if keep >= 1.0 else max(1, min(most, int(400 / -math.log(keep)))) if keep > 0.0 else 1
+#: A carry that has decayed below e^-_GONE is nothing beside the row before it.
+_GONE = 200.0
 
 
-def _folded(d: DataFrame, by: Sequence[str], keep: float, most: int) -> DataFrame:
+def _folded(d: DataFrame, by: Sequence[str], keep: float, most: int, rows: int) -> DataFrame:
     """Adds ``_s`` with ``s_i = keep * s_(i-1) + _x_i`` along ``_i`` = 0, 1, ... of
-    each key, by affine carries: the recurrence inside a chunk is a running sum
-    of ``_x`` over powers of ``keep``; the chunks' last values obey the same
-    recurrence with ``keep ** chunk``, one row per chunk, and are folded the same
-    way until a key has one chunk."""
+    each key of at most ``rows`` rows, by a scan of affine maps: the recurrence
+    inside a chunk is a running sum of ``_x`` over powers of ``keep``, and the
+    chunks' last values obey the same recurrence with ``keep ** chunk``.
+
+    Chunks end before the powers underflow.  Once ``keep ** chunk`` is below
+    e^-200, what enters a chunk is the last value of the chunk before, and the
+    scan is done.  Otherwise a chunk has ``most`` rows or the power is still
+    above e^-200, so the next level can take two rows and more: the levels
+    shrink at least by half."""
     by = list(by)
-    n = _chunk_rows(keep, most)
     if keep <= 0.0:
         return d.withColumn("_s", F.col("_x"))
+    decay = -math.log(keep)  # of one row
+    n = max(2, min(most, int(2 * _GONE / decay) if decay > 0 else most))
     d = d.withColumn("_c", floor_div(F.col("_i"), n))
     k = (F.col("_i") - F.col("_c") * n).cast("double")
     w = Window.partitionBy(*by, "_c").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_k", k).withColumn("_own", F.sum(F.col("_x") * F.pow(F.lit(keep), -F.col("_k"))).over(w)
                                          * F.pow(F.lit(keep), F.col("_k")))
-    if (d.agg(F.max("_c")).first()[0] or 0) == 0:
+    if rows <= n:
         return d.withColumn("_s", F.col("_own")).drop("_c", "_k", "_own")
     ends = d.groupBy(*by, "_c").agg(F.max_by("_own", "_i").alias("_x")).withColumnRenamed("_c", "_i")
-    carry = _folded(ends, by, keep ** n, most).select(
+    if n * decay > _GONE:
+        into = ends.withColumn("_s", F.col("_x"))
+    else:
+        into = _folded(ends, by, keep ** n, most, -(-rows // n))
+    carry = into.select(
         *[F.col(c).alias(f"_by{j}") for j, c in enumerate(by)], (F.col("_i") + 1).alias("_n"), F.col("_s").alias("_in"))
     on = [d[c].eqNullSafe(carry[f"_by{j}"]) for j, c in enumerate(by)] + [d["_c"] == carry["_n"]]
     s = F.col("_own") + F.coalesce(F.col("_in"), F.lit(0.0)) * F.pow(F.lit(keep), F.col("_k") + 1)
@@ -100,13 +109,14 @@ def smooth(df: DataFrame, value: str, by: Sequence[str], order_us: str, tie: str
     then clamped to [0, 100] and rounded to one decimal (P8).
 
     The whole history counts, whatever ``alpha``.  Rows are numbered per key
-    (bucketed W8 index) and cut into chunks of at most ``chunk`` rows, so every
+    (W8 index over slices) and cut into chunks of at most ``chunk`` rows, so every
     window is per (key, chunk); see :func:`_folded` for the carry."""
     by = list(by)
     d = materialize(ordered_index(df, order_us, tie, by=by, name="_i"))  # read twice below
+    rows = (d.agg(F.max("_i")).first()[0] or 0) + 1
     x = F.col(value).cast("double")
     d = d.withColumn("_x", F.when(F.col("_i") == 0, x).otherwise(x * alpha))
-    out = _folded(d, by, 1.0 - alpha, int(chunk))
+    out = _folded(d, by, 1.0 - alpha, max(2, int(chunk)), rows)
     return out.withColumn(name, round1(clamp(F.col("_s")))).drop("_i", "_x", "_s")
 
 
@@ -120,7 +130,6 @@ def error_blend(requests: DataFrame, by: Sequence[str] = ("server_id",), order_u
     """The blended error-rate gauge after each request.  Each failure
     sets ``e <- (1 - alpha) e + alpha``; successes leave it; e starts at 0.
     Closed form: ``1 - (1 - alpha)^k`` with k = failures so far."""
-    bucket_us = bucket_us or auto_bucket_us(requests, order_us, by)
     d = running_count(requests, ~F.col(ok), by, order_us, tie, bucket_us, name="_k")
     return d.withColumn(name, 1 - F.pow(F.lit(1.0 - alpha), F.col("_k"))).drop("_k")
 
@@ -170,13 +179,13 @@ def counter_rate(samples: DataFrame, by: Sequence[str], ts_us: str, value: str,
 # ---------------------------------------------------------------------------
 
 def gauge_at_ticks(samples: DataFrame, by: Sequence[str], ts_us: str, value: str, tie: str,
-                   step_s: int = 15, lookback_s: int = 300, bucket_us: int = HOUR_US) -> DataFrame:
+                   step_s: int = 15, lookback_s: int = 300, bucket_us: int | None = None) -> DataFrame:
     """Value of the latest sample at or before each tick (multiples of
     ``step_s``) within ``lookback_s``.
 
     Each sample owns the ticks from its own time up to (not including) the
     next sample of the same key, and at most ``lookback_s`` after itself;
-    the next sample comes from the bucketed :func:`neighbor`.  Every tick is
+    the next sample comes from :func:`neighbor`.  Every tick is
     emitted exactly once, so no aggregation is needed and the work is
     proportional to the output."""
     by = list(by)
@@ -209,7 +218,7 @@ def probe_outcomes(probes: DataFrame, ok_status: int = 200) -> DataFrame:
 
 
 def health_transitions(outcomes: DataFrame, request_failures: DataFrame | None = None,
-                       bucket_us: int = HOUR_US) -> DataFrame:
+                       bucket_us: int | None = None) -> DataFrame:
     """Rows where a server's state changes (servers start alive).  A
     transport failure of a proxied request (``request_failures``: server_id,
     seq, t_us) also marks the server down."""
@@ -222,7 +231,7 @@ def health_transitions(outcomes: DataFrame, request_failures: DataFrame | None =
 
 
 def state_intervals(transitions: DataFrame, first_seen: DataFrame, end_us: int,
-                    bucket_us: int = HOUR_US) -> DataFrame:
+                    bucket_us: int | None = None) -> DataFrame:
     """``[start_us, end_us)`` per state run: an initial alive run from
     the server's first observation, then one run per transition until the
     next one (or ``end_us``)."""
@@ -256,11 +265,12 @@ def breaker_intervals(calls: DataFrame, reset_s: int = 30, ts_us: str = "t_us",
     R = int(reset_s) * 1_000_000
     c = calls.filter(F.col(outcome).isin("ok", "error")).select(
         F.col(ts_us).cast("bigint").alias("t_us"), F.col(tie).alias("seq"), (F.col(outcome) == "error").alias("fail"))
-    bucket_us = bucket_us or auto_bucket_us(c, "t_us")
+    if not bucket_us:
+        c = cut_in_order(c, [], "t_us", "seq")  # both neighbours go by the same slices
     c = materialize(neighbor(c, [], "t_us", "seq", ["t_us"], "next", bucket_us))
     c = neighbor(c, [], "t_us", "seq", ["t_us", "fail"], "prev", bucket_us)
     f = c.filter("fail").select(
-        "t_us", "seq",
+        "t_us", "seq", *([] if bucket_us else [SLICE]),
         F.least(F.coalesce(F.col("next.t_us"), F.col("t_us") + R), F.col("t_us") + R).alias("open_end"),
         (~(F.coalesce(F.col("prev.fail"), F.lit(False)) & (F.col("t_us") - F.col("prev.t_us") <= R))).alias("_start"))
     f = running_count(materialize(f), F.col("_start"), [], "t_us", "seq", bucket_us, name="_island")

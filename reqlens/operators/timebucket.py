@@ -8,16 +8,18 @@ the bucket self-sufficient:
 * bounded look-back (as-of join): rows of the looked-up side are replicated
   into every bucket whose rows may look back at them;
 * unbounded look-back (running counts, global row index, trailing sums as
-  differences of running sums, forward fill, previous / next row): per-bucket
-  totals or edge rows (one row per bucket) are prefix-combined and joined
-  back as a carry;
+  differences of running sums, forward fill, previous / next row): rows are
+  dealt to slices, ranges of (key, time, tie) with about equal numbers of rows
+  (:func:`cut_in_order`).  One row per key and slice -- a total or an edge
+  row -- is prefix-combined and joined back as a carry, then each slice is
+  worked on by itself.  A burst, or all rows at one instant, is cut like any
+  other range;
 * interval sweeps (in-flight counts): each interval is cut at bucket edges and
   re-opened at the start of every bucket it spans.
 
 Within a bucket the work is a sort + a streaming window frame; the join back
-of the carry uses the same keys as the window, so the big side is shuffled
-once.  Bucket widths are sized from the data (:func:`auto_bucket_us`) so a
-hot key or a burst gets narrow buckets rather than one huge task.
+of the carry uses the same keys as the window.  The carry operators also take
+an explicit time width (``bucket_us``) in place of slices.
 """
 
 from __future__ import annotations
@@ -99,22 +101,54 @@ def asof_left(left: DataFrame, right: DataFrame, by: Sequence[str], left_us, rig
                     *[F.col("_hit." + prefix + c).alias(prefix + c) for c in right_cols])
 
 
+# ---------------------------------------------------------------------------
+# Slices: ranges of the order with about equal numbers of rows
+# ---------------------------------------------------------------------------
+
+#: Slice number of a row, as :func:`cut_in_order` sets it.
+SLICE = "_slice"
+
+
+def cut_in_order(df: DataFrame, by: Sequence[str], order_us, tie=None, slices: int | None = None) -> DataFrame:
+    """Adds ``SLICE``: rows are range-partitioned by (``by``, ``order_us``,
+    ``tie``), so that every row of a slice comes before every row of the next
+    one and slices hold about equal numbers of rows however the times are
+    spread.  There are ``slices`` of them (default: as many as shuffle
+    partitions).  The carry operators keep and use the column, so a frame that
+    several of them read in the same order is cut once.
+
+    The cut rows are checkpointed: the range bounds come from a sample of the
+    rows, and reading them again must not number them anew."""
+    order = [F.col(k) for k in by] + [_col(order_us)] + ([_col(tie)] if tie is not None else [])
+    n = [int(slices)] if slices else []
+    d = df.repartitionByRange(*n, *order).withColumn(SLICE, F.spark_partition_id().cast("bigint"))
+    return materialize_points(d)
+
+
+def _bucketed(df: DataFrame, by: Sequence[str], order_us, tie, bucket_us: int | None) -> DataFrame:
+    """``_b``: the time bucket of an explicit width, else the slice."""
+    if bucket_us:
+        return df.withColumn("_b", floor_div(_col(order_us).cast("bigint"), bucket_us))
+    if SLICE in df.columns:
+        return df.withColumn("_b", F.col(SLICE))
+    return cut_in_order(df, by, order_us, tie).withColumnRenamed(SLICE, "_b")
+
+
 # ---------------------------------------------------------------------------
 # Running sums / global ordered index
 # ---------------------------------------------------------------------------
 
 def running_sums(df: DataFrame, values: dict, by: Sequence[str], order_us, tie=None,
-                 bucket_us: int = HOUR_US) -> DataFrame:
+                 bucket_us: int | None = None) -> DataFrame:
     """Running sums (inclusive) of several BIGINT-castable columns per
     ``by`` ordered by (``order_us``, ``tie``), without a window over the
     whole key.  ``values`` maps output name -> Column.
 
-    Per-(by, bucket) totals are prefix-summed on the small bucket table and
-    joined back on (by, bucket); the join keys equal the window keys, so the
-    big side is shuffled once."""
+    Per-(by, slice) totals are prefix-summed on that small table and joined
+    back on (by, slice)."""
     by = list(by)
     order = [_col(order_us)] + ([_col(tie)] if tie is not None else [])
-    d = df.withColumn("_b", floor_div(_col(order_us).cast("bigint"), bucket_us))
+    d = _bucketed(df, by, order_us, tie, bucket_us)
     for k, v in values.items():
         d = d.withColumn("_v_" + k, _col(v).cast("bigint"))
     totals = d.groupBy(*by, "_b").agg(*[F.sum("_v_" + k).alias("_t_" + k) for k in values])
@@ -130,22 +164,22 @@ def running_sums(df: DataFrame, values: dict, by: Sequence[str], order_us, tie=N
 
 
 def running_sum(df: DataFrame, value, by: Sequence[str], order_us, tie=None,
-                bucket_us: int = HOUR_US, name: str = "running") -> DataFrame:
+                bucket_us: int | None = None, name: str = "running") -> DataFrame:
     """Running sum of one column (see :func:`running_sums`)."""
     return running_sums(df, {name: value}, by, order_us, tie, bucket_us)
 
 
 def ordered_index(df: DataFrame, order_us, tie=None, by: Sequence[str] = (),
-                  bucket_us: int = HOUR_US, name: str = "idx") -> DataFrame:
+                  bucket_us: int | None = None, name: str = "idx") -> DataFrame:
     """0-based row index ordered by (``order_us``, ``tie``), globally or per
     ``by``; equal to ``row_number() - 1`` over one unpartitioned window but
-    computed bucket by bucket."""
+    computed slice by slice."""
     out = running_sum(df, F.lit(1), by, order_us, tie, bucket_us, name=name)
     return out.withColumn(name, F.col(name) - 1)
 
 
 def running_count(df: DataFrame, cond, by: Sequence[str], order_us, tie=None,
-                  bucket_us: int = HOUR_US, name: str = "running_count") -> DataFrame:
+                  bucket_us: int | None = None, name: str = "running_count") -> DataFrame:
     """Number of rows so far (inclusive) with ``cond`` true, per ``by``."""
     return running_sum(df, F.when(_col(cond), 1).otherwise(0), by, order_us, tie, bucket_us, name=name)
 
@@ -159,9 +193,11 @@ def inflight(intervals: DataFrame, by: Sequence[str], start_us: str, end_us: str
              point_us: str | None = None, name: str = "inflight") -> DataFrame:
     """Number of intervals ``[start, end)`` open at a time point, per ``by``.
 
-    Without ``points`` the points are the interval starts themselves (the
-    count includes the arriving interval, also one that ends as it starts).  With ``points`` (columns ``by``
-    and ``point_us``), every point row gets the count at its time.
+    Without ``points`` the points are the interval starts themselves, and
+    every interval counts itself.  An interval that ends as it starts is open
+    for no time: it counts itself, and no other row counts it, not even one
+    that starts at the same instant.  With ``points`` (columns ``by`` and
+    ``point_us``), every point row gets the count at its time.
 
     Each interval is cut into buckets: +1 at ``max(start, bucket start)`` in
     every bucket it touches and -1 at ``end`` in its last one.  A RANGE frame
@@ -214,13 +250,14 @@ def trailing_at(points: DataFrame, events: DataFrame, by: Sequence[str], point_u
     S (events at a time count before points at that time).  Each point is
     entered twice -- at t and at t - window -- into one bucketed running sum
     over events and points, so there is no event replication and no window
-    as wide as the look-back; buckets are sized from the data."""
+    as wide as the look-back.  Events of one key and instant are added up
+    first: however many there are, they are one row."""
     by = list(by)
     W = int(window_us)
     pstruct = F.struct(*[F.col(c) for c in points.columns])
-    ev = events.select(*by, F.col(event_us).cast("bigint").alias("_t"), F.lit(0).alias("_side"),
-                       F.lit(None).cast("bigint").alias("_pid"), F.lit(0).alias("_sign"),
-                       *[v.cast("bigint").alias(k) for k, v in aggs.items()])
+    ev = events.select(*by, F.col(event_us).cast("bigint").alias("_t"), *[v.cast("bigint").alias(k) for k, v in aggs.items()])
+    ev = ev.groupBy(*by, "_t").agg(*[F.sum(k).alias(k) for k in aggs]).select(
+        *by, "_t", F.lit(0).alias("_side"), F.lit(None).cast("bigint").alias("_pid"), F.lit(0).alias("_sign"), *aggs)
     p = points.select(*by, F.col(point_us).cast("bigint").alias("_pt"), pstruct.alias("_p")) \
               .withColumn("_pid", F.monotonically_increasing_id())
     p = materialize_points(p)
@@ -229,8 +266,9 @@ def trailing_at(points: DataFrame, events: DataFrame, by: Sequence[str], point_u
     lo = p.select(*by, (F.col("_pt") - W).alias("_t"), F.lit(1).alias("_side"), "_pid", F.lit(-1).alias("_sign"),
                   *[F.lit(0).cast("bigint").alias(k) for k in aggs])
     u = ev.unionByName(hi).unionByName(lo)
-    w = bucket_us or auto_bucket_us(u, "_t", by)
-    s = running_sums(u, {"_s_" + k: F.col(k) for k in aggs}, by, "_t", "_side", w).filter(F.col("_sign") != 0)
+    # points at one instant see the same sums: their order is any fixed one
+    u = u.withColumn("_tie", F.struct("_side", F.coalesce("_pid", F.lit(0)), "_sign"))
+    s = running_sums(u, {"_s_" + k: F.col(k) for k in aggs}, by, "_t", "_tie", bucket_us).filter(F.col("_sign") != 0)
     g = s.groupBy("_pid").agg(*[F.sum(F.col("_s_" + k) * F.col("_sign")).alias(k) for k in aggs])
     out = p.join(g, "_pid", "inner")
     return out.select(*[F.col("_p." + c).alias(c) for c in points.columns], *list(aggs))
@@ -249,13 +287,13 @@ def materialize_points(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def forward_fill(df: DataFrame, value, by: Sequence[str], order_us, tie,
-                 bucket_us: int = HOUR_US, name: str = "filled") -> DataFrame:
+                 bucket_us: int | None = None, name: str = "filled") -> DataFrame:
     """Last non-null ``value`` at or before each row per ``by`` in
-    (``order_us``, ``tie``) order.  Inside a bucket a running
+    (``order_us``, ``tie``) order.  Inside a slice a running
     ``last(ignorenulls)``; the carry is the last non-null value of earlier
-    buckets, from the one-row-per-bucket table."""
+    slices, from the table of one row per key and slice."""
     by = list(by)
-    d = df.withColumn("_b", floor_div(_col(order_us).cast("bigint"), bucket_us)).withColumn("_v", _col(value))
+    d = _bucketed(df, by, order_us, tie, bucket_us).withColumn("_v", _col(value))
     key = F.when(F.col("_v").isNotNull(), F.struct(_col(order_us), _col(tie)))
     edge = d.groupBy(*by, "_b").agg(F.max_by("_v", key).alias("_e"))
     bw = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_b") \
@@ -274,17 +312,18 @@ def forward_fill(df: DataFrame, value, by: Sequence[str], order_us, tie,
 
 def interval_lookup(points: DataFrame, intervals: DataFrame, by: Sequence[str], point_us: str,
                     start_us: str = "start_us", end_us: str = "end_us", cols: Sequence[str] = (),
-                    bucket_us: int = HOUR_US, name: str = "interval") -> DataFrame:
+                    bucket_us: int | None = None, name: str = "interval") -> DataFrame:
     """For each point, the interval ``[start, end)`` of the same key that
     contains it (struct ``name`` with start_us, end_us and ``cols``; null
     when none).  Intervals of one key must not overlap (state runs, pool
     versions, merged breaker intervals).
 
     Interval starts and points are unioned and the latest start at or
-    before each point is forward-filled over time (bucketed carry, starts
+    before each point is forward-filled over time (slices with a carry, starts
     before points at equal times); the point matches when it lies before
     that interval's end.  Work is linear in points + intervals: no
-    candidate pairs, however many intervals fall in one bucket."""
+    candidate pairs, however many intervals fall in one slice.  Points at one
+    instant are told apart by their content, so a burst of them is cut too."""
     by = list(by)
     iv = F.struct(F.col(start_us).cast("bigint").alias("start_us"), F.col(end_us).cast("bigint").alias("end_us"),
                   *[F.col(c) for c in cols])
@@ -293,25 +332,8 @@ def interval_lookup(points: DataFrame, intervals: DataFrame, by: Sequence[str],
     P = points.select(*by, F.col(point_us).cast("bigint").alias("_t"), F.lit(1).alias("_side"), pstruct.alias("_p"))
     I = I.withColumn("_p", F.lit(None).cast(P.schema["_p"].dataType))
     P = P.withColumn("_iv", F.lit(None).cast(I.schema["_iv"].dataType))
-    u = forward_fill(I.unionByName(P), "_iv", by, "_t", "_side", bucket_us, name="_hit")
+    u = I.unionByName(P).withColumn("_tie", F.struct("_side", F.when(F.col("_side") == 1, F.xxhash64("_p"))))
+    u = forward_fill(u, "_iv", by, "_t", "_tie", bucket_us, name="_hit")
     u = u.filter(F.col("_side") == 1)
     hit = F.when(F.col("_hit.end_us") > F.col("_t"), F.col("_hit"))
     return u.select(*[F.col("_p." + c).alias(c) for c in points.columns], hit.alias(name))
-
-
-# ---------------------------------------------------------------------------
-# Bucket width from the data
-# ---------------------------------------------------------------------------
-
-def auto_bucket_us(df: DataFrame, order_us, by: Sequence[str] = (), target_rows: int = 4_000_000,
-                   max_us: int = HOUR_US, min_us: int = 1_000) -> int:
-    """Bucket width such that the densest (key, bucket) holds about
-    ``target_rows`` rows: one partial aggregate gives the peak row count per
-    (key, minute); the width scales a minute by target / peak, clamped to
-    [``min_us``, ``max_us``].  A hot key or a traffic burst therefore gets
-    narrow buckets (more, smaller window tasks) instead of one huge one."""
-    m = floor_div(_col(order_us).cast("bigint"), MINUTE_US)
-    peak = df.groupBy(*by, m.alias("_m")).count().agg(F.max("count").alias("p")).first()["p"] or 0
-    if peak == 0:
-        return max_us
-    return int(max(min_us, min(max_us, MINUTE_US * target_rows // peak)))

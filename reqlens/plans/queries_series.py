@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reqlens.operators import series as S
-from reqlens.operators.timebucket import auto_bucket_us, inflight, ordered_index
+from reqlens.operators.timebucket import inflight, ordered_index
 from reqlens.plans.catalog import AS_OF_US, MID_US, query
 from reqlens.sources.fixtures import BASE_US
 
@@ -153,7 +153,7 @@ def w8_global_index(fx):
     """Global 0-based arrival index without a single-partition window
     over the rows (bucket counts -> prefix sums -> per-bucket row_number)."""
     req = fx.fx_requests
-    return ordered_index(req, "t_us", "id", bucket_us=auto_bucket_us(req, "t_us")).select("id", "idx")
+    return ordered_index(req, "t_us", "id").select("id", "idx")
 
 
 BREAKER_SQL = """

@@ -33,8 +33,8 @@ def test_inflight_matches_bruteforce(spark, starts, lens, bucket):
     rows = [(i, i % 2, s, s + lens[i]) for i, s in enumerate(starts)]
     df = spark.createDataFrame(rows, "id long, k int, s long, e long")
     got = {r["id"]: r["inflight"] for r in inflight(df, ["k"], "s", "e", bucket_us=bucket).collect()}
-    want = {i: sum(1 for _, k2, s2, e2 in rows if k2 == k and e2 > s2 and s2 <= s < e2)
-            for i, k, s, e in rows if e > s}
+    # open intervals at the arrival, itself included; an empty one counts for itself only
+    want = {i: sum(1 for i2, k2, s2, e2 in rows if k2 == k and (s2 <= s < e2 or i2 == i)) for i, k, s, e in rows}
     assert got == want
 
 

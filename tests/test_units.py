@@ -412,15 +412,42 @@ def test_score_memoised_and_ml_policy(spark, fx):
     assert out.count() == req.count() and out.filter("assigned is null").count() == 0
 
 
-def test_auto_bucket_narrows_and_keeps_results(spark, fx):
-    from reqlens.operators.timebucket import HOUR_US, auto_bucket_us
-    req = fx.fx_requests
-    wide = auto_bucket_us(req, "t_us")
-    narrow = auto_bucket_us(req, "t_us", target_rows=1)
-    assert wide == HOUR_US and narrow <= 60 * SEC
-    a = {r["id"]: r["idx"] for r in ordered_index(req, "t_us", "id", bucket_us=narrow).collect()}
-    b = {r["id"]: r["idx"] for r in ordered_index(req, "t_us", "id", bucket_us=wide).collect()}
-    assert a == b
+def test_a_burst_is_cut_like_any_other_range(spark):
+    """All rows in one second, nine tenths of them at one instant: slices
+    hold about equal numbers of rows and the results stay."""
+    from reqlens.operators.timebucket import SLICE, cut_in_order, forward_fill
+    n = 40_000
+    d = spark.range(n).selectExpr("id", "if(id % 10 < 9, 500000, id % 1000000) as t_us", "id % 7 = 0 as hit", "1 as k")
+    cut = cut_in_order(d, [], "t_us", "id", slices=16)
+    sizes = sorted(r["count"] for r in cut.groupBy(SLICE).count().collect())
+    assert len(sizes) == 16 and sizes[-1] <= 2 * sizes[8]
+    rows = sorted((r["t_us"], r["id"], r["hit"]) for r in d.collect())
+    got = {r["id"]: (r["idx"], r["hits"]) for r in running_count(
+        ordered_index(cut, "t_us", "id"), F.col("hit"), [], "t_us", "id", name="hits").collect()}
+    hits, last, want, fill = 0, None, {}, {}
+    for i, (t, k, hit) in enumerate(rows):
+        hits += hit
+        last = k if hit else last
+        want[k], fill[k] = (i, hits), last
+    assert got == want
+    assert {r["id"]: r["filled"] for r in forward_fill(cut, F.when(F.col("hit"), F.col("id")), [], "t_us", "id").collect()} == fill
+    prev = {r["id"]: r["prev"] and r["prev"]["id"] for r in S.neighbor(cut, [], "t_us", "id", ["id"]).collect()}
+    assert prev == {b[1]: a[1] for a, b in zip(rows, rows[1:])} | {rows[0][1]: None}
+
+
+@pytest.mark.parametrize("rows", [1, 2, 1122, 5000, 100_000])
+@pytest.mark.parametrize("alpha", [0.01, 0.3, 0.5, 0.999])
+def test_smoothing_of_any_length(spark, rows, alpha):
+    if rows == 100_000 and alpha in (0.01, 0.5):
+        pytest.skip("two alphas of this length are enough")
+    d = spark.range(rows).selectExpr("id", "cast(id % 2 as int) as k", "id div 2 as t_us",
+                                     "cast((id * 37) % 100 + 50 * (id % 3) as double) as cpu")
+    got = {r["id"]: r["smoothed"] for r in S.smooth(d, "cpu", ["k"], "t_us", "id", alpha=alpha, chunk=1000).collect()}
+    state = {}
+    for i in range(rows):
+        x, k = float((i * 37) % 100 + 50 * (i % 3)), i % 2
+        state[k] = x if k not in state else (1 - alpha) * state[k] + alpha * x
+        assert abs(got[i] - min(100.0, state[k])) <= 0.0501
 
 
 def test_request_failure_marks_down(spark):
