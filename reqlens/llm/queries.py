@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from reqlens.llm import (byte_bpe, chat_format, html_extract, license_scan, license_templates, metric_search, minhash,
-                         packing, quality_rules, secret_scan, warc)
+from reqlens.llm import (byte_bpe, chat_format, decontaminate, divergence_audit, html_extract, license_scan,
+                         license_templates, metric_search, minhash, packing, quality_rules, secret_scan,
+                         tokenizer_alignment, warc)
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -224,6 +226,75 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(byte_bpe.decoded(F.col("ids"), BYTE_RANKS), 256).alias("decoded_sha256"))
 
 
+@query("op11_benchmark_decontamination", r"""
+with d as (
+  select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (
+  select coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bw as (select distinct item, n, array_to_string(w[i:i + n - 1], ' ') as g
+       from (select item, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)),
+dw as (select r, i, n, array_to_string(w[i:i + n - 1], ' ') as g
+       from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bw) where len(w) >= n)),
+h as (select r, i, dw.n, item from dw join bw on dw.g = bw.g and dw.n = bw.n),
+hit as (select r, count(distinct p) as n_hit from (select r, i + unnest(range(n)) as p from (select distinct r, i, n from h)) group by r),
+its as (select r, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from h group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit on hit.r = d.r left join its on its.r = d.r
+""")
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ``benchmark`` in all ``documents``."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level tokens of all ``documents`` against pieces."""
+    return tokenizer_alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
+@query("op13_source_divergence", r"""
+with d as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r, regexp_extract_all(translate(
+         coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents),
+x as (select lang, source, r, unnest(w) as term from d),
+kept as (select lang, term from x group by all having count(distinct r) >= 10),
+grp as (select distinct lang, source from d),
+v as (select lang, count(*)::hugeint as v from kept group by lang),
+c as (select lang, source, term, count(*)::hugeint as n from x join kept using (lang, term) group by all),
+tot as (select lang, source, sum(n)::hugeint as t from c group by all),
+ltot as (select lang, sum(n)::hugeint as t from c group by all),
+lc as (select lang, term, sum(n)::hugeint as n from c group by all),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+             1 + 1000000000::hugeint * (coalesce(c.n, 0) + 2) // (coalesce(tot.t, 0) + 2 * v.v) as p
+      from grp g join kept k on k.lang = g.lang join v on v.lang = g.lang
+      left join tot on tot.lang = g.lang and tot.source = g.source
+      left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+q as (select lc.lang, lc.term, 1 + 1000000000::hugeint * (lc.n + 2) // (ltot.t + 2 * v.v) as q
+      from lc join ltot using (lang) join v using (lang)),
+pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+          from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every as (select a.lang, a.source, b.source as item from grp a join grp b on a.lang = b.lang and a.source <> b.source),
+found as (
+  select e.lang, e.source, 'pair' as part, e.item, coalesce(pairs.value, 0)::bigint as value
+  from every e left join pairs using (lang, source, item)
+  union all
+  select p.lang, p.source, 'term', p.term, ((p - q) * (p - q) // (p + q))::bigint from p join q using (lang, term)
+  where n > 0 and p > q)
+select lang, source, part, item, value, (row_number() over w)::int as rank from found
+window w as (partition by lang, source, part order by value desc, item)
+qualify part = 'pair' or row_number() over w <= 10
+""")
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language of ``documents`` differ in their words."""
+    return divergence_audit.audit(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` over ``documents``."""
