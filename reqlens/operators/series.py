@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from reqlens.functions.scalars import clamp, round1
 from reqlens.operators.sizing import materialize
-from reqlens.operators.timebucket import (MINUTE_US, SLICE, _bucketed, cut_in_order, floor_div, micros_ts,
-                                          ordered_index, running_count, running_sum, trailing_at)
+from reqlens.operators.timebucket import (MINUTE_US, SLICE, _bucketed, cut_in_order, floor_div, join_back,
+                                          micros_ts, ordered_index, running_count, running_sum, trailing_at)
 
 
 def _col(x) -> Column:
@@ -54,7 +54,7 @@ def neighbor(df: DataFrame, by: Sequence[str], order_us: str, tie: str, cols: Se
         within = F.lead(s).over(w)
     # The struct of a real row is never null, so a null lag / lead marks the
     # slice's edge, where the carry applies.
-    j = d.join(carry, by + ["_b"], "inner")
+    j = join_back(d, carry, by)
     j = j.withColumn(name, F.coalesce(within, F.col("_carry")))
     return j.drop("_b", "_carry")
 
@@ -103,10 +103,10 @@ def _folded(d: DataFrame, by: Sequence[str], keep: float, most: int, rows: int)
         "_c", "_k", "_own", "_in", "_n", *[f"_by{j}" for j in range(len(by))])
 
 
-def smooth(df: DataFrame, value: str, by: Sequence[str], order_us: str, tie: str,
-           alpha: float = 0.3, chunk: int = 65536, name: str = "smoothed") -> DataFrame:
-    """``s <- (1 - alpha) * s + alpha * x``, seeded by the first sample,
-    then clamped to [0, 100] and rounded to one decimal (P8).
+def recurrence(df: DataFrame, values: dict[str, str], by: Sequence[str], order_us: str, tie: str,
+               alpha: float = 0.3, chunk: int = 65536) -> DataFrame:
+    """Adds, for each ``name: column`` of ``values``, the smoothed value
+    ``s <- (1 - alpha) * s + alpha * x``, seeded by the first row of the key.
 
     The whole history counts, whatever ``alpha``.  Rows are numbered per key
     (W8 index over slices) and cut into chunks of at most ``chunk`` rows, so every
@@ -114,10 +114,19 @@ def smooth(df: DataFrame, value: str, by: Sequence[str], order_us: str, tie: str
     by = list(by)
     d = materialize(ordered_index(df, order_us, tie, by=by, name="_i"))  # read twice below
     rows = (d.agg(F.max("_i")).first()[0] or 0) + 1
-    x = F.col(value).cast("double")
-    d = d.withColumn("_x", F.when(F.col("_i") == 0, x).otherwise(x * alpha))
-    out = _folded(d, by, 1.0 - alpha, max(2, int(chunk)), rows)
-    return out.withColumn(name, round1(clamp(F.col("_s")))).drop("_i", "_x", "_s")
+    for name, column in values.items():
+        x = F.col(column).cast("double")
+        d = d.withColumn("_x", F.when(F.col("_i") == 0, x).otherwise(x * alpha))
+        d = _folded(d, by, 1.0 - alpha, max(2, int(chunk)), rows).drop("_x").withColumnRenamed("_s", name)
+    return d.drop("_i")
+
+
+def smooth(df: DataFrame, value: str, by: Sequence[str], order_us: str, tie: str,
+           alpha: float = 0.3, chunk: int = 65536, name: str = "smoothed") -> DataFrame:
+    """Exponential smoothing (:func:`recurrence`), then clamped to [0, 100]
+    and rounded to one decimal (P8)."""
+    out = recurrence(df, {"_smooth": value}, by, order_us, tie, alpha, chunk)
+    return out.withColumn(name, round1(clamp(F.col("_smooth")))).drop("_smooth")
 
 
 # ---------------------------------------------------------------------------
@@ -294,6 +303,6 @@ def rate_grid(df: DataFrame, ts: str = "ts", by: Sequence[str] = (), width_s: in
                     (F.col("requests") / float(width_s)).alias("per_second"))
 
 
-__all__ = ["neighbor", "smooth", "error_blend", "success_rate_at", "counter_rate", "gauge_at_ticks",
+__all__ = ["neighbor", "recurrence", "smooth", "error_blend", "success_rate_at", "counter_rate", "gauge_at_ticks",
            "probe_outcomes", "health_transitions", "state_intervals", "uptime", "breaker_intervals",
            "rate_grid", "ordered_index", "running_sum", "running_count", "MINUTE_US"]

@@ -134,6 +134,15 @@ def _bucketed(df: DataFrame, by: Sequence[str], order_us, tie, bucket_us: int |
     return cut_in_order(df, by, order_us, tie).withColumnRenamed(SLICE, "_b")
 
 
+def join_back(d: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``d`` with the columns of ``carry`` (one row per ``by`` and ``_b``); null
+    keys are keys like others."""
+    keys = [*by, "_b"]
+    c = carry.withColumnsRenamed({k: "_j_" + k for k in keys})
+    on = [d[k].eqNullSafe(c["_j_" + k]) for k in keys]
+    return d.join(c, on, "inner").drop(*["_j_" + k for k in keys])
+
+
 # ---------------------------------------------------------------------------
 # Running sums / global ordered index
 # ---------------------------------------------------------------------------
@@ -156,7 +165,7 @@ def running_sums(df: DataFrame, values: dict, by: Sequence[str], order_us, tie=N
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_b", *[F.coalesce(F.sum("_t_" + k).over(pw), F.lit(0)).cast("bigint")
                                          .alias("_o_" + k) for k in values])
-    j = d.join(offsets, on=by + ["_b"], how="inner")
+    j = join_back(d, offsets, by)
     within = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for k in values:
         j = j.withColumn(k, F.col("_o_" + k) + F.sum("_v_" + k).over(within))
@@ -299,7 +308,7 @@ def forward_fill(df: DataFrame, value, by: Sequence[str], order_us, tie,
     bw = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_b") \
         .rowsBetween(Window.unboundedPreceding, -1)
     carry = edge.select(*by, "_b", F.last("_e", ignorenulls=True).over(bw).alias("_carry"))
-    j = d.join(carry, by + ["_b"], "inner")
+    j = join_back(d, carry, by)
     within = Window.partitionBy(*by, "_b").orderBy(_col(order_us), _col(tie)) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     j = j.withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(within), F.col("_carry")))

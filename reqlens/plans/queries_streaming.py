@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from reqlens.plans.catalog import query
 from reqlens.session import checkpoint_dir
+from reqlens.streaming import epochs
 from reqlens.streaming import jobs as T
 
 N_FILES = 4
@@ -49,10 +50,14 @@ def _drain(sdf: DataFrame, base: str) -> DataFrame:
     q = (sdf.writeStream.format("parquet").option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/ckpt").outputMode("append")
          .trigger(availableNow=True).start())
+    _finish(q)
+    return sdf.sparkSession.read.parquet(f"{base}/out")
+
+
+def _finish(q) -> None:
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return sdf.sparkSession.read.parquet(f"{base}/out")
 
 
 def _stream(spark, path: str, schema) -> DataFrame:
@@ -148,14 +153,15 @@ l as (select *, lag(alive) over (partition by server_id order by t_us, seq) as p
 select server_id, seq, t_us, alive from l where alive <> coalesce(prev, true)""")
 def t3_stream_health_transitions(fx):
     """Health transitions from a stream of probe outcomes; the last
-    state per server is kept in the state store across micro-batches."""
+    state per server is carried across micro-batches."""
     from reqlens.operators.series import probe_outcomes
     spark = fx.spark
     o = probe_outcomes(fx.fx_probes).select(F.col("server_id").cast("int"), F.col("seq").cast("bigint"),
                                             F.col("t_us").cast("bigint"), "alive")
     base = _folder(spark)
     _stage(o, f"{base}/in", "t_us")
-    return _drain(T.stream_health_transitions(_stream(spark, f"{base}/in", o.schema)), base)
+    _finish(T.stream_health_transitions(_stream(spark, f"{base}/in", o.schema), f"{base}/out", f"{base}/ckpt"))
+    return epochs.rows(spark, f"{base}/out")
 
 
 @query("t6_stream_upsert_servers", """
@@ -193,11 +199,8 @@ def t6_stream_upsert_servers(fx):
         .withColumn("updated_at", F.lit(None).cast("timestamp_ntz")).coalesce(1).write.parquet(reg)
     urls = fx.fx_config_urls.withColumn("now", F.lit("2024-01-01 12:00:00"))
     _stage(urls, f"{base}/in", "pos")
-    q = T.stream_upsert_servers(_stream(spark, f"{base}/in", urls.schema), reg, f"{base}/ckpt")
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(reg)
+    _finish(T.stream_upsert_servers(_stream(spark, f"{base}/in", urls.schema), reg, f"{base}/ckpt"))
+    return T.read_registry(spark, reg)
 
 
 @query("t8_stream_smooth", """
@@ -208,10 +211,10 @@ from fx_metrics
 window w as (partition by server_id order by t_us, id rows between 127 preceding and current row)""")
 def t8_stream_smooth(fx):
     """Smoothed cpu / memory per server from the metric stream, the
-    two smoothed values per server carried in the state store."""
+    two smoothed values per server carried across micro-batches."""
     spark = fx.spark
     m = fx.fx_metrics.select("id", "server_id", "t_us", "cpu_usage", "memory_usage")
     base = _folder(spark)
     _stage(m, f"{base}/in", "t_us")
-    out = T.stream_smooth(_stream(spark, f"{base}/in", m.schema))
-    return _drain(out.select("id", "server_id", "t_us", "cpu", "memory"), base)
+    _finish(T.stream_smooth(_stream(spark, f"{base}/in", m.schema), f"{base}/out", f"{base}/ckpt"))
+    return epochs.rows(spark, f"{base}/out").select("id", "server_id", "t_us", "cpu", "memory")
