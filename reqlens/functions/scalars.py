@@ -108,6 +108,13 @@ def round1(x) -> Column:
     return F.round(_c(x), 1)
 
 
+def stable_hash(key, seed: int = 42) -> Column:
+    """A number below 2^32 that depends on the key's text and the seed only (the
+    first eight hex digits of an MD5), the same in every engine; null as ''."""
+    text = F.concat(F.coalesce(_c(key).cast("string"), F.lit("")), F.lit(f"#{int(seed)}"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 # --- P9-P16 ------------------------------------------------------------------
 
 def fill_request_id(header) -> Column:

@@ -40,6 +40,23 @@ def _ts_between(ts: str, lo: Column, hi: Column, lo_strict=True) -> Column:
     return ((c > lo) if lo_strict else (c >= lo)) & (c <= hi)
 
 
+# --- sliding windows -----------------------------------------------------------
+
+def sliding(df: DataFrame, by: Sequence[str], ts: str, width: str, slide: str, panes: dict[str, Column],
+            merge: dict[str, Column]) -> DataFrame:
+    """Aggregates over windows of ``width`` every ``slide`` (a part of the width),
+    as ``by, window_start`` and the names of ``merge``; windows without rows are
+    left out.
+
+    Every row is aggregated once, into the pane of one slide (``panes``: name ->
+    aggregate of rows).  Only the panes, one row per key and slide, go to the
+    windows that hold them (``merge``: name -> aggregate of panes)."""
+    p = df.groupBy(*by, F.window(ts, slide).alias("_pane")).agg(*[c.alias(n) for n, c in panes.items()])
+    starts = F.expr(f"sequence(_pane.start - interval {width} + interval {slide}, _pane.start, interval {slide})")
+    w = p.select(*by, F.explode(starts).alias("window_start"), *panes)
+    return w.groupBy(*by, "window_start").agg(*[c.alias(n) for n, c in merge.items()])
+
+
 # --- A1 -----------------------------------------------------------------------
 
 def success_rate(requests: DataFrame, servers: DataFrame, as_of: str, window_s: int = 300) -> DataFrame:
@@ -119,14 +136,20 @@ def requests_total(log: DataFrame, by: Sequence[str] = ("method", "path", "statu
     return log.groupBy(*by).agg(F.count(F.lit(1)).alias("requests"))
 
 
-def latency_histogram(df: DataFrame, value: str, by: Sequence[str], edges: Sequence[float]) -> DataFrame:
+def latency_histogram(df: DataFrame, value: str, by: Sequence[str], edges: Sequence[float],
+                      sliding_by: tuple[str, str, str] | None = None) -> DataFrame:
     """Cumulative histogram in long form: one row per (group, le) with
     ``bucket_count`` = observations <= le, plus the group's ``observations``
-    and ``value_sum``.  One pass: every edge is a conditional count."""
+    and ``value_sum``.  One pass: every edge is a conditional count.  With
+    ``sliding_by`` (time column, width, slide) also per ``window_start``."""
     by = list(by)
-    aggs = [count_where(F.col(value) <= F.lit(float(e))).alias(f"_le{i}") for i, e in enumerate(edges)]
-    g = df.groupBy(*by).agg(*aggs, F.count(F.lit(1)).alias("observations"),
-                           F.sum(F.col(value).cast("double")).alias("value_sum"))
+    aggs = {f"_le{i}": count_where(F.col(value) <= F.lit(float(e))) for i, e in enumerate(edges)}
+    aggs |= {"observations": F.count(F.lit(1)), "value_sum": F.sum(F.col(value).cast("double"))}
+    if sliding_by:
+        g = sliding(df, by, *sliding_by, aggs, {n: F.sum(n) for n in aggs})
+        by = [*by, "window_start"]
+    else:
+        g = df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()])
     labels = [le_label(float(e)) for e in edges] + ["+Inf"]
     cols = [f"_le{i}" for i in range(len(edges))] + ["observations"]
     pairs = ", ".join(f"'{lab}', {c}" for lab, c in zip(labels, cols))
@@ -155,18 +178,49 @@ def span_metrics(spans: DataFrame, edges: Sequence[float] = REQUEST_DURATION_EDG
 def quantile_summary(df: DataFrame, value: str, by: Sequence[str], ts: str,
                      objectives: dict | None = None, width: str = "5 minutes",
                      slide: str = "1 minute") -> DataFrame:
-    """Approximate quantiles over sliding windows; the accuracy is set
-    from the tightest objective error (relative rank error <= 1/accuracy)."""
+    """Approximate quantiles over sliding windows, each with the rank error
+    of its objective at most (column ``max_error``).
+
+    A row enters one KLL sketch, that of its key and slide; a window merges the
+    sketches of its panes.  The sketches are as large as the tightest objective
+    needs, and exact while a window has no more values than that.  Null values
+    are no observations; the quantile is the smallest value whose rank reaches
+    it."""
     objectives = objectives or SUMMARY_OBJECTIVES
     qs = sorted(objectives)
-    accuracy = int(math.ceil(1.0 / min(objectives.values())))
-    g = df.groupBy(*by, F.window(ts, width, slide).alias("w")).agg(
-        F.percentile_approx(F.col(value), F.array(*[F.lit(q) for q in qs]), accuracy).alias("_v"),
-        F.count(F.lit(1)).alias("observations"))
-    return g.select(*by, F.col("w.start").alias("window_start"), "observations",
-                    F.posexplode("_v").alias("_i", "value")) \
-            .withColumn("quantile", F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("_i") + 1)) \
-            .drop("_i")
+    k = kll_size(min(objectives.values()))
+    rows = df.filter(F.col(value).isNotNull()).withColumn("_x", F.col(value).cast("double"))
+    g = sliding(rows, by, ts, width, slide,
+                {"_sketch": F.kll_sketch_agg_double("_x", k), "observations": F.count(F.lit(1))},
+                {"_sketch": F.kll_merge_agg_double("_sketch", k), "observations": F.sum("observations")})
+    table = F.array(*[F.struct(F.lit(q).alias("quantile"), F.lit(float(objectives[q])).alias("max_error")) for q in qs])
+    found = F.kll_sketch_get_quantile_double("_sketch", F.array(*[F.lit(q) for q in qs]))
+    return g.select(*by, "window_start", "observations", F.explode(F.arrays_zip(table.alias("o"), found.alias("value"))).alias("_q")).select(
+        *by, "window_start", "observations", "_q.o.quantile", "_q.o.max_error", "_q.value")
+
+
+def kll_size(error: float) -> int:
+    """The size parameter at which a KLL sketch has a normalised rank error of
+    ``error`` (with a probability of 99 %): the published fit 2.296 / k^0.9021,
+    within the range of the parameter, 8 to 65535."""
+    return int(min(65535, max(8, math.ceil((2.296 / error) ** (1 / 0.9021)))))
+
+
+def summary_rank_errors(summary: DataFrame, df: DataFrame, value: str, by: Sequence[str], ts: str,
+                        width: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """Holds a summary (:func:`quantile_summary`) against its rows: per key,
+    window and quantile whether the value's ranks come within ``max_error`` of
+    the quantile (``within``).  Rows are counted per value and slide first."""
+    by = list(by)
+    counts = sliding(df.filter(F.col(value).isNotNull()).withColumn("_x", F.col(value).cast("double")), [*by, "_x"], ts,
+                     width, slide, {"_n": F.count(F.lit(1))}, {"_n": F.sum("_n")})
+    j = summary.join(counts, [*by, "window_start"])
+    g = j.groupBy(*by, "window_start", "quantile", "observations", "max_error").agg(
+        F.sum(F.when(F.col("_x") < F.col("value"), F.col("_n")).otherwise(0)).alias("_below"),
+        F.sum(F.when(F.col("_x") <= F.col("value"), F.col("_n")).otherwise(0)).alias("_upto"))
+    lo, hi = (F.col("quantile") + s * F.col("max_error") for s in (-1, 1))
+    within = (F.col("_below") / F.col("observations") <= hi) & (F.col("_upto") / F.col("observations") >= lo)
+    return g.select(*by, "window_start", "quantile", "observations", within.alias("within"))
 
 
 def latency_percentiles(df: DataFrame, value: str, by: Sequence[str],
@@ -219,9 +273,10 @@ def latency_percentiles(df: DataFrame, value: str, by: Sequence[str],
 def error_pct(log: DataFrame, width: str = "1 minute", slide: str = "15 seconds",
               by: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     """A10: 100 * 5xx / all per sliding window (null when no requests)."""
-    g = log.groupBy(*by, F.window(ts, width, slide).alias("w")).agg(
-        F.count(F.lit(1)).alias("requests"), count_where(is_server_error("status_code")).alias("errors"))
-    return g.select(*by, F.col("w.start").alias("window_start"), "requests", "errors",
+    g = sliding(log, by, ts, width, slide,
+                {"requests": F.count(F.lit(1)), "errors": count_where(is_server_error("status_code"))},
+                {"requests": F.sum("requests"), "errors": F.sum("errors")})
+    return g.select(*by, "window_start", "requests", "errors",
                     F.when(F.col("requests") > 0, F.col("errors") * 100.0 / F.col("requests")).alias("error_pct"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reqlens.functions.scalars import with_host_port
 from reqlens.operators.sizing import broadcast_if_small
+from reqlens.operators.timebucket import floor_div
 
 
 def join_servers(requests: DataFrame, servers: DataFrame,
@@ -83,14 +84,20 @@ def pool_at(requests: DataFrame, runs: DataFrame, pool: DataFrame, end_us: int,
 def correlate_logs_spans(logs: DataFrame, spans: DataFrame, log_ts_us: str = "ts_us",
                          before_us: int = 60_000_000, after_us: int = 60_000_000) -> DataFrame:
     """Log line <-> span with the same trace id and the log time within
-    ``[span start - before, span end + after]``.  Equi-join on trace id
-    (high cardinality, shuffles evenly) plus a range filter."""
-    l = logs.alias("l")
-    s = spans.alias("s")
-    cond = ((F.col("l.trace_id") == F.col("s.trace_id"))
+    ``[span start - before, span end + after]`` (``l.*`` and ``s.*``).
+
+    An equi-join on (trace id, time bucket): a span goes to every bucket its
+    range touches, a log line to its own, so each pair meets once and a trace
+    with most of all logs and spans is spread over its time."""
+    w = max(1, before_us + after_us)
+    first, last = (floor_div(c, w) for c in (F.col("start_us") - before_us, F.col("end_us") + after_us))
+    touched = F.when(last >= first, F.sequence(first, last))
+    l = logs.withColumn("_bucket", floor_div(F.col(log_ts_us), w)).alias("l")
+    s = spans.withColumn("_bucket", F.explode(touched)).alias("s")
+    cond = ((F.col("l.trace_id") == F.col("s.trace_id")) & (F.col("l._bucket") == F.col("s._bucket"))
             & (F.col("l." + log_ts_us) >= F.col("s.start_us") - before_us)
             & (F.col("l." + log_ts_us) <= F.col("s.end_us") + after_us))
-    return l.join(s, cond, "inner")
+    return l.join(s, cond, "inner").drop("_bucket")
 
 
 def service_edges(spans: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqlens.operators.aggs import FEATURES
+from reqlens.functions.scalars import stable_hash
+from reqlens.operators.aggs import FEATURES, sliding
+from reqlens.operators.scaler import PopulationScaler, population_std
 from reqlens.operators.sizing import broadcast_if_small, materialize
 from reqlens.operators.timebucket import floor_div, inflight, interval_lookup, micros_ts, running_sum
 
@@ -43,7 +45,7 @@ def check_manifest(columns: Sequence[str], features: Sequence[str] = FEATURES) -
 def split(df: DataFrame, key: str, train_pct: int = 80, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """M3: deterministic split by a hash of the key (stable under
     repartitioning and re-execution)."""
-    h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
+    h = F.pmod(stable_hash(key, seed), F.lit(100))
     return df.filter(h < train_pct), df.filter(h >= train_pct)
 
 
@@ -53,7 +55,7 @@ def fit_scaler(train: DataFrame, features: Sequence[str] = FEATURES) -> DataFram
     std)."""
     return train.agg(
         F.array(*[F.avg(F.col(c).cast("double")) for c in features]).alias("mean"),
-        F.array(*[F.stddev_pop(F.col(c).cast("double")) for c in features]).alias("scale"))
+        F.array(*[population_std(F.col(c).cast("double")) for c in features]).alias("scale"))
 
 
 def apply_scaler(df: DataFrame, scaler, features: Sequence[str] = FEATURES, suffix: str = "_scaled") -> DataFrame:
@@ -79,11 +81,14 @@ def mae(df: DataFrame, y: str, pred: str = "prediction") -> DataFrame:
 
 def fit_score_model(train: DataFrame, features: Sequence[str] = FEATURES, target: str = "target",
                     kind: str = "gbt", validation_col: str | None = None, seed: int = 42) -> PipelineModel:
-    """M6: regression of the composite target on the features.  ``gbt``
-    stops early on the validation rows when ``validation_col`` is given.
-    Rows with a null target are left out of the fit."""
+    """M6: regression of the composite target on the standard-scaled features
+    (M4 + M5, fitted on these rows and kept in the pipeline).  ``gbt`` stops
+    early on the validation rows when ``validation_col`` is given.  Rows with a
+    null target are left out of the fit."""
     check_manifest(features)
-    va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    scaled = [c + "_scaled" for c in features]
+    scaler = PopulationScaler(inputCols=list(features), outputCols=scaled)
+    va = VectorAssembler(inputCols=scaled, outputCol="features", handleInvalid="keep")
     if kind == "gbt":
         est = GBTRegressor(featuresCol="features", labelCol=target, maxIter=50, maxDepth=4, seed=seed,
                            lossType="squared")
@@ -94,7 +99,7 @@ def fit_score_model(train: DataFrame, features: Sequence[str] = FEATURES, target
     else:
         raise ValueError(f"unknown model kind: {kind}")
     # Rows without a label (no metric sample in any of their requests) cannot train.
-    return Pipeline(stages=[va, est]).fit(train.filter(F.col(target).isNotNull() & ~F.isnan(target)))
+    return Pipeline(stages=[scaler, va, est]).fit(train.filter(F.col(target).isNotNull() & ~F.isnan(target)))
 
 
 def score(df: DataFrame, model: PipelineModel, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -104,7 +109,7 @@ def score(df: DataFrame, model: PipelineModel, features: Sequence[str] = FEATURE
     if df.isEmpty():
         raise ValueError("empty scoring input")
     out = model.transform(df)
-    return out.drop("features").withColumnRenamed("prediction", "score")
+    return out.drop("features", *[c + "_scaled" for c in features]).withColumnRenamed("prediction", "score")
 
 
 # --- M8 -----------------------------------------------------------------------
@@ -185,11 +190,13 @@ def decision_snapshots(metrics: DataFrame, intervals: DataFrame, requests: DataF
         .filter(F.col("_side") == 1).select("server_id", "tick_us", "_k")
     snap = snap.join(k, ["server_id", "tick_us"], "left") \
                .withColumn("error_rate", 1 - F.pow(F.lit(0.9), F.coalesce(F.col("_k"), F.lit(0)))).drop("_k")
-    # p95 of the last complete sliding window
+    # p95 of the last complete sliding window, from counts per latency and slide
     W, S = int(p95_window_s) * 1_000_000, int(slide_s) * 1_000_000
-    pw = requests.groupBy("server_id", F.window("created_at", f"{p95_window_s} seconds", f"{slide_s} seconds").alias("w")) \
-                 .agg(F.percentile(F.col("response_time_ms").cast("double"), F.lit(0.95)).alias("response_p95"))
-    pw = pw.select("server_id", F.unix_micros(F.col("w.end").cast("timestamp")).alias("_end"), "response_p95")
+    times = sliding(requests.filter(F.col("response_time_ms").isNotNull()), ["server_id", "response_time_ms"], "created_at",
+                    f"{p95_window_s} seconds", f"{slide_s} seconds", {"_n": F.count(F.lit(1))}, {"_n": F.sum("_n")})
+    pw = times.groupBy("server_id", "window_start").agg(
+        F.percentile(F.col("response_time_ms").cast("double"), F.lit(0.95), F.col("_n")).alias("response_p95"))
+    pw = pw.select("server_id", (F.unix_micros(F.col("window_start").cast("timestamp")) + W).alias("_end"), "response_p95")
     snap = snap.withColumn("_end", floor_div(F.col("tick_us"), S) * S)
     snap = snap.join(pw, ["server_id", "_end"], "left").drop("_end") \
                .withColumn("response_p95", F.coalesce("response_p95", F.lit(0.0)))

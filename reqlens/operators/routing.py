@@ -16,10 +16,11 @@ from typing import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reqlens.functions.scalars import stable_hash
 from reqlens.operators.sizing import broadcast_if_small, materialize
 from reqlens.operators.timebucket import (MINUTE_US, cut_in_order, floor_div, forward_fill, interval_lookup,
                                           ordered_index, SLICE)
@@ -80,11 +81,12 @@ def weighted_round_robin(requests: DataFrame, pool: DataFrame, order_us: str = "
 
 
 def random_pick(requests: DataFrame, pool: DataFrame, seed: int = 42, key: str = "id") -> DataFrame:
-    """Uniform choice, reproducible: pool[xxhash64(id, seed) mod n]."""
+    """Uniform choice, reproducible: pool[h mod n], h being the first 32 bits
+    of the MD5 of the id and the seed (:func:`stable_hash`)."""
     n = pool.count()
     if n == 0:
         return _null_assign(requests, "random")
-    r = requests.withColumn("_slot", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(n)).cast("int"))
+    r = requests.withColumn("_slot", F.pmod(stable_hash(key, seed), F.lit(n)).cast("int"))
     return r.join(_by_pos(pool), "_slot", "left").drop("_slot").withColumn("policy", F.lit("random"))
 
 
@@ -97,65 +99,90 @@ _LC_SCHEMA = T.StructType([
     T.StructField("assigned_conns", T.LongType())])
 
 
-def _lc_sweep(pool_ids: np.ndarray, pool_pos: np.ndarray, query_chunk: int = 4096) -> Callable:
+class Tournament:
+    """The least (connections, pool position) of a changing pool: a complete
+    binary tree over the servers whose inner nodes hold the lesser child, so a
+    change of one server is a walk to the root.  A server that is not in the
+    pool loses against all."""
+
+    OUT = 1 << 62
+
+    def __init__(self, n: int):
+        self.n, self.size = n, 1 << max(0, n - 1).bit_length()
+        self.tree = [self.OUT] * (2 * self.size)
+        self.conns, self.member = [0] * n, [False] * n
+
+    def _put(self, k: int) -> None:
+        tree, i = self.tree, self.size + k
+        tree[i] = self.conns[k] * self.n + k if self.member[k] else self.OUT
+        while i > 1:
+            i >>= 1
+            least = min(tree[2 * i], tree[2 * i + 1])
+            if tree[i] == least:
+                return
+            tree[i] = least
+
+    def add(self, k: int, d: int) -> None:
+        self.conns[k] += d
+        if self.member[k]:
+            self._put(k)
+
+    def members(self, wanted: set[int]) -> None:
+        for k in range(self.n):
+            if self.member[k] != (k in wanted):
+                self.member[k] = not self.member[k]
+                self._put(k)
+
+    def best(self, own: int | None = None) -> tuple[int, int] | None:
+        """(server, connections) of the least, server ``own`` counted with one
+        connection less; None when nobody is in the pool."""
+        least = self.tree[1]
+        if own is not None and self.member[own]:
+            least = min(least, (self.conns[own] - 1) * self.n + own)
+        return None if least >= self.OUT else (least % self.n, max(0, least // self.n))
+
+
+def _lc_sweep(pool_ids: np.ndarray, pool_pos: np.ndarray) -> Callable:
+    """Goes through one bucket's events in order of time: at an instant ends
+    and starts first, then the arrivals, each answered by the tournament in a
+    logarithm of the pool's size.  Memory is that of the events."""
     order = np.lexsort((pool_ids, pool_pos))
-    ids = pool_ids[order]
+    ids = [int(x) for x in pool_ids[order]]
+    place = {s: k for k, s in enumerate(ids)}
+    at_pos = {int(p): k for k, p in enumerate(pool_pos[order])}
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         kind = pdf["kind"].to_numpy()
-        sid = pdf["server_id"].to_numpy()
-        t = pdf["t"].to_numpy()
-        carry = {s: 0 for s in ids}
-        for s, c in zip(sid[kind == 0], pdf["n"].to_numpy()[kind == 0]):
-            if s in carry:
-                carry[s] += int(c)
-        # per-server sorted start / end times inside the bucket
-        starts = {s: np.sort(t[(kind == 1) & (sid == s)]) for s in ids}
-        ends = {s: np.sort(t[(kind == 2) & (sid == s)]) for s in ids}
-        q = pdf[kind == 3]
-        out_id, out_srv, out_c = [], [], []
-        qt_all = q["t"].to_numpy()
-        qs_all = q["server_id"].to_numpy()
-        qself_all = q["n"].to_numpy()  # 1 when the request's own interval is counted
-        qid_all = q["id"].to_numpy()
-        mem_all = q["mem"].to_numpy() if "mem" in q.columns else None
-        pos_of = {int(p): j for j, p in enumerate(pool_pos[order])}
-        big = np.iinfo(np.int64).max
-        for lo in range(0, len(q), query_chunk):
-            qt = qt_all[lo:lo + query_chunk]
-            m = np.empty((len(qt), len(ids)), dtype=np.int64)
-            for j, s in enumerate(ids):
-                m[:, j] = (carry[s] + np.searchsorted(starts[s], qt, side="right")
-                           - np.searchsorted(ends[s], qt, side="right"))
-                own = (qs_all[lo:lo + query_chunk] == s) & (qself_all[lo:lo + query_chunk] == 1)
-                m[own, j] -= 1
-            np.maximum(m, 0, out=m)
-            ok = np.ones(m.shape, dtype=bool)
-            if mem_all is not None:
-                # candidates = the live pool of each arrival; arrivals share
-                # few distinct member sets, so build one mask row per set
-                keys = [tuple(x) if x is not None else () for x in mem_all[lo:lo + query_chunk]]
-                codes, uniq = pd.factorize(pd.Series(keys, dtype=object))
-                masks = np.zeros((len(uniq), len(ids)), dtype=bool)
-                for u, members in enumerate(uniq):
-                    for p in members:
-                        if int(p) in pos_of:
-                            masks[u, pos_of[int(p)]] = True
-                ok = masks[codes]
-                m = np.where(ok, m, big)
-            best = np.argmin(m, axis=1)  # first minimum = lowest pool position
-            rows = np.arange(len(qt))
-            has = ok[rows, best]
-            out_id.append(qid_all[lo:lo + query_chunk])
-            out_srv.append(np.where(has, ids[best], -1))
-            out_c.append(np.where(has, m[rows, best], -1))
-        if not out_id:
-            return pd.DataFrame({"id": [], "assigned": [], "assigned_conns": []})
-        srv = np.concatenate(out_srv).astype("int64")
-        cnt = np.concatenate(out_c).astype("int64")
-        return pd.DataFrame({"id": np.concatenate(out_id).astype("int64"),
-                             "assigned": pd.array(np.where(srv < 0, None, srv), dtype="Int32"),
-                             "assigned_conns": pd.array(np.where(srv < 0, None, cnt), dtype="Int64")})
+        held = Tournament(len(ids))
+        known = pdf["server_id"].map(place)  # null for servers outside the pool
+        for k, n in zip(known[kind == 0], pdf["n"][kind == 0]):
+            if k == k:
+                held.conns[int(k)] += int(n)
+        live = "mem" in pdf.columns
+        if not live:
+            held.members(set(range(len(ids))))
+        ev = pdf.assign(k=known.fillna(-1).astype("int64"))[kind > 0].sort_values(["t", "kind"], kind="stable")
+        kinds, servers, own, rid = (ev[c].tolist() for c in ("kind", "k", "n", "id"))
+        sets = ev["mem"].tolist() if live else []
+        now: tuple | None = None
+        out_id, out_srv, out_n = [], [], []
+        for i, what in enumerate(kinds):
+            k = servers[i]
+            if what < 3:
+                if k >= 0:
+                    held.add(k, 1 if what == 1 else -1)
+                continue
+            if live:
+                members = tuple(sets[i]) if sets[i] is not None else ()
+                if members != now:
+                    held.members({at_pos[p] for p in members if p in at_pos})
+                    now = members
+            found = held.best(k if k >= 0 and own[i] == 1 else None)
+            out_id.append(int(rid[i]))
+            out_srv.append(None if found is None else ids[found[0]])
+            out_n.append(None if found is None else found[1])
+        return pd.DataFrame({"id": pd.array(out_id, dtype="int64"), "assigned": pd.array(out_srv, dtype="Int32"),
+                             "assigned_conns": pd.array(out_n, dtype="Int64")})
     return fn
 
 
@@ -185,8 +212,8 @@ def least_connections(requests: DataFrame, pool: DataFrame, start_us: str = "arr
     aggregate gives, per (server, bucket), the number of intervals already
     open at the bucket start (the carry).  Each bucket then holds its start
     / end events, its arrivals and the carry rows, and one grouped-map task
-    per bucket sweeps them with sorted searches (memory per task bounded by
-    the bucket's traffic, processed in chunks of arrivals).  Without an
+    per bucket sweeps them with a tournament tree over the servers (memory
+    bounded by the bucket's events, time by events x log servers).  Without an
     explicit ``bucket_us`` the width is chosen from the peak arrival rate
     so that no bucket holds more than about two million events.  With
     ``versions`` (pool versions from the health runs) the candidates of each
@@ -251,19 +278,32 @@ def model_pick(candidates: DataFrame, fallback: DataFrame | None = None, key: st
                       F.when(F.col("_model").isNotNull(), "model").alias("source"))
 
 
-def decision_source(calls: DataFrame, breaker: DataFrame, ts_us: str = "t_us",
+def decision_source(calls: DataFrame, breaker: DataFrame, ts_us: str = "t_us", tie: str = "id", key: str = "memo_key",
                     bucket_us: int | None = None) -> DataFrame:
-    """Where each model-routed decision came from: breaker open ->
-    'fallback_breaker'; memo hit -> 'memo'; successful call -> 'model';
-    failed call -> 'fallback_error'.  The open breaker interval of each
-    call is found with a point-in-interval lookup (intervals are merged, so
-    they never overlap)."""
+    """Where each model-routed decision comes from, by its memo ``key`` (M8)
+    and the breaker's open intervals (W9).
+
+    Under an open breaker: 'fallback_breaker'; such a decision neither reads nor
+    fills the memo.  Of the others, the first of a key whose call does not fail
+    fills the memo ('model') and those after it are hits ('memo'); before it,
+    failed calls are 'fallback_error'.  ``outcome`` counts only as failed
+    ('error') or not: whether a decision is a hit follows from the keys.
+    Decisions without a key (no healthy server) never meet the memo.  The memo
+    does not forget.
+
+    The open interval is a point-in-interval lookup (intervals are merged, so
+    they never overlap); the fills are one row per key, joined back."""
     iv = breaker.select(F.col("open_us").alias("start_us"), F.col("close_us").alias("end_us"))
     j = interval_lookup(calls, iv, [], ts_us, bucket_us=bucket_us, name="_open")
-    src = (F.when(F.col("_open").isNotNull(), "fallback_breaker")
-           .when(F.col("outcome") == "hit", "memo")
-           .when(F.col("outcome") == "ok", "model")
-           .otherwise("fallback_error"))
+    j = materialize(j.withColumn("_at", F.struct(F.col(ts_us), F.col(tie))))
+    asks = F.col("_open").isNull()
+    failed = F.coalesce(F.col("outcome") == "error", F.lit(False))
+    fills = j.filter(asks & ~failed & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min("_at").alias("_fill"))
+    j = j.join(fills, F.col(key) == F.col("_key"), "left")
+    src = (F.when(~asks, "fallback_breaker")
+           .when(F.col("_at") > F.col("_fill"), "memo")
+           .when(failed, "fallback_error")
+           .otherwise("model"))
     return j.select(*calls.columns, src.alias("source"))
 
 
@@ -305,14 +345,28 @@ def assign(requests: DataFrame, pool: DataFrame, policy: str, **opts) -> DataFra
     return POLICIES[policy](requests, pool, **opts)
 
 
+def latency_counts(requests: DataFrame, value: str = "response_time_ms", server: str = "server_id") -> DataFrame:
+    """Observed latencies as ``server_id, latency_ms, n``: how often each server
+    took each time."""
+    return requests.filter(F.col(value).isNotNull()).groupBy(
+        F.col(server).alias("server_id"), F.col(value).alias("latency_ms")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def compare_policies(requests: DataFrame, pool: DataFrame, latency: DataFrame,
                      policies=("round_robin", "weighted_round_robin", "least_connections", "random"),
-                     versions: DataFrame | None = None) -> DataFrame:
+                     versions: DataFrame | None = None, q: float = 0.95) -> DataFrame:
     """Per policy and pool server: requests assigned and share, agreement
-    of the policy with the server actually used, and the mean of the chosen
-    servers' observed mean latency (``latency``: server_id, mean_ms).  With
-    ``versions`` the round-robin, weighted and least-connections policies
-    route over the healthy pool at each arrival."""
+    of the policy with the server actually used, and the mean and p95 of the
+    chosen servers' observed latency (``latency``: :func:`latency_counts`).
+    With ``versions`` the round-robin, weighted and least-connections policies
+    route over the healthy pool at each arrival.
+
+    The latency under a policy is the mixture of its servers' distributions,
+    each weighted by the requests the policy gives it; the p95 is the smallest
+    latency that 95 % of the mixture does not exceed.  It is read off the value
+    counts, policies x servers x distinct latencies, never off requests x
+    latencies.  Servers without an observation have no part in either figure's
+    sum."""
     cols = ["id", "server_id", "policy", "assigned"]
     live = {
         "round_robin": lambda: round_robin_live(requests, versions),
@@ -323,19 +377,26 @@ def compare_policies(requests: DataFrame, pool: DataFrame, latency: DataFrame,
     for p in policies:
         a = (live[p]() if versions is not None and p in live else assign(requests, pool, p)).select(*cols)
         u = a if u is None else u.unionByName(a)
-    lat = broadcast_if_small(latency.select(F.col("server_id").alias("assigned"), "mean_ms"))
-    u = u.join(lat, "assigned", "left")
+    g = materialize(u.groupBy("policy", "assigned").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("assigned") == F.col("server_id")).alias("_agree")))
+
+    seen = latency.groupBy(F.col("server_id").alias("assigned")).agg(
+        F.sum("n").alias("_seen"), (F.sum(F.col("latency_ms") * F.col("n")) / F.sum("n")).alias("mean_ms"))
+    mix = g.join(seen, "assigned").join(latency.withColumnRenamed("server_id", "assigned"), "assigned").groupBy(
+        "policy", "latency_ms").agg(F.sum(F.col("requests") * F.col("n") / F.col("_seen")).alias("_w"))
+    upto = Window.partitionBy("policy").orderBy("latency_ms")  # distinct latencies
+    mix = mix.withColumn("_upto", F.sum("_w").over(upto)).withColumn("_all", F.sum("_w").over(Window.partitionBy("policy")))
+    enough = F.col("_upto") >= F.col("_all") * (float(q) - 1e-9)  # sums of doubles, in any order
+    p95 = mix.filter(enough).groupBy("policy").agg(F.min("latency_ms").cast("double").alias("p95_chosen_latency_ms"))
+
     per_policy = Window.partitionBy("policy")  # a handful of rows per policy after the aggregate
-    g = u.groupBy("policy", "assigned").agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.count_if(F.col("assigned") == F.col("server_id")).alias("_agree"),
-        F.sum("mean_ms").alias("_lat"))
-    g = g.withColumn("_n", F.sum("requests").over(per_policy))
-    return g.select(
+    g = g.join(broadcast_if_small(seen), "assigned", "left").withColumn("_n", F.sum("requests").over(per_policy))
+    g = g.select(
         "policy", F.col("assigned").alias("server_id"), F.col("requests").cast("bigint").alias("requests"),
         (F.col("requests") / F.col("_n")).alias("share"),
         (F.sum("_agree").over(per_policy) / F.col("_n")).alias("agreement"),
-        (F.sum("_lat").over(per_policy) / F.col("_n")).alias("mean_chosen_latency_ms"))
+        (F.sum(F.col("requests") * F.col("mean_ms")).over(per_policy) / F.col("_n")).alias("mean_chosen_latency_ms"))
+    return g.join(broadcast_if_small(p95), "policy", "left")
 
 
 # ---------------------------------------------------------------------------
@@ -345,7 +406,8 @@ def compare_policies(requests: DataFrame, pool: DataFrame, latency: DataFrame,
 def pool_versions(pool: DataFrame, runs: DataFrame, end_us: int, bucket_us: int | None = None) -> DataFrame:
     """Piecewise-constant healthy pool: one row per version ``[start_us,
     end_us)`` with ``members`` = alive pool servers in pool order
-    (array<struct<pos, server_id, weight>>).  ``runs`` are the W7 state
+    (array<struct<pos, server_id, weight, upto>>, ``upto`` being the weights so
+    far).  ``runs`` are the W7 state
     runs (server_id, alive, start_us, end_us).  Versions change only at run
     boundaries, so the table grows with health transitions, not requests."""
     from reqlens.operators.series import neighbor
@@ -361,8 +423,10 @@ def pool_versions(pool: DataFrame, runs: DataFrame, end_us: int, bucket_us: int
                  F.lit(int(x["weight"])).alias("weight")) for x in rows])).alias("_s"))
     pts = pts.select("t_us", "_s.*")
     st = interval_lookup(pts, r, ["server_id"], "t_us", cols=["alive"], bucket_us=bucket_us, name="_run")
+    so_far = Window.partitionBy("t_us").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a pool's rows
+    st = st.withColumn("upto", F.sum(F.when(F.col("_run.alive"), F.col("weight").cast("bigint")).otherwise(0)).over(so_far))
     members = st.groupBy("t_us").agg(F.array_sort(F.collect_list(
-        F.when(F.col("_run.alive"), F.struct("pos", "server_id", "weight")))).alias("members"))
+        F.when(F.col("_run.alive"), F.struct("pos", "server_id", "weight", "upto")))).alias("members"))
     nxt = neighbor(materialize(members.withColumn("_seq", F.lit(0))), [], "t_us", "_seq", ["t_us"], "next")
     return materialize(nxt.select(F.col("t_us").alias("start_us"),
                       F.coalesce(F.col("next.t_us"), F.lit(int(end_us))).alias("end_us"), "members"))
@@ -376,6 +440,15 @@ def attach_pool(requests: DataFrame, versions: DataFrame, arrival_us: str = "arr
     return j.select(*requests.columns, F.col("_v.members").alias("members"))
 
 
+def count_upto(members: Column, slot: Column) -> Column:
+    """How many members have all their slots before ``slot``: the place of the
+    member that has it.  A binary search over ``upto``, from the highest bit of
+    the size down."""
+    bits = F.transform(F.sequence(F.length(F.bin(F.size(members))) - 1, F.lit(0), F.lit(-1)), lambda b: F.pow(F.lit(2), b).cast("int"))
+    return F.aggregate(bits, F.lit(0), lambda at, step: F.when(
+        (at + step <= F.size(members)) & (F.get(members, at + step - 1)["upto"] <= slot), at + step).otherwise(at))
+
+
 def round_robin_live(requests: DataFrame, versions: DataFrame, order_us: str = "arrival_us",
                      tie: str = "id") -> DataFrame:
     """R1 over the healthy pool at each arrival: the i-th request (global
@@ -405,8 +478,8 @@ def weighted_round_robin_live(requests: DataFrame, versions: DataFrame, order_us
     r = r.withColumn("_chg", F.col("prev._key").isNull() | (F.col("prev._key") != F.col("_key"))).drop("prev")
     # index of the epoch's first request: forward fill of the change rows' index
     r = forward_fill(r, F.when(F.col("_chg"), F.col("_i")), [], order_us, tie, name="_i0")
-    slots = F.flatten(F.transform("members", lambda m: F.array_repeat(m["server_id"], m["weight"])))
-    n = F.size(slots)
-    pick = F.when(n > 0, F.element_at(slots, (F.pmod(F.col("_i") - F.col("_i0"), n) + 1).cast("int")))
+    total = F.element_at("members", -1)["upto"]
+    slot = F.pmod(F.col("_i") - F.col("_i0"), total)
+    pick = F.when(F.size("members") > 0, F.get("members", count_upto(F.col("members"), slot))["server_id"])
     out = r.withColumn("assigned", pick).withColumn("policy", F.lit("weighted_round_robin"))
     return out.drop("_i", "_i0", "_key", "_chg", "members", SLICE)

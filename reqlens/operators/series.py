@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reqlens.functions.scalars import clamp, round1
+from reqlens.operators.aggs import sliding
 from reqlens.operators.sizing import materialize
 from reqlens.operators.timebucket import (MINUTE_US, SLICE, _bucketed, cut_in_order, floor_div, join_back,
                                           micros_ts, ordered_index, running_count, running_sum, trailing_at)
@@ -296,10 +297,10 @@ def breaker_intervals(calls: DataFrame, reset_s: int = 30, ts_us: str = "t_us",
 def rate_grid(df: DataFrame, ts: str = "ts", by: Sequence[str] = (), width_s: int = 60,
               step_s: int = 15) -> DataFrame:
     """Requests per second over ``width_s`` look-back windows every
-    ``step_s`` (sliding windows)."""
-    g = df.groupBy(*by, F.window(ts, f"{int(width_s)} seconds", f"{int(step_s)} seconds").alias("w")) \
-          .agg(F.count(F.lit(1)).alias("requests"))
-    return g.select(*by, F.col("w.start").alias("window_start"), "requests",
+    ``step_s`` (sliding windows over panes of a step)."""
+    g = sliding(df, by, ts, f"{int(width_s)} seconds", f"{int(step_s)} seconds",
+                {"requests": F.count(F.lit(1))}, {"requests": F.sum("requests")})
+    return g.select(*by, "window_start", "requests",
                     (F.col("requests") / float(width_s)).alias("per_second"))
 
 

@@ -50,9 +50,8 @@ def panel_duration_p95(log: DataFrame, start_us: int, end_us: int, q: float = 0.
     """Q2: p95 request duration by server from the duration histogram over
     1-minute windows every 15 s (A7 -> A16)."""
     d = select_servers(_scan(log, start_us, end_us, 60), server_ids)
-    d = _evaluated(d.withColumn("window_start", F.window("ts", "1 minute", "15 seconds").start), start_us, end_us, 60)
-    h = A.latency_histogram(d, "duration_s", ["server_id", "window_start"], A.REQUEST_DURATION_EDGES)
-    return A.histogram_quantile(h, q, ["server_id", "window_start"])
+    h = A.latency_histogram(d, "duration_s", ["server_id"], A.REQUEST_DURATION_EDGES, ("ts", "1 minute", "15 seconds"))
+    return A.histogram_quantile(_evaluated(h, start_us, end_us, 60), q, ["server_id", "window_start"])
 
 
 def panel_error_rate(log: DataFrame, start_us: int, end_us: int, by: Sequence[str] = ("server_id",),
@@ -105,10 +104,11 @@ def panel_memo_hit_pct(calls: DataFrame, start_us: int, end_us: int) -> DataFram
     """Q9: memo hit percentage over 5-minute windows every 15 s."""
     d = _scan(calls, start_us, end_us, 300)
     o = F.col("outcome")
-    g = d.groupBy(F.window("ts", "5 minutes", "15 seconds").alias("w")).agg(
-        F.count_if(o == "hit").alias("hits"), F.count_if(o.isin("ok", "error")).alias("misses"))
+    g = A.sliding(d, [], "ts", "5 minutes", "15 seconds",
+                  {"hits": F.count_if(o == "hit"), "misses": F.count_if(o.isin("ok", "error"))},
+                  {"hits": F.sum("hits"), "misses": F.sum("misses")})
     tot = F.col("hits") + F.col("misses")
-    out = g.select(F.col("w.start").alias("window_start"),
+    out = g.select("window_start",
                    F.when(tot > 0, F.col("hits") * 100.0 / tot).alias("hit_pct"))
     return _evaluated(out, start_us, end_us, 300)
 
@@ -117,9 +117,8 @@ def panel_model_latency_p95_ms(calls: DataFrame, start_us: int, end_us: int, q:
     """Q10: p95 model latency in ms from the inference histogram over
     5-minute windows every 15 s (A15 -> A16, x 1000)."""
     d = _scan(calls, start_us, end_us, 300).filter(F.col("outcome") == "ok")
-    d = _evaluated(d.withColumn("window_start", F.window("ts", "5 minutes", "15 seconds").start), start_us, end_us, 300)
-    h = A.latency_histogram(d, "latency_s", ["window_start"], A.MODEL_LATENCY_EDGES)
-    out = A.histogram_quantile(h, q, ["window_start"])
+    h = A.latency_histogram(d, "latency_s", [], A.MODEL_LATENCY_EDGES, ("ts", "5 minutes", "15 seconds"))
+    out = A.histogram_quantile(_evaluated(h, start_us, end_us, 300), q, ["window_start"])
     return out.select("window_start", (F.col("quantile_value") * 1000).alias("p95_ms"))
 
 

@@ -75,7 +75,7 @@ select id, json_extract_string(line, '$.level') as level, json_extract_string(li
        json_extract_string(line, '$.request_id') as request_id, json_extract_string(line, '$.method') as method,
        json_extract_string(line, '$.path') as path, cast(json_extract(line, '$.status') as integer) as status,
        round(cast(json_extract(line, '$.duration') as double), 6) as duration,
-       json_extract_string(line, '$.remote_ip') as remote_ip,
+       json_extract_string(line, '$.remote_ip') as remote_ip, cast(json_extract(line, '$.response_bytes') as bigint) as response_bytes,
        make_timestamp(cast(json_extract_string(line, '$.ts') as bigint) * 1000) as ts,
        nullif(regexp_extract(line, '"traceID":"(\\w+)"', 1), '') as trace_id, false as corrupt
 from fx_log_lines""")
@@ -83,8 +83,18 @@ def s5_parse_logs(fx):
     """S5 + P11 + P13: JSON log lines -> typed fields, timestamp (Unix-ms
     fallback) and trace id."""
     return L.parse_logs(fx.fx_log_lines).select(
-        "id", "level", "msg", "request_id", "method", "path", "status", "duration", "remote_ip", "ts",
-        "trace_id", "corrupt")
+        "id", "level", "msg", "request_id", "method", "path", "status", "duration", "remote_ip",
+        "response_bytes", "ts", "trace_id", "corrupt")
+
+
+@query("s5_bytes_per_path", """
+select json_extract_string(line, '$.path') as path, count(*) as lines,
+       cast(sum(cast(json_extract(line, '$.response_bytes') as bigint)) as bigint) as response_bytes
+from fx_log_lines group by 1""")
+def s5_bytes_per_path(fx):
+    """Bytes sent per path, from the access log."""
+    return L.parse_logs(fx.fx_log_lines).groupBy("path").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("response_bytes").alias("response_bytes"))
 
 
 @query("p12_server_error_logs", """

@@ -3,17 +3,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from reqlens.operators import model as M
 from reqlens.operators import routing as R
 from reqlens.operators import series as S
 from reqlens.operators.aggs import FEATURES
+from reqlens.operators.sizing import materialize
 from reqlens.plans.catalog import AS_OF, AS_OF_US, query
 from reqlens.plans.queries_core import JOINED_SQL
 from reqlens.plans.queries_routing import POOL_SQL
-from reqlens.plans.queries_series import TRANSITIONS_SQL
+from reqlens.plans.queries_series import BREAKER_SQL, TRANSITIONS_SQL
 from reqlens.plans.training import training_set
+from reqlens.session import checkpoint_dir
+from reqlens.sources import readers as IO
 
 HEALTH_END_US = AS_OF_US + 86_400_000_000  # runs stay open past the data
 
@@ -92,6 +97,49 @@ def m8_memo_hits(fx):
     return M.memo_hits(keys, decision="tick_us")
 
 
+SOURCE_SQL = f"""
+{SNAP_SQL.strip()},
+keys as (select tick_us, string_agg(printf('%d|%.2f|%.2f|', server_id, cpu_usage, memory_usage), '' order by pos) as memo_key
+         from snap where alive group by tick_us),
+{BREAKER_SQL.strip()},
+iv as (select min(t_us) as open_us, max(open_end) as close_us from i group by island),
+cl as (select m.id, m.outcome, m.t_us, keys.memo_key, iv.open_us is not null as open
+       from fx_model_calls m left join keys on keys.tick_us = m.t_us // 15000000 * 15000000
+       left join iv on iv.open_us <= m.t_us and m.t_us < iv.close_us),
+fl as (select *, row_number() over (partition by memo_key order by t_us, id) as rn from cl
+       where not open and outcome <> 'error' and memo_key is not null),
+src as (
+  select cl.id, cl.outcome, cl.t_us,
+         case when cl.open then 'fallback_breaker'
+              when cl.t_us > fl.t_us or cl.t_us = fl.t_us and cl.id > fl.id then 'memo'
+              when cl.outcome = 'error' then 'fallback_error' else 'model' end as source
+  from cl left join fl on fl.memo_key = cl.memo_key and fl.rn = 1)"""
+
+
+def _decision_sources(fx):
+    """Model calls with the memo key of their tick, and where they come from."""
+    step = 15_000_000
+    keys = M.memo_key(snapshots(fx), decision="tick_us")
+    calls = fx.fx_model_calls.withColumn("tick_us", F.expr(f"t_us div {step} * {step}")).join(keys, "tick_us", "left")
+    return R.decision_source(calls, S.breaker_intervals(fx.fx_model_calls))
+
+
+@query("r6_decision_source", f"with {SOURCE_SQL.strip()}\nselect id, outcome, source from src")
+def r6_decision_source(fx):
+    """R6 + W9 + M8: source of each model-routed decision (breaker fallback,
+    memo, model, error fallback)."""
+    return _decision_sources(fx).select("id", "outcome", "source")
+
+
+@query("r6_source_counts_5m", f"""with {SOURCE_SQL.strip()}
+select make_timestamp(t_us - t_us % 300000000) as window_start, source, count(*) as decisions
+from src group by t_us - t_us % 300000000, source""")
+def r6_source_counts_5m(fx):
+    """Decisions per source (breaker fallback, memo, model, error
+    fallback) per 5 minutes."""
+    return R.decision_source_counts(_decision_sources(fx))
+
+
 @query("r5_model_pick", f"""
 with {SNAP_SQL.strip()},
 pw2 as (select *, coalesce(sum(weight) over (order by pos rows between unbounded preceding and 1 preceding), 0) as first
@@ -119,6 +167,12 @@ def r5_model_pick(fx):
     return M.route_by_model(req, picks, fb).select("id", "server_id", "assigned", "source")
 
 
+def _hourly(fx):
+    """Hourly training rows with the key that the split goes by."""
+    tr = training_set(fx.fx_requests, fx.fx_servers, fx.fx_metrics, AS_OF, bucket="hour")
+    return materialize(tr.withColumn("key", F.concat_ws("|", "server_id", F.col("hour").cast("string"))))
+
+
 @query("m5_scaled_features", f"""
 {JOINED_SQL.strip()},
 f as (select server_id, date_trunc('hour', created_at) as hour,
@@ -128,28 +182,30 @@ f as (select server_id, date_trunc('hour', created_at) as hour,
           / (case when coalesce(sum(request_count), 0) = 0 then 1 else sum(request_count) end), 0), 0) as error_rate,
         greatest(coalesce(quantile_cont(response_time_ms, 0.95), 0), 0) as response_p95,
         greatest(coalesce(first(capacity), 0), 0) as capacity
-      from joined group by server_id, date_trunc('hour', created_at))
+      from joined group by server_id, date_trunc('hour', created_at)),
+sc as (select {", ".join(f"avg({c}) as {c}_mean, case when min({c}) = max({c}) then 0 else stddev_pop({c}) end as {c}_std" for c in FEATURES)}
+       from f where ('0x' || substr(md5(cast(server_id as varchar) || '|' || cast(hour as varchar) || '#42'), 1, 8))::bigint % 100 < 80)
 select server_id, hour,
-  {", ".join(f"round(case when stddev_pop({c}) over () = 0 then 0 else ({c} - avg({c}) over ()) / stddev_pop({c}) over () end, 6) as {c}_scaled" for c in FEATURES)}
-from f""")
+  {", ".join(f"round(case when {c}_std = 0 then 0 else ({c} - {c}_mean) / {c}_std end, 6) as {c}_scaled" for c in FEATURES)}
+from f, sc""")
 def m5_scaled_features(fx):
-    """M4 + M5: standard scaler (population std) fitted on the hourly
-    training rows and applied to them (scale 0 -> 0)."""
-    tr = training_set(fx.fx_requests, fx.fx_servers, fx.fx_metrics, AS_OF, bucket="hour")
-    sc = M.fit_scaler(tr)
-    out = M.apply_scaler(tr, sc)
+    """M3 + M4 + M5: standard scaler (population std) fitted on the training
+    part of the hourly rows and applied to all of them (scale 0 -> 0)."""
+    tr = _hourly(fx)
+    train, _ = M.split(tr, "key")
+    out = M.apply_scaler(tr, M.fit_scaler(train))
     return out.select("server_id", "hour", *[c + "_scaled" for c in FEATURES])
 
 
 @query("m6_fit_score_mae", None)
 def m6_fit_score_mae(fx):
-    """M3 + M6 + M7 + M9: hash split of the hourly training rows, GBT fit
-    with early stopping on a validation slice of the train rows, scoring of
-    the test rows and their mean absolute error."""
-    tr = training_set(fx.fx_requests, fx.fx_servers, fx.fx_metrics, AS_OF, bucket="hour") \
-        .withColumn("key", F.concat_ws("|", "server_id", F.col("hour").cast("string")))
-    train, test = M.split(tr, "key")
+    """M3 + M4 + M6 + M7 + M9 + S13: hash split of the hourly training rows,
+    scaler and GBT fitted on the train rows with early stopping on a validation
+    slice of them, the pipeline saved and read again, scoring of the test rows
+    and their mean absolute error."""
+    train, test = M.split(_hourly(fx), "key")
     train = train.withColumn("is_val", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(10)) == 0)
-    model = M.fit_score_model(train, validation_col="is_val")
-    scored = M.score(test, model)
+    path = f"{checkpoint_dir(fx.spark).rstrip('/')}/models/{uuid.uuid4().hex}"
+    IO.save_model(M.fit_score_model(train, validation_col="is_val"), path)
+    scored = M.score(test, IO.load_model(path))
     return M.mae(scored, "target", "score")

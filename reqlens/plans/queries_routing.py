@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reqlens.operators import routing as R
 from reqlens.operators import series as S
 from reqlens.plans.catalog import query
-from reqlens.plans.queries_series import BREAKER_SQL, TRANSITIONS_SQL
+from reqlens.plans.queries_series import TRANSITIONS_SQL
 
 
 def _requests(fx):
@@ -63,33 +63,66 @@ def r3_least_connections(fx):
     return out.select("id", "server_id", "assigned", "assigned_conns")
 
 
-@query("r4_random", None)
+RANDOM_POS = "('0x' || substr(md5(cast(rq.id as varchar) || '#42'), 1, 8))::bigint % (select count(*) from pool)"
+
+
+@query("r4_random", f"""
+with {POOL_SQL.strip()}
+select rq.id, rq.server_id, p.server_id as assigned from rq left join pool p on p.pos = {RANDOM_POS}""")
 def r4_random(fx):
-    """Reproducible uniform choice (xxhash64 of the request id, seed 42)."""
+    """Reproducible uniform choice (hash of the request id, seed 42)."""
     return R.random_pick(_requests(fx), R.make_pool(fx.fx_servers)).select("id", "server_id", "assigned")
 
 
-@query("r6_decision_source", f"""
-with {BREAKER_SQL.strip()},
-iv as (select min(t_us) as open_us, max(open_end) as close_us from i group by island)
-select m.id, m.outcome,
-       case when iv.open_us is not null then 'fallback_breaker' when m.outcome = 'hit' then 'memo'
-            when m.outcome = 'ok' then 'model' else 'fallback_error' end as source
-from fx_model_calls m left join iv on iv.open_us <= m.t_us and m.t_us < iv.close_us""")
-def r6_decision_source(fx):
-    """R6 + W9: source of each model-routed decision (breaker fallback, memo,
-    model, error fallback)."""
-    calls = fx.fx_model_calls
-    br = S.breaker_intervals(calls)
-    return R.decision_source(calls, br).select("id", "outcome", "source")
+# Over ``asg`` (policy, used, assigned): the report of R7.
+COMPARE_SQL = """
+per as (select policy, assigned, count(*) as w, count(*) filter (where assigned = used) as agree from asg group by all),
+cnt as (select server_id, response_time_ms as v, count(*) as n, sum(count(*)) over (partition by server_id) as seen
+        from fx_requests group by server_id, response_time_ms),
+mean as (select server_id, sum(v * n)::double / sum(n) as mean_ms from cnt group by server_id),
+mix as (select policy, v, sum(w * n::double / seen) as m from per join cnt on cnt.server_id = per.assigned group by policy, v),
+upto as (select policy, v, sum(m) over (partition by policy order by v) as c, sum(m) over (partition by policy) as t from mix),
+p95 as (select policy, min(v)::double as p95 from upto where c >= t * (0.95 - 1e-9) group by policy)
+select per.policy, per.assigned as server_id, w::bigint as requests, round(w::double / sum(w) over p, 6) as share,
+       round(sum(agree) over p::double / sum(w) over p, 6) as agreement,
+       round(sum(w * mean_ms) over p / sum(w) over p, 6) as mean_chosen_latency_ms, p95 as p95_chosen_latency_ms
+from per left join mean on mean.server_id = per.assigned left join p95 on p95.policy = per.policy
+window p as (partition by per.policy)"""
+
+WRR_SQL = """
+pw as (select *, coalesce(sum(weight) over (order by pos rows between unbounded preceding and 1 preceding), 0) as first
+       from pool),
+slots as (select server_id, unnest(generate_series(cast(first as bigint), cast(first + weight - 1 as bigint))) as slot from pw)"""
+
+LC_SQL = """
+iv as (select * from fx_intervals where end_us > start_us),
+c as (select rq.id, p.server_id as cand, p.pos, count(b.id) as conns
+      from rq cross join pool p
+      left join iv b on b.server_id = p.server_id and b.start_us <= rq.arrival_us and b.end_us > rq.arrival_us
+                    and b.id <> rq.id
+      group by rq.id, p.server_id, p.pos),
+k as (select *, row_number() over (partition by id order by conns, pos) as rn from c)"""
+
+RANDOM_SQL = f"""select 'random' as policy, rq.server_id as used, p.server_id as assigned
+  from rq left join pool p on p.pos = {RANDOM_POS}"""
 
 
-@query("r7_compare_policies", None)
+@query("r7_compare_policies", f"""
+with {POOL_SQL.strip()},
+{WRR_SQL.strip()},
+{LC_SQL.strip()},
+asg as (
+  select 'round_robin' as policy, rq.server_id as used, p.server_id as assigned
+  from rq left join pool p on p.pos = rq.i % (select count(*) from pool)
+  union all select 'weighted_round_robin', rq.server_id, s.server_id
+  from rq left join slots s on s.slot = rq.i % (select count(*) from slots)
+  union all select 'least_connections', rq.server_id, k.cand from rq join k on k.id = rq.id and k.rn = 1
+  union all {RANDOM_SQL}),
+{COMPARE_SQL.strip()}""")
 def r7_compare_policies(fx):
-    """Share, agreement with the actual server and mean chosen-server
-    latency per policy (RR, WRR, LC, random)."""
-    lat = fx.fx_requests.groupBy("server_id").agg(F.avg("response_time_ms").alias("mean_ms"))
-    return R.compare_policies(_requests(fx), R.make_pool(fx.fx_servers), lat)
+    """Share, agreement with the actual server, mean and p95 of the chosen
+    servers' latency per policy (RR, WRR, LC, random)."""
+    return R.compare_policies(_requests(fx), R.make_pool(fx.fx_servers), R.latency_counts(fx.fx_requests))
 
 
 # ---------------------------------------------------------------------------
@@ -160,22 +193,6 @@ def r2_wrr_live_pool_legacy(fx):
     return R.weighted_round_robin_live(_requests(fx), _versions(fx), legacy=True).select("id", "server_id", "assigned")
 
 
-@query("r6_source_counts_5m", f"""
-with {BREAKER_SQL.strip()},
-iv as (select min(t_us) as open_us, max(open_end) as close_us from i group by island),
-src as (select m.t_us,
-               case when iv.open_us is not null then 'fallback_breaker' when m.outcome = 'hit' then 'memo'
-                    when m.outcome = 'ok' then 'model' else 'fallback_error' end as source
-        from fx_model_calls m left join iv on iv.open_us <= m.t_us and m.t_us < iv.close_us)
-select make_timestamp(t_us - t_us % 300000000) as window_start, source, count(*) as decisions
-from src group by t_us - t_us % 300000000, source""")
-def r6_source_counts_5m(fx):
-    """Decisions per source (breaker fallback, memo, model, error
-    fallback) per 5 minutes."""
-    calls = fx.fx_model_calls
-    return R.decision_source_counts(R.decision_source(calls, S.breaker_intervals(calls)))
-
-
 @query("r3_least_connections_live_pool", f"""
 with {LIVE_SQL.strip()},
 iv as (select * from fx_intervals where end_us > start_us),
@@ -194,10 +211,32 @@ def r3_least_connections_live_pool(fx):
     return out.select("id", "server_id", "assigned", "assigned_conns")
 
 
-@query("r7_compare_policies_live_pool", None)
+@query("r7_compare_policies_live_pool", f"""
+with {LIVE_SQL.strip()},
+ep as (select *, case when lag(array_to_string(mem, ',')) over (order by i) is distinct from array_to_string(mem, ',') then i end as st
+       from lp),
+ep2 as (select *, max(st) over (order by i rows between unbounded preceding and current row) as i0 from ep),
+sl as (select id, i, i0, mem,
+              flatten(list_transform(range(1, len(mem) + 1), lambda k: list_resize([mem[k]], wts[k], mem[k]))) as slots
+       from ep2),
+iv as (select * from fx_intervals where end_us > start_us),
+c as (select a.id, a.server_id as cand, a.pos, count(b.id) as conns
+      from alive_at a join rq on rq.id = a.id
+      left join iv b on b.server_id = a.server_id and b.start_us <= rq.arrival_us and b.end_us > rq.arrival_us
+                    and b.id <> rq.id
+      where a.alive group by a.id, a.server_id, a.pos),
+k as (select *, row_number() over (partition by id order by conns, pos) as rn from c),
+asg as (
+  select 'round_robin' as policy, rq.server_id as used,
+         case when len(mem) > 0 then mem[(sl.i % len(mem)) + 1] end as assigned from rq join sl using (id)
+  union all select 'weighted_round_robin', rq.server_id,
+         case when len(slots) > 0 then slots[((sl.i - i0) % len(slots)) + 1] end from rq join sl using (id)
+  union all select 'least_connections', rq.server_id, k.cand from rq left join k on k.id = rq.id and k.rn = 1
+  union all {RANDOM_SQL}),
+{COMPARE_SQL.strip()}""")
 def r7_compare_policies_live_pool(fx):
-    """R7 over the healthy pool: share, agreement and mean chosen-server
-    latency per policy, with RR / WRR / LC routing among the servers alive
-    at each arrival."""
-    lat = fx.fx_requests.groupBy("server_id").agg(F.avg("response_time_ms").alias("mean_ms"))
-    return R.compare_policies(_requests(fx), R.make_pool(fx.fx_servers), lat, versions=_versions(fx))
+    """R7 over the healthy pool: share, agreement, mean and p95 of the chosen
+    servers' latency per policy, with RR / WRR / LC routing among the servers
+    alive at each arrival."""
+    return R.compare_policies(_requests(fx), R.make_pool(fx.fx_servers), R.latency_counts(fx.fx_requests),
+                              versions=_versions(fx))

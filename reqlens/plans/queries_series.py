@@ -271,9 +271,33 @@ def a11_readiness(fx):
     return A.readiness(_inventory(fx))
 
 
-@query("a8_quantile_summary", None)
+SUMMARY_SQL = """
+select server_id, (t_us // 60000000 - j) * 60000000 as ws, duration_s as v
+from fx_request_log, range(5) r(j) where duration_s is not null"""
+
+
+@query("a8_quantile_summary", f"""
+with w as ({SUMMARY_SQL.strip()}),
+r as (select *, row_number() over (partition by server_id, ws order by v) as k, count(*) over (partition by server_id, ws) as n from w)
+select server_id, make_timestamp(ws) as window_start, n as observations, o.quantile, o.max_error, round(min(v), 6) as value
+from r, (values (0.5::double, 0.05::double), (0.9, 0.01), (0.95, 0.005), (0.99, 0.001)) o(quantile, max_error)
+where k >= o.quantile * n - 1e-9 group by server_id, ws, n, o.quantile, o.max_error""")
 def a8_quantile_summary(fx):
     """Approximate duration quantiles (0.5/0.9/0.95/0.99) per server
-    over 5-minute windows sliding by 1 minute."""
+    over 5-minute windows sliding by 1 minute.  The sketches are exact at the
+    size of these windows, as is the SQL."""
     from reqlens.operators import aggs as A
     return A.quantile_summary(fx.fx_request_log, "duration_s", ["server_id"], "ts")
+
+
+@query("a8_rank_errors", """
+with w as (select server_id, t_us // 3600000000 * 3600000000 as ws from fx_request_log where duration_s is not null)
+select server_id, make_timestamp(ws) as window_start, o.quantile, count(*) as observations, true as within
+from w, (values (0.5::double), (0.9), (0.95), (0.99)) o(quantile) group by server_id, ws, o.quantile""")
+def a8_rank_errors(fx):
+    """Quantiles per server and hour held against the hour's rows; each
+    has at most its objective's rank error."""
+    from reqlens.operators import aggs as A
+    log, hour = fx.fx_request_log, {"width": "1 hour", "slide": "1 hour"}
+    found = A.quantile_summary(log, "duration_s", ["server_id"], "ts", **hour)
+    return A.summary_rank_errors(found, log, "duration_s", ["server_id"], "ts", **hour)

@@ -102,7 +102,8 @@ from {ev}""",
 select event_id as id, 'load-balancer' as service,
        concat('{"level":"', case when event_type = 'error' then 'error' when k < 10 then 'warn' else 'info' end,
               '","ts":"', @STR[t_us @DIV 1000], '","msg":"request","request_id":"req-', @STR[event_id],
-              '","method":"POST","path":"/api/v1/request","status":',
+              '","method":"POST","path":"', case when event_id % 3 = 0 then '/api/v1/servers' else '/api/v1/request' end,
+              '","response_bytes":', @STR[k * 131 + event_id % 1000], ',"status":',
               @STR[case when event_type = 'error' then 500 when k < 10 then 404 else 200 end],
               ',"duration":', @STR[cast(floor(value) as bigint) @DIV 100], '.',
               @STR[cast(floor(value) as bigint) % 100 @DIV 10],

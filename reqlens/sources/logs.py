@@ -21,6 +21,7 @@ LOG_SCHEMA = T.StructType([
     T.StructField("status", T.IntegerType()),
     T.StructField("duration", T.DoubleType()),
     T.StructField("remote_ip", T.StringType()),
+    T.StructField("response_bytes", T.LongType()),
     T.StructField("server_id", T.IntegerType()),
     T.StructField("error", T.StringType()),
     T.StructField("_corrupt", T.StringType()),

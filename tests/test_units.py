@@ -558,3 +558,117 @@ def test_memo_key_leaves_out_dead_servers(spark):
     snap = spark.createDataFrame([(1, 1, 0, 1.0, 2.0, True), (1, 2, 1, 3.0, 4.0, False)],
                                  "tick int, server_id int, pos int, cpu_usage double, memory_usage double, alive boolean")
     assert M.memo_key(snap).first()["memo_key"] == "1|1.00|2.00|"
+
+
+# --- windows over panes, sketches, policies, memo, pipelines ------------------
+
+def test_windows_over_panes_copy_no_rows(spark):
+    """Same windows as Spark's own sliding ones; the plan copies panes, not rows."""
+    d = spark.range(500).selectExpr("id % 3 as k", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * id % 900) as ts",
+                                    "id")
+    out = A.sliding(d, ["k"], "ts", "1 minute", "15 seconds", {"n": F.count(F.lit(1)), "s": F.sum("id")},
+                    {"n": F.sum("n"), "s": F.sum("s")})
+    want = d.groupBy("k", F.window("ts", "1 minute", "15 seconds").alias("w")).agg(F.count(F.lit(1)), F.sum("id"))
+    assert sorted(tuple(r) for r in out.collect()) == sorted((r.k, r.w.start, r[2], r[3]) for r in want.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.index("Generate") < plan.rindex("HashAggregate")
+
+
+def test_summary_of_many_values_keeps_each_objective(spark):
+    """Far more values than a sketch holds: every quantile within its own error."""
+    d = spark.range(300_000).selectExpr("id % 2 as k", "pmod(xxhash64(id), 1000003) / 10.0 as v", "id",
+                                        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 600) as ts")
+    d = d.withColumn("v", F.when(F.col("id") % 100 < 97, F.col("v")))
+    found = A.quantile_summary(d, "v", ["k"], "ts")
+    told = A.summary_rank_errors(found, d, "v", ["k"], "ts").collect()
+    assert len(told) == 2 * 14 * 4 and all(r.within for r in told)
+    assert max(r.observations for r in told) > 4 * A.kll_size(0.05)
+    assert A.kll_size(0.001) > A.kll_size(0.05) >= 8
+
+
+def test_least_connections_over_a_large_pool(spark):
+    """1,000 servers: the tournament gives what a scan of all of them gives."""
+    n, servers = 3000, 1000
+    rows = [(i, (i * 7) % servers + 1, (i * 31) % 500, (i * 31) % 500 + (i * 13) % 90) for i in range(n)]
+    req = spark.createDataFrame(rows, "id long, server_id int, arrival_us long, end_us long")
+    pool = spark.range(servers).selectExpr("cast(id + 1 as int) as server_id", f"cast({servers} - id - 1 as int) as pos",
+                                           "1 as weight", "10 as capacity")
+    got = {r["id"]: (r["assigned"], r["assigned_conns"]) for r in R.least_connections(req, pool, bucket_us=100).collect()}
+    for i, used, t, _ in rows[::37]:
+        conns = {s: 0 for s in range(1, servers + 1)}
+        for j, s, a, e in rows:
+            if j != i and a <= t < e:
+                conns[s] += 1
+        best = min(conns, key=lambda s: (conns[s], servers - s))
+        assert got[i] == (best, conns[best])
+    assert len(got) == n
+
+
+def test_heavy_weights_are_searched_not_spread(spark):
+    """Weights of 10,000: the slot's member is found by bisection, and no plan
+    holds an array of slots."""
+    pool = spark.createDataFrame([(1, 0, 10_000, 5), (2, 1, 1, 5), (3, 2, 20_000, 5)], "server_id int, pos int, weight int, capacity int")
+    runs = spark.createDataFrame([(s, True, 0, 10**9) for s in (1, 2, 3)], "server_id int, alive boolean, start_us long, end_us long")
+    versions = R.pool_versions(pool, runs, 10**9)
+    req = spark.range(40_000).selectExpr("id", "1 as server_id", "id as arrival_us", "id + 1 as end_us")
+    out = R.weighted_round_robin_live(req, versions)
+    got = [r["assigned"] for r in out.orderBy("id").collect()]
+    want = [1] * 10_000 + [2] + [3] * 20_000
+    assert got == (want * 2)[:40_000]
+    assert "array_repeat" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_decision_source_follows_from_keys(spark):
+    """Breaker, failure, fill and hit by hand; labels other than 'error' do not matter."""
+    rows = [(1, "a", "error", 10), (2, "a", "ok", 20), (3, "a", "error", 30), (4, "b", "hit", 40), (5, "b", "ok", 50),
+            (6, "c", "ok", 105), (7, "a", "ok", 110), (8, "c", "ok", 130), (9, "c", "ok", 130), (10, None, "ok", 140),
+            (11, None, "error", 150), (12, None, "ok", 160)]
+    calls = spark.createDataFrame(rows, "id long, memo_key string, outcome string, t_us long")
+    open_ = spark.createDataFrame([(100, 120)], "open_us long, close_us long")
+    got = {r["id"]: r["source"] for r in R.decision_source(calls, open_).collect()}
+    assert got == {1: "fallback_error", 2: "model", 3: "memo", 4: "model", 5: "memo", 6: "fallback_breaker",
+                   7: "fallback_breaker", 8: "model", 9: "memo", 10: "model", 11: "fallback_error", 12: "model"}
+
+
+def test_policy_p95_is_that_of_the_mixture(spark):
+    req = spark.range(300).selectExpr("id", "cast(id % 2 + 1 as int) as server_id", "id * 10 as arrival_us", "id * 10 + 5 as end_us")
+    pool = spark.createDataFrame([(1, 0, 3, 5), (2, 1, 1, 5)], "server_id int, pos int, weight int, capacity int")
+    times = {1: [10, 20, 30, 40], 2: [15, 15, 500, 900, 1000]}
+    lat = R.latency_counts(spark.createDataFrame([(s, v) for s, vs in times.items() for v in vs] + [(1, None)],
+                                                 "server_id int, response_time_ms long"))
+    got = {r["policy"]: r for r in R.compare_policies(req, pool, lat, ["weighted_round_robin"]).collect()}["weighted_round_robin"]
+    whole = sorted(v for s, w in ((1, 225), (2, 75)) for v in times[s] for _ in range(w * 20 // len(times[s])))
+    assert got["p95_chosen_latency_ms"] == whole[-(-95 * len(whole) // 100) - 1]
+    assert abs(got["mean_chosen_latency_ms"] - sum(whole) / len(whole)) < 1e-6
+
+
+def test_scaler_is_a_stage_of_the_saved_pipeline(spark, scratch):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    rows = [(i, *map(float, rng.normal(50, 9, 4)), 7.0, float(rng.normal())) for i in range(200)]
+    d = spark.createDataFrame(rows, f"key long, {A.FEATURES[0]} double, {A.FEATURES[1]} double, {A.FEATURES[2]} double, "
+                                    f"{A.FEATURES[3]} double, {A.FEATURES[4]} double, target double").withColumn(A.FEATURES[5], F.lit(3))
+    train, test = M.split(d, "key")
+    IO.save_model(M.fit_score_model(train, kind="linear"), f"{scratch}/model")
+    model = IO.load_model(f"{scratch}/model")
+    seen = np.array([[r[c] for c in A.FEATURES] for r in train.collect()], float)
+    scaler = model.stages[0]
+    assert np.allclose(scaler.getOrDefault("mean"), seen.mean(axis=0)) and np.allclose(scaler.getOrDefault("scale"), seen.std(axis=0))
+    assert scaler.getOrDefault("scale")[4:] == [0.0, 0.0]
+    scored = M.score(test, model)
+    assert scored.columns == [*test.columns, "score"] and scored.filter("score is null").count() == 0
+
+
+def test_logs_and_spans_of_a_hot_trace(spark):
+    """One trace id over many hours: the pairs of a nested loop, met by bucket."""
+    h = 3_600_000_000
+    logs = spark.range(400).selectExpr("'t' as trace_id", f"id * {h} div 40 as ts_us", "id as log")
+    spans = spark.range(400).selectExpr("'t' as trace_id", f"id * {h} div 37 as start_us", f"id * {h} div 37 + id * 1000000 as end_us", "id as span")
+    got = J.correlate_logs_spans(logs, spans)
+    assert got.columns == [*logs.columns, *spans.columns]
+    want = {(a.log, b.span) for a in logs.collect() for b in spans.collect()
+            if b.start_us - 60_000_000 <= a.ts_us <= b.end_us + 60_000_000}
+    pairs = [(r.log, r.span) for r in got.select("l.log", "s.span").collect()]
+    assert set(pairs) == want and len(pairs) == len(want)
+    keys = got._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in keys
