@@ -27,9 +27,11 @@ _INSIDE = r"/?s>|/?INST\]|<SYS>>|</SYS>>|ROLE=|/ROLE\]"
 _ESCAPE = re.compile(rf"([<\[])(\\*)({_INSIDE})")
 _UNESCAPE = re.compile(rf"([<\[])\\(\\*)({_INSIDE})")
 _TURN = re.compile(r"<s>(.*?)</s>|\[INST\](.*?)\[/INST\]|<<SYS>>(.*?)<</SYS>>|\[ROLE=([^\]]*)\](.*?)\[/ROLE\]", re.S)
-#: Characters of a conversation that are encoded at once; a longer one is
-#: rendered and encoded in parts, cut between turns.
+#: Characters of a conversation that are held at once; a longer one is given in
+#: parts, cut between turns.
 PART_CHARS = 4_000_000
+#: What follows the last letter of a closing mark.
+_TAIL = re.compile(r"[^\w\s]*\Z")
 
 
 def escape(text: str) -> str:
@@ -83,8 +85,8 @@ def loss_mask(offsets: np.ndarray, spans: list[tuple[int, int]], size: int) -> t
     behind = np.searchsorted(starts, offsets[:, 1], "left")
     hit = (first < behind) & (offsets[:, 1] > offsets[:, 0])
     cover = np.zeros(size + 1, np.int32)
-    np.add.at(cover, offsets[hit, 0], 1)
-    np.add.at(cover, offsets[hit, 1], -1)
+    np.add.at(cover, np.clip(offsets[hit, 0], 0, size), 1)
+    np.add.at(cover, np.clip(offsets[hit, 1], 0, size), -1)
     cover = np.cumsum(cover)[:size] > 0
     out = []
     for lo, hi in spans:
@@ -108,23 +110,41 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def _turns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, list[tuple[str, str]]]]:
-    """(conversation, part, turns) of rows sorted by conversation and turn."""
+def _turns_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[object, int, list[tuple[str, str]], bool]]:
+    """(conversation, part, turns, is there another part) of rows sorted by
+    conversation and turn."""
     conv, part, held, chars, begun = None, 0, [], 0, False
     for batch in batches:
         for c, role, text in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-            if begun and (c != conv or chars >= PART_CHARS):
-                yield conv, part, held
+            if begun and (c != conv or chars >= most):
+                yield conv, part, held, c == conv
                 part, held, chars = (part + 1 if c == conv else 0), [], 0
             conv, begun = c, True
             held.append((role or "", text or ""))
             chars += len(text or "")
     if begun:
-        yield conv, part, held
+        yield conv, part, held, False
+
+
+def encode_parts(tok, texts: Iterator[tuple[str, bool]]) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Ids and offsets of the parts of one text, each with whether another part
+    follows; joined, they are those of the text encoded at once.
+
+    A part ends with a closing mark, letters and then signs, and the next one
+    begins with the signs and letters of an opening mark.  The split pattern
+    always ends a match between a letter and a sign, but may take the signs on
+    both sides of the cut as one match.  So the signs at a part's end are
+    encoded with the next part, where their offsets are below zero."""
+    before = ""
+    for text, more in texts:
+        after = _TAIL.search(text)[0] if more else ""
+        enc = tok.encode(before + text[:len(text) - len(after)], add_special_tokens=False)
+        yield enc.ids, np.array(enc.offsets, np.int64).reshape(-1, 2) - len(before)
+        before = after
 
 
 def format_conversations(turns: DataFrame, path: str, id_col: str = "conv_id", turn_col: str = "turn",
-                         role_col: str = "role", text_col: str = "text") -> DataFrame:
+                         role_col: str = "role", text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
     """``id_col, part, formatted, ids, loss, loss_spans`` per conversation:
     the rendered text, its token ids, one byte a token (1 under the loss), and
     the [start, end) places in ``formatted`` that lie under the loss.
@@ -132,8 +152,10 @@ def format_conversations(turns: DataFrame, path: str, id_col: str = "conv_id", t
     Rows go by turn, ties by role and text.  Null roles and texts are empty, a
     null id is a conversation of its own, repeated rows are repeated turns, an
     empty table gives no rows.  The rows of a conversation stream through one
-    task in order; a conversation over PART_CHARS is given in several parts, so
-    memory is bounded however many turns it has."""
+    task in order; a conversation over ``part_chars`` is given in several parts, so
+    memory is bounded however many turns it has.  Its parts' ids and masks, one
+    after the other, are those of the whole conversation encoded once; a token
+    over a cut stands at the beginning of the later part."""
     require(turns, id_col, turn_col, role_col, text_col)
     small_batches(turns.sparkSession)
     slim = turns.select(F.col(id_col).alias("c"), F.col(role_col).cast("string").alias("r"),
@@ -152,14 +174,20 @@ def format_conversations(turns: DataFrame, path: str, id_col: str = "conv_id", t
             yield first
             yield from batches
 
-        for conv, part, held in _turns_of(chain()):
-            text, spans = render(held)
-            enc = tok.encode(text, add_special_tokens=False)
-            offsets = np.array(enc.offsets, np.int64).reshape(-1, 2)
+        rendered: list = []
+
+        def texts() -> Iterator[tuple[str, bool]]:
+            for conv, part, held, more in _turns_of(chain(), part_chars):
+                text, spans = render(held)
+                rendered[:] = [conv, part, text, spans]
+                yield text, more
+
+        for ids, offsets in encode_parts(tok, texts()):
+            conv, part, text, spans = rendered
             hit, loss = loss_mask(offsets, spans, len(text))
             yield pa.RecordBatch.from_arrays([
                 pa.array([conv], key), pa.array([part], pa.int32()), pa.array([text], pa.string()),
-                pa.array([enc.ids], pa.list_(pa.int32())), pa.array([hit.astype(np.uint8).tobytes()], pa.binary()),
+                pa.array([ids], pa.list_(pa.int32())), pa.array([hit.astype(np.uint8).tobytes()], pa.binary()),
                 pa.array([[x for s in loss for x in s]], pa.list_(pa.int32()))],
                 names=[id_col, "part", "formatted", "ids", "loss", "loss_spans"])
 

@@ -44,10 +44,13 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPES = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"),
           "thead": ("table",), "tbody": ("table",)}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*)>"""
+# Quotes only quote behind an equals sign; elsewhere, and inside an unquoted
+# value, they are characters like others.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^<>"'=]+|=\s*(?:"[^"]*"|'[^']*'|[^\s<>]*)|["'])*+)>"""
                   r"""|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]{2,}")
+_STOP = re.compile(r"[.!?]['\"»”]*(?:\s|\Z)")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _MARK = re.compile(r'data-content="([01])"')
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
@@ -74,6 +77,14 @@ def _text_features(text: str, linked: int, raw: int) -> tuple[str, ...]:
     return out
 
 
+def _inside_features(words: int, linked: int, stops: int) -> tuple[str, ...]:
+    """What an element holds: how many words, their share in links, sentences."""
+    size = "0" if not words else "1" if words < 15 else "15" if words < 60 else "60" if words < 200 else "200"
+    share = linked / words if words else 0.0
+    return (f"holds={size}", f"links inside={'no' if share < 0.05 else 'some' if share < 0.4 else 'many'}",
+            f"sentences={'0' if not stops else '1' if stops < 3 else '3' if stops < 8 else '8'}")
+
+
 _ELEMENTS: dict[tuple[str, str], tuple[str, ...]] = {}
 
 
@@ -139,6 +150,8 @@ def dom(page: str) -> Tree:
     mute = False
     t = Tree([-1], [("element", "tag=#root")], [None], [0])
     stack: list[tuple[str, int]] = [("#root", 0)]
+    depth: Counter = Counter()                      # open elements by name
+    sums = [(0, 0, 0)]                              # words, of them in links, sentences
     buf: list[str] = []
     link, linked, raw, pos = 0, 0, 0, 0
 
@@ -154,13 +167,21 @@ def dom(page: str) -> Tree:
                 t.features.append(_text_features(s, linked, raw))
                 t.text.append(s)
                 t.label.append(t.label[up])
+                n = s.count(" ") + 1
+                sums.append((n, n * linked // raw if raw else 0, len(_STOP.findall(s))))
             linked = raw = 0
 
+    def pop(to: int) -> None:
+        while len(stack) > to:
+            depth[stack.pop()[0]] -= 1
+
     def close(names: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        if not any(depth[n] for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in names:
                 flush()
-                del stack[k:]
+                pop(k)
                 return
             if stack[k][0] in scope:
                 return
@@ -210,10 +231,10 @@ def dom(page: str) -> Tree:
             close((tag,), ())
             continue
         if stack[-1][0] == "p":
-            stack.pop()
+            pop(len(stack) - 1)
         if tag in CLOSES:
             while len(stack) > 1 and stack[-1][0] in CLOSES[tag]:
-                stack.pop()
+                pop(len(stack) - 1)
             close(CLOSES[tag], SCOPES.get(tag, ()))
         up = stack[-1][1]
         mark = _MARK.search(m[3]) if "data-content" in m[3] else None
@@ -221,11 +242,19 @@ def dom(page: str) -> Tree:
         t.features.append(_element_features(tag, m[3]))
         t.text.append(None)
         t.label.append(int(mark[1]) if mark else t.label[up])
+        sums.append((0, 0, 0))
         if not m[3].endswith("/"):
             stack.append((tag, len(t.parent) - 1))
+            depth[tag] += 1
     if pos < len(page) and not mute:
         say(page[pos:])
     flush()
+    for i in range(len(sums) - 1, 0, -1):
+        up = t.parent[i]
+        sums[up] = tuple(a + b for a, b in zip(sums[up], sums[i]))
+    for i, inside in enumerate(sums):
+        if t.text[i] is None:
+            t.features[i] += _inside_features(*inside)
     return t
 
 
@@ -301,7 +330,14 @@ def train(pages: list[str], rounds: int = 400, rate: float = 0.5, shrink: float
     return Model(dict(zip(names, w.tolist())), edges)
 
 
-def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[str]:
+#: Containers of the article: layout -> (element, names, one of which it gets).
+LAYOUTS = {"article": ("article", ("",)), "named article": ("article", ("post", "entry")), "main": ("main", ("",)),
+           "section": ("section", ("content", "story")),
+           "named div": ("div", ("content", "article", "post", "entry", "main", "text", "body", "story")),
+           "plain div": ("div", ("",)), "nested divs": ("div", ("",)), "odd names": ("div", ("x1", "col", "left", "c-7f", "inner"))}
+
+
+def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5, layouts: tuple[str, ...] = tuple(LAYOUTS)) -> list[str]:
     """Labelled pages of many layouts, with invented words: articles under
     different containers, among menus, headers, sidebars, notices, adverts,
     forms, comments and footers."""
@@ -381,8 +417,8 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[str]:
         return f"<figure><img src='a.png'><figcaption>{text(3, 12)}</figcaption></figure>"
 
     def article() -> str:
-        tag, names = r.choice([("article", [""]), ("article", ["post", "entry"]), ("main", [""]), ("section", ["content", "story"]),
-                               ("div", ["content", "article", "post", "entry", "main", "text", "body", "story"])])
+        layout = r.choice(layouts)
+        tag, names = LAYOUTS[layout]
         inner = [f"<h1>{words(2, 9)}</h1>"] if r.random() < .8 else []
         for _ in range(r.choice([0, 1, 2, 5, 9, 14])):
             inner.append(block())
@@ -393,6 +429,9 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[str]:
         if r.random() < .2:
             inner.append(r.choice([comments, footer])())
         name = r.choice(names)
+        if layout == "nested divs":
+            cut = r.randrange(len(inner) + 1)
+            inner = [f"<div>{''.join(part)}</div>" for part in (inner[:cut], inner[cut:]) if part]
         return f'<{tag} {f"class=\'{name}\'" if name else ""} data-content="1">{"".join(inner)}</{tag}>'
 
     out = []

@@ -60,7 +60,8 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), num=85)
 
 
-@query("op10_quality_rules", r"""
+#: Measurements and failed rules (``b``, in the order of their bits) of documents.
+MEASURED_SQL = r"""
 with t as (
   select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
          list_filter(string_split(coalesce(text, ''), chr(10)),
@@ -81,7 +82,10 @@ m as (
 f as (
   select *, [n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words,
              100 * n_dup_lines > 40 * n_lines, 100 * n_upper > 60 * n_letters, 100 * n_letters < 50 * word_chars,
-             word_chars > 15 * n_words, word_chars < 2 * n_words] as b from m)
+             word_chars > 15 * n_words, word_chars < 2 * n_words] as b from m)"""
+
+
+@query("op10_quality_rules", MEASURED_SQL + r"""
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b[1] or b[2] as base_failed,
        not (b[1] or b[2] or b[3] or b[4] or b[5] or (b[6]::int + b[7]::int + b[8]::int > 1)) as kept,
        list_sum(list_transform(range(8), lambda i: b[i + 1]::bigint * (1 << i)::bigint))::bigint as failures
@@ -94,7 +98,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept", "failures")
 
 
-@query("op10_ablation")
+def _ablation_sql() -> str:
+    policy = quality_rules.POLICIES[quality_rules.CURRENT]
+    names = (*policy.fatal, *policy.soft)
+
+    def rejects(cleared: str | None) -> str:
+        fatal, soft = ([f"b[{quality_rules.RULES[n][0] + 1}]" for n in part if n != cleared] for part in (policy.fatal, policy.soft))
+        many = " + ".join(f"{x}::int" for x in soft) or "0"
+        return f"({' or '.join(fatal) or 'false'} or {many} > {policy.tolerance})"
+
+    rows = " union all ".join(
+        f"select '{n}' as rule, count(*) filter (where b[{quality_rules.RULES[n][0] + 1}]) as n_failed, "
+        f"count(*) filter (where {rejects(None)} and not {rejects(n)}) as n_decided, {quality_rules.CURRENT}::int as policy_version from f"
+        for n in names)
+    return f"{MEASURED_SQL}\n{rows}"
+
+
+@query("op10_ablation", _ablation_sql())
 def op10_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the current policy decides over ``documents``."""
     return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")))
@@ -118,14 +138,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_mtree_topk", """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  select vec_id, row_number() over () as r, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
   where vec_id is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
-  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+  select q.r, q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.r <> c.r)
 select query_id, (row_number() over w)::int as rank, vec_id, score from s
-window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= 5
+window w as (partition by r order by score desc, vec_id) qualify row_number() over w <= 5
 """)
 def op4_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best inner products for every 50th of ``embeddings``, exact."""

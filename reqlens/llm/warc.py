@@ -159,22 +159,39 @@ def records(data: bytes) -> Iterator[tuple[int, int, str, dict[str, str], bytes]
         at = end
 
 
+#: Bytes of a compressed archive that are inflated at a time.
+_FEED = 1 << 16
+
+
+def _until_damage(d, block: memoryview) -> Iterator[bytes]:
+    """What a damaged block inflates to before the damage."""
+    try:
+        for at in range(len(block)):
+            yield d.decompress(block[at:at + 1])
+    except zlib.error:
+        return
+
+
 def members(data: bytes) -> Iterator[tuple[int, int, str, bytes]]:
-    """(offset, length, reason, content) of the gzip members of ``data``; after
-    a member that does not inflate or check, the next valid one."""
-    at = 0
+    """(offset, length, reason, content) of the gzip members of ``data``.  A
+    member that is damaged or cut off has a reason, and the content that did
+    inflate; it ends where the next valid member begins.  Every member is fed
+    in blocks of its own bytes, so the work grows with the archive."""
+    view, at = memoryview(data), 0
     while at < len(data):
-        d = zlib.decompressobj(31)
-        wrong = "member does not inflate"
-        try:
-            out = d.decompress(data[at:])
-            wrong = "" if d.eof else "member cut off"
-        except zlib.error:
-            out = b""
-        if not wrong:
-            size = len(data) - at - len(d.unused_data)
-            yield at, size, "", out
-            at += size
+        d, out, pos, wrong = zlib.decompressobj(31), [], at, ""
+        while pos < len(data) and not d.eof and not wrong:
+            before = d.copy()
+            try:
+                out.append(d.decompress(view[pos:pos + _FEED]))
+                pos += _FEED
+            except zlib.error:
+                wrong = "member does not inflate"
+                out += _until_damage(before, view[pos:pos + _FEED])
+        if not wrong and d.eof:
+            end = min(pos, len(data)) - len(d.unused_data)
+            yield at, end - at, "", b"".join(out)
+            at = end
             continue
         end = at
         while True:
@@ -184,26 +201,30 @@ def members(data: bytes) -> Iterator[tuple[int, int, str, bytes]]:
                 break
             try:
                 probe = zlib.decompressobj(31)
-                probe.decompress(data[end:end + 65536])
+                probe.decompress(view[end:end + _FEED])
                 break
             except zlib.error:
                 continue
-        yield at, end - at, wrong, b""
+        yield at, end - at, wrong or "member cut off", b"".join(out)
         at = end
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str, dict[str, str], bytes]]:
     """:func:`records` of a plain or compressed archive.  In a compressed one,
-    records that share a member share its place."""
+    records that share a member share its place.  Of a damaged member the
+    records that inflated whole and whose digest holds are kept, and the member
+    is a gap as well."""
     if b"\x1f\x8b\x08" != data[:3] and (_VERSION_LINE.search(data) or b"\x1f\x8b\x08" not in data):
         yield from records(data)
         return
     for at, size, wrong, content in members(data):
+        for _, _, bad, head, block in records(content):
+            if not wrong:
+                yield at, size, bad, head, block
+            elif not bad and head.get("warc-block-digest", "").startswith("sha1:"):
+                yield at, size, "", head, block
         if wrong:
             yield at, size, wrong, {}, b""
-        else:
-            for _, _, bad, head, block in records(content):
-                yield at, size, bad, head, block
 
 
 def _payload(head: dict[str, str], block: bytes) -> tuple[int | None, str | None, bytes | None]:
@@ -219,7 +240,8 @@ def _payload(head: dict[str, str], block: bytes) -> tuple[int | None, str | None
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records and gaps of all archives below ``path`` (RECORD_SCHEMA): ``kind``
     is record or gap, a gap has its ``reason``.  Every byte of an archive is in
-    a record or in a gap.  A record whose payload digest differs is a gap.  A
+    a record or in a gap; a damaged gzip member is a gap, and the records that
+    could be read from it come beside it.  A record whose payload digest differs is a gap.  A
     task reads one archive at a time; an empty folder gives no rows."""
     small_batches(spark)
     names = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
