@@ -177,6 +177,11 @@ def decision_snapshots(metrics: DataFrame, intervals: DataFrame, requests: DataF
     grid = pool.select("server_id", "pos", "weight", "capacity", F.explode(ticks).alias("_k")) \
         .withColumn("tick_us", F.col("_k").cast("bigint") * F.lit(step)).drop("_k") \
         .withColumn("tick", micros_ts("tick_us"))
+    # alive flag: not inside a down run of the W7 health runs (servers start
+    # alive); runs of one server never overlap, so a point lookup suffices.
+    down = health_runs.filter(~F.col("alive")).select("server_id", "start_us", "end_us")
+    grid = interval_lookup(grid, down, ["server_id"], "tick_us", name="_down")
+    grid = grid.withColumn("alive", F.col("_down").isNull()).drop("_down")
     snap = grid.join(seen, ["server_id", "tick_us"], "left").fillna(0.0, ["cpu_usage", "memory_usage"])
     # active connections at the tick
     snap = materialize(inflight(intervals, ["server_id"], "start_us", "end_us", points=snap, point_us="tick_us",
@@ -200,11 +205,6 @@ def decision_snapshots(metrics: DataFrame, intervals: DataFrame, requests: DataF
     snap = snap.withColumn("_end", floor_div(F.col("tick_us"), S) * S)
     snap = snap.join(pw, ["server_id", "_end"], "left").drop("_end") \
                .withColumn("response_p95", F.coalesce("response_p95", F.lit(0.0)))
-    # alive flag: not inside a down run of the W7 health runs (servers start
-    # alive); runs of one server never overlap, so a point lookup suffices.
-    down = health_runs.filter(~F.col("alive")).select("server_id", "start_us", "end_us")
-    snap = interval_lookup(snap, down, ["server_id"], "tick_us", name="_down")
-    snap = snap.withColumn("alive", F.col("_down").isNull()).drop("_down")
     return snap.select("server_id", "tick", "tick_us", "pos", "cpu_usage", "memory_usage",
                        F.col("conns").cast("bigint").alias("active_conns"), "error_rate", "response_p95",
                        "weight", "capacity", "alive")

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from reqlens.functions.scalars import stable_hash
 from reqlens.operators.sizing import broadcast_if_small, materialize
 from reqlens.operators.timebucket import (MINUTE_US, cut_in_order, floor_div, forward_fill, interval_lookup,
-                                          ordered_index, SLICE)
+                                          ordered_index, slices_of, SLICE)
 
 
 def make_pool(servers: DataFrame, active_only: bool = True) -> DataFrame:
@@ -469,7 +469,9 @@ def weighted_round_robin_live(requests: DataFrame, versions: DataFrame, order_us
     would put a long epoch into one task)."""
     from reqlens.operators.series import neighbor
 
-    r = cut_in_order(attach_pool(requests, versions, order_us), [], order_us, tie)  # one cut for the three steps
+    r = attach_pool(requests, versions, order_us)
+    if slices_of(requests) > 1:
+        r = cut_in_order(r, [], order_us, tie)  # one cut for the three steps
     r = materialize(ordered_index(r, order_us, tie, name="_i"))
     ids = F.transform("members", lambda m: m["server_id"])
     key = F.size("members").cast("string") if legacy else F.array_join(ids, ",")

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from reqlens.functions.scalars import clamp, round1
 from reqlens.operators.aggs import sliding
 from reqlens.operators.sizing import materialize
-from reqlens.operators.timebucket import (MINUTE_US, SLICE, _bucketed, cut_in_order, floor_div, join_back,
-                                          micros_ts, ordered_index, running_count, running_sum, trailing_at)
+from reqlens.operators.timebucket import (MINUTE_US, SLICE, bucketed, cut_in_order, floor_div, join_back,
+                                          micros_ts, ordered_index, running_count, running_sum, slices_of, trailing_at)
 
 
 def _col(x) -> Column:
@@ -39,10 +39,12 @@ def neighbor(df: DataFrame, by: Sequence[str], order_us: str, tie: str, cols: Se
     the key, found on the table of one edge row per key and slice."""
     by = list(by)
     name = name or ("prev" if direction == "prev" else "next")
-    d = _bucketed(df, by, order_us, tie, bucket_us)
+    d, several = bucketed(df, by, order_us, tie, bucket_us)
     s = F.struct(*[F.col(c) for c in cols])
     key = F.struct(F.col(order_us), F.col(tie))
     w = Window.partitionBy(*by, "_b").orderBy(order_us, tie)
+    if not several:
+        return d.withColumn(name, (F.lag(s) if direction == "prev" else F.lead(s)).over(w)).drop("_b")
     if direction == "prev":
         edge = d.groupBy(*by, "_b").agg(F.max_by(s, key).alias("_edge"))
         bw = Window.partitionBy(*by).orderBy("_b") if by else Window.partitionBy().orderBy("_b")
@@ -275,12 +277,13 @@ def breaker_intervals(calls: DataFrame, reset_s: int = 30, ts_us: str = "t_us",
     R = int(reset_s) * 1_000_000
     c = calls.filter(F.col(outcome).isin("ok", "error")).select(
         F.col(ts_us).cast("bigint").alias("t_us"), F.col(tie).alias("seq"), (F.col(outcome) == "error").alias("fail"))
-    if not bucket_us:
+    sliced = not bucket_us and slices_of(c) > 1
+    if sliced:
         c = cut_in_order(c, [], "t_us", "seq")  # both neighbours go by the same slices
     c = materialize(neighbor(c, [], "t_us", "seq", ["t_us"], "next", bucket_us))
     c = neighbor(c, [], "t_us", "seq", ["t_us", "fail"], "prev", bucket_us)
     f = c.filter("fail").select(
-        "t_us", "seq", *([] if bucket_us else [SLICE]),
+        "t_us", "seq", *([SLICE] if sliced else []),
         F.least(F.coalesce(F.col("next.t_us"), F.col("t_us") + R), F.col("t_us") + R).alias("open_end"),
         (~(F.coalesce(F.col("prev.fail"), F.lit(False)) & (F.col("t_us") - F.col("prev.t_us") <= R))).alias("_start"))
     f = running_count(materialize(f), F.col("_start"), [], "t_us", "seq", bucket_us, name="_island")

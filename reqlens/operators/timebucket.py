@@ -107,31 +107,46 @@ def asof_left(left: DataFrame, right: DataFrame, by: Sequence[str], left_us, rig
 
 #: Slice number of a row, as :func:`cut_in_order` sets it.
 SLICE = "_slice"
+#: Rows that are one slice, and rows of a slice where there are several.
+ONE_SLICE, SLICE_ROWS = 1_000_000, 4_000_000
+
+
+def slices_of(df: DataFrame) -> int:
+    """How many slices ``df`` is cut into: one if a task can sort all its rows,
+    else at least as many as there are shuffle partitions, of SLICE_ROWS rows at
+    most.  One count of the rows."""
+    n = df.count()
+    if n <= ONE_SLICE:
+        return 1
+    return max(-(-n // SLICE_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def cut_in_order(df: DataFrame, by: Sequence[str], order_us, tie=None, slices: int | None = None) -> DataFrame:
     """Adds ``SLICE``: rows are range-partitioned by (``by``, ``order_us``,
     ``tie``), so that every row of a slice comes before every row of the next
     one and slices hold about equal numbers of rows however the times are
-    spread.  There are ``slices`` of them (default: as many as shuffle
-    partitions).  The carry operators keep and use the column, so a frame that
-    several of them read in the same order is cut once.
+    spread.  There are ``slices`` of them (default: :func:`slices_of`).  The
+    carry operators keep and use the column, so a frame that several of them
+    read in the same order is cut once.
 
     The cut rows are checkpointed: the range bounds come from a sample of the
     rows, and reading them again must not number them anew."""
     order = [F.col(k) for k in by] + [_col(order_us)] + ([_col(tie)] if tie is not None else [])
-    n = [int(slices)] if slices else []
-    d = df.repartitionByRange(*n, *order).withColumn(SLICE, F.spark_partition_id().cast("bigint"))
+    d = df.repartitionByRange(int(slices or slices_of(df)), *order).withColumn(SLICE, F.spark_partition_id().cast("bigint"))
     return materialize_points(d)
 
 
-def _bucketed(df: DataFrame, by: Sequence[str], order_us, tie, bucket_us: int | None) -> DataFrame:
-    """``_b``: the time bucket of an explicit width, else the slice."""
+def bucketed(df: DataFrame, by: Sequence[str], order_us, tie, bucket_us: int | None) -> tuple[DataFrame, bool]:
+    """``df`` with ``_b``, the time bucket of an explicit width or else the
+    slice, and whether there are several: a single slice needs no carry."""
     if bucket_us:
-        return df.withColumn("_b", floor_div(_col(order_us).cast("bigint"), bucket_us))
+        return df.withColumn("_b", floor_div(_col(order_us).cast("bigint"), bucket_us)), True
     if SLICE in df.columns:
-        return df.withColumn("_b", F.col(SLICE))
-    return cut_in_order(df, by, order_us, tie).withColumnRenamed(SLICE, "_b")
+        return df.withColumn("_b", F.col(SLICE)), True
+    n = slices_of(df)
+    if n == 1:
+        return df.withColumn("_b", F.lit(0)), False
+    return cut_in_order(df, by, order_us, tie, n).withColumnRenamed(SLICE, "_b"), True
 
 
 def join_back(d: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -157,16 +172,20 @@ def running_sums(df: DataFrame, values: dict, by: Sequence[str], order_us, tie=N
     back on (by, slice)."""
     by = list(by)
     order = [_col(order_us)] + ([_col(tie)] if tie is not None else [])
-    d = _bucketed(df, by, order_us, tie, bucket_us)
+    d, several = bucketed(df, by, order_us, tie, bucket_us)
     for k, v in values.items():
         d = d.withColumn("_v_" + k, _col(v).cast("bigint"))
+    within = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if not several:
+        for k in values:
+            d = d.withColumn(k, F.sum("_v_" + k).over(within))
+        return d.drop("_b", *["_v_" + k for k in values])
     totals = d.groupBy(*by, "_b").agg(*[F.sum("_v_" + k).alias("_t_" + k) for k in values])
     pw = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_b") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_b", *[F.coalesce(F.sum("_t_" + k).over(pw), F.lit(0)).cast("bigint")
                                          .alias("_o_" + k) for k in values])
     j = join_back(d, offsets, by)
-    within = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for k in values:
         j = j.withColumn(k, F.col("_o_" + k) + F.sum("_v_" + k).over(within))
     return j.drop("_b", *[p + k for k in values for p in ("_v_", "_o_")])
@@ -302,15 +321,18 @@ def forward_fill(df: DataFrame, value, by: Sequence[str], order_us, tie,
     ``last(ignorenulls)``; the carry is the last non-null value of earlier
     slices, from the table of one row per key and slice."""
     by = list(by)
-    d = _bucketed(df, by, order_us, tie, bucket_us).withColumn("_v", _col(value))
+    d, several = bucketed(df, by, order_us, tie, bucket_us)
+    d = d.withColumn("_v", _col(value))
+    within = Window.partitionBy(*by, "_b").orderBy(_col(order_us), _col(tie)) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if not several:
+        return d.withColumn(name, F.last("_v", ignorenulls=True).over(within)).drop("_b", "_v")
     key = F.when(F.col("_v").isNotNull(), F.struct(_col(order_us), _col(tie)))
     edge = d.groupBy(*by, "_b").agg(F.max_by("_v", key).alias("_e"))
     bw = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_b") \
         .rowsBetween(Window.unboundedPreceding, -1)
     carry = edge.select(*by, "_b", F.last("_e", ignorenulls=True).over(bw).alias("_carry"))
     j = join_back(d, carry, by)
-    within = Window.partitionBy(*by, "_b").orderBy(_col(order_us), _col(tie)) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     j = j.withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(within), F.col("_carry")))
     return j.drop("_b", "_v", "_carry")
 
