@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +27,17 @@ from pyspark.sql import types as T
 from reqlens.llm.common import require, small_batches, stage
 
 #: Text bytes of a block; a longer text is a block of its own.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 3_000_000
 #: Chunks between spaces whose ids a worker keeps.
-CHUNK_MEMO = 500_000
+CHUNK_MEMO = 400_000
 #: A group with more links than this counts its distinct ids first.
 WIDE_GROUP = 256
 #: Bits of the second tokenizer's ids in a pair's code.
 B_BITS = 20
 
-#: Finds a space beside other white space.
-_ODD_SPACE = re.compile(r" \s|\s ").search
+#: Bits of an id pair's code.
+CODE_BITS = 40
+
 
 
 class ByteLevel:
@@ -56,20 +56,31 @@ class ByteLevel:
         self.tokens = [b""] * (max(vocab.values()) + 1)
         for t, i in vocab.items():
             self.tokens[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
-        self._memo: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of space + text.  Matches of the split pattern begin at single
-        spaces, so a text's ids are those of its chunks cut before them; texts
-        with white space beside a space are encoded whole."""
-        memo = self._memo
-        if len(memo) > CHUNK_MEMO:
-            memo.clear()
-        split = [[" " + t] if _ODD_SPACE(" " + t) else [" " + c for c in t.split(" ")] for t in texts]
-        new = list({c for s in split for c in s if c not in memo})
-        for c, e in zip(new, self._tok.encode_batch_fast(new, add_special_tokens=False)):
-            memo[c] = np.array(e.ids, np.int64)
-        return [np.concatenate([memo[c] for c in s]) for s in split]
+        self.widths = np.array([len(t) for t in self.tokens], np.int64)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of space + text, as 32-bit numbers."""
+        return [np.array(e.ids, "<i4").tobytes() for e in self._tok.encode_batch_fast(
+            [" " + t for t in texts], add_special_tokens=False)]
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """As :meth:`encode`, for chunks without spaces and without white space
+        at their end: many are encoded as one text, in which each begins at a
+        space, where matches of the split pattern begin.  The tokens' bytes tell
+        which are whose."""
+        out = []
+        for at in range(0, len(chunks), 512):
+            part = [" " + c for c in chunks[at:at + 512]]
+            raw, = self.encode(["".join(part)[1:]])
+            ends = np.cumsum(self.widths[np.frombuffer(raw, "<i4")])
+            want = np.cumsum([len(c.encode()) for c in part])
+            cuts = np.searchsorted(ends, want) + 1
+            if len(ends) and ends[-1] == want[-1] and (ends[cuts - 1] == want).all():
+                cuts = [0, *(4 * cuts).tolist()]
+                out += [raw[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
+            else:
+                out += self.encode([c[1:] for c in part])
+        return out
 
 
 class Pieces:
@@ -78,23 +89,87 @@ class Pieces:
     def __init__(self, path: str):
         import sentencepiece
         self._sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.tokens = []
-        for i in range(self._sp.get_piece_size()):
-            piece = self._sp.id_to_piece(i)
-            self.tokens.append(bytes([int(piece[3:5], 16)]) if self._sp.is_byte(i) else
-                               piece.replace("▁", " ").encode())
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for ids in self._sp.encode(texts, num_threads=1)]
+        pieces = [self._sp.id_to_piece(i) for i in range(self._sp.get_piece_size())]
+        self.tokens = [bytes([int(p[3:5], 16)]) if self._sp.is_byte(i) else p.replace("\u2581", " ").encode()
+                       for i, p in enumerate(pieces)]
+        self.widths = np.array([len(t) for t in self.tokens], np.int64)
+        #: No piece goes on over a space, so words between single spaces are
+        #: encoded as if each stood alone.
+        self.by_words = not any("\u2581" in p.lstrip("\u2581") for p in pieces)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, "<i4").tobytes() for ids in self._sp.encode(texts, num_threads=1)]
+
+
+class Encoder:
+    """Ids of texts by both tokenizers.  Where words stand between single
+    spaces, both treat each with the space before it by itself: such chunks are
+    encoded once and kept.  Texts with white space beside a space, with the
+    piece model's own mark of a space, or with a chunk that either one does not
+    give back, are encoded whole."""
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.a, self.b = a, b
+        self._ids_a: dict[str, bytes] = {}
+        self._ids_b: dict[str, bytes] = {}
+        self._odd: set[str] = set()
+
+    @staticmethod
+    def _back(tok: ByteLevel | Pieces, raw: list[bytes], texts: list[str]) -> list[bool]:
+        """Do the tokens of each text give back space + text?"""
+        want = [b" " + t.encode("utf-8", "replace") for t in texts]
+        ids = np.frombuffer(b"".join(raw), "<i4")
+        ends = np.append(0, np.cumsum(tok.widths[ids]))[np.cumsum([len(r) // 4 for r in raw])] if raw else np.empty(0)
+        if np.array_equal(ends, np.cumsum([len(w) for w in want])) and \
+                b"".join(map(tok.tokens.__getitem__, ids.tolist())) == b"".join(want):
+            return [True] * len(want)
+        return [b"".join(tok.tokens[i] for i in np.frombuffer(r, "<i4").tolist()) == w for r, w in zip(raw, want)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        plain = []
+        for c in chunks:
+            if not c or c[0].isspace() or c[-1].isspace() or "\u2581" in c:
+                self._odd.add(c)
+            else:
+                plain.append(c)
+        ids_a, ids_b = self.a.encode_chunks(plain), self.b.encode(plain)
+        for c, x, y, *same in zip(plain, ids_a, ids_b, self._back(self.a, ids_a, plain), self._back(self.b, ids_b, plain)):
+            if all(same):
+                self._ids_a[c], self._ids_b[c] = x, y
+            else:
+                self._odd.add(c)
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Both tokenisations of each text, empty where either one does not give
+        the text back."""
+        if len(self._ids_a) + len(self._odd) > CHUNK_MEMO:
+            for kept in (self._ids_a, self._ids_b, self._odd):
+                kept.clear()
+        split = [t.split(" ") if t and self.b.by_words else [] for t in texts]
+        seen = set()
+        for s in split:
+            seen.update(s)
+        self._learn([c for c in seen if c not in self._ids_a and c not in self._odd])
+        out: list = []
+        for t, s in zip(texts, split):
+            if s and self._odd.isdisjoint(s):
+                out.append((b"".join(map(self._ids_a.__getitem__, s)), b"".join(map(self._ids_b.__getitem__, s))))
+            elif t:
+                x, y = self.a.encode([t]), self.b.encode([t])
+                same = self._back(self.a, x, [t]) == self._back(self.b, y, [t]) == [True]
+                out.append((x[0], y[0]) if same else (b"", b""))
+            else:
+                out.append((b"", b""))
+        return out
 
 
-_TOKENIZERS: dict[str, ByteLevel | Pieces] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def tokenizer(path: str) -> ByteLevel | Pieces:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = (ByteLevel if path.endswith(".json") else Pieces)(path)
-    return _TOKENIZERS[path]
+def encoder(path_a: str, path_b: str) -> Encoder:
+    if (path_a, path_b) not in _ENCODERS:
+        _ENCODERS[path_a, path_b] = Encoder(ByteLevel(path_a), Pieces(path_b))
+    return _ENCODERS[path_a, path_b]
 
 
 def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,22 +196,11 @@ class Aligned:
     """The alignment of a block of texts: ids of A and B tokens, the document of
     each group, and each group's first tokens (one past the last at the end)."""
 
-    def __init__(self, texts: list[str | None], a: ByteLevel, b: Pieces):
-        full = [t if t else None for t in texts]
-        ids_a, ids_b = (iter(tok.encode([t for t in full if t])) for tok in (a, b))
-        self.a: list[np.ndarray] = []
-        self.b: list[np.ndarray] = []
-        none = np.empty(0, np.int64)
-        for t in full:
-            x, y = (next(ids_a), next(ids_b)) if t else (none, none)
-            want = b" " + t.encode("utf-8", "replace") if t else b""
-            if b"".join([a.tokens[i] for i in x.tolist()]) != want or b"".join([b.tokens[i] for i in y.tolist()]) != want:
-                x, y = none, none
-            self.a.append(x)
-            self.b.append(y)
-        self.n_a, self.n_b = (np.array([len(x) for x in s], np.int64) for s in (self.a, self.b))
-        self.ids_a, self.ids_b = (np.concatenate([none, *s]) for s in (self.a, self.b))
-        wide = [np.array([len(t) for t in tok.tokens], np.int64) for tok in (a, b)]
+    def __init__(self, texts: list[str | None], encoder: Encoder):
+        raw = encoder.encode([t or "" for t in texts])
+        self.n_a, self.n_b = (np.array([len(r[k]) // 4 for r in raw], np.int64) for k in (0, 1))
+        self.ids_a, self.ids_b = (np.frombuffer(b"".join([r[k] for r in raw]), "<i4").astype(np.int64) for k in (0, 1))
+        wide = encoder.a.widths, encoder.b.widths
         last_a, last_b = terminals(np.cumsum(wide[0][self.ids_a]), np.cumsum(wide[1][self.ids_b]))
         ends = np.flatnonzero(np.diff(last_b, append=-1)) + 1  # past the last B token of each group
         self.first_b = np.append(0, ends)
@@ -154,19 +218,24 @@ class Aligned:
         count = many[small]
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         g = np.repeat(small, count)
-        code = [(self.ids_a[self.first_a[g] + at // self.group_b[g]] << B_BITS) | self.ids_b[self.first_b[g] + at % self.group_b[g]]]
-        doc, weight = [self.doc[g]], [np.ones(len(g), np.int64)]
-        for k in np.flatnonzero(many > WIDE_GROUP):
-            x, nx = np.unique(self.ids_a[self.first_a[k]:self.first_a[k + 1]], return_counts=True)
-            y, ny = np.unique(self.ids_b[self.first_b[k]:self.first_b[k + 1]], return_counts=True)
-            code.append(((x[:, None] << B_BITS) | y).ravel())
-            weight.append((nx[:, None] * ny).ravel())
-            doc.append(np.full(len(x) * len(y), self.doc[k]))
-        code, doc, weight = (np.concatenate(c) for c in (code, doc, weight))
-        order = np.lexsort((code, doc))
-        code, doc, weight = code[order], doc[order], weight[order]
-        new = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(code) != 0))) if len(doc) else np.empty(0, int)
-        return doc[new], code[new], np.add.reduceat(weight, new) if len(new) else weight
+        b = self.group_b[g]
+        key = (self.doc[g] << CODE_BITS) | (self.ids_a[self.first_a[g] + at // b] << B_BITS) | self.ids_b[self.first_b[g] + at % b]
+        key.sort()
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        key, weight = key[new], np.diff(np.append(new, len(key)))
+        wide = np.flatnonzero(many > WIDE_GROUP)
+        if len(wide):
+            keys, weights = [key], [weight]
+            for k in wide:
+                x, nx = np.unique(self.ids_a[self.first_a[k]:self.first_a[k + 1]], return_counts=True)
+                y, ny = np.unique(self.ids_b[self.first_b[k]:self.first_b[k + 1]], return_counts=True)
+                keys.append(((self.doc[k] << CODE_BITS) | (x[:, None] << B_BITS) | y).ravel())
+                weights.append((nx[:, None] * ny).ravel())
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.zeros(len(key), np.int64)
+            np.add.at(total, back, np.concatenate(weights))
+            weight = total
+        return key >> CODE_BITS, key & ((1 << CODE_BITS) - 1), weight
 
     def digests(self) -> list[str]:
         """SHA-256 of each document's groups ``a1,a2|b1;...`` in lower-case hex;
@@ -212,10 +281,10 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw, 4 * n, "zstd", asbytes=True), "<i4").astype(np.int64)
 
 
-def _block_rows(block: int, ids: list, texts: list, a: ByteLevel, b: Pieces) -> Iterator[pa.RecordBatch]:
+def _block_rows(block: int, ids: list, texts: list, encoder: Encoder) -> Iterator[pa.RecordBatch]:
     """A row per document, with its pairs as numbers of the block's distinct
     pairs and their links, and one row with those pairs."""
-    al = Aligned(texts, a, b)
+    al = Aligned(texts, encoder)
     doc, code, weight = al.links()
     codes, at, holders = np.unique(code, return_inverse=True, return_counts=True)
     groups, links = al.per_doc(np.ones(len(al.doc))), np.bincount(doc, weight, len(texts)).astype(np.int64)
@@ -236,7 +305,7 @@ def _block_rows(block: int, ids: list, texts: list, a: ByteLevel, b: Pieces) ->
 def _blocks(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        a, b = tokenizer(path_a), tokenizer(path_b)
+        enc = encoder(path_a, path_b)
         block, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             for i, raw in zip(*(c.to_pylist() for c in batch.columns)):
@@ -244,10 +313,10 @@ def _blocks(path_a: str, path_b: str):
                 texts.append(None if raw is None else raw.decode("utf-8", "replace"))
                 size += len(raw or b"")
                 if size >= BLOCK_BYTES or len(ids) >= 50_000:
-                    yield from _block_rows(block, ids, texts, a, b)
+                    yield from _block_rows(block, ids, texts, enc)
                     block, ids, texts, size = block + 1, [], [], 0
         if ids:
-            yield from _block_rows(block, ids, texts, a, b)
+            yield from _block_rows(block, ids, texts, enc)
     return run
 
 
