@@ -66,6 +66,8 @@ def neighbor(df: DataFrame, by: Sequence[str], order_us: str, tie: str, cols: Se
 # W1 exponential smoothing
 # ---------------------------------------------------------------------------
 
+#: Steps that are taken again one by one, at most.
+_MOST_STEPS = 64
 #: A carry that has decayed below e^-_GONE is nothing beside the row before it.
 _GONE = 200.0
 
@@ -113,14 +115,33 @@ def recurrence(df: DataFrame, values: dict[str, str], by: Sequence[str], order_u
 
     The whole history counts, whatever ``alpha``.  Rows are numbered per key
     (W8 index over slices) and cut into chunks of at most ``chunk`` rows, so every
-    window is per (key, chunk); see :func:`_folded` for the carry."""
-    by = list(by)
+    window is per (key, chunk); see :func:`_folded` for the carry.
+
+    Sums over powers round otherwise than one step after the other, which shows
+    where a value lies on the edge of a rounded digit.  Where ``alpha`` forgets
+    fast, the last steps are therefore taken again one by one, from the value a
+    few rows before: their rounding is then all there is."""
+    by, keep = list(by), 1.0 - alpha
     d = materialize(ordered_index(df, order_us, tie, by=by, name="_i"))  # read twice below
     rows = (d.agg(F.max("_i")).first()[0] or 0) + 1
     for name, column in values.items():
         x = F.col(column).cast("double")
         d = d.withColumn("_x", F.when(F.col("_i") == 0, x).otherwise(x * alpha))
-        d = _folded(d, by, 1.0 - alpha, max(2, int(chunk)), rows).drop("_x").withColumnRenamed("_s", name)
+        d = _folded(d, by, keep, max(2, int(chunk)), rows).drop("_x").withColumnRenamed("_s", name)
+    steps = math.ceil(16 / -math.log(keep)) if 0.0 < keep < 1.0 else _MOST_STEPS + 1
+    if steps <= _MOST_STEPS:
+        block = Window.partitionBy(*by, floor_div(F.col("_i"), 64 * steps)).orderBy("_i")
+        for name, column in values.items():
+            x = F.col(column).cast("double")
+            recent = F.collect_list(x).over(block.rowsBetween(1 - steps, Window.currentRow))
+            d = d.withColumn("_recent", recent).withColumn("_before", F.lag(name, steps).over(block))
+
+            def on(xs: Column, start: Column) -> Column:
+                return F.aggregate(xs, start, lambda s, v: s * F.lit(keep) + v * F.lit(alpha))
+
+            d = d.withColumn(name, F.when(F.col("_i") + 1 == F.size("_recent"), on(F.slice("_recent", 2, steps), F.get("_recent", F.lit(0))))
+                             .when(F.col("_before").isNotNull() & (F.size("_recent") == steps), on(F.col("_recent"), F.col("_before")))
+                             .otherwise(F.col(name))).drop("_recent", "_before")
     return d.drop("_i")
 
 

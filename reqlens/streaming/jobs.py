@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reqlens.functions.scalars import clamp, round1
+from reqlens.functions.scalars import clamp
 from reqlens.operators import series as S
 from reqlens.operators.sizing import broadcast_if_small, materialize
 from reqlens.sources.logs import filter_logs, parse_logs
@@ -146,6 +146,12 @@ def stream_join_servers(requests: DataFrame, servers: DataFrame) -> DataFrame:
     return requests.join(broadcast_if_small(s), "server_id", "inner")
 
 
+def _one_decimal(x):
+    """P8 as the sampler computes it: the tenth nearest to ten times the double,
+    which a value a last bit below .x5 reaches too."""
+    return F.signum(x) * F.floor(F.abs(x) * 10 + 0.5) / 10
+
+
 def smooth_step(alpha: float = 0.3) -> Callable:
     """T8 for one micro-batch: the smoothed values so far (``server_id, s_cpu,
     s_memory``) are the first row of each server, and the batch goes on from
@@ -161,7 +167,7 @@ def smooth_step(alpha: float = 0.3) -> Callable:
                                                  F.struct(F.lit(0).alias("batch"), none.alias("t_us")).alias("_at")))
         out = materialize(S.recurrence(rows, {"s_cpu": "cpu", "s_memory": "memory"}, ["server_id"], "_at", "id", alpha))
         told = out.filter("_at.batch = 1").select("server_id", "id", "t_us", *[
-            round1(clamp(F.col("s_" + c))).alias(c) for c in ("cpu", "memory")])
+            _one_decimal(clamp(F.col("s_" + c))).alias(c) for c in ("cpu", "memory")])
         last = F.struct("_at", "id")
         return told, out.groupBy("server_id").agg(F.max_by("s_cpu", last).alias("s_cpu"),
                                                   F.max_by("s_memory", last).alias("s_memory"))
