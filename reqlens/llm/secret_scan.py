@@ -11,6 +11,9 @@ work on documents is done by DataFrame functions and Spark's own forest."""
 from __future__ import annotations
 
 import json
+import math
+import random
+import string
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -62,7 +65,6 @@ def transitions(dic: DataFrame) -> list[float]:
     pairs = dic.select(F.explode(F.transform(
         F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("pair"))
     counts = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
-    import math
     out = []
     for a in LETTERS:
         total = sum(counts.get(a + b, 0) for b in LETTERS) + 26
@@ -70,14 +72,20 @@ def transitions(dic: DataFrame) -> list[float]:
     return out
 
 
+def _digest(text_col: str, path_col: str | None) -> Column:
+    """Tells apart rows that share an id, or have none, by text and path."""
+    return F.xxhash64(*[F.col(c).cast("string") for c in (text_col, path_col) if c])
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """One row per candidate: ``id, word_no, part, token, path, before2,
+    """One row per candidate: ``id, digest, word_no, part, token, path, before2,
     before, word, after, head, tail``; the last are the word's text before and
-    behind the candidate."""
+    behind the candidate, ``digest`` is :func:`_digest` of the row."""
     require(docs, id_col, text_col)
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     hit = docs.filter(F.col(text_col).rlike(f"{RUN}|{LOGIN}|{NAMED}")).select(
-        F.col(id_col).alias("id"), path.alias("path"), words(F.col(text_col)).alias("w"))
+        F.col(id_col).alias("id"), _digest(text_col, path_col).alias("digest"), path.alias("path"),
+        words(F.col(text_col)).alias("w"))
 
     def behind_name(before2: Column, before: Column) -> Column:
         return F.coalesce(before.rlike("[=:]>?$") & F.concat_ws(" ", before2, before).rlike(f"{NAMED}$"), F.lit(False))
@@ -88,7 +96,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 i.alias("word_no"), x.alias("word"), F.get(w, i - 2).alias("before2"), F.get(w, i - 1).alias("before"),
                 F.get(w, i + 1).alias("after")))), lambda x: x.isNotNull())
 
-    rows = hit.select("id", "path", F.explode(let(F.col("w"), near)).alias("c")).select("id", "path", "c.*").select(
+    rows = hit.select("id", "digest", "path", F.explode(let(F.col("w"), near)).alias("c")).select("id", "digest", "path", "c.*").select(
         "*", F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1)).alias("runs"), F.split("word", RUN, -1).alias("gaps"))
     # the runs with the text before each, then the values that are no run
     long = F.transform("runs", lambda r, k: F.struct(r.alias("token"), F.concat(F.array_join(F.transform(
@@ -117,7 +125,7 @@ def features(found: DataFrame, dic: DataFrame, table: list[float]) -> DataFrame:
         return (size - F.length(F.regexp_replace("token", pattern, ""))) / size
 
     letters = F.regexp_replace(low, "[^a-z]", "")
-    logs = F.array(*[F.lit(float(x)) for x in table])
+    logs = F.from_json(F.lit(json.dumps(table)), "array<double>")  # folded into one constant
 
     def mean_log(s: Column) -> Column:
         steps = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.get(logs, (
@@ -147,101 +155,89 @@ def features(found: DataFrame, dic: DataFrame, table: list[float]) -> DataFrame:
     return joined.select("*", *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in out.items()]).drop("covered")
 
 
-def labelled_findings(spark: SparkSession, rows: int = MAX_FINDINGS) -> DataFrame:
-    """A bounded table of labelled findings (``label`` 1.0 for a secret, and the
-    columns of :func:`candidates`), made from hashes of row numbers: random
-    keys behind the names that hold them, and digests, identifiers, paths,
-    placeholders and long words that only look like keys."""
-    h = [F.sha2(F.concat(F.lit(f"{k}:"), F.col("id").cast("string")), 256) for k in range(4)]
-    b64 = F.regexp_replace(F.base64(F.unhex(h[0])), "[+/=]", "")
-
-    def pick(k: int, *options: str) -> Column:
-        return F.get(F.array(*[F.lit(o) for o in options]), F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(options))).cast("int"))
-
-    def caps(k: int) -> Column:
-        return F.initcap(pick(k, "request", "customer", "handler", "factory", "invoice", "payment", "session", "manager"))
-
-    name = pick(1, "token", "secret", "password", "api_key", "auth_token", "SECRET_KEY", "access_key", "TOKEN", "passwd")
-    digest_name = pick(2, "commit", "sha256", "checksum", "md5", "etag", "revision", "digest", "build")
-    plain = pick(3, "the", "of", "see", "with", "from", "und", "que", "les")
-    prose = F.concat(caps(4), caps(5), caps(6), F.pmod(F.col("id"), F.lit(9)).cast("string"))
-    def invented(k: int) -> Column:
-        return F.initcap(F.concat(*[pick(10 * k + j, "ka", "lo", "mi", "ter", "ven", "dra", "pol", "ing", "tion", "est", "ber")
-                                    for j in range(3)]))
-
-    camel = F.concat(pick(11, "get", "Very", "my", "The"), invented(2), caps(12), invented(3), F.pmod(F.col("id"), F.lit(7)).cast("string"))
-    path = pick(7, "src/main.py", "app/config.yml", "deploy/env.sh", "notes.txt", "data.csv", "server.go")
-    sample = pick(8, "tests/test_login.py", "docs/readme.md", "examples/demo.js", "package.lock")
-    eq = F.lit("=")
+def _finding_kinds(r: random.Random) -> list[tuple]:
+    """One example of every kind of finding: label, token, path, the two words
+    before it, and the text before and behind it in its own word."""
+    h = ["%064x" % r.getrandbits(256) for _ in range(3)]
+    b64 = "".join(r.choices(string.ascii_letters + string.digits, k=40))
+    digits, mark = str(r.randrange(1000)), r.choice("!#$@%*?^")
+
+    def invented(n: int = 3) -> str:
+        return "".join(r.choice(("ka", "lo", "mi", "ter", "ven", "dra", "pol", "ing", "tion", "est", "ber")) for _ in range(n))
+
+    def caps() -> str:
+        return r.choice(("Request", "Customer", "Handler", "Factory", "Invoice", "Payment", "Session", "Manager"))
+
+    name = r.choice(("token", "secret", "password", "api_key", "auth_token", "SECRET_KEY", "access_key", "TOKEN", "passwd"))
+    digest_name = r.choice(("commit", "sha256", "checksum", "md5", "etag", "revision", "digest", "build"))
+    plain = r.choice(("the", "of", "see", "with", "from", "und", "que", "les"))
+    path = r.choice(("src/main.py", "app/config.yml", "deploy/env.sh", "notes.txt", "data.csv", "server.go"))
+    sample = r.choice(("tests/test_login.py", "docs/readme.md", "examples/demo.js", "package.lock"))
+    prose = caps() + caps() + caps() + digits[0]
+    camel = r.choice(("get", "Very", "my", "The")) + invented().title() + caps() + invented().title() + digits[0]
     # as names of the environment, and values that people choose
-    env = F.concat(pick(14, "GITHUB_ACCESS", "AWS_SECRET_ACCESS", "PRODUCTION_DATABASE", "DB", "STRIPE_PRIVATE", "my_service"),
-                   pick(15, "_TOKEN", "_KEY_SECRET", "_PASSWORD", "_API_KEY", "_SECRET"))
-    digest_env = F.concat(pick(16, "GIT", "RELEASE", "IMAGE", "my_build"), pick(17, "_COMMIT", "_SHA256", "_CHECKSUM", "_REVISION"))
-    mark = pick(18, "!", "#", "$", "@", "%", "*", "?", "^")
-    chosen = F.concat(invented(19), F.pmod(F.col("id"), F.lit(997)).cast("string"), mark)
-    mixed = F.concat(F.substring(b64, 3, 5), mark, F.substring(b64, 9, 4))
-    letters = F.translate(F.substring(h[1], 1, 16), "0123456789abcdef", "qwzxkvjypmbgtdnr")
-    said = pick(23, "required", "string", "true", "none", "null", "optional", "missing", "invalid", "please", "self.password",
-                "os.environ", "${DB_PASSWORD}", "<password>", "********", "get_password()", "changeme", "your-password")
-    login = F.concat(pick(24, "postgres", "mysql", "https", "amqp", "redis"), F.lit("://"), pick(25, "app", "root", "admin", ""), F.lit(":"))
-    # kind -> (label, token, path, before2, before, quoted, text before it in the word, and behind it)
-    kinds = [
-        (1.0, F.substring(h[0], 1, 40), path, name, eq, True), (1.0, F.substring(h[1], 1, 32), path, name, eq, True),
-        (1.0, F.upper(F.substring(h[2], 1, 40)), path, name, eq, True),
-        (1.0, F.substring(b64, 1, 36), path, name, F.concat(name, F.lit(":")), False),
-        (1.0, F.concat(F.lit("AKIA"), F.upper(F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", "A"), 1, 16))), path,
-         plain, plain, False),
-        (1.0, F.concat(F.lit("ghp_"), F.substring(b64, 1, 36)), path, plain, name, False),
-        (1.0, F.substring(b64, 1, 24), sample, name, eq, True),
-        (0.0, F.substring(h[0], 1, 40), path, plain, digest_name, False),
-        (0.0, h[1], sample, digest_name, eq, True), (0.0, F.substring(h[2], 1, 32), path, plain, plain, False),
-        (0.0, F.concat_ws("-", F.substring(h[0], 1, 8), F.substring(h[0], 9, 4), F.substring(h[0], 13, 4),
-                          F.substring(h[0], 17, 4), F.substring(h[0], 21, 12)), path, plain, F.lit("id"), False),
-        (0.0, prose, path, plain, plain, False), (0.0, prose, path, name, eq, False),
-        (0.0, F.concat_ws("/", F.lit("usr"), F.lower(caps(4)), F.lower(caps(5)), F.lit("v2")), path, plain, plain, False),
-        (0.0, F.concat(pick(9, "your_", "example_", "dummy_", "test_"), F.lower(caps(4)), F.lit("_key_1234567")), sample,
-         name, eq, True),
-        (0.0, F.regexp_replace(F.substring(h[3], 1, 20), "[a-f]", "7"), path, plain, plain, False),
-        (0.0, camel, path, plain, plain, False), (0.0, camel, path, plain, name, False),
-        (0.0, F.concat(F.lower(invented(4)), F.lit("_"), F.lower(invented(5)), F.lit("_"), F.lower(caps(13)), F.lit("_2")), path,
-         plain, plain, False),
-        (0.0, F.concat(F.lit("com/"), F.lower(invented(6)), F.lower(invented(7)), F.lit("/index9")), path, plain, plain, False),
-        (1.0, F.substring(h[0], 1, 40), path, plain, plain, False, F.concat(env, eq)),
-        (1.0, F.substring(b64, 1, 40), path, plain, pick(26, "export", "-", "env"), False, F.concat(env, eq)),
-        (1.0, mixed, path, name, eq, True), (1.0, mixed, path, plain, plain, False, F.concat(name, eq)),
-        (1.0, chosen, path, name, F.lit(":"), False), (1.0, chosen, path, plain, plain, False, F.concat(env, eq)),
-        (1.0, F.when(F.col("id") % 3 == 0, chosen).otherwise(mixed), path, plain, plain, False, login, F.lit("@db.internal/app")),
-        (1.0, letters, path, name, eq, True), (1.0, letters, path, plain, plain, False, F.concat(name, eq)),
-        (0.0, F.concat(env, eq), path, plain, plain, False, F.lit(""), F.substring(h[0], 1, 40)),
-        (0.0, said, path, plain, F.concat(name, F.lit(":")), False), (0.0, said, path, name, eq, True),
-        (0.0, said, path, plain, plain, False, F.concat(name, eq)),
-        (0.0, pick(27, "password", "${DB_PASS}", "<password>", "********", "your-password"), path, plain, plain, False, login,
-         F.lit("@db.internal/app")),
-        (0.0, F.substring(h[1], 1, 40), path, plain, plain, False, F.concat(digest_env, eq)),
-        (0.0, h[2], path, plain, plain, False, F.lit("sha256:")),
-        (0.0, F.lower(F.concat(invented(28), invented(29), invented(30))), path, plain, plain, False),
-        (0.0, F.lower(F.concat(invented(31), caps(32), invented(33))), path, plain, name, False),
+    env = r.choice(("GITHUB_ACCESS", "AWS_SECRET_ACCESS", "PRODUCTION_DATABASE", "DB", "STRIPE_PRIVATE", "my_service")) + r.choice(
+        ("_TOKEN", "_KEY_SECRET", "_PASSWORD", "_API_KEY", "_SECRET")) + "="
+    digest_env = r.choice(("GIT", "RELEASE", "IMAGE", "my_build")) + r.choice(("_COMMIT", "_SHA256", "_CHECKSUM", "_REVISION")) + "="
+    chosen, own = invented().title() + digits + mark, invented(2) + digits[0] + invented(2) + mark
+    mixed = b64[3:8] + mark + b64[9:13]
+    letters = "".join(r.choices("qwzxkvjypmbgtdnr", k=16))
+    said = r.choice(("required", "string", "true", "none", "null", "optional", "missing", "invalid", "please", "self.password",
+                     "os.environ", "${DB_PASSWORD}", "<password>", "********", "get_password()", "changeme", "your-password"))
+    login = r.choice(("postgres", "mysql", "https", "amqp", "redis")) + "://" + r.choice(("app", "root", "admin", "")) + ":"
+    host, quoted = "@db.internal/app", ('"', '"')
+    bare = ("", "")
+    return [
+        (1, h[0][:40], path, name, "=", *quoted), (1, h[1][:32], path, name, "=", *quoted),
+        (1, h[2][:40].upper(), path, name, "=", *quoted), (1, b64[:36], path, name, name + ":", *bare),
+        (1, "AKIA" + b64[:16].upper(), path, plain, plain, *bare), (1, "ghp_" + b64[:36], path, plain, name, *bare),
+        (1, b64[:24], sample, name, "=", *quoted),
+        (0, h[0][:40], path, plain, digest_name, *bare), (0, h[1], sample, digest_name, "=", *quoted),
+        (0, h[2][:32], path, plain, plain, *bare),
+        (0, "-".join((h[0][:8], h[0][8:12], h[0][12:16], h[0][16:20], h[0][20:32])), path, plain, "id", *bare),
+        (0, prose, path, plain, plain, *bare), (0, prose, path, name, "=", *bare),
+        (0, f"usr/{caps().lower()}/{caps().lower()}/v2", path, plain, plain, *bare),
+        (0, r.choice(("your_", "example_", "dummy_", "test_")) + caps().lower() + "_key_1234567", sample, name, "=", *quoted),
+        (0, "".join(c if c.isdigit() else "7" for c in h[2][:20]), path, plain, plain, *bare),
+        (0, camel, path, plain, plain, *bare), (0, camel, path, plain, name, *bare),
+        (0, f"{invented()}_{invented()}_{caps().lower()}_2", path, plain, plain, *bare),
+        (0, f"com/{invented()}{invented()}/index9", path, plain, plain, *bare),
+        (1, h[0][:40], path, plain, plain, env, ""), (1, b64, path, plain, r.choice(("export", "-", "env")), env, ""),
+        (1, mixed, path, name, "=", *quoted), (1, mixed, path, plain, plain, name + "=", ""),
+        (1, chosen, path, name, name + ":", *bare), (1, chosen, path, plain, plain, env, ""),
+        (1, own, path, name, "=", *quoted), (1, own, path, plain, plain, name + "=", ""), (1, own, path, plain, name + ":", *bare),
+        (1, r.choice((chosen, mixed, own)), path, plain, plain, login, host),
+        (1, letters, path, name, "=", *quoted), (1, letters, path, plain, plain, name + "=", ""),
+        (0, env, path, plain, plain, "", h[0][:40]),
+        (0, said, path, plain, name + ":", *bare), (0, said, path, name, "=", *quoted), (0, said, path, plain, plain, name + "=", ""),
+        (0, r.choice(("password", "${DB_PASS}", "<password>", "********", "your-password")), path, plain, plain, login, host),
+        (0, h[1][:40], path, plain, plain, digest_env, ""), (0, h[2], path, plain, plain, "sha256:", ""),
+        (0, invented() + invented() + invented(), path, plain, plain, *bare),
+        (0, invented() + caps().lower() + invented(), path, plain, name, *bare),
     ]
-    kind = F.pmod(F.col("id"), F.lit(len(kinds)))
 
-    def choose(at: int) -> Column:
-        col = F.lit(None)
-        for k, row in enumerate(kinds):
-            row = (*row, *[F.when(F.lit(row[5]), F.lit('"')).otherwise("")] * 2)[:8] if len(row) == 6 else (*row, "")
-            v = row[at] if isinstance(row[at], Column) else F.lit(row[at])
-            col = F.when(kind == k, v).otherwise(col)
-        return col
 
-    base = spark.range(0, rows, 1, 4).select(
-        "id", choose(0).alias("label"), choose(1).alias("token"), choose(2).alias("path"), choose(3).alias("before2"),
-        choose(4).alias("before"), choose(6).alias("head"), choose(7).alias("tail"))
-    return base.select(
-        F.col("id").alias("rid"), "label", "token", "path", "before2", "before", plain_after().alias("after"), "head", "tail",
-        F.concat("head", "token", "tail").alias("word"))
+_FINDING = ("rid long, kind int, label double, token string, path string, before2 string, before string, after string, "
+            "head string, tail string, word string")
 
 
-def plain_after() -> Column:
-    return F.get(F.array(*[F.lit(w) for w in ("and", "in", ";", "is", "on", "as")]), F.pmod(F.xxhash64("id"), F.lit(6)).cast("int"))
+def labelled_findings(spark: SparkSession, rows: int = MAX_FINDINGS) -> DataFrame:
+    """A bounded table of labelled findings (``label`` 1.0 for a secret, the
+    ``kind`` of finding, and the columns of :func:`candidates`), made from a
+    seed: random keys behind the names that hold them, chosen passwords, and
+    digests, identifiers, paths, placeholders and long words that only look like
+    keys.  The rows reach Spark as one constant."""
+    made = []
+    for rid in range(min(rows, MAX_FINDINGS)):
+        r = random.Random(f"{SEED}:{rid}")
+        kinds = _finding_kinds(r)
+        kind = rid % len(kinds)
+        label, token, path, before2, before, head, tail = kinds[kind]
+        made.append({"rid": rid, "kind": kind, "label": float(label), "token": token, "path": path, "before2": before2,
+                     "before": before, "after": r.choice(("and", "in", ";", "is", "on", "as")), "head": head, "tail": tail,
+                     "word": head + token + tail})
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(made)), f"array<struct<{_FINDING.replace(' ', ':').replace(',:', ',')}>>")).alias(
+        "f")).select("f.*")
 
 
 def fit(findings: DataFrame, dic: DataFrame, table: list[float]) -> RandomForestClassificationModel:
@@ -252,6 +248,20 @@ def fit(findings: DataFrame, dic: DataFrame, table: list[float]) -> RandomForest
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label").fit(one)
 
 
+def _judged(docs: DataFrame, dictionary_path: str, id_col: str, text_col: str, path_col: str | None,
+            findings: DataFrame | None, threshold: float) -> DataFrame:
+    """The candidates with the forest's ``p`` and ``is_secret``."""
+    spark = docs.sparkSession
+    dic = stage(dictionary(spark, dictionary_path), "dictionary")
+    table = transitions(dic)
+    model = fit(stage(labelled_findings(spark), "findings") if findings is None else findings, dic, table)
+    found = stage(candidates(docs, id_col, text_col, path_col).withColumn("rid", F.monotonically_increasing_id()),
+                  "candidates")
+    vec = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(found, dic, table))
+    p = F.get(vector_to_array("probability"), F.lit(1))
+    return model.transform(vec).withColumn("p", p).withColumn("is_secret", F.col("p") > threshold)
+
+
 def scan(docs: DataFrame, dictionary_path: str, id_col: str = "doc_id", text_col: str = "text",
          path_col: str | None = None, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """One row per candidate: ``id_col, word_no, part, token, probability,
@@ -260,30 +270,28 @@ def scan(docs: DataFrame, dictionary_path: str, id_col: str = "doc_id", text_col
     ``findings`` are labelled rows as of :func:`labelled_findings`, its default.
     Null texts have no candidates, null paths and neighbours count as empty,
     repeated rows are scanned once each, an empty table gives no rows."""
-    spark = docs.sparkSession
-    dic = dictionary(spark, dictionary_path)
-    table = transitions(dic)
-    # staged, or the driver plans the long expressions of its rows again and again
-    model = fit(stage(labelled_findings(spark), "findings") if findings is None else findings, dic, table)
-    found = stage(candidates(docs, id_col, text_col, path_col).withColumn("rid", F.monotonically_increasing_id()),
-                  "candidates")
-    vec = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(found, dic, table))
-    p = F.get(vector_to_array("probability"), F.lit(1))
-    return model.transform(vec).select(
+    return _judged(docs, dictionary_path, id_col, text_col, path_col, findings, threshold).select(
         F.col("id").alias(id_col), F.col("word_no").cast("long").alias("word_no"), F.col("part").cast("long").alias("part"),
-        "token", p.alias("probability"), (p > threshold).alias("is_secret"))
+        "token", F.col("p").alias("probability"), "is_secret")
 
 
 def redact(docs: DataFrame, dictionary_path: str, id_col: str = "doc_id", text_col: str = "text",
-           size_col: str | None = None, **options) -> DataFrame:
+           size_col: str | None = None, path_col: str | None = None, findings: DataFrame | None = None,
+           threshold: float = 0.5) -> DataFrame:
     """``docs`` with every found secret replaced by MASK, all columns kept.
     Secrets that are no run of 16 characters are replaced where no letter or
     digit stands beside them.
-    ``size_col`` gets the new number of characters of changed texts."""
-    found = scan(docs, dictionary_path, id_col, text_col, **options).filter("is_secret")
-    tokens = stage(found.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("token").alias("t")).select(
-        "_id", F.array_sort("t", lambda a, b: F.length(b) - F.length(a)).alias("_tokens")), "secrets")
-    j = docs.join(tokens, docs[id_col].eqNullSafe(tokens["_id"]), "left")
+    ``size_col`` gets the new number of characters of changed texts.
+
+    A row is masked by what was found in its own text: rows with a repeated or
+    null id are told apart by text and path, equal rows are masked alike.  Null
+    and empty texts stay, an empty table gives no rows, a very long text's
+    secrets are one row."""
+    found = _judged(docs, dictionary_path, id_col, text_col, path_col, findings, threshold).filter("is_secret")
+    tokens = stage(found.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(
+        F.collect_set("token").alias("t")).select(
+        "_id", "_digest", F.array_sort("t", lambda a, b: F.length(b) - F.length(a)).alias("_tokens")), "secrets")
+    j = docs.join(tokens, docs[id_col].eqNullSafe(tokens["_id"]) & (_digest(text_col, path_col) == tokens["_digest"]), "left")
 
     def masked(text: Column, token: Column) -> Column:
         exact = F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), F.replace(token, F.lit("\\E"), F.lit("\\E\\\\E\\Q")),
