@@ -11,8 +11,10 @@
 4. In buckets whose members still lie in several components, the pairs across
    components are compared too: pair by pair in small buckets, and in large
    ones between blocks of strays and of members, inside tasks of bounded size
-   that give back the confirmed links only.  So no link that the bands found is
-   lost, and no group is expanded to all its pairs.
+   that give back the confirmed links only.  Pairs whose sketches agree five
+   standard deviations below the threshold are left out there; a pair at the
+   threshold is so with a probability below 3e-7.  No group is expanded to all
+   its pairs.
 5. Links are confirmed on the full shingle sets.
 
 With 25 bands of 5 rows, a pair at a similarity of 0.85 shares no bucket with

@@ -96,7 +96,9 @@ def measurements(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
 
 
 def ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Measurements and ``failures`` (long): bit b is set when rule b fails."""
+    """Measurements and ``failures`` (long): bit b is set when rule b fails.  A
+    row per row, repeated ones too; null and blank texts fail the rules that 0
+    words fail; an empty table gives no rows."""
     m = measurements(docs, text_col, keep)
     bits = [F.when(F.expr(cond), F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long"))
             for bit, cond in RULES.values()]
@@ -113,7 +115,8 @@ def rejected(failures: Column, policy: Policy) -> Column:
 
 
 def apply_policy(led: DataFrame, version: int = CURRENT) -> DataFrame:
-    """Adds ``base_failed``, ``kept`` and ``policy_version`` to a ledger."""
+    """Adds ``base_failed``, ``kept`` and ``policy_version`` to a ledger, row by
+    row; an empty ledger stays empty."""
     return led.select("*", rejected(F.col("failures"), POLICIES[BASE]).alias("base_failed"),
                       (~rejected(F.col("failures"), POLICIES[version])).alias("kept"),
                       F.lit(version).alias("policy_version"))

@@ -46,7 +46,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of rows with equal payloads of at least ``min_revisit_bytes``, those with
     the largest id are responses and the others revisits that name it; null ids
     are smaller than any other, and rows of null ids only are responses.  A
-    null payload is empty, a null url is left out.  Only the digests of repeated
+    null payload is empty, a null url is left out; repeated rows are a record
+    each, an empty table writes no record.  Only the digests of repeated
     payloads are joined back, so the payloads are not shuffled while that table
     is small enough for Spark to broadcast."""
     require(pages, id_col, url_col, payload_col)
