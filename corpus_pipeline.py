@@ -44,7 +44,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``; between them the rows are Parquet in the
-    shared folder."""
+    shared folder.  Nulls, repeated rows and ids are as the stages say; an empty
+    table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
