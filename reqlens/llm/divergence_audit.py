@@ -134,9 +134,14 @@ def run_length_columns(kept: DataFrame) -> DataFrame:
     """``(lang, chunk, terms, source, starts, counts)`` of ``kept`` (lang, term,
     vector): the terms of a language in order of their count vectors, in chunks,
     and each source's counts in a chunk as runs (run k from ``starts[k]`` on).
-    A source without a count in the chunk has no row."""
-    ordered = kept.select("lang", "vector", "term").repartitionByRange("lang", "vector", "term").sortWithinPartitions(
-        "lang", "vector", "term").select("lang", "vector")
+    A source without a count in the chunk has no row.
+
+    Terms are dealt to partitions by their total and a hash of their vector, so
+    that equal vectors meet, and what the range bounds are sampled from is two
+    numbers a term; inside a partition they go by the vectors themselves."""
+    total = F.aggregate("vector", F.lit(0).cast("long"), lambda s, v: s + v["n"])
+    ordered = kept.select("lang", "vector", "term", total.alias("_n"), F.xxhash64("vector").alias("_h")).repartitionByRange(
+        "lang", "_n", "_h").sortWithinPartitions("lang", "vector", "term").select("lang", "vector")
     return ordered.mapInArrow(_columns, _COLUMNS)
 
 
