@@ -440,6 +440,16 @@ def attach_pool(requests: DataFrame, versions: DataFrame, arrival_us: str = "arr
     return j.select(*requests.columns, F.col("_v.members").alias("members"))
 
 
+def _with_upto(versions: DataFrame) -> DataFrame:
+    """Versions whose members have ``upto``, as :func:`pool_versions` gives them;
+    of a table without it, the weights are added up member by member."""
+    if "upto" in versions.schema["members"].dataType.elementType.names:
+        return versions
+    so_far = lambda i: F.aggregate(F.slice("members", 1, i + 1), F.lit(0).cast("bigint"), lambda t, m: t + m["weight"])
+    return versions.withColumn("members", F.transform("members", lambda m, i: F.struct(
+        m["pos"].alias("pos"), m["server_id"].alias("server_id"), m["weight"].alias("weight"), so_far(i).alias("upto"))))
+
+
 def count_upto(members: Column, slot: Column) -> Column:
     """How many members have all their slots before ``slot``: the place of the
     member that has it.  A binary search over ``upto``, from the highest bit of
@@ -469,7 +479,7 @@ def weighted_round_robin_live(requests: DataFrame, versions: DataFrame, order_us
     would put a long epoch into one task)."""
     from reqlens.operators.series import neighbor
 
-    r = attach_pool(requests, versions, order_us)
+    r = attach_pool(requests, _with_upto(versions), order_us)
     if slices_of(requests) > 1:
         r = cut_in_order(r, [], order_us, tie)  # one cut for the three steps
     r = materialize(ordered_index(r, order_us, tie, name="_i"))
