@@ -85,11 +85,13 @@ class ChunkEncoder:
             self._memo[c] = raw[start:end]
             start = end + 4 * skip
 
-    def _learn_words(self, words: list[bytes]) -> None:
+    def _learn_words(self, words: list[bytes], ascii_only: bool) -> None:
         for at in range(0, len(words), 512):
             part = words[at:at + 512]
-            text = b" ".join(part).decode("latin-1").translate(self._letters)
-            ids = np.array(self._bare.encode(text, add_special_tokens=False).ids, "<u4")
+            text = b" ".join(part).decode("latin-1")
+            if not ascii_only:
+                text = text.translate(self._letters)
+            ids = np.array(self._bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self._last[ids]) + 1
             assert len(ends) == len(part)
             self._cut(part, ids, ends, 0)
@@ -107,8 +109,18 @@ class ChunkEncoder:
                 self._memo[c] = self._raw(self._ids(c.decode()))
 
     def _learn(self, new: list[bytes]) -> None:
-        memo, others, words, made = self._memo, [], set(), []
+        memo, others, ascii_words, words, made = self._memo, [], set(), set(), []
         for c in new:
+            if c.isalpha():  # letters of ASCII
+                ascii_words.add(c)
+                continue
+            if c[-1] in b".,":
+                word = c[:-1]
+                if word.isalpha():
+                    made.append((c, word, c[-1:].decode()))
+                    if word not in memo:
+                        ascii_words.add(word)
+                    continue
             m = _PLAIN.fullmatch(c.decode())
             if m is None:
                 others.append(c)
@@ -118,7 +130,8 @@ class ChunkEncoder:
                 if word not in memo:
                     words.add(word)
         self._learn_others(others)
-        self._learn_words(list(words))
+        self._learn_words(list(ascii_words), True)
+        self._learn_words(list(words), False)
         for c, word, stop in made:
             memo[c] = memo[word] + self._stops[stop]
 
@@ -126,7 +139,7 @@ class ChunkEncoder:
         memo = self._memo
         if len(memo) > CHUNK_MEMO:
             memo.clear()
-        split = [(t or b"").split() for t in texts]
+        split = [(t or b"").lower().split() for t in texts]  # letters of ASCII; normalisation lower-cases all
         new = set()
         for s in split:
             new.update(s)
@@ -279,6 +292,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 def sequences(packed: DataFrame) -> DataFrame:
     """``(sequence_id, ids)`` from :func:`pack` with its ids: the pieces of each
-    sequence, joined by offset.  A group holds at most ``capacity`` tokens."""
+    sequence, joined by offset.  A group holds at most ``capacity`` tokens; an
+    empty table gives no rows."""
     return packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p")).select(
         "sequence_id", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"))
