@@ -64,7 +64,7 @@ def test_stages_keep_columns(spark, scratch):
 def test_every_operator_is_registered():
     names = E.queries()
     assert "pipeline" in names
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def test_near_duplicate_stage_takes_80_percent(spark, scratch):
