@@ -672,3 +672,13 @@ def test_logs_and_spans_of_a_hot_trace(spark):
     assert set(pairs) == want and len(pairs) == len(want)
     keys = got._jdf.queryExecution().executedPlan().toString()
     assert "_bucket" in keys
+
+
+def test_logs_and_spans_are_both_shuffled(spark):
+    """Sides that look small to the planner are not collected for a broadcast."""
+    logs = spark.range(400).selectExpr("concat('t', id % 20) as trace_id", "id as ts_us", "id as log")
+    spans = spark.range(400).selectExpr("concat('t', id % 20) as trace_id", "id as start_us", "id + 5 as end_us", "id as span")
+    got = J.correlate_logs_spans(logs, spans)
+    assert got.count() == 400 * 20
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
