@@ -12,10 +12,10 @@ Counter-based policies become closed forms over the global arrival index
 
 from __future__ import annotations
 
-from typing import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,54 +142,59 @@ class Tournament:
         return None if least >= self.OUT else (least % self.n, max(0, least // self.n))
 
 
-def _lc_sweep(pool_ids: np.ndarray, pool_pos: np.ndarray) -> Callable:
-    """Goes through one bucket's events in order of time: at an instant ends
-    and starts first, then the arrivals, each answered by the tournament in a
-    logarithm of the pool's size.  Memory is that of the events."""
+#: Rows whose member lists a worker holds as Python objects at a time.
+_LC_ROWS = 1024
+
+
+def _lc_sweep(pool_ids: np.ndarray, pool_pos: np.ndarray, live: bool) -> Callable:
+    """Goes through a partition's events in order of bucket and time: in a bucket
+    the carry first, at an instant ends and starts first, then the arrivals, each
+    answered by the tournament in a logarithm of the pool's size.  Buckets are
+    read batch by batch: memory is that of the pool and one batch, however many
+    events a bucket holds."""
     order = np.lexsort((pool_ids, pool_pos))
     ids = [int(x) for x in pool_ids[order]]
     place = {s: k for k, s in enumerate(ids)}
     at_pos = {int(p): k for k, p in enumerate(pool_pos[order])}
+    columns = ["_b", "kind", "server_id", "n", "id"] + (["mem"] if live else [])
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind = pdf["kind"].to_numpy()
-        held = Tournament(len(ids))
-        known = pdf["server_id"].map(place)  # null for servers outside the pool
-        for k, n in zip(known[kind == 0], pdf["n"][kind == 0]):
-            if k == k:
-                held.conns[int(k)] += int(n)
-        live = "mem" in pdf.columns
-        if not live:
-            held.members(set(range(len(ids))))
-        ev = pdf.assign(k=known.fillna(-1).astype("int64"))[kind > 0].sort_values(["t", "kind"], kind="stable")
-        kinds, servers, own, rid = (ev[c].tolist() for c in ("kind", "k", "n", "id"))
-        sets = ev["mem"].tolist() if live else []
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Tournament | None = None  # of the bucket that is being read
+        bucket: int | None = None
         now: tuple | None = None
-        out_id, out_srv, out_n = [], [], []
-        for i, what in enumerate(kinds):
-            k = servers[i]
-            if what < 3:
-                if k >= 0:
-                    held.add(k, 1 if what == 1 else -1)
-                continue
-            if live:
-                members = tuple(sets[i]) if sets[i] is not None else ()
-                if members != now:
-                    held.members({at_pos[p] for p in members if p in at_pos})
-                    now = members
-            found = held.best(k if k >= 0 and own[i] == 1 else None)
-            out_id.append(int(rid[i]))
-            out_srv.append(None if found is None else ids[found[0]])
-            out_n.append(None if found is None else found[1])
-        return pd.DataFrame({"id": pd.array(out_id, dtype="int64"), "assigned": pd.array(out_srv, dtype="Int32"),
-                             "assigned_conns": pd.array(out_n, dtype="Int64")})
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _LC_ROWS):
+                part = batch.slice(lo, _LC_ROWS)
+                out_id, out_srv, out_n = [], [], []
+                for b, what, server, n, rid, *mem in zip(*(part.column(c).to_pylist() for c in columns)):
+                    if held is None or b != bucket:
+                        held, bucket, now = Tournament(len(ids)), b, None
+                        if not live:
+                            held.members(set(range(len(ids))))
+                    k = place.get(server)  # None for servers outside the pool
+                    if what < 3:
+                        if k is not None:
+                            held.add(k, -n if what == 2 else n)
+                        continue
+                    if live:
+                        members = tuple(mem[0] or ())
+                        if members != now:
+                            held.members({at_pos[p] for p in members if p in at_pos})
+                            now = members
+                    found = held.best(k if n == 1 else None)
+                    out_id.append(rid)
+                    out_srv.append(None if found is None else ids[found[0]])
+                    out_n.append(None if found is None else found[1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out_id, pa.int64()), pa.array(out_srv, pa.int32()), pa.array(out_n, pa.int64())],
+                    names=_LC_SCHEMA.names)
     return fn
 
 
 def sweep_bucket_width(requests: DataFrame, start_us: str = "arrival_us", max_events: int = 2_000_000,
                        ceiling_us: int = 3600 * 1_000_000, floor_us: int = 10_000) -> int:
     """Bucket width for the LC sweep: as wide as possible up to
-    ``ceiling_us`` (fewer, larger pandas groups) while the busiest bucket
+    ``ceiling_us`` (fewer carry rows) while the busiest bucket
     holds at most about ``max_events`` events (3 per request).  Computed
     from the peak per-minute arrival count (one small aggregate) scaled to
     the candidate width, which over-estimates and so stays on the safe side."""
@@ -211,9 +216,10 @@ def least_connections(requests: DataFrame, pool: DataFrame, start_us: str = "arr
     Plan: everything is cut into time buckets of ``bucket_us``.  A Spark
     aggregate gives, per (server, bucket), the number of intervals already
     open at the bucket start (the carry).  Each bucket then holds its start
-    / end events, its arrivals and the carry rows, and one grouped-map task
-    per bucket sweeps them with a tournament tree over the servers (memory
-    bounded by the bucket's events, time by events x log servers).  Without an
+    / end events, its arrivals and the carry rows.  Spark deals the buckets to
+    tasks and sorts them, and each task reads its events as a stream that a
+    tournament tree over the servers sweeps (memory bounded by the pool and one
+    batch of rows, time by events x log servers).  Without an
     explicit ``bucket_us`` the width is chosen from the peak arrival rate
     so that no bucket holds more than about two million events.  With
     ``versions`` (pool versions from the health runs) the candidates of each
@@ -253,7 +259,8 @@ def least_connections(requests: DataFrame, pool: DataFrame, start_us: str = "arr
               .unionByName(arrivals)
     if versions is None:
         ev = ev.drop("mem")
-    picked = ev.groupBy("_b").applyInPandas(_lc_sweep(pool_ids, pool_pos), _LC_SCHEMA)
+    ev = ev.repartition("_b").sortWithinPartitions("_b", "t", "kind")  # carry rows have no time and come first
+    picked = ev.mapInArrow(_lc_sweep(pool_ids, pool_pos, versions is not None), _LC_SCHEMA)
     return requests.join(picked, "id", "left").withColumn("policy", F.lit("least_connections"))
 
 

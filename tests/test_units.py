@@ -682,3 +682,37 @@ def test_logs_and_spans_are_both_shuffled(spark):
     assert got.count() == 400 * 20
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_least_connections_reads_a_bucket_as_a_stream(spark):
+    """One instant with most of all arrivals: a worker answers a batch before it
+    reads the next one, and batches that cut a bucket change nothing."""
+    n = 500
+    rows = [(i, i % 4, 1000 if i < 400 else i, 1000 + i if i % 7 else 1000) for i in range(n)]
+    req = spark.createDataFrame(rows, "id long, server_id int, arrival_us long, end_us long")
+    picked = R.least_connections(req, pool_df(spark, 3))
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "InPandas" not in plan
+    key, size = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "7")
+    try:
+        got = {r["id"]: (r["assigned"], r["assigned_conns"]) for r in picked.collect()}
+    finally:
+        spark.conf.set(key, size)
+    assert len(got) == n
+    for i, _, t, _ in rows[::23]:
+        conns = {s: sum(1 for j, k, a, e in rows if k == s and j != i and a <= t < e) for s in (1, 2, 3)}
+        best = min(conns, key=lambda s: (conns[s], s))
+        assert got[i] == (best, conns[best])
+
+    import numpy as np
+    import pyarrow as pa
+    read = []
+
+    def batches():
+        for k in range(5):
+            read.append(k)
+            yield pa.record_batch({"_b": [0] * 3, "kind": [3] * 3, "server_id": [1] * 3, "t": [0] * 3,
+                                   "id": [3 * k, 3 * k + 1, 3 * k + 2], "n": [1] * 3})
+    for k, out in enumerate(R._lc_sweep(np.array([1]), np.array([0]), False)(batches())):
+        assert out.num_rows == 3 and len(read) == k + 1
