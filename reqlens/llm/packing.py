@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,8 @@ from reqlens.llm.common import require, small_batches, stage
 CAPACITY = 4096
 #: Whitespace-separated chunks whose ids a worker keeps.
 CHUNK_MEMO = 500_000
+#: Bytes of texts that are encoded together, about.
+TEXT_BYTES = 1 << 23
 #: Rows of one length that are ranked together, and ranks of one join key.
 RANK_ROWS = 100_000
 RANK_BLOCK = 4096
@@ -135,16 +138,24 @@ class ChunkEncoder:
         for c, word, stop in made:
             memo[c] = memo[word] + self._stops[stop]
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text.  Arrow splits the texts and numbers their distinct
+        chunks, so that a chunk is looked up once however often it occurs."""
         memo = self._memo
         if len(memo) > CHUNK_MEMO:
             memo.clear()
-        split = [(t or b"").lower().split() for t in texts]  # letters of ASCII; normalisation lower-cases all
-        new = set()
-        for s in split:
-            new.update(s)
-        self._learn([c for c in new if c not in memo])
-        return [b"".join(map(memo.__getitem__, s)) for s in split]
+        lower = pc.ascii_lower(texts.fill_null(""))  # normalisation lower-cases the other letters
+        split = pc.ascii_split_whitespace(lower)
+        numbered = split.flatten().dictionary_encode()
+        chunks = numbered.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        memo[b""] = b""  # before leading and after trailing white space
+        self._learn([c for c in chunks if c not in memo])
+        ids = pa.array([memo[c] for c in chunks], pa.large_binary()).take(numbered.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset:ids.offset + len(ids) + 1]
+        offsets = split.offsets.to_numpy()
+        ends = at[offsets - offsets[0]].tolist() if len(ids) else [0] * len(offsets)
+        raw = ids.buffers()[2] or pa.py_buffer(b"")
+        return [raw.slice(lo, hi - lo).to_pybytes() for lo, hi in zip(ends, ends[1:])]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -160,10 +171,11 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), int(end_id).to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            rows = max(1, batch.num_rows * TEXT_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 row, piece, length, crc, ids = [], [], [], [], []
-                for i, raw in enumerate(enc.encode(part.column(1).cast(pa.binary()).to_pylist())):
+                for i, raw in enumerate(enc.encode(part.column(1))):
                     raw += end
                     for p, lo in enumerate(range(0, len(raw), 4 * capacity)):
                         cut = raw[lo:lo + 4 * capacity]

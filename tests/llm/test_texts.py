@@ -403,3 +403,25 @@ def test_license_passages_match_brute_force(spark):
     assert names[7, "gpl-3.0-header"] == 1 and names[7, "mit"] == 2 and names[8, "cc-by-4.0-notice"] == 6
     assert not {r.doc_id for r in license_scan.scan(docs(spark, rows)).collect()} & {1, 3, 7}
     assert license_scan.passages(docs(spark, []).filter("1 = 0")).count() == 0
+
+
+def test_a_chunk_is_looked_up_once_for_all_its_texts():
+    """Whole texts by the tokenizer itself; a chunk of many texts is asked for
+    once, however often it occurs."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(WORD_BPE)
+    tok.encode_special_tokens = True
+    texts = [None, "", "  \n", "a  b\t", " Éa. x,\x0b\x1c d\0e ", "it's 1.5, <|endoftext|> İ", "word Word. WORD, " * 50]
+    enc = packing.ChunkEncoder(WORD_BPE)
+    asked = []
+
+    class Memo(dict):
+        def __getitem__(self, c):
+            asked.append(c)
+            return super().__getitem__(c)
+    enc._memo = Memo()
+    for part in (pa.array(texts), pa.array(["x", *texts])[1:], pa.array(texts, pa.large_string())):
+        got = [np.frombuffer(raw, "<u4").tolist() for raw in enc.encode(part)]
+        assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert asked.count(b"word,") == 3 and enc.encode(pa.array([], pa.string())) == []
